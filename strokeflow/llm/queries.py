@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strokeflow.llm.decontaminate import PositionalIndex
+from strokeflow.llm.language import identify
 from strokeflow.llm.line_dedup import dedup_lines
+from strokeflow.llm.media import media_features
 from strokeflow.llm.mixing import mix_sources
+from strokeflow.llm.near_dedup import near_duplicates
 from strokeflow.llm.url_filter import Rule, filter_urls
 
 RULES = [
@@ -29,6 +32,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_features(table(spark, sf_dir, "documents"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = spark.createDataFrame(list(WEIGHTS.items()), "source string, weight double")
     docs = table(spark, sf_dir, "documents")
@@ -40,6 +51,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = spark.createDataFrame([(x,) for x in BLOCKED_DOMAINS], "key string")
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -55,7 +70,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_mix_sources, op5_line_dedup, op7_url_filter, op10_decontaminate)}
+    each = (
+        op1_media_columns, op3_language_id, op4_mix_sources, op5_line_dedup, op6_near_dedup, op7_url_filter,
+        op10_decontaminate,
+    )
+    return {f.__name__: f for f in each}
 
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
