@@ -266,6 +266,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFr
     )
 
 
+def keep_one_each(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its group, one row for each doc_id.
+
+    Rows with a null doc_id all stay.
+    """
+    groups = stored(near_duplicates(docs, size, percent), "near-groups")
+    kept = groups.where("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
+    own = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("__id"), "left_semi")
+    return own.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+
+
 def _labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component) of every node."""
     found = connected_components(edges)

@@ -232,8 +232,8 @@ class CoTrainer:
         return m
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, label: str = "quality", rounds: int = 2) -> DataFrame:
-    """doc_id, score (probability of being good), text_score, meta_score and kept of each row."""
+def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", rounds: int = 2) -> tuple[Model | None, DataFrame]:
+    """The model (None without labels of both classes) and the features of each row, as a table."""
     known = (
         labels.where(f"{label} in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg(F.min(label).cast("double").alias("label"))
@@ -241,17 +241,42 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str = "quality",
     rows = stored(features(docs).join(known, "doc_id", "left"), "quality-features")
     count = rows.agg(F.count("label").alias("n"), F.sum("label").alias("good")).first()
     n, good = count["n"], count["good"] or 0
-    model = CoTrainer(rows, rounds).fit(good / n) if 0 < good < n else None
+    return (CoTrainer(rows, rounds).fit(good / n) if 0 < good < n else None), rows
+
+
+def _scores(model: Model | None, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    if model is None or not len(a):
+        return pd.DataFrame({c: np.full(len(a), 0.5) for c in ("score", "text_score", "meta_score")})
+    views = [np.round(_sigmoid(v), 9) for v in model.views(a, b)]
+    return pd.DataFrame({"score": np.round(model.score(a, b), 9), "text_score": views[0], "meta_score": views[1]})
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, label: str = "quality", rounds: int = 2) -> DataFrame:
+    """doc_id, score (probability of being good), text_score, meta_score and kept of each row."""
+    model, rows = fit_quality(docs, labels, label, rounds)
 
     @F.pandas_udf("score double, text_score double, meta_score double")
     def judge(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        if model is None or not len(a):
-            return pd.DataFrame({c: np.full(len(a), 0.5) for c in ("score", "text_score", "meta_score")})
-        x, y = _matrix(a, _TEXT_NAMES), _matrix(b, _META_NAMES)
-        views = [np.round(_sigmoid(v), 9) for v in model.views(x, y)]
-        return pd.DataFrame({"score": np.round(model.score(x, y), 9), "text_score": views[0], "meta_score": views[1]})
+        return _scores(model, _matrix(a, _TEXT_NAMES), _matrix(b, _META_NAMES))
 
     return (
         rows.select("doc_id", judge("text_view", "meta_view").alias("s")).select("doc_id", "s.*")
         .withColumn("kept", F.col("score") >= 0.5)
     )
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", rounds: int = 2, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score at least ``least``; they are judged where they lie, unshuffled."""
+    model, _ = fit_quality(docs, labels, label, rounds)
+
+    @F.pandas_udf("double")
+    def judge(lang: pd.Series, source: pd.Series, size: pd.Series, text: pd.Series) -> pd.Series:
+        size = [None if pd.isna(x) else int(x) for x in size]
+        lang, source = ([None if pd.isna(x) else x for x in c] for c in (lang, source))
+        a = np.array([text_features(t) for t in text]).reshape(-1, _TEXT_NAMES)
+        b = np.array([meta_features(*x) for x in zip(lang, source, size, text, strict=True)]).reshape(-1, _META_NAMES)
+        # As float32, like the table that the model was fitted on.
+        return _scores(model, a.astype(np.float32).astype(float), b.astype(np.float32).astype(float))["score"]
+
+    fields = [F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"), F.col("text")]
+    return docs.where(judge(*fields) >= least)

@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strokeflow.llm.decontaminate import PositionalIndex
+from strokeflow.llm.html_text import extract_text
 from strokeflow.llm.language import identify
+from strokeflow.llm.licenses import scan_licenses
 from strokeflow.llm.line_dedup import dedup_lines
 from strokeflow.llm.media import media_features
 from strokeflow.llm.mixing import mix_sources
 from strokeflow.llm.near_dedup import near_duplicates
+from strokeflow.llm.quality import score_documents
 from strokeflow.llm.url_filter import Rule, filter_urls
 
 RULES = [
@@ -36,6 +39,10 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(table(spark, sf_dir, "documents"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -61,6 +68,14 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, RULES, listed).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = PositionalIndex(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
@@ -71,8 +86,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     each = (
-        op1_media_columns, op3_language_id, op4_mix_sources, op5_line_dedup, op6_near_dedup, op7_url_filter,
-        op10_decontaminate,
+        op1_media_columns, op2_html_text, op3_language_id, op4_mix_sources, op5_line_dedup, op6_near_dedup,
+        op7_url_filter, op8_license_scan, op9_quality, op10_decontaminate,
     )
     return {f.__name__: f for f in each}
 
