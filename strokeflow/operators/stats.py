@@ -81,22 +81,23 @@ def correlation(a: Column, b: Column) -> Column:
 
 def padded_range(low: Column, high: Column, share: float = 0.05) -> tuple[Column, Column]:
     """A range as it is, or widened by ``share`` of its size (1 at zero) where both ends are equal."""
-    pad = F.greatest(F.abs(low) * share, F.lit(1.0))
+    pad = F.when(low == 0, 1.0).otherwise(F.abs(low) * share)
     return F.when(high > low, low).otherwise(low - pad), F.when(high > low, high).otherwise(high + pad)
 
 
 def smoothed_mode(
-    df: DataFrame, value: str, weight: str, by: list[str], bins: int = 100, sigma: float = 2.0, radius: int = 8
-) -> DataFrame:
+    df: DataFrame, value: str, weight: str, by: list[str], bins: int = 100, sigma: float = 2.0, radius: int = 8,
+    span: tuple[float, float] | None = None,
+) -> DataFrame:
     """(by, mode): peak of a weighted histogram smoothed by a Gaussian, refined by a parabola.
 
-    The histogram reaches from the group's lowest to its highest value and is taken as zero beyond;
+    The histogram covers ``span``, or the group's lowest to highest value, and is taken as zero beyond;
     of equal peaks the lowest bin counts; edge bins are not refined.
     """
     from strokeflow.operators.hist import bin_index, dense_bins
 
     stats = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
-    lo, hi = padded_range(F.col("__lo"), F.col("__hi"))
+    lo, hi = padded_range(F.col("__lo"), F.col("__hi")) if span is None else map(F.lit, span)
     stats = stats.select(*by, lo.alias("__lo"), hi.alias("__hi"))
     index = bin_index(F.col(value), F.col("__lo"), F.col("__hi"), bins)
     counts = df.join(stats, by).withColumn("bin", index).where("bin is not null").groupBy(*by, "bin").agg(F.sum(weight).alias("__n"))
