@@ -318,7 +318,7 @@ def missing_reason(df: DataFrame, cfg: BrakingConfig) -> DataFrame:
 
 def braking_report(samples: DataFrame, pulses: DataFrame, cfg: BrakingConfig) -> dict[str, DataFrame]:
     """All tables of the braking analysis."""
-    df = prepare(samples, pulses, cfg)
+    df = prepare(samples, pulses, cfg).persist()  # read by all tables; lost parts are computed again
     expanded = expand(df, cfg)
     found = events(expanded, df, cfg)
     rows = metric_rows(expanded, found, cfg)

@@ -108,7 +108,7 @@ _EV = ["start_t", "end_t", "duration", "entry_speed", "exit_speed", "peak_decel"
 
 
 def _round_sql(names) -> str:
-    return ", ".join(f"round({n}, 4) AS {n}" for n in names)
+    return ", ".join(f"round({n}, 4) + 0.0 AS {n}" for n in names)
 
 
 @query("f6_braking_events", f"WITH {EVENTS} SELECT session_id, threshold_no, speed_bin, threshold_label, first_i, last_i, event_no, {_round_sql(_EV)} FROM ev")
