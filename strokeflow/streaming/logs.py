@@ -18,7 +18,8 @@ def stream_logs(spark: SparkSession, folder: str, checkpoint: str, sink: Callabl
     The checkpoint remembers the files taken, so each file is passed on in one batch; a sink that
     overwrites by session makes repeats of a batch harmless.
     """
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.BIN").load(folder)
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.BIN").load(folder)
     return (
         files.writeStream.option("checkpointLocation", checkpoint)
         .foreachBatch(lambda df, no: sink(read_records(spark, [], files=df), no))
