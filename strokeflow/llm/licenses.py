@@ -178,7 +178,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
 
     same = [F.col(f"c.{k}").eqNullSafe(F.col(f"r.{k}")) for k in key]
     joined = candidates.alias("c").join(found.alias("r"), same[0] & same[1] & same[2])
-    sizes = F.create_map(*[F.lit(x) for name, w in split.items() for x in (name, len(w))]) if split else F.lit(None)
+    sizes = F.create_map(*[F.lit(x) for name, w in split.items() for x in (name, len(w))]) if split else F.create_map(F.lit(""), F.lit(1))
     return (
         joined.select("c.doc_id", "r.lo", "r.starts", "r.ends", "template", aligned("template", "r.words", "r.lo", "diagonals").alias("m"))
         .select("doc_id", "lo", "starts", "ends", "template", F.explode("m").alias("m"))
