@@ -43,11 +43,14 @@ def hold_with_timeout(
     )
 
 
-def interpolate_join(samples: DataFrame, source: DataFrame, t: str, value: str, out: str, by=BY, least: int = 2) -> DataFrame:
+def interpolate_join(
+    samples: DataFrame, source: DataFrame, t: str, value: str, out: str, by=BY, least: int = 2, match_single: bool = False
+) -> DataFrame:
     """Value of ``source`` at each sample's time, on the line between its neighbours.
 
     Equal source times are averaged; null outside the source's span, and where a session has fewer
-    than ``least`` source times.
+    than ``least`` source times. With ``match_single`` the only source time of a session gives its
+    value to samples at that time, give or take 1e-8 and a hundred-thousandth of it.
     """
     keys = [F.col(c) for c in by]
     extra = [c for c in samples.columns if c not in by]
@@ -65,7 +68,12 @@ def interpolate_join(samples: DataFrame, source: DataFrame, t: str, value: str,
     a, b = F.col("__a"), F.col("__b")
     line = F.when(b["t"] > a["t"], a["v"] + (b["v"] - a["v"]) * (F.col("__t") - a["t"]) / (b["t"] - a["t"])).otherwise(a["v"])
     inside = a.isNotNull() & b.isNotNull() & (F.col("__n") >= least)
-    return both.select(*keys, "__row.*", F.when(inside, line).alias(out))
+    result = F.when(inside, line)
+    if match_single:
+        p = F.coalesce(a, b)
+        near = F.abs(F.col("__t") - p["t"]) <= 1e-8 + 1e-5 * F.abs(p["t"])
+        result = F.when(F.col("__n") == 1, F.when(near, p["v"])).otherwise(result)
+    return both.select(*keys, "__row.*", result.alias(out))
 
 
 def interpolate_gaps(df: DataFrame, value: str, t: str, out: str, by=BY, order=("t_us", "seq")) -> DataFrame:

@@ -128,7 +128,7 @@ def _r(names=_NUM) -> str:
     return ", ".join(f"round({n}, 4) + 0.0 AS {n}" for n in names)
 
 
-@query("e22_selection_summary", f"WITH {CLASS}, sel AS (SELECT * FROM k WHERE t BETWEEN 480000 AND 490000 OR true), {summary_sql('sel', 'session_id')} SELECT session_id, {_INT}, {_r()} FROM su")
+@query("e22_selection_summary", f"WITH {CLASS}, {summary_sql('k', 'session_id')} SELECT session_id, {_INT}, {_r()} FROM su")
 def e22(spark, folder):
     return rounded(b.selection_summary(classified(spark, folder), ["session_id"], CFG), 4)
 

@@ -65,14 +65,13 @@ def k3(spark, folder):
     return df.groupBy("session_id", "code", "day").agg(F.count("*").alias("n"), F.sum("rear").alias("total"))
 
 
-@query("d3_single_source_interp", f"""WITH {SAMPLES_SQL}, q AS (SELECT session_id, min(t_h) AS t1, arg_min(rear, t_us) AS v FROM s WHERE code = 'signup' GROUP BY session_id HAVING count(*) >= 1)
-SELECT s.session_id, s.seq, CASE WHEN abs(t_h - t1) <= 1e-8 + 1e-5 * abs(t1) * 0.0001 THEN v END AS v FROM s LEFT JOIN q USING (session_id)""")
+@query("d3_single_source_interp", f"""WITH {SAMPLES_SQL}, q AS (SELECT session_id, min(t_h) AS t1, arg_min(rear, t_us) AS v FROM s WHERE code = 'signup' GROUP BY session_id)
+SELECT s.session_id, s.seq, CASE WHEN abs(t_h - t1) <= 1e-8 + 1e-5 * abs(t1) THEN v END AS v FROM s LEFT JOIN q USING (session_id)""")
 def d3(spark, folder):
     """A source of one sample matches only samples at (almost) its own time."""
     df = event_samples(spark, folder)
-    one = df.where("code = 'signup'").groupBy("session_id").agg(F.min("t_h").alias("t1"), F.min_by("rear", "t_us").alias("v"))
-    near = F.abs(F.col("t_h") - F.col("t1")) <= 1e-8 + 1e-5 * F.abs("t1") * 0.0001
-    return df.join(one, "session_id", "left").select(*KEY, F.when(near, F.col("v")).alias("v"))
+    one = df.where("code = 'signup'").groupBy("session_id").agg(F.min("t_h").alias("t_h"), F.min_by("rear", "t_us").alias("rear"))
+    return asof.interpolate_join(df.select(*KEY, "t_h"), one, "t_h", "rear", "v", match_single=True).select(*KEY, "v")
 
 
 @query("d5_session_config", """SELECT o_orderkey, c_custkey, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_totalprice > 300000""")
