@@ -134,13 +134,13 @@ def _matrix(column: pd.Series, width: int) -> np.ndarray:
 class CoTrainer:
     """Fits a :class:`Model` on ``rows(text_view, meta_view, label)``; label is 1, 0 or null."""
 
-    def __init__(self, rows: DataFrame, rounds: int = 2, sure: float = 0.95, steps: int = 5, ridge: float = 1e-3):
+    def __init__(self, rows: DataFrame, rounds: int = 2, sure: float = 0.95, steps: int = 6, ridge: float = 1e-5):
         self.rows, self.rounds, self.sure, self.steps, self.ridge = rows, rounds, sure, steps, ridge
 
-    def _sums(self, design, sizes: list[int], weights: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Gradient and curvature of several regressions in one pass; ``design(a, b, label)`` gives
+    def _sums(self, design, sizes: list[int], weights: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+        """Gradient, curvature and total weight of several regressions in one pass; ``design(a, b, label)`` gives
         for each a (matrix, target, weight)."""
-        total = sum(n + n * n for n in sizes)
+        total = sum(n + n * n + 1 for n in sizes)
 
         def run(parts):
             acc = np.zeros(total)
@@ -153,7 +153,8 @@ class CoTrainer:
                     p = _sigmoid(x @ beta)
                     acc[at : at + n] += x.T @ (w * (y - p))
                     acc[at + n : at + n + n * n] += ((x * (w * p * (1 - p))[:, None]).T @ x).ravel()
-                    at += n + n * n
+                    acc[at + n + n * n] += w.sum()
+                    at += n + n * n + 1
             yield pd.DataFrame({"place": np.arange(total), "value": acc})
 
         got = (
@@ -165,8 +166,8 @@ class CoTrainer:
             flat[r["place"]] = r["value"]
         out, at = [], 0
         for n in sizes:
-            out.append((flat[at : at + n], flat[at + n : at + n + n * n].reshape(n, n)))
-            at += n + n * n
+            out.append((flat[at : at + n], flat[at + n : at + n + n * n].reshape(n, n), flat[at + n + n * n]))
+            at += n + n * n + 1
         return out
 
     def _fit(self, design, weights: list[np.ndarray], steps: int) -> list[np.ndarray]:
@@ -174,10 +175,11 @@ class CoTrainer:
         for _ in range(steps):
             moved = 0.0
             new = []
-            for (g, h), beta in zip(self._sums(design, sizes, weights), weights, strict=True):
-                scale = self.ridge * max(np.trace(h) / len(beta), 1e-9)
+            for (g, h, total), beta in zip(self._sums(design, sizes, weights), weights, strict=True):
+                # A penalty in proportion to the rows keeps the weights finite where classes separate.
+                scale = self.ridge * max(total, 1.0)
                 step = np.linalg.solve(h + scale * np.eye(len(beta)), g - scale * beta)
-                step *= min(1.0, 10 / max(np.abs(step).max(), 1e-12))
+                step *= min(1.0, 5 / max(np.abs(step).max(), 1e-12))
                 moved = max(moved, np.abs(step).max())
                 new.append(beta + step)
             weights = new
