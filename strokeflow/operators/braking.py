@@ -74,13 +74,39 @@ def increasing(values: Column) -> Column:
     )
 
 
-def speed_edges(df: DataFrame, cfg: BrakingConfig) -> DataFrame:
-    """(session_id, edges) of the sessions with valid samples."""
+def session_scalars(df: DataFrame, cfg: BrakingConfig) -> DataFrame:
+    """(session_id, edges, limits): speed-bin edges and thresholds, in one grouping.
+
+    Only sessions with valid samples have a row; ``limits`` is empty where no valid sample brakes.
+    """
+    brakes = F.col("decel") > 0
+
+    def at(percents: tuple[float, ...]) -> Column:
+        return F.array(*[F.lit(p / 100) for p in percents])
+
+    aggs, labelled = [F.count_if(brakes).alias("n")], []
     if cfg.bin_mode == "absolute":
         edges = F.array(*[F.lit(float(e)) for e in cfg.bin_edges])
-        return df.where("valid").select("session_id").distinct().withColumn("edges", increasing(edges))
-    q = F.percentile("speed", F.array(*[F.lit(p / 100) for p in cfg.bin_percentiles]))
-    return df.where("valid").groupBy("session_id").agg(q.alias("q")).select("session_id", increasing(F.col("q")).alias("edges"))
+    else:
+        aggs.append(F.percentile("speed", at(cfg.bin_percentiles)).alias("edges"))
+        edges = F.col("edges")
+
+    def limit(number: int, kind: str, label: Column, value: Column) -> Column:
+        return F.struct(F.lit(number).alias("threshold_no"), F.lit(kind).alias("threshold_type"), label.alias("threshold_label"),
+                        value.alias("decel_threshold"))
+
+    if cfg.threshold_mode in ("percentile", "both"):
+        aggs.append(F.percentile(F.when(brakes, F.col("decel")), at(cfg.decel_percentiles)).alias("q"))
+        labelled += [limit(i, "percentile", F.lit(f"P{p:g}"), F.col("q")[i]) for i, p in enumerate(cfg.decel_percentiles)]
+    if cfg.threshold_mode in ("absolute", "both"):
+        labelled += [limit(100 + i, "absolute", F.lit(f"{v:.2f} ms2"), F.lit(float(v))) for i, v in enumerate(cfg.decel_values)]
+    limits = F.filter(F.array(*labelled), lambda x: F.col("n") > 0)
+    return df.where("valid").groupBy("session_id").agg(*aggs).select("session_id", increasing(edges).alias("edges"), limits.alias("limits"))
+
+
+def speed_edges(df: DataFrame, cfg: BrakingConfig) -> DataFrame:
+    """(session_id, edges) of the sessions with valid samples."""
+    return session_scalars(df, cfg).select("session_id", "edges")
 
 
 def bin_of(value: Column, edges: Column) -> Column:
@@ -92,34 +118,17 @@ def bin_of(value: Column, edges: Column) -> Column:
 
 def thresholds(df: DataFrame, cfg: BrakingConfig) -> DataFrame:
     """(session_id, threshold_no, threshold_type, threshold_label, decel_threshold) of sessions that brake."""
-    braking = df.where(F.col("valid") & (F.col("decel") > 0))
-    parts = []
-    if cfg.threshold_mode in ("percentile", "both"):
-        labels = F.array(*[F.lit(f"P{p:g}") for p in cfg.decel_percentiles])
-        q = F.percentile("decel", F.array(*[F.lit(p / 100) for p in cfg.decel_percentiles]))
-        parts.append(
-            braking.groupBy("session_id").agg(q.alias("q")).select("session_id", F.posexplode("q").alias("threshold_no", "decel_threshold"))
-            .withColumns({"threshold_type": F.lit("percentile"), "threshold_label": F.get(labels, F.col("threshold_no"))})
-        )
-    if cfg.threshold_mode in ("absolute", "both"):
-        values = F.array(*[F.lit(float(v)) for v in cfg.decel_values])
-        parts.append(
-            braking.select("session_id").distinct().select("session_id", F.posexplode(values).alias("n", "decel_threshold"))
-            .select("session_id", (F.col("n") + 100).alias("threshold_no"), "decel_threshold", F.lit("absolute").alias("threshold_type"),
-                    F.format_string("%.2f ms2", "decel_threshold").alias("threshold_label"))
-        )
-    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return out.select("session_id", "threshold_no", "threshold_type", "threshold_label", "decel_threshold")
+    return session_scalars(df, cfg).select("session_id", F.inline("limits"))
 
 
 def expand(df: DataFrame, cfg: BrakingConfig) -> DataFrame:
     """Valid samples at each threshold of their session, with their speed bin and masks.
 
-    Thresholds and edges are a few rows a session, so the joins are on session_id alone.
+    Edges and thresholds are one row a session, so one join on session_id brings both.
     """
-    binned = df.where("valid").join(speed_edges(df, cfg), "session_id")
+    binned = df.where("valid").join(session_scalars(df, cfg), "session_id")
     binned = binned.withColumn("speed_bin", bin_of(F.col("speed"), F.col("edges"))).where("speed_bin is not null").drop("edges")
-    out = binned.join(thresholds(df, cfg), "session_id")
+    out = binned.select("*", F.inline("limits")).drop("limits")
     braking = F.col("decel") >= F.col("decel_threshold")
     return out.withColumns({"braking": braking, "loaded": braking & ~F.col("topout")})
 
@@ -148,17 +157,27 @@ def events(expanded: DataFrame, df: DataFrame, cfg: BrakingConfig) -> DataFrame:
         "__first": F.when(loaded & (n >= 6) & (rn <= third), F.col("stroke")),
         "__last": F.when(loaded & (n >= 6) & (rn > n - third), F.col("stroke")),
     })
+    # Running weights in order of stroke, so that the quantiles come from the grouping of the other measures.
+    weight = F.when(loaded & (F.col("dt") > 0), F.col("dt"))
+    by_stroke = W.partitionBy(*key).orderBy(F.col("stroke_loaded").asc_nulls_last(), "seq")
+    inside = inside.withColumns({
+        "__known": weight.isNotNull(), "__cum": F.sum(weight).over(by_stroke.rowsBetween(W.unboundedPreceding, 0)),
+        "__total": F.sum(weight).over(W.partitionBy(*key)),
+    })
+
+    def reached(q: float) -> Column:
+        return F.min(F.when(F.col("__known") & (F.col("__cum") >= q * F.col("__total")), F.col("stroke_loaded")))
+
     dt, v = F.col("dt"), F.when(loaded, F.col("velocity"))
     half = F.lit(0.5)
-    wide = inside.groupBy(*key, "threshold_label", "first_i", "last_i").agg(
+    out = inside.groupBy(*key, "threshold_label", "first_i", "last_i").agg(
         F.min("t").alias("start_t"), F.max("t").alias("end_t"), F.sum("dt").alias("duration"),
         F.min_by("speed", "i").alias("entry_speed"), F.max_by("speed", "i").alias("exit_speed"), F.max("decel").alias("peak_decel"),
         F.avg("decel").alias("mean_decel"), stats.share_where(F.col("topout"), dt).alias("topout_pct"),
         F.max("stroke_loaded").alias("max_stroke"), stats.weighted_rms(v, dt).alias("rms_velocity"),
         (F.percentile("__last", half) - F.percentile("__first", half)).alias("pack_down"),
+        reached(0.5).alias("median_stroke"), reached(0.95).alias("p95_stroke"),
     )
-    q = stats.weighted_quantiles_inv(inside, "stroke_loaded", "dt", {"median_stroke": 0.5, "p95_stroke": 0.95}, key, ["seq"])
-    out = wide.join(q, key, "left")
     number = F.row_number().over(W.partitionBy("session_id").orderBy("threshold_no", "speed_bin", "first_i"))
     return out.withColumn("event_no", number).drop("run")
 
@@ -180,17 +199,15 @@ def metric_rows(expanded: DataFrame, found: DataFrame, cfg: BrakingConfig) -> Da
         *[deep(x).alias(f"deep{x}_pct") for x in (70, 80, 90, 95)],
         stats.weighted_rms(F.when(loaded, v), lw).alias("rms_braking"), stats.weighted_rms(F.when(coast, v), cw).alias("rms_coasting"),
     )
-    qs = {f"p{p}": p / 100 for p in (50, 75, 90, 95, 99)}
 
-    def quantiles(rows: DataFrame, value: Column, prefix: str, wanted=qs) -> DataFrame:
-        rows = rows.withColumn("__v", value)
-        return stats.weighted_quantiles_inv(rows, "__v", "dt", {f"{prefix}_{n}": q for n, q in wanted.items()}, GROUP, ["seq"])
+    def at(prefix: str, *percents: int) -> dict[str, float]:
+        return {f"{prefix}_p{p}": p / 100 for p in percents}
 
-    on = expanded.where(loaded)
-    coast_q = {k: qs[k] for k in ("p50", "p75", "p90")}
-    out = wide.join(quantiles(on, stroke, "loaded"), GROUP, "left").join(quantiles(expanded.where(coast), stroke, "coasting", coast_q), GROUP, "left")
-    out = out.join(quantiles(on.where("velocity > 0"), v, "compression", {"p95": 0.95}), GROUP, "left")
-    out = out.join(quantiles(on.where("velocity < 0"), F.abs(v), "rebound", {"p95": 0.95}), GROUP, "left")
+    quantiles = stats.weighted_quantiles_of(expanded, {
+        "loaded": (loaded, stroke, at("loaded", 50, 75, 90, 95, 99)), "coasting": (coast, stroke, at("coasting", 50, 75, 90)),
+        "compression": (loaded & (v > 0), v, at("compression", 95)), "rebound": (loaded & (v < 0), F.abs(v), at("rebound", 95)),
+    }, "dt", GROUP, ["seq"])
+    out = wide.join(quantiles, GROUP, "left")
     per_event = found.groupBy(*GROUP).agg(
         F.count("*").alias("events"), *[F.percentile(c, F.lit(p)).alias(n) for n, c, p in (
             ("pack_down_p50", "pack_down", 0.5), ("pack_down_p75", "pack_down", 0.75), ("event_max_p50", "max_stroke", 0.5),

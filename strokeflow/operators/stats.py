@@ -48,6 +48,24 @@ def weighted_quantiles_inv(
     return rows.groupBy(*by).agg(*aggs)
 
 
+def weighted_quantiles_of(
+    df: DataFrame, wanted: dict[str, tuple[Column, Column, dict[str, float]]], weight: str, by: list[str], tie: list[str]
+) -> DataFrame:
+    """Inverse-CDF quantiles of several values in one shuffle.
+
+    ``wanted`` maps a kind to (mask, value, {name: q}); a kind's rows are those under its mask. A group
+    has a row if any kind has rows there.
+    """
+    kinds = [F.when(mask, F.struct(F.lit(kind).alias("__kind"), value.alias("__v"))) for kind, (mask, value, _) in wanted.items()]
+    rows = df.select(*by, *tie, weight, F.explode(F.array_compact(F.array(*kinds))).alias("__x")).select(*by, *tie, weight, "__x.*")
+    rows = _cumulated(rows, "__v", weight, [*by, "__kind"], tie)
+    aggs = [
+        F.min(F.when((F.col("__kind") == kind) & (F.col("__cum") >= q * F.col("__total")), F.col("__v"))).alias(name)
+        for kind, (_, _, qs) in wanted.items() for name, q in qs.items()
+    ]
+    return rows.groupBy(*by).agg(*aggs)
+
+
 def weighted_quantiles_interp(
     df: DataFrame, value: str, weight: str, quantiles: dict[str, float], by: list[str], tie: list[str]
 ) -> DataFrame:
