@@ -89,6 +89,14 @@ def repair_time(df: DataFrame, t: str, out: str, by=BY, order=("seq",)) -> DataF
     return clean.unionByName(fixed).drop("__median", "__broken")
 
 
+def speed_sanity(df: DataFrame, column: str, most: float = 200.0) -> DataFrame:
+    """Speeds outside 0 to ``most`` become null; the raw ones stay beside them; doing it twice changes nothing."""
+    raw = F.col(f"{column}_raw") if f"{column}_raw" in df.columns else F.col(column)
+    df = df.withColumn(f"{column}_raw", raw)
+    raw = F.col(f"{column}_raw")
+    return df.withColumns({column: F.when(raw.between(0, most), raw), "rejected": F.coalesce(~raw.between(0, most), F.lit(False))})
+
+
 def default_zero(df: DataFrame, value: str, first: int = 250, by=BY, order=ORDER) -> DataFrame:
     """(by, zero): the median of a session's first samples, rounded half to even."""
     ranked = df.withColumn("__rn", F.row_number().over(in_order(by, order))).where(F.col("__rn") <= first)

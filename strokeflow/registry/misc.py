@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 
 from strokeflow.functions import config
 from strokeflow.operators import asof, catalog, hist, metrics, sample, series, stats
+from strokeflow.operators.series import speed_sanity
 from strokeflow.registry.base import F, SAMPLES_SQL, SQL, WEIGHTED_SQL, event_samples, query, rounded, table, weighted_samples
 from strokeflow.registry.stats import _channels
 
@@ -19,14 +20,6 @@ def b8(spark, folder):
     return df.select(*KEY, "speed", "speed_raw", "rejected")
 
 
-def speed_sanity(df, column: str, most: float = 200.0):
-    """Speeds outside 0 to ``most`` become null; the raw ones stay beside them; doing it twice changes nothing."""
-    raw = F.col(f"{column}_raw") if f"{column}_raw" in df.columns else F.col(column)
-    df = df.withColumn(f"{column}_raw", raw)
-    raw = F.col(f"{column}_raw")
-    return df.withColumns({column: F.when(raw.between(0, most), raw), "rejected": F.coalesce(~raw.between(0, most), F.lit(False))})
-
-
 @query("b10_time_selection", f"""WITH {SAMPLES_SQL}, z AS (SELECT session_id, min(t_h) + 300 AS a, min(t_h) + 100 AS b FROM s GROUP BY session_id)
 SELECT s.session_id, seq FROM s JOIN z USING (session_id) WHERE t_h BETWEEN least(a, b) AND greatest(a, b)""")
 def b10(spark, folder):

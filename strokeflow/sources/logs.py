@@ -217,6 +217,17 @@ def wheel_table(records: DataFrame) -> DataFrame:
     return rows.withColumns({"period_s": period, "speed_m_s": speed, "speed_kph": speed * 3.6, "speed_mph": speed * 2.2369362920544}).drop("wheel_circumference_m")
 
 
+def imu_bursts(records: DataFrame) -> DataFrame:
+    """The heads of the IMU bursts."""
+    p = F.col("payload")
+    counts = ("frame_count", "accel_frames", "gyro_frames", "timestamp_frames", "fifo_level_before", "fifo_level_after", "burst_flags")
+    return _of(records, IMU_TAG).where(F.length("payload") >= IMU_HEADER).select(
+        *_BASE, unsigned(p, 0, 4).alias("burst_index"), *[unsigned(p, 4 + 2 * i, 2).cast("int").alias(c) for i, c in enumerate(counts)],
+        unsigned(p, 18, 4).alias("first_timestamp_raw"), (unsigned(p, 18, 4) * TICK_US).alias("first_timestamp_us"),
+        unsigned(p, 22, 4).alias("last_timestamp_raw"), (unsigned(p, 22, 4) * TICK_US).alias("last_timestamp_us"),
+    )
+
+
 def imu_frames(records: DataFrame) -> DataFrame:
     """Frames of the IMU bursts: tag bits, carried timestamp, scaled axes and estimated host time."""
     p = F.col("payload")
@@ -281,7 +292,7 @@ def typed_tables(records: DataFrame, bits: int = 12, mm_per_count: float | None
     good = unwrapped(records)
     return {
         "analog": analog_table(good, bits, mm_per_count), "wheel": wheel_table(good), "status": status_table(good), "config": session_config(good),
-        "imu_frames": imu_frames(good), "timeline": timeline(good), "sessions": sessions(records), "unparsed": unparsed(good),
+        "imu_bursts": imu_bursts(good), "imu_frames": imu_frames(good), "timeline": timeline(good), "sessions": sessions(records), "unparsed": unparsed(good),
     }
 
 
