@@ -273,3 +273,30 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY severity DE
 @query("g3_top_findings", f"WITH {_FIND} SELECT session_id, place, severity, title FROM rk WHERE place <= 8")
 def g3(spark, folder):
     return b.breakdown_report(samples(spark, folder), _coverage(spark, folder), CFG)["findings"]
+
+
+@query("j5_high_compression", f"""WITH {CLASS} SELECT session_id, round(max(impact_threshold), 4) AS threshold, count(*) FILTER (front_velocity >= impact_threshold) AS front,
+  count(*) FILTER (rear_velocity >= impact_threshold) AS rear, count(*) FILTER (impact) AS impacts FROM k GROUP BY session_id""")
+def j5(spark, folder):
+    limit = F.col("impact_threshold")
+    return classified(spark, folder).groupBy("session_id").agg(
+        F.round(F.max(limit), 4).alias("threshold"), *[F.count_if(F.col(f"{c}_velocity") >= limit).alias(c) for c in b.CHANNELS], F.count_if("impact").alias("impacts"))
+
+
+@query("j11_findings", f"WITH {_FIND} SELECT session_id, severity, title FROM ru")
+def j11(spark, folder):
+    rows = classified(spark, folder)
+    found = b.findings(b.state_table(rows, CFG), b.detect_events(rows, CFG), b.quality_rows(_coverage(spark, folder)), CFG, most=100)
+    return found.select("session_id", "severity", "title")
+
+
+@query("j12_report_sizes", f"""WITH {_FIND} SELECT 'samples' AS part, session_id, count(*) AS n FROM k GROUP BY session_id UNION ALL SELECT 'states', session_id, count(*) FROM su GROUP BY session_id
+  UNION ALL SELECT 'events', session_id, count(*) FROM ev GROUP BY session_id UNION ALL SELECT 'findings', session_id, count(*) FROM rk WHERE place <= 8 GROUP BY session_id
+  UNION ALL SELECT 'quality', session_id, count(*) FROM qu GROUP BY session_id""")
+def j12(spark, folder):
+    report = b.breakdown_report(samples(spark, folder), _coverage(spark, folder), CFG)
+    out = None
+    for part in ("samples", "states", "events", "findings", "quality"):
+        n = report[part].groupBy("session_id").agg(F.count("*").alias("n")).select(F.lit(part).alias("part"), "session_id", "n")
+        out = n if out is None else out.unionAll(n)
+    return out

@@ -12,6 +12,7 @@ from strokeflow.registry.braking import BINS, CFG as BRAKE, EVENTS as BRAKE_EVEN
 from strokeflow.registry.breakdown import CFG, CLASS, EVENTS, STATES, classified
 from strokeflow.registry.misc import _CAT, _catalog
 from strokeflow.registry.stats import _CH, _channels, bin_sql, heatmaps
+from strokeflow.sources import logs
 
 _W = "OVER (PARTITION BY session_id ORDER BY t_us, seq)"
 KEY = ["session_id", "seq"]
@@ -237,3 +238,24 @@ def s15(spark, folder):
 def s16(spark, folder):
     return rounded(event_samples(spark, folder).select(*KEY, F.sqrt(F.col("front") ** 2 + F.col("rear") ** 2).alias("size")))
 
+
+_CODES, _REASONS = (" ".join(f"WHEN {k} THEN '{v}'" for k, v in names.items()) for names in (logs.STATUS_NAMES, logs.STOP_REASONS))
+
+
+@query("b5_status_projection", f"""WITH {SAMPLES_SQL}, p AS (SELECT session_id, seq, CAST(rear AS INTEGER) % 20 AS code, CAST(front AS INTEGER) % 4 AS value1 FROM s)
+SELECT session_id, seq, code, value1, CASE code {_CODES} ELSE 'UNKNOWN_' || code END AS name,
+  CASE WHEN code = 9 THEN CASE value1 {_REASONS} ELSE 'UNKNOWN_' || value1 END END AS stop_reason FROM p""")
+def b5(spark, folder):
+    code, value = F.col("code"), F.col("value1")
+    df = event_samples(spark, folder).select(*KEY, (F.col("rear").cast("int") % 20).alias("code"), (F.bround("front").cast("int") % 4).alias("value1"))
+    return df.withColumns({"name": logs.status_name(code), "stop_reason": logs.stop_reason(code, value)})
+
+
+@query("s14_unit_factors", f"""WITH {SAMPLES_SQL} SELECT session_id, seq, round(t_us / 1e6, 6) AS t_s, round(front * 3.6, 9) AS kph, round(front * 2.2369362920544, 9) AS mph,
+  round(rear / 4095, 9) AS norm, round(rear * (300.0 / 4095), 9) AS mm FROM s""")
+def s14(spark, folder):
+    scale = config.mm_per_count(F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(config.FRONT_FULL_SCALE_MM), F.lit(12.0))
+    speed, raw = F.col("front"), F.col("rear")
+    df = event_samples(spark, folder).select(*KEY, F.round(F.col("t_us") / 1e6, 6).alias("t_s"), (speed * 3.6).alias("kph"), (speed * 2.2369362920544).alias("mph"),
+                                             (raw / 4095).alias("norm"), (raw * scale).alias("mm"))
+    return rounded(df, 9)

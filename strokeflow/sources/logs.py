@@ -184,15 +184,22 @@ def latest_config(records: DataFrame) -> DataFrame:
     return c.groupBy("session_id").agg(last.alias("c")).select("session_id", "c.*")
 
 
+def status_name(code: Column) -> Column:
+    """The name of a status code; ``UNKNOWN_n`` for others."""
+    return F.coalesce(_lookup(STATUS_NAMES, code), F.concat(F.lit("UNKNOWN_"), code.cast("string")))
+
+
+def stop_reason(code: Column, value: Column) -> Column:
+    """Why a session stopped; null for a status that is no stop."""
+    return F.when(code == 9, F.coalesce(_lookup(STOP_REASONS, value.cast("int")), F.concat(F.lit("UNKNOWN_"), value.cast("string"))))
+
+
 def status_table(records: DataFrame) -> DataFrame:
     p = F.col("payload")
     rows = _of(records, STATUS_TAG, SIZES["STAT"]).select(
         *_BASE, unsigned(p, 0, 2).cast("int").alias("code"), unsigned(p, 2, 2).alias("status_flags"), signed(p, 4, 4).alias("value0"), signed(p, 8, 4).alias("value1")
     )
-    fallback = lambda c: F.concat(F.lit("UNKNOWN_"), c.cast("string"))
-    name = F.coalesce(_lookup(STATUS_NAMES, F.col("code")), fallback(F.col("code")))
-    reason = F.coalesce(_lookup(STOP_REASONS, F.col("value1").cast("int")), fallback(F.col("value1")))
-    return rows.withColumns({"name": name, "stop_reason": F.when(F.col("code") == 9, reason)})
+    return rows.withColumns({"name": status_name(F.col("code")), "stop_reason": stop_reason(F.col("code"), F.col("value1"))})
 
 
 def analog_table(records: DataFrame, bits: int = 12, mm_per_count: float | None = None) -> DataFrame:
