@@ -159,11 +159,9 @@ def selection_summary(df: DataFrame, by: list[str], cfg: BreakdownConfig) -> Dat
                 travel >= F.col(f"__hi_{c}") - 0.1 * (F.col(f"__hi_{c}") - F.col(f"__lo_{c}")))).otherwise(0.0)).alias(f"{c}_top_10_pct"),
             F.count_if(f"__{c}_near_full").alias(f"{c}_near_full_events"), F.count_if(f"__{c}_bottom_out").alias(f"{c}_bottom_out_events"),
         ]
-    out = df.join(ends, by).groupBy(*by).agg(*aggs)
-    for c in CHANNELS:
-        qs = {f"{c}_p50": 0.5, f"{c}_p90": 0.9, f"{c}_p95": 0.95}
-        out = out.join(stats.weighted_quantiles_interp(df, f"{c}_travel", "dt", qs, by, ["seq"]), by, "left")
-    return out
+    wanted = {c: (F.lit(True), F.col(f"{c}_travel"), {f"{c}_p50": 0.5, f"{c}_p90": 0.9, f"{c}_p95": 0.95}) for c in CHANNELS}
+    quantiles = stats.weighted_quantiles_of(df, wanted, "dt", by, ["seq"], interp=True)
+    return df.join(ends, by).groupBy(*by).agg(*aggs).join(quantiles, by, "left")
 
 
 def state_flags(cfg: BreakdownConfig) -> Column:
@@ -196,14 +194,17 @@ def state_table(df: DataFrame, cfg: BreakdownConfig) -> DataFrame:
     }).drop("__all")
 
 
-def pack_down(df: DataFrame, channel: str, out: str, cfg: BreakdownConfig) -> DataFrame:
-    """Mask of riding deeper than the session's median while active, for long enough."""
-    travel = f"{channel}_travel"
-    base = stats.weighted_quantiles_interp(df, travel, "dt", {"__base": 0.5}, ["session_id"], ["seq"])
-    df = df.join(base, "session_id", "left").withColumn("__smooth", series.moving_average_known(F.col(travel), cfg.pack_window))
+def pack_down(df: DataFrame, names: dict[str, str], cfg: BreakdownConfig) -> DataFrame:
+    """Masks, named by channel, of riding deeper than the session's median while active, for long enough."""
+    medians = {c: (F.lit(True), F.col(f"{c}_travel"), {f"__base_{c}": 0.5}) for c in names}
+    df = df.join(stats.weighted_quantiles_of(df, medians, "dt", ["session_id"], ["seq"], interp=True), "session_id", "left")
     active = F.col("repeated") | (F.col("score") >= cfg.active_score)
-    mask = F.col(travel).isNotNull() & (F.col("dt") > 0) & active & (F.col("__smooth") >= F.col("__base") + cfg.pack_shift)
-    return islands.keep_long(df.withColumn("__m", mask), "__m", out, cfg.pack_window // 2 * 2 + 1).drop("__base", "__smooth", "__m")
+    for c, out in names.items():
+        travel = F.col(f"{c}_travel")
+        df = df.withColumn("__smooth", series.moving_average_known(travel, cfg.pack_window))
+        mask = travel.isNotNull() & (F.col("dt") > 0) & active & (F.col("__smooth") >= F.col(f"__base_{c}") + cfg.pack_shift)
+        df = islands.keep_long(df.withColumn("__m", mask), "__m", out, cfg.pack_window // 2 * 2 + 1)
+    return df.drop("__smooth", "__m", *[f"__base_{c}" for c in names])
 
 
 def detect_events(df: DataFrame, cfg: BreakdownConfig) -> DataFrame:
@@ -211,8 +212,7 @@ def detect_events(df: DataFrame, cfg: BreakdownConfig) -> DataFrame:
 
     The masks become rows of one long table, so all kinds of events come from one grouping.
     """
-    for c in CHANNELS:
-        df = pack_down(df, c, f"__pack_{c}", cfg)
+    df = pack_down(df, {c: f"__pack_{c}" for c in CHANNELS}, cfg)
     timed = F.col("dt") > 0
     specs = []
     for c in CHANNELS:
@@ -356,11 +356,11 @@ def findings(states: DataFrame, found: DataFrame, quality: DataFrame, cfg: Break
     return every.withColumn("place", place).where(c("place") <= most).drop("rule")
 
 
-def breakdown_report(df: DataFrame, coverage: DataFrame, cfg: BreakdownConfig) -> dict[str, DataFrame]:
-    """All tables of the breakdown."""
+def breakdown_report(df: DataFrame, coverage: DataFrame, cfg: BreakdownConfig, most: int = 8) -> dict[str, DataFrame]:
+    """All tables of the breakdown, with up to ``most`` findings of a session."""
     rows = breakdown(df, cfg).persist()  # read by five tables; lost parts are computed again
     states, found, quality = state_table(rows, cfg), detect_events(rows, cfg), quality_rows(coverage)
     return {
         "samples": rows, "states": states, "events": found, "segments": segments(rows, cfg), "speed_bands": speed_bands(rows),
-        "quality": quality, "findings": findings(states, found, quality, cfg),
+        "quality": quality, "findings": findings(states, found, quality, cfg, most),
     }

@@ -44,14 +44,13 @@ def weighted_quantiles_inv(
     ``tie`` makes the order total, so that sums are taken in one order.
     """
     rows = _cumulated(df, value, weight, by, tie)
-    aggs = [F.min(F.when(F.col("__cum") >= q * F.col("__total"), F.col(value))).alias(name) for name, q in quantiles.items()]
-    return rows.groupBy(*by).agg(*aggs)
+    return rows.groupBy(*by).agg(*[_reached(value, q, F.lit(True)).alias(name) for name, q in quantiles.items()])
 
 
 def weighted_quantiles_of(
-    df: DataFrame, wanted: dict[str, tuple[Column, Column, dict[str, float]]], weight: str, by: list[str], tie: list[str]
+    df: DataFrame, wanted: dict[str, tuple[Column, Column, dict[str, float]]], weight: str, by: list[str], tie: list[str], interp: bool = False
 ) -> DataFrame:
-    """Inverse-CDF quantiles of several values in one shuffle.
+    """Quantiles of several values in one shuffle, by inverse CDF or (``interp``) on the line through its points.
 
     ``wanted`` maps a kind to (mask, value, {name: q}); a kind's rows are those under its mask. A group
     has a row if any kind has rows there.
@@ -59,26 +58,35 @@ def weighted_quantiles_of(
     kinds = [F.when(mask, F.struct(F.lit(kind).alias("__kind"), value.alias("__v"))) for kind, (mask, value, _) in wanted.items()]
     rows = df.select(*by, *tie, weight, F.explode(F.array_compact(F.array(*kinds))).alias("__x")).select(*by, *tie, weight, "__x.*")
     rows = _cumulated(rows, "__v", weight, [*by, "__kind"], tie)
-    aggs = [
-        F.min(F.when((F.col("__kind") == kind) & (F.col("__cum") >= q * F.col("__total")), F.col("__v"))).alias(name)
-        for kind, (_, _, qs) in wanted.items() for name, q in qs.items()
-    ]
+    if interp:
+        rows = _with_previous(rows, "__v", [*by, "__kind"], tie)
+    pick = _on_line if interp else _reached
+    aggs = [pick("__v", q, F.col("__kind") == kind).alias(name) for kind, (_, _, qs) in wanted.items() for name, q in qs.items()]
     return rows.groupBy(*by).agg(*aggs)
 
 
+def _reached(value: str, q: float, on: Column) -> Column:
+    return F.min(F.when(on & (F.col("__cum") >= q * F.col("__total")), F.col(value)))
+
+
+def _with_previous(rows: DataFrame, value: str, by: list[str], tie: list[str]) -> DataFrame:
+    w = W.partitionBy(*by).orderBy(value, *tie)
+    return rows.withColumns({"__cum0": F.lag("__cum").over(w), "__v0": F.lag(value).over(w)})
+
+
+def _on_line(value: str, q: float, on: Column) -> Column:
+    goal = q * F.col("__total")
+    line = F.col("__v0") + (F.col(value) - F.col("__v0")) * (goal - F.col("__cum0")) / (F.col("__cum") - F.col("__cum0"))
+    at = F.when(on & (F.col("__cum") >= goal), F.struct(F.col("__cum").alias("c"), F.coalesce(line, F.col(value)).alias("v")))
+    return F.coalesce(F.min(at)["v"], F.max(F.when(on, F.col(value))))
+
+
 def weighted_quantiles_interp(
     df: DataFrame, value: str, weight: str, quantiles: dict[str, float], by: list[str], tie: list[str]
 ) -> DataFrame:
     """Quantiles on the line through (cumulated weight, value), held at both ends."""
-    w = W.partitionBy(*by).orderBy(value, *tie)
-    rows = _cumulated(df, value, weight, by, tie).withColumns({"__cum0": F.lag("__cum").over(w), "__v0": F.lag(value).over(w)})
-    aggs = []
-    for name, q in quantiles.items():
-        goal = q * F.col("__total")
-        line = F.col("__v0") + (F.col(value) - F.col("__v0")) * (goal - F.col("__cum0")) / (F.col("__cum") - F.col("__cum0"))
-        at = F.when(F.col("__cum") >= goal, F.struct(F.col("__cum").alias("c"), F.coalesce(line, F.col(value)).alias("v")))
-        aggs.append(F.coalesce(F.min(at)["v"], F.max(value)).alias(name))
-    return rows.groupBy(*by).agg(*aggs)
+    rows = _with_previous(_cumulated(df, value, weight, by, tie), value, by, tie)
+    return rows.groupBy(*by).agg(*[_on_line(value, q, F.lit(True)).alias(name) for name, q in quantiles.items()])
 
 
 def time_where(mask: Column, dt: Column) -> Column:

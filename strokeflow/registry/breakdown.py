@@ -285,8 +285,7 @@ def j5(spark, folder):
 
 @query("j11_findings", f"WITH {_FIND} SELECT session_id, severity, title FROM ru")
 def j11(spark, folder):
-    rows = classified(spark, folder)
-    found = b.findings(b.state_table(rows, CFG), b.detect_events(rows, CFG), b.quality_rows(_coverage(spark, folder)), CFG, most=100)
+    found = b.breakdown_report(samples(spark, folder), _coverage(spark, folder), CFG, most=len(b.SEVERITY) + 1)["findings"]
     return found.select("session_id", "severity", "title")
 
 

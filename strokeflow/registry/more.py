@@ -198,8 +198,7 @@ def j6(spark, folder):
 @query("j9_pack_down_mask", f"WITH {EVENTS} SELECT session_id, seq, coalesce(pack_front, false) AS pack_front, coalesce(pack_rear, false) AS pack_rear FROM ki")
 def j9(spark, folder):
     df = classified(spark, folder)
-    for c in ("front", "rear"):
-        df = breakdown.pack_down(df, c, f"pack_{c}", CFG)
+    df = breakdown.pack_down(df, {c: f"pack_{c}" for c in breakdown.CHANNELS}, CFG)
     return df.select(*KEY, *[F.coalesce(f"pack_{c}", F.lit(False)).alias(f"pack_{c}") for c in ("front", "rear")])
 
 
