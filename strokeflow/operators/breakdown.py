@@ -323,35 +323,34 @@ SEVERITY = {"speed": 95, "basis": 55, "bottom": 90, "braking": 82, "pack": 76, "
 def findings(states: DataFrame, found: DataFrame, quality: DataFrame, cfg: BreakdownConfig, most: int = 8) -> DataFrame:
     """(session_id, place, severity, title): what stands out in a session, the gravest first."""
     c = F.col
-    rule = lambda df, no, severity, title: df.select(
-        "session_id", F.lit(no).alias("rule"), F.lit(severity).alias("severity"), (F.lit(title) if isinstance(title, str) else title).alias("title")
-    )
     warn = quality.where("status = 'warning'")
     title = F.when(c("name") == "Wheel speed coverage", "Wheel speed coverage too weak").otherwise(F.concat("name", F.lit(" needs review")))
     severity = F.when(c("name") == "Wheel speed coverage", SEVERITY["speed"]).otherwise(SEVERITY["basis"])
     no = F.when(c("name") == "Wheel speed coverage", 0).when(c("name") == "Front stroke basis", 1).otherwise(2)
-    parts = [warn.select("session_id", no.alias("rule"), severity.alias("severity"), title.alias("title"))]
+    warnings = warn.select("session_id", no.alias("rule"), severity.alias("severity"), title.alias("title"))
     e = found.groupBy("session_id").agg(
         F.count_if(c("event_type") == "bottom_out").alias("bottom"),
         F.count_if((c("event_type") == "potential_pack_down") & (c("channel") == "rear")).alias("pack"),
         F.count_if((c("event_type") == "high_compression_velocity") & (c("channel") == "rear")).alias("rear"),
         F.count_if((c("event_type") == "high_compression_velocity") & (c("channel") == "front")).alias("front"),
     )
-    parts.append(rule(e.where("bottom > 0"), 3, SEVERITY["bottom"], "Bottom-out events detected"))
-    parts.append(rule(e.where("pack > 0"), 5, SEVERITY["pack"], "Rear pack-down suspected"))
-    parts.append(rule(e.where("rear > front"), 6, SEVERITY["bias"], "High-speed compression events are rear-biased"))
     mean = lambda motion: F.avg(F.when(c("motion") == motion, c("mean_balance_pct")))
     long = c("duration") >= 1.0
     s = states.groupBy("session_id").agg(
         F.count_if((c("motion") == "braking") & (c("front_p95") >= 85)).alias("braking"), (mean("braking") - mean("coasting")).alias("shift"),
         F.count_if(long).alias("long"), F.count_if(long & (c("front_p95") < 70) & (c("rear_p95") < 70)).alias("low"),
     )
-    parts.append(rule(s.where("braking > 0"), 4, SEVERITY["braking"], "Braking fork usage high"))
-    parts.append(rule(s.where(F.abs("shift") >= cfg.pack_shift), 7, SEVERITY["shift"], "Front/rear balance shifts strongly under braking"))
-    parts.append(rule(s.where("long > 0 and long = low"), 8, SEVERITY["low"], "Travel use is low across classified states"))
-    every = parts[0]
-    for x in parts[1:]:
-        every = every.unionByName(x)
+    rules = [
+        (3, "bottom", c("bottom") > 0, "Bottom-out events detected"), (4, "braking", c("braking") > 0, "Braking fork usage high"),
+        (5, "pack", c("pack") > 0, "Rear pack-down suspected"), (6, "bias", c("rear") > c("front"), "High-speed compression events are rear-biased"),
+        (7, "shift", F.abs("shift") >= cfg.pack_shift, "Front/rear balance shifts strongly under braking"),
+        (8, "low", (c("long") > 0) & (c("long") == c("low")), "Travel use is low across classified states"),
+    ]
+    # All rules look at one row for each session, so events and states are read once.
+    met = F.array_compact(F.array(*[
+        F.when(cond, F.struct(F.lit(no).alias("rule"), F.lit(SEVERITY[key]).alias("severity"), F.lit(title).alias("title"))) for no, key, cond, title in rules
+    ]))
+    every = warnings.unionByName(e.join(s, "session_id", "full").select("session_id", F.inline(met)))
     place = F.row_number().over(W.partitionBy("session_id").orderBy(F.desc("severity"), "rule"))
     return every.withColumn("place", place).where(c("place") <= most).drop("rule")
 
