@@ -1,7 +1,10 @@
 """License scans: winnowed fingerprints pick candidates, banded alignment confirms them.
 
 1. Each document's word k-grams are hashed and winnowed over its whole text. Only fingerprints that
-   the inverted index of the templates holds go on, with the words around them: a region.
+   the inverted index of the templates holds go on, with the words around them: a region. Winnowing
+   is sure to keep a shared run of K + WINDOW - 1 words. For templates whose matches may share less
+   (short ones, or those that changed words cut into short runs) every k-gram of the document is
+   looked up, and k is as small as the longest run that a match with changed words must share.
 2. Spark joins the fingerprints with the index; regions and templates that share enough of them
    are candidates.
 3. The template's words are aligned with the region's in a band around the diagonals of the shared
@@ -9,7 +12,8 @@
    from the alignment.
 
 Words are runs of ASCII letters and digits in lower case. Null texts have no words and no matches;
-a template may match a document several times; repeated rows are reported once for each row's
+a template may match a document several times;
+words put in between the template's are allowed as long as one such run stays whole; repeated rows are reported once for each row's
 doc_id and text; an empty table gives an empty result; columns other than doc_id and text are ignored.
 """
 
@@ -37,6 +41,7 @@ TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "All-rights-reserved": "All rights reserved.",
     "MIT-grant": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated"
         " documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the"
@@ -66,38 +71,74 @@ TEMPLATES = {
 _WORD = re.compile(r"[A-Za-z0-9]+")
 
 
-def winnow(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def winnow(words: list[str], k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, positions): the smallest k-gram hash of every window; the rightmost of equal ones."""
-    n = len(words) - K + 1
+    n = len(words) - k + 1
     if n < 1:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), dtype=np.uint64, count=len(words))
+    return _winnowed(h, k, window)
+
+
+def _winnowed(h: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    n = len(h) - k + 1
+    if n < 1:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     grams = np.zeros(n, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        for i in range(K):
+        for i in range(k):
             grams = (grams ^ (grams >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n]
-    width = min(WINDOW, n)
+    if window == 1:
+        return grams.view(np.int64), np.arange(n)
+    width = min(window, n)
     view = np.lib.stride_tricks.sliding_window_view(grams, width)
     at = np.unique(np.arange(len(view)) + width - 1 - view[:, ::-1].argmin(axis=1))
     return grams[at].view(np.int64), at
 
 
-def template_index(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    """Inverted index (hash, template, tpos) of all k-grams of the templates."""
+def needed(size: int, least: float) -> int:
+    """Words of a template of ``size`` words that a match must have."""
+    return next(m for m in range(1, size + 2) if m >= least * size)
+
+
+def lookup(size: int, least: float) -> tuple[int, int]:
+    """(k, window) that find every match of a template of ``size`` words in which words are changed."""
+    must = min(needed(size, least), size)
+    run = -(-must // (size - must + 1))
+    return (K, WINDOW) if run >= K + WINDOW - 1 else (min(K, run), 1)
+
+
+def template_index(spark: SparkSession, templates: dict[str, str], least: float = 0.8) -> DataFrame:
+    """Inverted index (hash, template, tpos, k, window) of all k-grams of the templates."""
     rows = []
     for name, text in templates.items():
         words = [w.lower() for w in _WORD.findall(text)]
-        for at in range(len(words) - K + 1):
-            h, _ = winnow(words[at : at + K])
-            rows.append((int(h[0]), name, at))
+        if not words:
+            continue
+        k, window = lookup(len(words), least)
+        hashes, places = winnow(words, k, 1)
+        rows += [(int(h), name, int(at), k, window) for h, at in zip(hashes, places, strict=True)]
     if len(rows) > MAX_INDEX:
         raise ValueError(f"the templates have over {MAX_INDEX} fingerprints")
-    return spark.createDataFrame(rows, "hash long, template string, tpos int")
+    return spark.createDataFrame(rows, "hash long, template string, tpos int, k int, window int")
 
 
-def regions(docs: DataFrame, hashes: np.ndarray, reach: int) -> DataFrame:
+def regions(docs: DataFrame, index: DataFrame, reach: int) -> DataFrame:
     """Stretches of documents around fingerprints that the index holds."""
-    known = docs.sparkSession.sparkContext.broadcast(np.sort(hashes))
+    kinds: dict[tuple[int, int], set[int]] = {}
+    for r in index.select("k", "window", "hash").distinct().collect():
+        kinds.setdefault((r["k"], r["window"]), set()).add(r["hash"])
+    known = docs.sparkSession.sparkContext.broadcast({kind: np.array(sorted(h), dtype=np.int64) for kind, h in kinds.items()})
+
+    def hits(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), dtype=np.uint64, count=len(words))
+        some = []
+        for (k, window), wanted in known.value.items():
+            grams, at = _winnowed(h, k, window)
+            there = np.isin(grams, wanted)
+            some.append(np.stack([at[there], grams[there]]))
+        both = np.unique(np.concatenate(some, axis=1), axis=1) if some else np.empty((2, 0), np.int64)
+        return both[1], both[0]
 
     def run(parts):
         for part in parts:
@@ -105,9 +146,7 @@ def regions(docs: DataFrame, hashes: np.ndarray, reach: int) -> DataFrame:
             for doc, text in zip(part["doc_id"], part["text"], strict=True):
                 found = list(_WORD.finditer(text)) if text else []
                 words = [m.group().lower() for m in found]
-                h, at = winnow(words)
-                hit = np.isin(h, known.value)
-                h, at = h[hit], at[hit]
+                h, at = hits(words)
                 for group in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > reach) + 1) if len(at) else []:
                     lo = max(0, int(at[group[0]]) - reach)
                     hi = min(len(words), int(at[group[-1]]) + K + reach)
@@ -152,10 +191,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
     templates = TEMPLATES if templates is None else templates
     spark = docs.sparkSession
     split = {name: [w.lower() for w in _WORD.findall(text)] for name, text in templates.items()}
-    index = template_index(spark, templates)
-    hashes = np.array([r["hash"] for r in index.select("hash").distinct().collect()], dtype=np.int64)
+    index = template_index(spark, templates, least)
     reach = max([len(w) for w in split.values()], default=1) + BAND
-    found = stored(regions(docs, hashes, reach), "license-regions")
+    found = stored(regions(docs, index, reach), "license-regions")
     key = ["doc_id", "th", "lo"]
     hits = found.select(*key, F.explode(F.arrays_zip("hashes", "places")).alias("x"))
     candidates = (

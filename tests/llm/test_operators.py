@@ -324,6 +324,16 @@ def test_license_scan(spark, awkward):
     assert licenses.scan_licenses(docs, {}).count() == 0
 
 
+def test_license_scan_finds_short_notices_wherever_they_stand(spark):
+    texts = [f"{prose(i, 20 + i)}\nAll rights reserved." for i in range(30)]
+    texts += [f"{prose(50 + i, 30)} released under {w} MIT license {prose(90 + i, i)}" for i, w in enumerate(("a", "this", "our"))]
+    texts += [f"{prose(70, 9)} all rights waived, every right reserved", "All rights reserved"]
+    got = sorted((r.doc_id, r.license, r.coverage, texts[r.doc_id][r.first_char : r.end_char]) for r in licenses.scan_licenses(make(spark, texts)).collect())
+    assert got[:30] == [(i, "All-rights-reserved", 1.0, "All rights reserved") for i in range(30)]
+    assert [g[:3] for g in got[30:]] == [(30, "MIT", 0.8), (31, "MIT", 0.8), (32, "MIT", 0.8), (34, "All-rights-reserved", 1.0)]
+    assert {r.license for r in licenses.scan_licenses(make(spark, ["x public domain y"]), {"pd": "Public domain", "none": "..."}).collect()} == {"pd"}
+
+
 def test_quality_by_co_training(spark, awkward):
     r = random.Random(8)
     good = [prose(i, r.randint(20, 200)).capitalize() + "." for i in range(160)]
