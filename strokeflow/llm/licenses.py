@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from strokeflow.llm.common import bounded_broadcast, stored
 
 K, WINDOW = 3, 2
-#: Diagonals further apart than this belong to different occurrences.
+#: Diagonals further apart than this belong to different occurrences; nearer ones may as well.
 BAND = 16
 #: The index must have at most this many fingerprints; it is sent to every executor.
 MAX_INDEX = 1_000_000
@@ -171,21 +171,54 @@ def align(template: list[str], words: list[str], low: int, high: int) -> tuple[i
     empty = (0, -1, -1)
     before: dict[int, tuple] = {}
     best = empty
-    rank = lambda c: (c[0], c[1] - c[2])  # noqa: E731  more matches, then the shorter span
+    # In a cell the later start leads to the tighter span, wherever the alignment ends.
     for i, t in enumerate(template):
         row: dict[int, tuple] = {}
         left = empty
         for j in range(max(0, i + low), min(len(words), i + high + 1)):
-            cell = max(before.get(j, empty), left, key=rank)
+            cell = max(before.get(j, empty), left)
             if words[j] == t:
                 diagonal = before.get(j - 1, empty)
-                cell = max(cell, (diagonal[0] + 1, diagonal[1] if diagonal[0] else j, j), key=rank)
+                here = (diagonal[0] + 1, diagonal[1] if diagonal[0] else j, j)
+                if (here[0], here[1] - j) > (best[0], best[1] - best[2]):
+                    best = here
+                cell = max(cell, here)
             row[j] = left = cell
         before = row
-        best = max([best, *row.values()], key=rank)
     return best
 
 
+def occurrences(template: list[str], words: list[str], low: int, high: int, need: int) -> list[tuple[int, int, int]]:
+    """All disjoint alignments with at least ``need`` matched words: the best one, then left and right of it.
+
+    Beside the best one, words are read in pieces that any alignment of up to half their length lies in
+    as a whole, so the work grows with the number of words and not with its square.
+    """
+    out = []
+    half = 2 * len(template) + BAND
+    start, end = max(0, low), min(len(words), high + len(template))
+    best = align(template, words, low, high)
+    if best[0] < need:
+        return out
+    out.append(best)
+    todo = [(start, best[1]), (best[2] + 1, end)]
+    while todo:
+        a, b = todo.pop()
+        if b - a < need:
+            continue
+        c = min(b, a + 2 * half)
+        n, first, last = align(template, words[a:c], low - a, high - a)
+        if n < need:
+            if c < b:
+                todo.append((a + half, b))
+        elif c < b and first >= half:  # the piece may end before the alignment does
+            todo += [(a, a + first), (a + first, b)]
+        else:
+            out.append((n, a + first, a + last))
+            todo += [(a, a + first), (a + last + 1, b)]
+    return sorted(out, key=lambda m: m[1])
+
+
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8) -> DataFrame:
     """doc_id, license, coverage, matched, and the span in words and characters, of each match."""
     templates = TEMPLATES if templates is None else templates
@@ -208,8 +241,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
             d, w = np.asarray(d) - start, list(w)
             some = []
             for group in np.split(d, np.flatnonzero(np.diff(d) > BAND) + 1):
-                m = align(split[name], w, int(group[0]) - BAND // 2, int(group[-1]) + BAND // 2)
-                if m[0] >= least * len(split[name]):
+                low, high = int(group[0]) - BAND // 2, int(group[-1]) + BAND // 2
+                for m in occurrences(split[name], w, low, high, needed(len(split[name]), least)):
                     some.append({"matched": m[0], "first": m[1], "last": m[2]})
             out.append(some)
         return pd.Series(out)

@@ -334,6 +334,23 @@ def test_license_scan_finds_short_notices_wherever_they_stand(spark):
     assert {r.license for r in licenses.scan_licenses(make(spark, ["x public domain y"]), {"pd": "Public domain", "none": "..."}).collect()} == {"pd"}
 
 
+def test_license_scan_reports_repeats_close_together(spark):
+    mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    texts = [mit * 2, "\n".join(f"{prose(i, 1 + i % 12)}: {mit}" for i in range(200)), f"{mit} {apache} {mit} x {apache}"]
+    texts += [f"{prose(5, 30)} {mit} released under that MIT license {mit} {prose(6, 30)}", "\n".join([licenses.TEMPLATES["MPL-2.0-notice"]] * 3)]
+    texts += ["All rights reserved. " * 5]
+    got = {}
+    for r in licenses.scan_licenses(make(spark, texts)).collect():
+        got.setdefault((r.doc_id, r.license), []).append((r.first_char, r.coverage, texts[r.doc_id][r.first_char : r.end_char]))
+    full = lambda text, notice: [(m.start(), 1.0, notice[:-1]) for m in re.finditer(re.escape(notice), text)]
+    for i in range(3):
+        assert sorted(got[i, "MIT"]) == full(texts[i], mit)
+    assert sorted(got[2, "Apache-2.0"]) == full(texts[2], apache)
+    assert [c for _, c, _ in sorted(got[3, "MIT"])] == [1.0, 0.8, 1.0]
+    assert sorted(got[4, "MPL-2.0-notice"]) == full(texts[4], licenses.TEMPLATES["MPL-2.0-notice"])
+    assert sorted(got[5, "All-rights-reserved"]) == full(texts[5], "All rights reserved.")
+
+
 def test_quality_by_co_training(spark, awkward):
     r = random.Random(8)
     good = [prose(i, r.randint(20, 200)).capitalize() + "." for i in range(160)]
