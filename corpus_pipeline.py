@@ -15,7 +15,7 @@ from strokeflow.llm.line_dedup import dedup_lines
 from strokeflow.llm.mixing import mix_sources
 from strokeflow.llm.near_dedup import keep_one_each
 from strokeflow.llm.quality import keep_good
-from strokeflow.llm.queries import MIX_SEED, WEIGHTS, table
+from strokeflow.llm.queries import MIX_SEED, OTHER_WEIGHT, WEIGHTS, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -42,9 +42,9 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are repeated to their target weights and shuffled."""
+    """Sources, listed or not, are repeated to their target weights and shuffled."""
     weights = spark.createDataFrame(list(WEIGHTS.items()), "source string, weight double")
-    return mix_sources(docs, weights, seed=MIX_SEED).select(*COLUMNS, "copy", "mix_key")
+    return mix_sources(docs, weights, seed=MIX_SEED, default=OTHER_WEIGHT).select(*COLUMNS, "copy", "mix_key")
 
 
 STAGES = [

@@ -9,8 +9,9 @@ A rate above ``MAX_MEAN`` is split into equal parts that draw independently (a s
 numbers is one), so the tables of the distribution stay short and no array grows with the rate.
 
 Null sources form a source of their own. Rows with one doc_id draw alike; a null doc_id draws as
-the text "null". A source without a weight gets none of the mix; if no source has documents
-the result is empty. Extra columns pass through. Only DataFrame functions are used.
+the text "null". A source without a weight, the null source too, has the ``default`` weight; without
+a default it gets none of the mix. If no source has documents the result is empty. Extra columns
+pass through. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -47,17 +48,19 @@ def poisson_table(mean: Column) -> Column:
     )
 
 
-def repetition_rates(docs: DataFrame, weights: DataFrame, total: float | None = None) -> DataFrame:
+def repetition_rates(docs: DataFrame, weights: DataFrame, total: float | None = None, default: float = 0.0) -> DataFrame:
     """(source, n, rate) for ``weights(source, weight)``; the weights are made to sum to one.
 
     ``total`` is the number of rows to aim at, by default as many as ``docs`` has. Weights of
-    sources without documents are shared among the others.
+    sources without documents are shared among the others. Sources that ``weights`` does not list have
+    the weight ``default``; a listed weight of 0 leaves a source out.
     """
     sizes = docs.groupBy("source").agg(F.count("*").alias("n")).alias("s")
-    w = weights.groupBy("source").agg(F.sum("weight").alias("weight")).where("weight > 0").alias("w")
+    summed = F.greatest(F.coalesce(F.sum("weight"), F.lit(0.0)), F.lit(0.0))
+    w = weights.groupBy("source").agg(summed.cast("double").alias("weight")).alias("w")
     rows = stored(
         sizes.join(w, F.col("s.source").eqNullSafe(F.col("w.source")), "left")
-        .select("s.source", "n", F.coalesce("weight", F.lit(0.0)).alias("weight")),
+        .select("s.source", "n", F.coalesce("weight", F.lit(float(default))).alias("weight")),
         "mix-sizes",
     )
     sums = rows.agg(F.sum("weight").alias("all_weight"), F.sum("n").alias("all_n")).first()
@@ -67,9 +70,9 @@ def repetition_rates(docs: DataFrame, weights: DataFrame, total: float | None =
     return rows.select("source", "n", (F.col("weight") * (goal / sums["all_weight"]) / F.col("n")).alias("rate"))
 
 
-def mix_sources(docs: DataFrame, weights: DataFrame, total: float | None = None, seed: int = 0) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: DataFrame, total: float | None = None, seed: int = 0, default: float = 0.0) -> DataFrame:
     """Copies of ``docs`` with rate, copy (1, 2, ...) and mix_key added, in the order of mix_key."""
-    rates = repetition_rates(docs, weights, total)
+    rates = repetition_rates(docs, weights, total, default)
     parts = F.greatest(F.ceil(F.col("rate") / MAX_MEAN), F.lit(1)).cast("int")
     table = (
         rates.where("rate > 0")

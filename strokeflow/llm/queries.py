@@ -28,6 +28,8 @@ BLOCKED_DOMAINS = [f"{name}.example.{top}" for name in UNWANTED for top in ("com
 
 #: Target shares of the mix: three parts for src0, then one or two parts in turn.
 WEIGHTS = {f"src{i}": 3.0 if i == 0 else 1.0 + i % 2 for i in range(20)}
+#: One part for each source that is not listed, and for documents without a source.
+OTHER_WEIGHT = 1.0
 MIX_SEED = 7
 
 
@@ -50,7 +52,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = spark.createDataFrame(list(WEIGHTS.items()), "source string, weight double")
     docs = table(spark, sf_dir, "documents")
-    return mix_sources(docs, weights, seed=MIX_SEED).select("doc_id", "source", "copy", "mix_key", "text")
+    return mix_sources(docs, weights, seed=MIX_SEED, default=OTHER_WEIGHT).select("doc_id", "source", "copy", "mix_key", "text")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

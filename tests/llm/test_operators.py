@@ -5,10 +5,11 @@ import random
 import re
 import zlib
 
+import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from strokeflow.llm import html_text, language, licenses, line_dedup, media, mixing, near_dedup, quality, url_filter
+from strokeflow.llm import html_text, language, licenses, line_dedup, media, mixing, near_dedup, quality, queries, url_filter
 from strokeflow.llm.components import connected_components
 from strokeflow.llm.decontaminate import PositionalIndex, decontaminate
 
@@ -205,6 +206,20 @@ def test_mixing_splits_large_rates_and_takes_awkward_rows(spark, awkward):
     assert mixing.mix_sources(awkward, weights.where("false")).count() == 0
 
 
+def test_mixing_keeps_unlisted_and_null_sources(spark, tmp_path):
+    rows = [(i, "t", "en", ("src0", "new site", None)[i % 3], 1) for i in range(9_000)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    mixed = [queries.op4_mix_sources(spark, str(tmp_path)), corpus_pipeline.mix(spark, docs, str(tmp_path))]
+    for got in mixed:  # three parts of src0 to one part of each other
+        n = {r["source"]: r["count"] for r in got.groupBy("source").count().collect()}
+        assert set(n) == {"src0", "new site", None}
+        assert abs(n["src0"] - 5400) < 400 and abs(n["new site"] - 1800) < 250 and abs(n[None] - 1800) < 250
+    weights = spark.createDataFrame([("src0", 1.0), ("new site", 0.0)], "source string, weight double")
+    assert {r.source for r in mixing.mix_sources(docs, weights, default=1.0).select("source").distinct().collect()} == {"src0", None}
+    assert {r.source for r in mixing.mix_sources(docs, weights).select("source").distinct().collect()} == {"src0"}
+
+
 def test_media_round_trip(spark, awkward, tmp_path):
     got = media.media_features(awkward, f"file://{tmp_path}/media").collect()
     texts = [(r.doc_id, r.text) for r in awkward.collect()]
