@@ -1,12 +1,15 @@
 """Main text of HTML pages by consensus paths of each host.
 
-1. Each page's containers are scored by the text of the paragraphs in them; the best one's path of
-   tags and classes, with digits left out, is the page's vote.
+1. Each page's containers are scored by the text of the paragraphs in them. The best one is widened
+   to the outermost article or main around it, or else to the lowest container with nearly all kept
+   text and the headline. Its path of tags and classes, with digits left out, is the page's vote.
 2. Spark counts the votes of each host; the path with most pages wins (then the higher score).
 3. Each page is read again at its host's path. A page without text there falls back on its own best.
 
 In a container, menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments are left out. Character references are decoded, white space in a block becomes one
+reader comments are left out: by tag, or by a class, id or role that names them as a whole ("has-sidebar"
+and "share-price" do not). What holds most of the page's paragraph text is not left out for its names,
+nor as a form or header. Character references are decoded, white space in a block becomes one
 space, and blocks are joined by newlines. Null, empty or text-free pages give ''. Pages without a
 host vote together as host ''. Repeated rows give equal texts, an empty table an empty result;
 columns other than page_id, url and html are ignored.
@@ -51,16 +54,32 @@ MARKS = frozenset(
     " replies respond disqus discussion login search searchbox pagination pager toolbar copyright contentinfo complementary"
     " form dialog alertdialog".split()
 )
+#: Words that go with marks in one name: "site-footer", "share-buttons". Others ("has", "no", "price") unmark it.
+NEUTRAL = frozenset(
+    "site page main global primary secondary top bottom left right first second upper lower sticky fixed mobile desktop small large"
+    " bar box row col column area zone slot unit container wrapper wrap holder panel group inner outer block section list item items"
+    " button buttons link links icon icons title text header image img post posts entry article articles story stories wp js c l o u"
+    " inline module component region template form count meta tools".split()
+)
+#: Marks that name an element whatever words follow.
+PREFIXES = frozenset("sidebar newsletter breadcrumb breadcrumbs navbar advert advertisement disqus gdpr pagination comments".split())
+#: Reader comments are often longer than the article; they stay only where nothing else has paragraphs.
+DISCUSSION = frozenset("comment comments reply replies respond disqus discussion".split())
+HEADERS = frozenset(("header", "banner"))
+PARAGRAPHS = frozenset("p pre blockquote".split())
+#: Share of the page's kept text that counts as nearly all.
+NEARLY = 0.95
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "attrs", "path", "score")
+    __slots__ = ("tag", "parent", "children", "attrs", "path", "score", "kept", "share")
 
     def __init__(self, tag: str, parent: Node | None, attrs: dict[str, str]):
         self.tag, self.parent, self.attrs = tag, parent, attrs
         self.children: list[Node | str] = []
-        self.score = 0.0
+        self.score = self.kept = 0.0
+        self.share = 0.0  # of the page's paragraph text
         classes = ".".join(sorted({re.sub(r"\d+", "", c) for c in attrs.get("class", "").lower().split()}))
         own = f"{tag}.{classes}" if classes else tag
         self.path = f"{parent.path}/{own}" if parent and parent.path else own
@@ -111,9 +130,27 @@ def parse(html: str) -> Node:
         node.children.append(child)
         if tag not in VOID and not rest.endswith("/"):
             node = child
+    _weigh(root)
     return root
 
 
+def _weigh(root: Node):
+    """Sets each element's share of the page's paragraph text, links left out."""
+    nodes = list(_elements(root))
+    inside = {id(root): False}
+    for x in nodes:
+        inside[id(x)] = x.tag != "a" and (x.tag in PARAGRAPHS or inside[id(x.parent)])
+        if inside[id(x)]:
+            x.share = float(sum(len(c.strip()) for c in x.children if isinstance(c, str)))
+    for x in reversed(nodes):
+        x.parent.share += x.share
+    total = root.share
+    if total:
+        root.share = 1.0
+        for x in nodes:
+            x.share /= total
+
+
 def _up(node: Node, tag: str):
     while node:
         if node.tag == tag:
@@ -150,21 +187,32 @@ def _elements(node: Node):
         stack.extend(c for c in reversed(x.children) if not isinstance(c, str))
 
 
+def _named(node: Node, marks: frozenset, prefixes: frozenset = frozenset()) -> bool:
+    """Whether a class, id or role as a whole is one of the marks, alone or with neutral words."""
+    for name in f"{node.attrs.get('class', '')} {node.attrs.get('id', '')} {node.attrs.get('role', '')}".lower().split():
+        words = _PARTS.findall(name)
+        if words and (words[0] in prefixes or (any(w in marks for w in words) and all(w in marks or w in MARKS or w in NEUTRAL for w in words))):
+            return True
+    return False
+
+
 def dropped(node: Node) -> bool:
     """Whether an element does not belong to the article."""
+    most = node.share > 0.5
     if node.tag in DROPPED:
-        return True
+        return not (most and node.tag == "form")
     if node.tag == "header":
-        return not _heads_article(node)
+        return not most and not _heads_article(node)
     a = node.attrs
     if not a or node.tag in ("body", "html"):
         return False
     if "hidden" in a or a.get("aria-hidden") == "true" or _STYLE_HIDDEN.search(a.get("style", "")):
         return True
-    words = set(_PARTS.findall(f"{a.get('class', '')} {a.get('id', '')} {a.get('role', '')}".lower()))
-    if words & MARKS:
+    if node.share < 1.0 and _named(node, DISCUSSION):
         return True
-    return ("header" in words or "banner" in words) and not _heads_article(node)
+    if most:
+        return False
+    return _named(node, MARKS, PREFIXES) or (_named(node, HEADERS) and not _heads_article(node))
 
 
 def blocks(node: Node) -> list[tuple[Node, str]]:
@@ -208,20 +256,45 @@ def _link_text(node: Node) -> int:
 
 
 def best_container(root: Node) -> tuple[Node, float]:
-    """The container with the most paragraph text near its top, and its score."""
-    best, top = root, 0.0
+    """The container with the most paragraph text near its top, widened to the whole article, and its score."""
+    best, top, total = root, 0.0, 0.0
+    headline = None
     for owner, text in blocks(root):
         value = max(0.0, len(text) - 2.0 * _link_text(owner)) if owner.tag else len(text)
+        if owner.tag in ("h1", "h2") and (headline is None or (owner.tag, headline.tag) == ("h1", "h2")):
+            headline = owner
+        total += value
         up, share = owner, 1.0
-        while up is not None and share > 0.1:
-            if up.tag in CONTAINERS or up is root:
+        while up is not None:
+            up.kept += value
+            if share > 0.1 and (up.tag in CONTAINERS or up is root):
                 up.score += share * value
                 weight = 1.5 if up.tag in ("article", "main") else 1.0
                 if up.score * weight > top:
                     best, top = up, up.score * weight
                 share /= 2
             up = up.parent
-    return best, top
+    return _widened(best, headline, total), top
+
+
+def _widened(best: Node, headline: Node | None, total: float) -> Node:
+    above = []
+    up = best
+    while up is not None:
+        above.append(up)
+        up = up.parent
+    for x in reversed(above):
+        if x.tag in ("article", "main"):
+            return x
+    around: set[int] = set()
+    up = headline
+    while up is not None:
+        around.add(id(up))
+        up = up.parent
+    for x in above:
+        if (x.tag in CONTAINERS or not x.tag) and x.kept >= NEARLY * total and (headline is None or id(x) in around):
+            return x
+    return above[-1]
 
 
 def vote(html: str | None) -> tuple[str, float]:

@@ -276,6 +276,22 @@ def test_html_text_by_host_paths(spark):
     assert html_text.extract_text(pages.where("false")).count() == 0
 
 
+def test_html_text_keeps_the_whole_article(spark):
+    long, lead, more = prose(1, 300), prose(2, 25), prose(3, 30)
+    parts = f'<h1>Head</h1><section class=lead><p>{lead}</p></section><div class="entry-content"><p>{long}</p></div><section class=more><p>{more}</p></section>'
+    whole = f"Head\n{lead}\n{long}\n{more}"
+    wraps = ["<article>%s</article>", "<main><article>%s</article></main>", "<div class=post>%s</div>", '<div class="content has-sidebar">%s</div>', '<div class="main no-comments">%s</div>',
+             "<div class=share-price>%s</div>", "<form id=aspnet><div>%s</div></form>", '<div class="sidebar">%s</div>']
+    junk = '<div class="sidebar-left"><p>Side</p></div><div class="site-footer">Foot</div><div id="comments"><p>I say</p></div><div class="share-buttons">Share</div><nav>Menu</nav>'
+    pages = [(100 * h + i, f"http://h{h}.example/{i}", f"<html><body>{junk}{w % parts}</body></html>") for h, w in enumerate(wraps) for i in range(3)]
+    pages.append((999, "http://c.example/", f"<body><article><h1>Head</h1><p>{lead}</p></article><div class=comments><p>{long}</p></div></body>"))
+    got = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got.pop(999) == f"Head\n{lead}"
+    assert {i: t for i, t in got.items() if t != whole} == {}
+    small = f'<body><article><p>{long}</p><div class="share-price"><p>{lead}</p></div><p class="no-comments">{more}</p></article></body>'
+    assert html_text.main_text(small, None) == f"{long}\n{lead}\n{more}"
+
+
 def test_language_of_held_out_documents(spark, awkward):
     words = {"en": "the and with that house water under little", "de": "und der nicht schön wasser über kleine häuser", "fr": "le la avec maison été sous petite eau"}
     r = random.Random(2)
