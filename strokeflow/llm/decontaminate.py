@@ -2,13 +2,15 @@
 
 1. Count, over the whole corpus, how often each benchmark term occurs.
 2. In every window of ``width`` consecutive item words the rarest term is the anchor (an item of
-   fewer words is one window).
+   fewer words is one window). For proximity, where up to e terms may be absent, the e + 1 rarest
+   terms are anchors, so at least one of them stands in every match; absent terms count among them.
 3. Store the training postings of the anchor terms: document, position and the terms at the
    ``width - 1`` positions on either side.
-4. Intersect: each anchor posting shifted by the anchor's offset gives a candidate start; the
-   other terms' offset-adjusted positions are looked up in the posting's own neighbourhood. All
-   terms in place make a phrase match; at least ``near`` of the window's distinct terms there,
-   in any order, make a proximity match.
+4. Each anchor posting shifted by the anchor's offset gives a candidate start. Posting lists of the
+   other terms are not read: their offset-adjusted positions are looked up in the posting's own
+   neighbourhood. All terms in place make a phrase match; at least ``near`` of the window's distinct
+   terms there, in any order, make a proximity match. Every run of up to ``width`` document words
+   with so many of the terms is found, and wider ones as far as an anchor's neighbourhood reaches.
 
 Only DataFrame functions are used. Null texts have no words and are never hit; an empty table
 gives an empty result. A document is identified by its doc_id and text, so repeated rows (and a
@@ -57,21 +59,27 @@ class PositionalIndex:
         terms = every.select(F.explode("window").alias("term")).distinct()
         counts = stored(self._tokens().join(bounded_broadcast(terms, BROADCAST_ROWS), "term")
                         .groupBy("term").agg(F.count("*").alias("df")), "bench-df")
-        # The rarest term of each window, then the first by text and by position.
-        order = W.partitionBy("window").orderBy(F.coalesce("df", F.lit(0)), "term", "offset")
-        anchors = (
+        # The rarest term of each window first, then by text; each term at its first position.
+        order = W.partitionBy("window").orderBy(F.coalesce("df", F.lit(0)), "term")
+        ranked = (
             every.select("window").distinct().select("window", F.posexplode("window").alias("offset", "term"))
+            .groupBy("window", "term").agg(F.min("offset").alias("offset"))
             .join(counts, "term", "left").withColumn("rank", F.row_number().over(order))
-            .where("rank = 1 and df > 0").select("term", "offset", "window")
         )
-        self.anchors = stored(anchors, "bench-anchors")
-        wanted = bounded_broadcast(self.anchors.select("term").distinct(), BROADCAST_ROWS)
-        reach = width - 1
+        self.ranked = stored(ranked, "bench-anchors")
+
+    def _anchors(self, n: Column) -> DataFrame:
+        """The ``n`` rarest terms of each window, without those that no document has."""
+        return self.ranked.where((F.col("rank") <= n) & (F.col("df") > 0)).select("term", "offset", "window")
+
+    def _postings(self, anchors: DataFrame) -> DataFrame:
+        wanted = bounded_broadcast(anchors.select("term").distinct(), BROADCAST_ROWS)
+        reach = self.width - 1
         first = F.greatest(F.col("pos") - reach, F.lit(0))
-        self.postings = stored(
+        return stored(
             self._tokens(keep_words=True).join(wanted, "term")
             .select("term", "doc_id", "th", "pos", first.alias("first"),
-                    F.slice("w", first + 1, F.col("pos") - first + width).alias("around"))
+                    F.slice("w", first + 1, F.col("pos") - first + self.width).alias("around"))
             .sortWithinPartitions("term"),
             "postings",
         )
@@ -81,10 +89,11 @@ class PositionalIndex:
         kept = ["doc_id", "th", "w"] if keep_words else []
         return w.select(*kept, F.posexplode("w").alias("pos", "term"))
 
-    def _candidates(self) -> DataFrame:
+    def _candidates(self, n: Column) -> DataFrame:
+        anchors = self._anchors(n)
         start = F.col("pos") - F.col("offset")
         return (
-            self.postings.join(bounded_broadcast(self.anchors, BROADCAST_ROWS), "term")
+            self._postings(anchors).join(bounded_broadcast(anchors, BROADCAST_ROWS), "term")
             .withColumns({"start": start, "n": F.size("window")})
         )
 
@@ -93,16 +102,40 @@ class PositionalIndex:
         at = F.col("start") - F.col("first")
         there = F.slice("around", F.greatest(at, F.lit(0)) + 1, F.col("n"))
         return (
-            self._candidates().where((at >= 0) & (there == F.col("window")))
+            self._candidates(F.lit(1)).where((at >= 0) & (there == F.col("window")))
             .select("doc_id", "th", "start", "n", "window")
         )
 
     def proximity(self, near: float = 0.8) -> DataFrame:
         """(doc_id, th, start, window, share): windows of which ``near`` of the terms stand together."""
-        share = F.size(F.array_intersect("around", "window")) / F.size(F.array_distinct("window"))
         return (
-            self._candidates().withColumn("share", share).where(F.col("share") >= near)
-            .groupBy("doc_id", "th", "start", "window").agg(F.max("share").alias("share"))
+            self._near(near).groupBy("doc_id", "th", "start", "window").agg(F.max("share").alias("share"))
+        )
+
+    def _near(self, near: float) -> DataFrame:
+        distinct = F.size(F.array_distinct("window"))
+        absent = F.floor(distinct * (1 - near) + F.lit(1e-9))
+        share = F.size(F.array_intersect("around", "window")) / distinct
+        return self._candidates(absent + 1).withColumn("share", share).where(F.col("share") >= near)
+
+    def near_report(self, near: float = 0.8) -> DataFrame:
+        """One row for each document row: n_words, n_near (windows), n_near_items, near_items and best_share."""
+        key = ["doc_id", "th"]
+        found = self._near(near).groupBy(*key, "window").agg(F.max("share").alias("share"))
+        found_in = (
+            found.join(bounded_broadcast(self.items, BROADCAST_ROWS), "window")
+            .groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
+            .agg(F.count("*").alias("n_near"), F.max("share").alias("share"),
+                 F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+        )
+        rows = self.docs.select("doc_id", "th", F.size(words(F.col("text"))).cast("long").alias("n_words"))
+        same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))
+        items = F.coalesce("items", F.array().cast("array<string>"))
+        return (
+            rows.join(stored(found_in, "near-passages"), same, "left")
+            .select("doc_id", "th", "n_words", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"),
+                    F.size(items).cast("long").alias("n_near_items"), items.alias("near_items"),
+                    F.round(F.coalesce("share", F.lit(0.0)), 6).alias("best_share"))
         )
 
     def report(self, one_in: int = 20) -> DataFrame:

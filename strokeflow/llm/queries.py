@@ -86,10 +86,19 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_near_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = PositionalIndex(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("near_items", ",").cast("binary"), 256)
+    return index.near_report().select(
+        "doc_id", "n_words", "n_near", "n_near_items", digest.alias("near_items_sha256"), "best_share"
+    )
+
+
 def queries() -> dict:
     each = (
         op1_media_columns, op2_html_text, op3_language_id, op4_mix_sources, op5_line_dedup, op6_near_dedup,
         op7_url_filter, op8_license_scan, op9_quality, op10_decontaminate,
+        op10_near_passages,
     )
     return {f.__name__: f for f in each}
 

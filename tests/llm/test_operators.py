@@ -175,6 +175,38 @@ def test_decontamination_finds_scrambled_terms_near_each_other(spark):
     assert {x.doc_id for x in index.proximity().collect()} == {0}
 
 
+def test_decontamination_finds_passages_with_changed_words(spark):
+    r = random.Random(4)
+    items = [prose(i, 16) for i in range(5)] + [prose(9, 5)]
+    texts = [prose(60 + i, 40) for i in range(5)] + [None]
+    for n in (1, 2, 3, 4):
+        for item in items:
+            w = item.split()
+            for at in r.sample(range(len(w)), n):
+                w[at] = f"changed{at}"
+            texts.append(f"{prose(r.random(), r.randint(0, 20))} {' '.join(w)} {prose(r.random(), 9)}")
+    index = PositionalIndex(make(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    got = {x.doc_id: x for x in index.near_report().collect()}
+
+    def by_force(text, runs):
+        w = (text or "").split()
+        ids = set()
+        for i, item in enumerate(items):
+            v = item.split()
+            for k in range(max(1, len(v) - 12)):
+                terms = set(v[k : k + 13])
+                ids |= {str(i) for run in runs(w) if len(terms & set(run)) / len(terms) >= 0.8}
+        return ids
+
+    some = 0
+    for i, t in enumerate(texts):
+        sure = by_force(t, lambda w: [w[p : p + 13] for p in range(len(w))])
+        most = by_force(t, lambda w: [w[max(0, p - 12) : p + 13] for p in range(len(w))])
+        assert sure <= set(got[i].near_items) <= most and (got[i].n_near > 0) == bool(got[i].near_items)
+        some += bool(sure)
+    assert len(got) == len(texts) and some >= 12
+
+
 def test_decontamination_on_awkward_rows(spark, awkward):
     bench = spark.createDataFrame([(1, "one two three four five six"), (None, None)], "item_id long, text string")
     got = PositionalIndex(awkward, bench).report().collect()
