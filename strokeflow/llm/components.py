@@ -1,7 +1,7 @@
 """Connected components of a graph of longs, by alternating large-star and small-star steps.
 
-Every step is a grouping with partial aggregation and a join of two freshly shuffled tables, so a
-vertex with very many links is split over tasks. Tables are written after each step.
+Every step is a grouping with partial aggregation and joins of two freshly shuffled tables, so a
+vertex with very many links is split over tasks. One table is written for each pair of steps.
 """
 
 from __future__ import annotations
@@ -12,9 +12,18 @@ from pyspark.sql import functions as F
 from strokeflow.llm.common import stored
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    return row["n"], row["h"]
+def _both_ways(edges: DataFrame, u: str = "u", v: str = "v", m: str = "v") -> DataFrame:
+    """For each row the edges (u, v) and (v, u); or, with ``m``, (u, m) and (v, m)."""
+    second = F.struct(F.col(v).alias("u"), F.col(u if m == v else m).alias("v"))
+    pair = F.array(F.struct(F.col(u).alias("u"), F.col(m).alias("v")), second)
+    return edges.select(F.explode(pair).alias("e")).select("e.u", "e.v")
+
+
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Whether every vertex has one link upwards, or only links from below (u > v, no repeats)."""
+    role = F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up"))))
+    roles = edges.select(role.alias("r")).groupBy("r.x").agg(F.sum("r.up").alias("up"), F.min("r.up").alias("low"))
+    return roles.where("up > 1 or (up = 1 and low = 0)").isEmpty()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -24,21 +33,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     big, small = F.greatest("u", "v"), F.least("u", "v")
     current = stored(edges.where("u <> v").select(big.alias("u"), small.alias("v")).distinct(), "cc-edges")
-    state = _state(current)
-    while state[0]:
-        both = current.unionAll(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "cc-least")
-        large = stored(
-            both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc-large"
-        )
-        lowest = stored(large.groupBy("u").agg(F.min("v").alias("m")), "cc-lowest")
-        joined = large.join(lowest, "u")
-        following = stored(
-            joined.select("u", F.col("m").alias("v"))
-            .unionAll(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(),
-            "cc-edges",
-        )
-        before, state, current = state, _state(following), following
-        if state == before:
-            break
+    while not _is_forest_of_stars(current):
+        both = _both_ways(current)
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        current = stored(_both_ways(large.join(lowest, "u"), m="m").where("u <> v").distinct(), "cc-edges")
     return current.select(F.col("u").alias("vertex"), F.col("v").alias("component"))
