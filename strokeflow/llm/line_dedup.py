@@ -1,10 +1,9 @@
 """Line deduplication with levelled sorted runs of line hashes.
 
-A :class:`LineIndex` keeps runs, tables sorted by the hash of a line. A new batch of documents is
-merge-anti-joined with the runs: keys that no run holds are added as a new run at level 0, keys
-that some run holds go to a log of repeats. When a level has ``fan_in`` runs they are merged into
-one run of the next level, so a key is rewritten once for each level only. Runs of one index
-never share a key.
+A :class:`LineIndex` keeps runs, tables bucketed and sorted by the hash of a line. A new batch of
+documents is merge-joined with the runs once: keys that no run holds are a new run at level 0, the
+others a log of repeats. When a level has ``fan_in`` runs they are merged into one run of the next
+level, so a key is rewritten once for each level only. Runs of one index never share a key.
 
 A line's key is the line without ASCII white space at its ends and with A-Z in lower case. Keys
 of at least ``min_chars`` code points that ``min_docs`` or more documents hold lose all their
@@ -16,7 +15,9 @@ except that the four result columns replace columns of their names.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import uuid
 
 import pandas as pd
 import pyarrow as pa
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strokeflow.llm.common import NO_ID, stored
+from strokeflow.llm.common import NO_ID, shared_dir, stored
 
 _SPACE = b" \t\n\x0b\x0c\r"
 
@@ -64,49 +65,70 @@ def line_keys(docs: DataFrame, min_chars: int, batches: int) -> DataFrame:
 
 
 class LineIndex:
-    """Levelled sorted runs of (h1, h2, n documents, largest doc)."""
+    """Levelled sorted runs of (h1, h2, n documents, largest doc).
+
+    A run is a table in buckets of (h1, h2), sorted in each. A batch arrives in as many partitions, so
+    joins with the runs and merges of runs read them as they lie, without an exchange.
+    """
 
     def __init__(self, spark: SparkSession, fan_in: int = 2):
         self.spark, self.fan_in = spark, fan_in
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[DataFrame]] = []
         self.repeats: list[DataFrame] = []
+        self._tables: list[str] = []
 
-    def _all(self, runs: list[DataFrame]) -> DataFrame:
-        out = runs[0]
-        for x in runs[1:]:
-            out = out.unionAll(x)
-        return out
+    def _written(self, df: DataFrame, name: str) -> DataFrame:
+        table = f"line_{uuid.uuid4().hex}"
+        writer = df.write.format("parquet").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
+        writer.partitionBy("known").option("path", shared_dir(self.spark, name)).saveAsTable(table)
+        self._tables.append(table)
+        return self.spark.table(table)
 
     def add(self, keys: DataFrame) -> None:
         """Take a batch of (doc, h1, h2); no document may come in two batches."""
         batch = keys.groupBy("h1", "h2").agg(F.count_distinct("doc").alias("n"), F.max("doc").alias("top"))
-        runs = [x for level in self.levels for x in level]
-        if runs:
-            batch = stored(batch, "line-batch")
-            known = self._all(runs).select("h1", "h2")
-            new = batch.join(known, ["h1", "h2"], "left_anti")
-            self.repeats.append(stored(batch.join(known, ["h1", "h2"], "left_semi"), "line-repeats"))
-        else:
-            new = batch
-        self._put(new, 0)
+        known = F.lit(False)
+        for i, run in enumerate(x for level in self.levels for x in level):
+            batch = batch.join(run.select("h1", "h2", F.lit(True).alias(f"in{i}")), ["h1", "h2"], "left")
+            known = known | F.col(f"in{i}").isNotNull()
+        judged = self._written(batch.select("h1", "h2", "n", "top", known.alias("known")), "line-batch")
+        self.repeats.append(judged.where("known"))
+        self._put(judged.where("not known"), 0)
 
     def _put(self, run: DataFrame, level: int) -> None:
-        run = stored(run.sortWithinPartitions("h1", "h2"), f"line-run-{level}")
         if len(self.levels) == level:
             self.levels.append([])
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fan_in:
             runs, self.levels[level] = self.levels[level], []
-            self._put(self._all(runs).repartition("h1", "h2"), level + 1)
+            self._put(self._written(self._merged(runs), f"line-run-{level + 1}").where("not known"), level + 1)
+
+    @staticmethod
+    def _merged(runs: list[DataFrame]) -> DataFrame:
+        """One run of all; runs share no keys, so each row comes from one of them."""
+        out = runs[0].select("h1", "h2", "n", "top")
+        for run in runs[1:]:
+            out = out.join(run.select("h1", "h2", F.col("n").alias("m"), F.col("top").alias("other")), ["h1", "h2"], "full").select(
+                "h1", "h2", F.coalesce("n", "m").alias("n"), F.coalesce("top", "other").alias("top")
+            )
+        return out.withColumn("known", F.lit(False))
 
     def frequent(self, min_docs: int) -> DataFrame:
         """(h1, h2, top) of the keys that at least ``min_docs`` documents hold."""
-        rows = self._all([*(x for level in self.levels for x in level), *self.repeats])
+        rows = [x.select("h1", "h2", "n", "top") for x in [*(x for level in self.levels for x in level), *self.repeats]]
         return (
-            rows.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
+            functools.reduce(DataFrame.unionAll, rows)
+            .groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
             .where(F.col("n") >= min_docs).select("h1", "h2", "top")
         )
 
+    def close(self) -> None:
+        """Forget the names of the runs; their files stay with the other written tables."""
+        for table in self._tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        self._tables.clear()
+
 
 def dedup_lines(
     docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fan_in: int = 2
@@ -117,6 +139,7 @@ def dedup_lines(
     for b in range(batches):
         index.add(keys.where(F.col("batch") == b))
     frequent = stored(index.frequent(min_docs), "line-frequent")
+    index.close()
     drops = (
         keys.join(frequent, ["h1", "h2"]).where("doc < top")
         .groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("h1").alias("__drop"))
