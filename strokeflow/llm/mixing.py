@@ -3,7 +3,9 @@
 A source with ``n`` documents and target share ``p`` of ``total`` rows has the repetition rate
 ``p * total / n``. Each document draws its number of copies by inverting the Poisson distribution
 of that mean at a number in [0, 1) hashed from the seed and its doc_id, is exploded by that
-count, and all copies are put in a global random order.
+count, and all copies are put in a global random order: each goes to the partition that its random
+key is hashed to, and a partition is sorted by that key. (A total order would draw twice, once to
+find the bounds of ranges.)
 
 A rate above ``MAX_MEAN`` is split into equal parts that draw independently (a sum of Poisson
 numbers is one), so the tables of the distribution stay short and no array grows with the rate.
@@ -11,7 +13,7 @@ numbers is one), so the tables of the distribution stay short and no array grows
 Null sources form a source of their own. Rows with one doc_id draw alike; a null doc_id draws as
 the text "null". A source without a weight, the null source too, has the ``default`` weight; without
 a default it gets none of the mix. If no source has documents the result is empty. Extra columns
-pass through. Only DataFrame functions are used.
+pass through; columns named rate, copy or mix_key are replaced. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -71,7 +73,7 @@ def repetition_rates(docs: DataFrame, weights: DataFrame, total: float | None =
 
 
 def mix_sources(docs: DataFrame, weights: DataFrame, total: float | None = None, seed: int = 0, default: float = 0.0) -> DataFrame:
-    """Copies of ``docs`` with rate, copy (1, 2, ...) and mix_key added, in the order of mix_key."""
+    """Copies of ``docs`` with rate, copy (1, 2, ...) and mix_key added, in random order."""
     rates = repetition_rates(docs, weights, total, default)
     parts = F.greatest(F.ceil(F.col("rate") / MAX_MEAN), F.lit(1)).cast("int")
     table = (
@@ -97,4 +99,4 @@ def mix_sources(docs: DataFrame, weights: DataFrame, total: float | None = None,
         .withColumn("copy", F.col("copy") + (F.col("__part") - 1) * LEVELS)
         .drop("__source", "__parts", "__part", "__cdf", "__u", "__count")
     )
-    return copies.orderBy("mix_key")
+    return copies.repartition("mix_key").sortWithinPartitions("mix_key")
