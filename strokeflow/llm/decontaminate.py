@@ -1,16 +1,16 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-1. Count, over the whole corpus, how often each benchmark term occurs.
-2. In every window of ``width`` consecutive item words the rarest term is the anchor (an item of
-   fewer words is one window). For proximity, where up to e terms may be absent, the e + 1 rarest
-   terms are anchors, so at least one of them stands in every match; absent terms count among them.
-3. Store the training postings of the anchor terms: document, position and the terms at the
-   ``width - 1`` positions on either side.
-4. Each anchor posting shifted by the anchor's offset gives a candidate start. Posting lists of the
-   other terms are not read: their offset-adjusted positions are looked up in the posting's own
-   neighbourhood. All terms in place make a phrase match; at least ``near`` of the window's distinct
-   terms there, in any order, make a proximity match. Every run of up to ``width`` document words
-   with so many of the terms is found, and wider ones as far as an anchor's neighbourhood reaches.
+1. The corpus is split into words once. The postings of all benchmark terms are stored: term,
+   document and position; one more posting of each document, of the term '', has its number of words.
+2. Every ``width`` consecutive words of an item are a window (an item of fewer words is one). The
+   postings of each term are counted, and a window's places ranked, the rarest term first.
+3. A posting shifted by its place in a window is a possible start. The starts of the rarest term are
+   intersected with those of the second rarest, and what is left with the postings at all further
+   places. Starts that every place confirms are phrase matches.
+4. For proximity, where up to e of a window's distinct terms may be absent, the e + 1 rarest are
+   anchors, so at least one of them stands in every match; absent terms count among them. At least
+   ``near`` of the window's distinct terms within ``width - 1`` words of an anchor, in any order, make
+   a match. Every run of up to ``width`` document words with so many of the terms is found.
 
 Only DataFrame functions are used. Null texts have no words and are never hit; an empty table
 gives an empty result. A document is identified by its doc_id and text, so repeated rows (and a
@@ -19,6 +19,8 @@ null doc_id) get the same answer on each row. Extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -47,8 +49,13 @@ def windows(items: DataFrame, width: int) -> DataFrame:
     )
 
 
+def _same(columns: list[str], a: str, b: str) -> Column:
+    """Equality of these columns of two aliased tables; nulls are equal."""
+    return functools.reduce(Column.__and__, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in columns])
+
+
 class PositionalIndex:
-    """Postings of a corpus for the anchor terms of a set of benchmark windows."""
+    """Postings of a corpus for the terms of a set of benchmark windows."""
 
     def __init__(self, docs: DataFrame, items: DataFrame, width: int = 13):
         self.width = width
@@ -56,55 +63,70 @@ class PositionalIndex:
         self.docs = docs.select("doc_id", text, F.xxhash64(text).alias("th"))
         every = stored(windows(items, width), "bench-windows")
         self.items = every.groupBy("window").agg(F.collect_set("item_id").alias("items"))
-        terms = every.select(F.explode("window").alias("term")).distinct()
-        counts = stored(self._tokens().join(bounded_broadcast(terms, BROADCAST_ROWS), "term")
-                        .groupBy("term").agg(F.count("*").alias("df")), "bench-df")
-        # The rarest term of each window first, then by text; each term at its first position.
-        order = W.partitionBy("window").orderBy(F.coalesce("df", F.lit(0)), "term")
-        ranked = (
+        terms = every.select(F.explode(F.concat("window", F.array(F.lit("")))).alias("term")).distinct()
+        # Without items there are no terms, but each document still has its number of words.
+        terms = terms.unionAll(docs.sparkSession.createDataFrame([("",)], "term string")).distinct()
+        self.postings = stored(self._tokens().join(bounded_broadcast(terms, BROADCAST_ROWS), "term"), "postings")
+        counts = self.postings.groupBy("term").agg(F.count("*").alias("df"))
+        order = W.partitionBy("window").orderBy(F.coalesce("df", F.lit(0)), "term", "offset")
+        places = (
             every.select("window").distinct().select("window", F.posexplode("window").alias("offset", "term"))
-            .groupBy("window", "term").agg(F.min("offset").alias("offset"))
-            .join(counts, "term", "left").withColumn("rank", F.row_number().over(order))
+            .join(counts, "term", "left").withColumns({"rank": F.row_number().over(order), "n": F.size("window")})
         )
-        self.ranked = stored(ranked, "bench-anchors")
+        self.places = stored(places, "bench-places")
 
-    def _anchors(self, n: Column) -> DataFrame:
-        """The ``n`` rarest terms of each window, without those that no document has."""
-        return self.ranked.where((F.col("rank") <= n) & (F.col("df") > 0)).select("term", "offset", "window")
-
-    def _postings(self, anchors: DataFrame) -> DataFrame:
-        wanted = bounded_broadcast(anchors.select("term").distinct(), BROADCAST_ROWS)
-        reach = self.width - 1
-        first = F.greatest(F.col("pos") - reach, F.lit(0))
-        return stored(
-            self._tokens(keep_words=True).join(wanted, "term")
-            .select("term", "doc_id", "th", "pos", first.alias("first"),
-                    F.slice("w", first + 1, F.col("pos") - first + self.width).alias("around"))
-            .sortWithinPartitions("term"),
-            "postings",
-        )
+    def _tokens(self) -> DataFrame:
+        w = self.docs.select("doc_id", "th", F.concat(words(F.col("text")), F.array(F.lit(""))).alias("w"))
+        return w.select("doc_id", "th", F.posexplode("w").alias("pos", "term"))
 
-    def _tokens(self, keep_words: bool = False) -> DataFrame:
-        w = self.docs.select("doc_id", "th", words(F.col("text")).alias("w"))
-        kept = ["doc_id", "th", "w"] if keep_words else []
-        return w.select(*kept, F.posexplode("w").alias("pos", "term"))
-
-    def _candidates(self, n: Column) -> DataFrame:
-        anchors = self._anchors(n)
-        start = F.col("pos") - F.col("offset")
+    def _starts(self, rank: int) -> DataFrame:
+        """(doc_id, th, start, window, n): where windows would start by the postings of one rank."""
+        places = self.places.where(F.col("rank") == rank).select("term", "offset", "window", "n")
         return (
-            self._postings(anchors).join(bounded_broadcast(anchors, BROADCAST_ROWS), "term")
-            .withColumns({"start": start, "n": F.size("window")})
+            self.postings.join(bounded_broadcast(places, BROADCAST_ROWS), "term")
+            .select("doc_id", "th", (F.col("pos") - F.col("offset")).alias("start"), "window", "n").where("start >= 0")
         )
 
     def phrases(self) -> DataFrame:
         """(doc_id, th, start, n, window) of each exact occurrence of a window."""
-        at = F.col("start") - F.col("first")
-        there = F.slice("around", F.greatest(at, F.lit(0)) + 1, F.col("n"))
-        return (
-            self._candidates(F.lit(1)).where((at >= 0) & (there == F.col("window")))
-            .select("doc_id", "th", "start", "n", "window")
+        key = ["doc_id", "th", "start", "window"]
+        first, second = self._starts(1).distinct(), self._starts(2).select(*key)
+        two = stored(
+            first.where("n = 1").unionByName(first.where("n > 1").alias("a").join(second.alias("b"), _same(key, "a", "b"), "left_semi")),
+            "phrase-starts",
+        )
+        further = bounded_broadcast(self.places.where("rank > 2").select("window", "offset", "term"), BROADCAST_ROWS * self.width)
+        awaited = two.where("n > 2").join(further, "window").select(*key, "n", "term", (F.col("start") + F.col("offset")).alias("pos"))
+        held = bounded_broadcast(two.where("n > 2").select("doc_id", "th").distinct(), BROADCAST_ROWS)
+        there = self.postings.alias("a").join(held.alias("b"), _same(["doc_id", "th"], "a", "b"), "left_semi")
+        met = awaited.alias("a").join(there.alias("b"), _same(["doc_id", "th", "pos", "term"], "a", "b"), "left_semi")
+        whole = met.groupBy(*key, "n").agg(F.count("*").alias("met")).where("met = n - 2")
+        return two.where("n <= 2").unionByName(whole.drop("met")).select("doc_id", "th", "start", "n", "window")
+
+    def _near_candidates(self, absent: Column) -> DataFrame:
+        """Anchor postings of each window, with the words around them."""
+        order = W.partitionBy("window").orderBy(F.coalesce("df", F.lit(0)), "term")
+        ranked = (
+            self.places.groupBy("window", "term", "df").agg(F.min("offset").alias("offset"))
+            .withColumn("rank", F.row_number().over(order))
         )
+        anchors = ranked.where((F.col("rank") <= absent + 1) & (F.col("df") > 0)).select("term", "offset", "window")
+        anchors = stored(anchors, "bench-anchors")
+        reach = self.width - 1
+        first = F.greatest(F.col("pos") - reach, F.lit(0))
+        w = self.docs.select("doc_id", "th", words(F.col("text")).alias("w"))
+        tokens = w.select("doc_id", "th", "w", F.posexplode("w").alias("pos", "term"))
+        around = F.slice("w", first + 1, F.col("pos") - first + self.width).alias("around")
+        wanted = anchors.select("term").distinct()
+        kept = ["doc_id", "th", "pos", "term"]
+        if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+            postings = tokens.join(F.broadcast(wanted), "term").select(*kept, around)
+        else:  # a shuffle should carry the words around a posting, not the whole text
+            postings = tokens.select(*kept, around).join(wanted, "term")
+        return postings.join(bounded_broadcast(anchors, BROADCAST_ROWS), "term").withColumn("start", F.col("pos") - F.col("offset"))
+
+    def _lengths(self) -> DataFrame:
+        return self.postings.where("term = ''").select("doc_id", "th", F.col("pos").cast("long").alias("n_words"))
 
     def proximity(self, near: float = 0.8) -> DataFrame:
         """(doc_id, th, start, window, share): windows of which ``near`` of the terms stand together."""
@@ -116,7 +138,7 @@ class PositionalIndex:
         distinct = F.size(F.array_distinct("window"))
         absent = F.floor(distinct * (1 - near) + F.lit(1e-9))
         share = F.size(F.array_intersect("around", "window")) / distinct
-        return self._candidates(absent + 1).withColumn("share", share).where(F.col("share") >= near)
+        return self._near_candidates(absent).withColumn("share", share).where(F.col("share") >= near)
 
     def near_report(self, near: float = 0.8) -> DataFrame:
         """One row for each document row: n_words, n_near (windows), n_near_items, near_items and best_share."""
@@ -128,7 +150,7 @@ class PositionalIndex:
             .agg(F.count("*").alias("n_near"), F.max("share").alias("share"),
                  F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
         )
-        rows = self.docs.select("doc_id", "th", F.size(words(F.col("text"))).cast("long").alias("n_words"))
+        rows = self._lengths()
         same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))
         items = F.coalesce("items", F.array().cast("array<string>"))
         return (
@@ -156,7 +178,7 @@ class PositionalIndex:
             .join(which.select(F.col("doc_id").alias("__id2"), F.col("th").alias("__th2"), "items"),
                   F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__th") == F.col("__th2")))
         )
-        rows = self.docs.select("doc_id", "th", F.size(words(F.col("text"))).cast("long").alias("n_words"))
+        rows = self._lengths()
         same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))
         n_hit, items = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
         return (
