@@ -11,16 +11,19 @@ reader comments are left out: by tag, or by a class, id or role that names them
 and "share-price" do not). What holds most of the page's paragraph text is not left out for its names,
 nor as a form or header. Character references are decoded, white space in a block becomes one
 space, and blocks are joined by newlines. Null, empty or text-free pages give ''. Pages without a
-host vote together as host ''. Repeated rows give equal texts, an empty table an empty result;
-columns other than page_id, url and html are ignored.
+host vote together as host ''. Repeated rows give equal texts, a null page_id stays null, an empty
+table gives an empty result; columns other than page_id, url and html are ignored. Time and memory
+grow with a page's length, however deep its elements are nested.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
-import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,12 +37,12 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+_ATTRIBUTE = re.compile(r"(?<![^\s/>\"'])([^\s=/>\"']++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _PARTS = re.compile(r"[a-z]+")
 _STYLE_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object select".split())
+RAW = frozenset("script style noscript template iframe textarea title svg object select".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
@@ -69,27 +72,52 @@ HEADERS = frozenset(("header", "banner"))
 PARAGRAPHS = frozenset("p pre blockquote".split())
 #: Share of the page's kept text that counts as nearly all.
 NEARLY = 0.95
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LISTS = frozenset(("ul", "ol", "dl", "table"))
+NOT_P = BLOCKS - {"p"}
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "attrs", "path", "score", "kept", "share")
+    __slots__ = ("tag", "parent", "children", "attrs", "step", "path_id", "score", "kept", "share", "links", "heading", "article", "out")
 
     def __init__(self, tag: str, parent: Node | None, attrs: dict[str, str]):
         self.tag, self.parent, self.attrs = tag, parent, attrs
         self.children: list[Node | str] = []
         self.score = self.kept = 0.0
         self.share = 0.0  # of the page's paragraph text
+        self.links = 0  # characters of link text below
+        self.heading = tag in HEADINGS  # or one below
+        self.article = bool(parent) and (parent.article or parent.tag in ("article", "main"))
+        self.out: bool | None = None  # whether it or an element around it is dropped, once that is known
         classes = ".".join(sorted({re.sub(r"\d+", "", c) for c in attrs.get("class", "").lower().split()}))
-        own = f"{tag}.{classes}" if classes else tag
-        self.path = f"{parent.path}/{own}" if parent and parent.path else own
+        self.step = f"{tag}.{classes}" if classes else tag
+        self.path_id = xxhash.xxh3_64_intdigest(self.step.encode("utf-8", "surrogatepass"), parent.path_id) if parent else 0
+
+    @property
+    def path(self) -> str:
+        """The tags and classes from the top, with digits left out; ``path_id`` is its hash."""
+        steps, up = [], self
+        while up.parent:
+            steps.append(up.step)
+            up = up.parent
+        return "/".join(reversed(steps))
 
 
 def parse(html: str) -> Node:
     """A tree of the elements; open paragraphs, items and cells are closed as browsers do."""
     root = node = Node("", None, {})
-    root.path = ""
+    opened: Counter[str] = Counter()
     at, size = 0, len(html)
+
+    def up_to(target: Node) -> Node:
+        """Closes the elements inside ``target``."""
+        x = node
+        while x is not target:
+            opened[x.tag] -= 1
+            x = x.parent
+        return target
+
     while at < size:
         m = _TOKEN.search(html, at)
         if m is None:
@@ -103,11 +131,11 @@ def parse(html: str) -> Node:
             continue
         tag = name.lower()
         if m.group(1) or m.group(4):
-            up = node
-            while up.parent and up.tag != tag:
-                up = up.parent
-            if up.parent:
-                node = up.parent
+            if opened[tag] > 0:
+                up = node
+                while up.tag != tag:
+                    up = up.parent
+                node = up_to(up.parent)
             continue
         rest = m.group(3) or m.group(6) or ""
         if tag in RAW:
@@ -115,35 +143,43 @@ def parse(html: str) -> Node:
                 end = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(html, at)
                 at = end.end() if end else size
             continue
-        if tag in BLOCKS or tag in CLOSES:
-            node = _close(node, ("p",), BLOCKS - {"p"})
-        if tag in CLOSES:
-            node = _close(node, CLOSES[tag], frozenset(("ul", "ol", "dl", "table")))
-        if tag in ("html", "body", "head") and not rest.strip() and any(True for _ in _up(node, tag)):
+        if (tag in BLOCKS or tag in CLOSES) and opened["p"] > 0:
+            node = up_to(_close(node, ("p",), NOT_P))
+        if tag in CLOSES and any(opened[x] > 0 for x in CLOSES[tag]):
+            node = up_to(_close(node, CLOSES[tag], LISTS))
+        if tag in ("html", "body", "head") and not rest.strip() and opened[tag] > 0:
             continue
         if tag == "body":
-            while node.parent and node.tag != "html":
-                node = node.parent
+            up = node
+            while up.parent and up.tag != "html":
+                up = up.parent
+            node = up_to(up)
         child = Node(tag, node, {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(rest)} if rest else {})
         if "hidden" in rest and re.search(r"(?:^|\s)hidden(?:\s|$|=)", rest):
             child.attrs.setdefault("hidden", "hidden")
         node.children.append(child)
         if tag not in VOID and not rest.endswith("/"):
             node = child
+            opened[tag] += 1
     _weigh(root)
     return root
 
 
 def _weigh(root: Node):
-    """Sets each element's share of the page's paragraph text, links left out."""
+    """Sets each element's share of the page's paragraph text, links left out, its link text and whether it has a heading."""
     nodes = list(_elements(root))
     inside = {id(root): False}
     for x in nodes:
+        own = sum(len(c.strip()) for c in x.children if isinstance(c, str))
         inside[id(x)] = x.tag != "a" and (x.tag in PARAGRAPHS or inside[id(x.parent)])
         if inside[id(x)]:
-            x.share = float(sum(len(c.strip()) for c in x.children if isinstance(c, str)))
+            x.share = float(own)
+        if x.tag == "a":
+            x.links = own
     for x in reversed(nodes):
         x.parent.share += x.share
+        x.parent.links += x.links
+        x.parent.heading = x.parent.heading or x.heading
     total = root.share
     if total:
         root.share = 1.0
@@ -151,13 +187,6 @@ def _weigh(root: Node):
             x.share /= total
 
 
-def _up(node: Node, tag: str):
-    while node:
-        if node.tag == tag:
-            yield node
-        node = node.parent
-
-
 def _close(node: Node, tags: tuple, until: frozenset) -> Node:
     """The parent of the nearest open element among ``tags``, looking no further than ``until``."""
     up = node
@@ -170,14 +199,6 @@ def _close(node: Node, tags: tuple, until: frozenset) -> Node:
     return node
 
 
-def _heads_article(node: Node) -> bool:
-    """A header inside an article that holds its headline."""
-    up = node.parent
-    while up and up.tag not in ("article", "main"):
-        up = up.parent
-    return bool(up) and any(x.tag in ("h1", "h2") for x in _elements(node))
-
-
 def _elements(node: Node):
     stack = [node]
     while stack:
@@ -202,7 +223,7 @@ def dropped(node: Node) -> bool:
     if node.tag in DROPPED:
         return not (most and node.tag == "form")
     if node.tag == "header":
-        return not most and not _heads_article(node)
+        return not most and not (node.article and node.heading)
     a = node.attrs
     if not a or node.tag in ("body", "html"):
         return False
@@ -212,7 +233,19 @@ def dropped(node: Node) -> bool:
         return True
     if most:
         return False
-    return _named(node, MARKS, PREFIXES) or (_named(node, HEADERS) and not _heads_article(node))
+    return _named(node, MARKS, PREFIXES) or (_named(node, HEADERS) and not (node.article and node.heading))
+
+
+def outside(node: Node) -> bool:
+    """Whether an element or one around it is dropped."""
+    above = []
+    while node.out is None and node.parent:
+        above.append(node)
+        node = node.parent
+    found = bool(node.out)
+    for x in reversed(above):
+        found = x.out = found or dropped(x)
+    return found
 
 
 def blocks(node: Node) -> list[tuple[Node, str]]:
@@ -239,7 +272,7 @@ def blocks(node: Node) -> list[tuple[Node, str]]:
         elif x.tag == "br" or x.tag in ("td", "th"):
             held.append(" ")
             stack.extend((c, False) for c in reversed(x.children))
-        elif not dropped(x):
+        elif not outside(x):
             if x.tag in BLOCKS:
                 flush(owners[-1])
                 owners.append(x)
@@ -251,30 +284,35 @@ def blocks(node: Node) -> list[tuple[Node, str]]:
     return out
 
 
-def _link_text(node: Node) -> int:
-    return sum(len(c.strip()) for a in _elements(node) if a.tag == "a" for c in a.children if isinstance(c, str))
-
-
 def best_container(root: Node) -> tuple[Node, float]:
-    """The container with the most paragraph text near its top, widened to the whole article, and its score."""
-    best, top, total = root, 0.0, 0.0
+    """The container with the most paragraph text near its top, widened to the whole article, and its score.
+
+    A text counts for the nearest container, by halves for the three around that.
+    """
+    own: dict[int, list[float]] = {}
     headline = None
     for owner, text in blocks(root):
-        value = max(0.0, len(text) - 2.0 * _link_text(owner)) if owner.tag else len(text)
+        value = max(0.0, len(text) - 2.0 * owner.links) if owner.tag else float(len(text))
         if owner.tag in ("h1", "h2") and (headline is None or (owner.tag, headline.tag) == ("h1", "h2")):
             headline = owner
-        total += value
-        up, share = owner, 1.0
-        while up is not None:
-            up.kept += value
-            if share > 0.1 and (up.tag in CONTAINERS or up is root):
-                up.score += share * value
-                weight = 1.5 if up.tag in ("article", "main") else 1.0
-                if up.score * weight > top:
-                    best, top = up, up.score * weight
-                share /= 2
-            up = up.parent
-    return _widened(best, headline, total), top
+        own.setdefault(id(owner), [0.0] * 4)[0] += value
+        owner.kept += value
+    best, top = root, 0.0
+    for x in [*reversed(list(_elements(root))), root]:
+        held = own.pop(id(x), None)
+        if held and (x.tag in CONTAINERS or x is root):
+            x.score = sum(v / 2**i for i, v in enumerate(held))
+            weighted = x.score * (1.5 if x.tag in ("article", "main") else 1.0)
+            if weighted > 0 and weighted >= top:
+                best, top = x, weighted
+            held = [0.0, *held[:3]]
+        if x is not root:
+            x.parent.kept += x.kept
+            if held:
+                up = own.setdefault(id(x.parent), [0.0] * 4)
+                for i, v in enumerate(held):
+                    up[i] += v
+    return _widened(best, headline, root.kept), top
 
 
 def _widened(best: Node, headline: Node | None, total: float) -> Node:
@@ -297,23 +335,30 @@ def _widened(best: Node, headline: Node | None, total: float) -> Node:
     return above[-1]
 
 
-def vote(html: str | None) -> tuple[str, float]:
+def vote(html: str | None) -> tuple[str, int, float]:
+    """Path, its hash and score of a page's best container."""
     best, score = best_container(parse(html or ""))
-    return best.path, score
+    return best.path, _signed(best.path_id), score
+
 
+def _signed(x: int) -> int:
+    return x - 2**64 if x >= 2**63 else x
 
-def main_text(html: str | None, path: str | None) -> str:
-    """Text of the page at ``path``, or in its own best container."""
+
+def main_text(html: str | None, path_id: int | None) -> str:
+    """Text of the page at the path with this hash, or in its own best container."""
     if not html:
         return ""
     root = parse(html)
     found: list[Node] = []
-    if path:
+    if path_id is not None:
+        if path_id == 0:  # the path of the page itself
+            found = [root]
         inside: set[int] = set()
         for x in _elements(root):
             if id(x.parent) in inside:
                 inside.add(id(x))
-            elif x.path == path and not _in_dropped(x):
+            elif _signed(x.path_id) == path_id and not outside(x):
                 found.append(x)
                 inside.add(id(x))
     lines = [t for x in found for _, t in blocks(x)]
@@ -322,25 +367,26 @@ def main_text(html: str | None, path: str | None) -> str:
     return "\n".join(lines)
 
 
-def _in_dropped(node: Node) -> bool:
-    while node:
-        if node.tag and dropped(node):
-            return True
-        node = node.parent
-    return False
-
-
 def host_paths(pages: DataFrame) -> DataFrame:
-    """(host, path): the path that most pages of the host vote for."""
+    """(host, path, path_id): the path that most pages of the host vote for."""
 
     def run(parts):
         for part in parts:
-            votes = [vote(h) for h in part["html"]]
-            yield pd.DataFrame({"host": part["host"], "path": [p for p, _ in votes], "score": [s for _, s in votes]})
-
-    votes = pages.select(url_host(F.col("url")).alias("host"), "html").mapInPandas(run, "host string, path string, score double")
-    counted = votes.where("score > 0").groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
-    return counted.groupBy("host").agg(F.max(F.struct("n", F.round("score", 3).alias("score"), "path")).alias("x")).select("host", "x.path")
+            votes = [vote(h.as_py()) for h in part.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0), pa.array([v[0] for v in votes], pa.string()), pa.array([v[1] for v in votes], pa.int64()),
+                    pa.array([v[2] for v in votes], pa.float64()),
+                ],
+                ["host", "path", "path_id", "score"],
+            )
+
+    votes = pages.select(url_host(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, path string, path_id long, score double")
+    counted = votes.where("score > 0").groupBy("host", "path_id").agg(
+        F.count("*").alias("n"), F.sum("score").alias("score"), F.min("path").alias("path")
+    )
+    best = F.max(F.struct("n", F.round("score", 3).alias("score"), "path", "path_id")).alias("x")
+    return counted.groupBy("host").agg(best).select("host", "x.path", "x.path_id")
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
@@ -349,13 +395,14 @@ def extract_text(pages: DataFrame) -> DataFrame:
 
     def run(parts):
         for part in parts:
-            text = [main_text(h, p) for h, p in zip(part["html"], part["path"], strict=True)]
-            yield pd.DataFrame({
-                "page_id": part["page_id"], "url": part["url"], "text": text, "n_chars": [len(t) for t in text], "path": part["path"],
-            })
+            text = [main_text(h.as_py(), p.as_py()) for h, p in zip(part.column(2), part.column(4), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64()), part.column(3)],
+                ["page_id", "url", "text", "n_chars", "path"],
+            )
 
-    rows = pages.select("page_id", "url", "html", url_host(F.col("url")).alias("host"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", url_host(F.col("url")).alias("host"))
     return (
-        rows.join(bounded_broadcast(paths, BROADCAST_HOSTS), "host", "left").select("page_id", "url", "html", "path")
-        .mapInPandas(run, "page_id long, url string, text string, n_chars long, path string")
+        rows.join(bounded_broadcast(paths, BROADCAST_HOSTS), "host", "left").select("page_id", "url", "html", "path", "path_id")
+        .mapInArrow(run, "page_id long, url string, text string, n_chars long, path string")
     )
