@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 
 from strokeflow.operators import asof, series, stats
 from strokeflow.operators.series import in_order
+from strokeflow.sources.scratch import stored
 
 GROUP = ["session_id", "threshold_no", "speed_bin"]
 
@@ -335,10 +336,11 @@ def missing_reason(df: DataFrame, cfg: BrakingConfig) -> DataFrame:
 
 def braking_report(samples: DataFrame, pulses: DataFrame, cfg: BrakingConfig) -> dict[str, DataFrame]:
     """All tables of the braking analysis."""
-    df = prepare(samples, pulses, cfg).persist()  # read by all tables; lost parts are computed again
-    expanded = expand(df, cfg)
-    found = events(expanded, df, cfg)
-    rows = metric_rows(expanded, found, cfg)
+    # What several tables read is written once.
+    df = stored(prepare(samples, pulses, cfg), "braking")
+    expanded = stored(expand(df, cfg), "braking-expanded")
+    found = stored(events(expanded, df, cfg), "braking-events")
+    rows = stored(metric_rows(expanded, found, cfg), "braking-rows")
     selected = select_rows(rows, cfg).withColumn("flag", bin_flag(cfg))
     chosen = found.join(selected.select("session_id", "threshold_no").distinct(), ["session_id", "threshold_no"])
     summary = roll_up(selected).join(event_summary(chosen).select("session_id", "pack_down_p75"), "session_id", "left")

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from strokeflow.operators import asof, hist, islands, series, stats
 from strokeflow.operators.series import in_order, per_session
+from strokeflow.sources.scratch import stored
 
 #: Codes of the motion states, in the order in which state tables list them.
 MOTIONS = {"braking": 0, "coasting": 1, "accelerating": 2, "unknown": 3}
@@ -357,8 +358,9 @@ def findings(states: DataFrame, found: DataFrame, quality: DataFrame, cfg: Break
 
 def breakdown_report(df: DataFrame, coverage: DataFrame, cfg: BreakdownConfig, most: int = 8) -> dict[str, DataFrame]:
     """All tables of the breakdown, with up to ``most`` findings of a session."""
-    rows = breakdown(df, cfg).persist()  # read by five tables; lost parts are computed again
-    states, found, quality = state_table(rows, cfg), detect_events(rows, cfg), quality_rows(coverage)
+    rows = stored(breakdown(df, cfg), "breakdown")  # read by five tables
+    states, found = stored(state_table(rows, cfg), "states"), stored(detect_events(rows, cfg), "events")
+    quality = quality_rows(coverage)
     return {
         "samples": rows, "states": states, "events": found, "segments": segments(rows, cfg), "speed_bands": speed_bands(rows),
         "quality": quality, "findings": findings(states, found, quality, cfg, most),

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 TEXTS = ("date", "track", "set_label", "comment")
@@ -82,17 +81,33 @@ def compare(metrics: DataFrame, labels: DataFrame, most: int = 10) -> DataFrame:
 
 def apply_template(configs: DataFrame, template: DataFrame, fields: list[str]) -> DataFrame:
     """Copy named fields of a one-row template to all configurations; the others stay."""
-    t = template.limit(1).select(*[F.col(c).alias(f"__{c}") for c in fields])
-    return configs.crossJoin(F.broadcast(t)).withColumns({c: F.col(f"__{c}") for c in fields}).drop(*[f"__{c}" for c in fields])
+    row = template.select(*fields).first()
+    if row is None:
+        return configs.where("false")
+    return configs.withColumns({c: F.lit(row[c]).cast(template.schema[c].dataType) for c in fields})
 
 
-SUMMARY = T.StructType([
-    T.StructField("session_id", T.StringType()), T.StructField("source_path", T.StringType()), T.StructField("start_epoch", T.LongType()),
-    T.StructField("duration_us", T.LongType()), T.StructField("_corrupt_record", T.StringType()),
-])
+#: What the summary of an exported session counts and measures.
+COUNTS = ("analog_rows", "wheel_rows", "stat_rows", "imu_burst_rows", "imu_frame_rows")
+EXTENTS = ("front_raw_min", "front_raw_max", "rear_raw_min", "rear_raw_max")
+SUMMARY = (
+    "session_id string, source_path string, file_size_bytes long, header struct<start_epoch:long, build_id:string, analog_resolution_bits:int>,"
+    " record_counts map<string, long>, derived_scales struct<front_mm_per_count:double, rear_mm_per_count:double>,"
+    f" counts struct<{', '.join(f'{c}:long' for c in COUNTS)}>,"
+    " timing struct<first_host_timestamp_us:long, last_host_timestamp_us:long, duration_us:long>,"
+    f" analog_extents struct<{', '.join(f'{c}:int' for c in EXTENTS)}>, _corrupt_record string"
+)
 
 
 def scan_summaries(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Sessions with a readable summary; broken ones are left out."""
-    rows = spark.read.schema(SUMMARY).option("mode", "PERMISSIVE").json(paths, multiLine=True)
-    return rows.where("_corrupt_record is null and session_id is not null").drop("_corrupt_record")
+    """Sessions with a readable summary; broken ones are left out.
+
+    A summary is a line of an export's summary table (``part-*``), or a file of its own
+    (``summary.json``) in a session's folder, which then names the session.
+    """
+    reader = spark.read.schema(SUMMARY).options(mode="PERMISSIVE", recursiveFileLookup="true")
+    folder = F.element_at(F.split(F.input_file_name(), "/"), -2)
+    own = reader.option("pathGlobFilter", "summary.json").json(paths, multiLine=True).withColumn("session_id", folder)
+    lines = reader.option("pathGlobFilter", "part-*").json(paths, multiLine=False)
+    rows = own.unionByName(lines).where("_corrupt_record is null and session_id is not null").drop("_corrupt_record")
+    return rows.withColumns({"start_epoch": F.col("header.start_epoch"), "duration_us": F.col("timing.duration_us")})

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strokeflow.operators import hist, stats
 from strokeflow.operators.series import percent_scale
+from strokeflow.sources.scratch import stored
 
 KEY = ["session_id", "channel"]
 SIGNS = {"Compression": 1, "Rebound": -1}
@@ -92,7 +93,8 @@ def channel_metrics(df: DataFrame, bits: int = 12, travel_units: str = "counts",
     scaled = F.least(F.greatest(F.col("travel"), F.lit(0.0)), F.lit(100.0)) if travel_units == "%" else percent_scale(
         F.col("travel"), F.col("lo"), F.col("hi")
     )
-    rows = df.join(ends, KEY).withColumn("position", scaled)
+    # Eight parts read the rows, so they are written once.
+    rows = stored(df.join(ends, KEY).withColumn("position", scaled).select(*KEY, "seq", "dt", "raw", "travel", "velocity", "position", "lo", "hi"), "metrics")
     dt, travel, velocity, position = (F.col(c) for c in ("dt", "travel", "velocity", "position"))
     good = F.when(dt > 0, dt)
     top, margin = (1 << bits) - 1, rail_margin(bits)
@@ -143,7 +145,7 @@ def channel_metrics(df: DataFrame, bits: int = 12, travel_units: str = "counts",
         F.struct(F.lit(i).alias("place"), F.lit(m).alias("metric"), F.lit(u).alias("units"), F.lit(k).alias("category"), F.lit(v).alias("visible"))
         for i, (m, u, k, v) in enumerate(metric_catalog(travel_units, velocity_units))
     ]
-    every = ends.select(*KEY, F.explode(F.array(*catalog)).alias("m")).select(*KEY, "m.*")
+    every = wide.select(*KEY, F.explode(F.array(*catalog)).alias("m")).select(*KEY, "m.*")
     return every.join(values, [*KEY, "metric"], "left")
 
 

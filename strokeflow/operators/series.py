@@ -65,8 +65,8 @@ def sample_weights(df: DataFrame, t: str, out: str = "dt", by=BY, order=ORDER) -
 def repair_time(df: DataFrame, t: str, out: str, by=BY, order=("seq",)) -> DataFrame:
     """Strictly increasing times: a sample not after its repaired predecessor follows it by the median step.
 
-    The rule is recursive, so sessions that need it go through a grouped function; all others,
-    found by one aggregate, keep their times and never leave the JVM.
+    The rule is recursive, so sessions that need it go through one ordered pass, of which a task holds a
+    batch and the last time; all others, found by one aggregate, keep their times and never leave the JVM.
     """
     stepped = df.withColumn("__step", step(t, by, order))
     stats = stepped.groupBy(*by).agg(
@@ -76,16 +76,19 @@ def repair_time(df: DataFrame, t: str, out: str, by=BY, order=("seq",)) -> DataF
     joined = df.join(stats, list(by))
     schema = T.StructType([*joined.schema.fields, T.StructField(out, T.DoubleType())])
 
-    def fix(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order), kind="stable").reset_index(drop=True)
-        times, last, median = [], None, pdf["__median"].iloc[0]
-        for now in pdf[t].astype(float):
-            last = now if last is None or now > last else last + median
-            times.append(last)
-        return pdf.assign(**{out: times})
+    def fix(parts):
+        session, last = None, None
+        for pdf in parts:
+            times = []
+            for *key, now, median in zip(*[pdf[c] for c in by], pdf[t].astype(float), pdf["__median"], strict=True):
+                if key != session:
+                    session, last = key, None
+                last = now if last is None or now > last else last + median
+                times.append(last)
+            yield pdf.assign(**{out: times})
 
     clean = joined.where(~F.col("__broken")).withColumn(out, F.col(t).cast("double"))
-    fixed = joined.where("__broken").groupBy(*by).applyInPandas(fix, schema)
+    fixed = joined.where("__broken").repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(fix, schema)
     return clean.unionByName(fixed).drop("__median", "__broken")
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from strokeflow.sources.scratch import stored
+
 
 def weighted_mean(v: Column, w: Column) -> Column:
     known = v.isNotNull()
@@ -36,14 +39,48 @@ def _cumulated(df: DataFrame, value: str, weight: str, by: list[str], tie: list[
     })
 
 
+def _cumulated_near(df: DataFrame, value: str, weight: str, quantiles: dict[str, float], by: list[str], tie: list[str], chunks: int) -> DataFrame:
+    """As :func:`_cumulated` and :func:`_with_previous`, of the rows around the quantiles only.
+
+    A group is cut into chunks of values. Their weights, added up with partial aggregation, tell in which
+    chunks a quantile lies; only those are sorted, each in a task of its own.
+    """
+    rows = df.where(F.col(value).isNotNull() & (F.col(weight) > 0))
+    cuts = F.percentile_approx(value, F.array(*[F.lit(i / chunks) for i in range(1, chunks)]), 100 * chunks)
+    names = [F.col(c).alias(f"__{c}") for c in by]
+    # Written, as the cuts of a computation anew could differ.
+    edges = stored(rows.groupBy(*by).agg(F.array_distinct(cuts).alias("__cuts")).select(*names, "__cuts"), "quantile-cuts")
+    same = functools.reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by])
+    rows = rows.join(edges, same).drop(*[f"__{c}" for c in by])
+    rows = rows.withColumn("__chunk", F.size(F.filter("__cuts", lambda e: e < F.col(value)))).drop("__cuts")
+    sums = rows.groupBy(*by, "__chunk").agg(F.sum(weight).alias("__own"), F.max(value).alias("__top"))
+    w = W.partitionBy(*by).orderBy("__chunk")
+    sums = sums.withColumns({
+        "__before": F.coalesce(F.sum("__own").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "__below": F.lag("__top").over(w),
+        "__total": F.sum("__own").over(W.partitionBy(*by)), "__highest": F.max("__top").over(W.partitionBy(*by)),
+    })
+    goals = [F.lit(q) * F.col("__total") for q in quantiles.values()]
+    inside = [(g <= F.col("__before") + F.col("__own")) & ((g > F.col("__before")) | F.col("__below").isNull()) for g in goals]
+    last = F.col("__top") == F.col("__highest")
+    wanted = sums.where(functools.reduce(Column.__or__, inside, last)).select(
+        *names, F.col("__chunk").alias("__k"), "__before", "__below", "__total"
+    )
+    rows = rows.join(wanted, same & (F.col("__chunk") == F.col("__k"))).drop("__k", *[f"__{c}" for c in by])
+    w = W.partitionBy(*by, "__chunk").orderBy(value, *tie)
+    rows = rows.withColumn("__cum", F.col("__before") + F.sum(weight).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    start = F.when(F.col("__below").isNotNull(), F.col("__before"))
+    return rows.withColumns({"__cum0": F.coalesce(F.lag("__cum").over(w), start), "__v0": F.coalesce(F.lag(value).over(w), F.col("__below"))})
+
+
 def weighted_quantiles_inv(
-    df: DataFrame, value: str, weight: str, quantiles: dict[str, float], by: list[str], tie: list[str]
+    df: DataFrame, value: str, weight: str, quantiles: dict[str, float], by: list[str], tie: list[str], chunks: int = 0
 ) -> DataFrame:
     """Inverse-CDF quantiles: the smallest value whose cumulated weight reaches q of the total.
 
-    ``tie`` makes the order total, so that sums are taken in one order.
+    ``tie`` makes the order total, so that sums are taken in one order. With ``chunks``, groups may have
+    any size: a group is sorted in as many parts, and only where a quantile lies.
     """
-    rows = _cumulated(df, value, weight, by, tie)
+    rows = _cumulated_near(df, value, weight, quantiles, by, tie, chunks) if chunks else _cumulated(df, value, weight, by, tie)
     return rows.groupBy(*by).agg(*[_reached(value, q, F.lit(True)).alias(name) for name, q in quantiles.items()])
 
 
@@ -82,10 +119,13 @@ def _on_line(value: str, q: float, on: Column) -> Column:
 
 
 def weighted_quantiles_interp(
-    df: DataFrame, value: str, weight: str, quantiles: dict[str, float], by: list[str], tie: list[str]
+    df: DataFrame, value: str, weight: str, quantiles: dict[str, float], by: list[str], tie: list[str], chunks: int = 0
 ) -> DataFrame:
-    """Quantiles on the line through (cumulated weight, value), held at both ends."""
-    rows = _with_previous(_cumulated(df, value, weight, by, tie), value, by, tie)
+    """Quantiles on the line through (cumulated weight, value), held at both ends; ``chunks`` as above."""
+    if chunks:
+        rows = _cumulated_near(df, value, weight, quantiles, by, tie, chunks)
+    else:
+        rows = _with_previous(_cumulated(df, value, weight, by, tie), value, by, tie)
     return rows.groupBy(*by).agg(*[_on_line(value, q, F.lit(True)).alias(name) for name, q in quantiles.items()])
 
 

@@ -6,6 +6,7 @@ from strokeflow.operators import braking as b
 from strokeflow.operators import series
 from strokeflow.registry.base import F, WEIGHTED_SQL, query, rounded, weighted_samples
 from strokeflow.registry.series import _gradient_sql, _P, _padded_sql
+from strokeflow.sources.scratch import stored
 
 CFG = b.BrakingConfig(
     speed_source=(0.0, 1000.0), valid_speed=(5.0, 450.0), valid_accel=1000.0, valid_stroke=(0.0, 100.0), coasting_accel=2.0,
@@ -99,8 +100,9 @@ ev AS (SELECT * EXCLUDE (run), row_number() OVER (PARTITION BY session_id ORDER
 
 
 def _events(spark, folder):
-    df = b.prepare(*_inputs(spark, folder), CFG)
-    x = b.expand(df, CFG)
+    # Both are read several times, so they are written once.
+    df = stored(b.prepare(*_inputs(spark, folder), CFG), "braking")
+    x = stored(b.expand(df, CFG), "braking-expanded")
     return x, b.events(x, df, CFG)
 
 

@@ -7,6 +7,7 @@ from strokeflow.operators import breakdown as b
 from strokeflow.registry.base import F, query, rounded, weighted_samples
 from strokeflow.registry.series import _P, _W, _gradient_sql, _padded_sql
 from strokeflow.registry.stats import _BAL, bin_sql
+from strokeflow.sources.scratch import stored
 
 CFG = b.BreakdownConfig(
     speed_edges=(40.0, 80.0, 160.0), motion_window=3, min_segment=2, repeated_window=3, pack_window=3, speed_scale=1.0, repeated_speed=20.0,
@@ -15,15 +16,21 @@ CFG = b.BreakdownConfig(
 )
 
 
-def samples(spark, folder):
+def positions(spark, folder):
+    """Samples with the travel, velocity and balance of both channels."""
     df = metrics.balance_rows(weighted_samples(spark, folder))
-    pulses = df.where("code = 'click'").select("session_id", F.col("t_h").alias("t"), F.col("front").alias("v"), series.step("t_h").alias("p"))
     w = series.in_order()
-    rows = df.select(
+    return df.select(
         "session_id", "t_us", "seq", F.col("t_h").alias("t"), "dt", F.col("front_pct").alias("front_travel"), F.col("rear_pct").alias("rear_travel"),
         (F.col("front_pct") - F.lag("front_pct").over(w)).alias("front_velocity"), (F.col("rear_pct") - F.lag("rear_pct").over(w)).alias("rear_velocity"),
         "balance_pct", "front_share_pct",
     )
+
+
+def samples(spark, folder):
+    df = weighted_samples(spark, folder)
+    pulses = df.where("code = 'click'").select("session_id", F.col("t_h").alias("t"), F.col("front").alias("v"), series.step("t_h").alias("p"))
+    rows = positions(spark, folder)
     return asof.hold_with_timeout(rows, pulses, "t", "v", "p", "speed")
 
 
@@ -31,16 +38,22 @@ def classified(spark, folder):
     return b.breakdown(samples(spark, folder), CFG)
 
 
+def kept(spark, folder):
+    """The classified samples as a table, for queries that read them several times."""
+    return stored(classified(spark, folder), "classified")
+
+
 _S = "OVER (PARTITION BY session_id, stretch ORDER BY t_us, seq)"
 _W3 = "OVER (PARTITION BY session_id, v IS NULL ORDER BY t_us, seq)"
-CLASS = _BAL + f""",
+CLASS_BASE = _BAL + """,
 cq AS (SELECT session_id, t_h, front AS v, t_h - lag(t_h) OVER (PARTITION BY session_id ORDER BY t_us, seq) AS p FROM d WHERE code = 'click'),
 c0 AS (SELECT b.session_id, b.t_us, b.seq, b.t_h, b.dt, f AS front_travel, r AS rear_travel, f - lag(f) OVER w AS front_velocity, r - lag(r) OVER w AS rear_velocity,
   bal AS balance_pct, share AS front_share_pct, cq.t_h AS tp, cq.v AS vp, cq.p AS pp,
   CASE WHEN cq.p IS NOT NULL AND b.t_h < cq.t_h + 1.5 * cq.p THEN cq.v END AS held FROM b ASOF LEFT JOIN cq ON b.session_id = cq.session_id AND b.t_h >= cq.t_h
   WINDOW w AS (PARTITION BY b.session_id ORDER BY b.t_us, b.seq)),
 cf AS (SELECT session_id, min(t_h) AS ft FROM cq GROUP BY session_id),
-c1 AS (SELECT c0.*, CASE WHEN held IS NOT NULL THEN held WHEN t_h < ft AND ft > 0 THEN 0.0 END AS speed FROM c0 LEFT JOIN cf USING (session_id)),
+c1 AS (SELECT c0.*, CASE WHEN held IS NOT NULL THEN held WHEN t_h < ft AND ft > 0 THEN 0.0 END AS speed FROM c0 LEFT JOIN cf USING (session_id))"""
+CLASS = CLASS_BASE + f""",
 kn AS (SELECT session_id, t_h, speed AS v FROM c1 WHERE speed IS NOT NULL),
 ga AS (SELECT c1.*, a.t_h AS ta, a.v AS va FROM c1 ASOF LEFT JOIN kn a ON c1.session_id = a.session_id AND c1.t_h >= a.t_h),
 gb AS (SELECT ga.*, z.t_h AS tb, z.v AS vb FROM ga ASOF LEFT JOIN kn z ON ga.session_id = z.session_id AND ga.t_h <= z.t_h),
@@ -130,7 +143,7 @@ def _r(names=_NUM) -> str:
 
 @query("e22_selection_summary", f"WITH {CLASS}, {summary_sql('k', 'session_id')} SELECT session_id, {_INT}, {_r()} FROM su")
 def e22(spark, folder):
-    return rounded(b.selection_summary(classified(spark, folder), ["session_id"], CFG), 4)
+    return rounded(b.selection_summary(kept(spark, folder), ["session_id"], CFG), 4)
 
 
 _BY = "session_id, band, band_label, motion, activity"
@@ -147,7 +160,7 @@ stt AS (SELECT su.*, 100.0 * duration / al AS session_pct, printf('S%03d', row_n
 
 @query("e23_state_table", f"WITH {STATES} SELECT {_BY}, state_id, round(session_pct, 4) AS session_pct, array_to_string(flags, ',') AS flags, {_INT}, {_r()} FROM stt")
 def e23(spark, folder):
-    df = b.state_table(classified(spark, folder), CFG)
+    df = b.state_table(kept(spark, folder), CFG)
     return rounded(df.withColumn("flags", F.array_join("flags", ",")), 4)
 
 
@@ -185,14 +198,14 @@ _EV = ["start_t", "end_t", "duration", "mean_speed", "peak_decel", "peak_accel"]
 
 @query("j8_events", f"WITH {EVENTS} SELECT session_id, event_id, event_type, channel, motion, activity, {_r(_EV)} FROM ev")
 def j8(spark, folder):
-    return rounded(b.detect_events(classified(spark, folder), CFG), 4)
+    return rounded(b.detect_events(kept(spark, folder), CFG), 4)
 
 
 @query("f11_segments", f"""WITH {CLASS}, sel AS (SELECT * FROM k WHERE segment >= 0), {summary_sql('sel', 'session_id, segment')},
 fi AS (SELECT session_id, segment, arg_min(band_label, t_us) AS speed_band, arg_min(motion, t_us) AS segment_motion FROM sel GROUP BY ALL)
 SELECT session_id, printf('A%03d', segment::BIGINT + 1) AS segment_id, 'speed_motion' AS kind, speed_band, segment_motion, {_INT}, {_r()} FROM su JOIN fi USING (session_id, segment) WHERE duration >= 12""")
 def f11(spark, folder):
-    return rounded(b.segments(classified(spark, folder), CFG).where("kind = 'speed_motion'"), 4)
+    return rounded(b.segments(kept(spark, folder), CFG).where("kind = 'speed_motion'"), 4)
 
 
 @query("f11_repeated_sections", f"""WITH {CLASS}, z0 AS (SELECT *, CASE WHEN repeated <> lag(repeated) {_W} THEN 1 ELSE 0 END AS z FROM k), z1 AS (SELECT *, sum(z) {_W} AS hrun FROM z0),
@@ -200,7 +213,7 @@ h AS (SELECT *, row_number() OVER (PARTITION BY session_id, hrun ORDER BY t_us,
 g AS (SELECT session_id, hrun, sum(dt) AS duration, max(motion) FILTER (rn = 1 + n // 2) AS segment_motion FROM h GROUP BY ALL)
 SELECT session_id, printf('R%03d', row_number() OVER (PARTITION BY session_id ORDER BY hrun)) AS segment_id, segment_motion, round(duration, 4) AS duration FROM g WHERE duration >= 6""")
 def f11r(spark, folder):
-    df = b.segments(classified(spark, folder), CFG).where("kind = 'repeated_hits'")
+    df = b.segments(kept(spark, folder), CFG).where("kind = 'repeated_hits'")
     return rounded(df.select("session_id", "segment_id", "segment_motion", "duration"), 4)
 
 
@@ -214,7 +227,7 @@ zg AS (SELECT *, unnest(generate_series(1, 5)) AS band FROM zq)
 SELECT zg.session_id, zg.band::INTEGER AS band, printf('P%d-%d', (zg.band - 1) * 20, zg.band * 20) AS label, round(e[zg.band], 4) AS speed_min, round(e[zg.band + 1], 4) AS speed_max,
   round(coalesce(t, 0), 4) AS time, round(100.0 * coalesce(t, 0) / al, 4) AS time_pct, round(ms, 4) AS mean_speed FROM zg LEFT JOIN zb ON zg.session_id = zb.session_id AND zg.band = zb.band""")
 def e21(spark, folder):
-    return rounded(b.speed_bands(samples(spark, folder)), 4)
+    return rounded(b.speed_bands(stored(samples(spark, folder), "samples")), 4)
 
 
 @query("e20_response_bins", f"""WITH {CLASS}, z AS (SELECT * FROM k WHERE dt > 0 AND speed IS NOT NULL), zr AS (SELECT session_id, min(speed) AS lo, max(speed) AS hi FROM z GROUP BY session_id),
@@ -225,7 +238,7 @@ SELECT session_id, bin, round(sum(dt), 4) AS time, round(sum(rear_travel * dt) /
 {', '.join(f'round(arg_min(coalesce(v0 + (rear_travel - v0) * ({q} * tot - c0) / (cum - c0), rear_travel), cum) FILTER (cum >= {q} * tot), 4) AS {n}' for n, q in (('p10', 0.1), ('p50', 0.5), ('p90', 0.9)))}
 FROM z1 GROUP BY session_id, bin""")
 def e20(spark, folder):
-    return rounded(b.response_bins(samples(spark, folder), "speed", "rear_travel", 6), 4)
+    return rounded(b.response_bins(stored(samples(spark, folder), "samples"), "speed", "rear_travel", 6), 4)
 
 
 def _coverage(spark, folder):
@@ -289,13 +302,17 @@ def j11(spark, folder):
     return found.select("session_id", "severity", "title")
 
 
-@query("j12_report_sizes", f"""WITH {_FIND} SELECT 'samples' AS part, session_id, count(*) AS n FROM k GROUP BY session_id UNION ALL SELECT 'states', session_id, count(*) FROM su GROUP BY session_id
+@query("j12_report_sizes", f"""WITH {_FIND}, z0 AS (SELECT *, CASE WHEN repeated <> lag(repeated) {_W} THEN 1 ELSE 0 END AS z FROM k), z1 AS (SELECT *, sum(z) {_W} AS hrun FROM z0)
+SELECT 'samples' AS part, session_id, count(*) AS n FROM k GROUP BY session_id UNION ALL SELECT 'states', session_id, count(*) FROM su GROUP BY session_id
   UNION ALL SELECT 'events', session_id, count(*) FROM ev GROUP BY session_id UNION ALL SELECT 'findings', session_id, count(*) FROM rk WHERE place <= 8 GROUP BY session_id
-  UNION ALL SELECT 'quality', session_id, count(*) FROM qu GROUP BY session_id""")
+  UNION ALL SELECT 'quality', session_id, count(*) FROM qu GROUP BY session_id
+  UNION ALL SELECT 'segments', session_id, count(*) FROM (SELECT session_id, segment AS part FROM k WHERE segment >= 0 AND dt > 0 GROUP BY ALL HAVING sum(dt) >= 12
+    UNION ALL SELECT session_id, hrun FROM z1 WHERE repeated AND dt > 0 GROUP BY ALL HAVING sum(dt) >= 6) GROUP BY session_id
+  UNION ALL SELECT 'speed_bands', session_id, 5 FROM k WHERE dt > 0 AND speed IS NOT NULL GROUP BY session_id""")
 def j12(spark, folder):
     report = b.breakdown_report(samples(spark, folder), _coverage(spark, folder), CFG)
     out = None
-    for part in ("samples", "states", "events", "findings", "quality"):
+    for part in ("samples", "states", "events", "findings", "quality", "segments", "speed_bands"):
         n = report[part].groupBy("session_id").agg(F.count("*").alias("n")).select(F.lit(part).alias("part"), "session_id", "n")
         out = n if out is None else out.unionAll(n)
     return out

@@ -7,7 +7,10 @@ from pyspark.sql import Window as W
 from strokeflow.functions import config
 from strokeflow.operators import asof, catalog, hist, metrics, sample, series, stats
 from strokeflow.operators.series import speed_sanity
+from strokeflow.plans import context
+from strokeflow.registry import breakdown
 from strokeflow.registry.base import F, SAMPLES_SQL, SQL, WEIGHTED_SQL, event_samples, query, rounded, table, weighted_samples
+from strokeflow.registry.breakdown import CLASS_BASE
 from strokeflow.registry.stats import _channels
 
 _W = "OVER (PARTITION BY session_id ORDER BY t_us, seq)"
@@ -195,7 +198,16 @@ def g9(spark, folder):
     return sample.keep_extrema(event_samples(spark, folder), ["front"], 20).select(*KEY)
 
 
-@query("g10_keep_extrema_shared")
+_PICKS = [f"arg_min(i, struct_pack(v := {sign}{c}, i := i)) AS p{n}" for n, (c, sign) in enumerate((c, s) for c in ("front", "rear") for s in ("", "-"))]
+
+
+@query("g10_keep_extrema_shared", f"""WITH {SAMPLES_SQL}, r AS (SELECT *, row_number() {_W} - 1 AS i, count(*) OVER (PARTITION BY session_id) AS n FROM s),
+b AS (SELECT *, ceil((i + 1) * 6.0 / n) - 1 AS b FROM r), p AS (SELECT session_id, {', '.join(_PICKS)} FROM b GROUP BY session_id, b),
+u AS (SELECT session_id, unnest([p0, p1, p2, p3]) AS i FROM p UNION SELECT session_id, 0 FROM p UNION SELECT session_id, n - 1 FROM r UNION SELECT session_id, i FROM r WHERE n <= 24),
+o AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY i) - 1 AS j, count(*) OVER (PARTITION BY session_id) AS m FROM u),
+k AS (SELECT DISTINCT session_id, floor(x * (m - 1) / 23.0)::BIGINT AS j FROM o, generate_series(0, 23) AS g(x)),
+f AS (SELECT o.session_id, o.i FROM o LEFT JOIN k ON o.session_id = k.session_id AND o.j = k.j WHERE m <= 24 OR k.j IS NOT NULL)
+SELECT r.session_id, r.seq FROM r JOIN f ON r.session_id = f.session_id AND r.i = f.i""")
 def g10(spark, folder):
     return sample.keep_extrema(event_samples(spark, folder), ["front", "rear"], 24).select(*KEY)
 
@@ -308,16 +320,30 @@ def c15(spark, folder):
     return rounded(derive_channels(event_samples(spark, folder), "t_h", zero_samples=25, window=3).select("session_id", "channel", "seq", "travel", "smooth", "pct"), 5)
 
 
-@query("j1_context_dataset")
+def _along(column: str, n: int) -> str:
+    """CTEs that interpolate a column of ``q`` at the times of ``c0``, as ``l{n}``."""
+    return f"""i{n} AS (SELECT c0.session_id, c0.seq, c0.t_h, a.t_h AS ta, a.{column} AS va FROM c0 ASOF LEFT JOIN q a ON c0.session_id = a.session_id AND c0.t_h >= a.t_h),
+j{n} AS (SELECT i.*, b.t_h AS tb, b.{column} AS vb FROM i{n} i ASOF LEFT JOIN q b ON i.session_id = b.session_id AND i.t_h <= b.t_h),
+l{n} AS (SELECT j.session_id, seq, CASE WHEN n = 1 THEN CASE WHEN abs(j.t_h - coalesce(ta, tb)) <= 1e-8 + 1e-5 * abs(coalesce(ta, tb)) THEN coalesce(va, vb) END
+  WHEN ta IS NOT NULL AND tb IS NOT NULL THEN CASE WHEN tb > ta THEN va + (vb - va) * (j.t_h - ta) / (tb - ta) ELSE va END END AS v FROM j{n} j LEFT JOIN nq USING (session_id))"""
+
+
+@query("j1_context_dataset", f"""WITH {CLASS_BASE}, q AS (SELECT session_id, t_h, -avg(rear) AS x, avg(front) AS z, avg(rear - front) AS y FROM d WHERE code = 'view' GROUP BY session_id, t_h),
+nq AS (SELECT session_id, count(*) AS n FROM q GROUP BY session_id), {_along('x', 1)}, {_along('z', 2)}, {_along('y', 3)},
+w AS (SELECT c1.*, l1.v AS longitudinal, l2.v AS vertical, l3.v AS pitch_rate FROM c1 JOIN l1 USING (session_id, seq) JOIN l2 USING (session_id, seq) JOIN l3 USING (session_id, seq))
+SELECT session_id, seq, round(speed, 5) AS speed_kph, round(longitudinal, 5) + 0.0 AS longitudinal, round(vertical, 5) AS vertical, round(pitch_rate, 5) + 0.0 AS pitch_rate, round(front_travel, 5) AS front_travel,
+round(rear_velocity, 5) + 0.0 AS rear_velocity, round(balance_pct, 5) + 0.0 AS balance_pct, round(front_share_pct, 5) AS front_share_pct FROM w""")
 def j1(spark, folder):
-    """Samples with held speed, interpolated IMU, roughness and balance side by side."""
-    df = metrics.balance_rows(weighted_samples(spark, folder))
+    """Samples with held speed, three inertial axes, one of them inverted, and their responses side by side."""
+    df = weighted_samples(spark, folder)
     pulses = df.where("code = 'click'").select("session_id", F.col("t_h").alias("t"), F.col("front").alias("v"), series.step("t_h").alias("p"))
-    rows = df.select("session_id", "t_us", "seq", F.col("t_h").alias("t"), "dt", "balance_pct", "front_share_pct", "front_pct", "rear_pct")
-    held = asof.hold_with_timeout(rows, pulses, "t", "v", "p", "speed")
-    views = df.where("code = 'view'").select("session_id", F.col("t_h").alias("t"), F.col("rear").alias("vertical"))
-    both = asof.interpolate_join(held, views, "t", "vertical", "vertical")
-    return rounded(series.roughness(both, "vertical", "roughness", 5))
+    frames = df.where("code = 'view'").select(
+        "session_id", F.lit(None).cast("double").alias("estimated"), F.col("t_h").alias("burst"), F.col("rear").alias("accel_x_g"),
+        F.col("front").alias("accel_z_g"), (F.col("rear") - F.col("front")).alias("gyro_y_dps"),
+    )
+    cfg = context.ContextConfig(longitudinal=("accel_x_g", True))
+    out = context.context_dataset(breakdown.positions(spark, folder), pulses, frames, cfg)
+    return rounded(out.select(*KEY, "speed_kph", "longitudinal", "vertical", "pitch_rate", "front_travel", "rear_velocity", "balance_pct", "front_share_pct"), 5)
 
 
 @query("j15_shared_histograms", f"""WITH {WEIGHTED_SQL}, g AS (SELECT session_id, sum(dt) AS al FROM d GROUP BY session_id), b AS (SELECT session_id, least(floor(front / 50), 9)::INTEGER AS bin, sum(dt) AS t FROM d

@@ -31,9 +31,14 @@ def c1(spark, folder):
     return rounded(weighted_samples(spark, folder).select(*KEY, "dt"))
 
 
-@query("c1_repair_time")
+@query("c1_repair_time", f"""WITH RECURSIVE {SAMPLES_SQL}, b AS (SELECT session_id, seq, row_number() {_W} AS i, CASE WHEN seq % 7 = 0 THEN t_h - 40 ELSE t_h END AS t_bad FROM s),
+st AS (SELECT *, t_bad - lag(t_bad) OVER (PARTITION BY session_id ORDER BY i) AS step FROM b),
+md AS (SELECT session_id, quantile_cont(step, 0.5) FILTER (step > 0) AS median FROM st GROUP BY session_id),
+g(session_id, i, t_good) AS (SELECT session_id, i, t_bad FROM b WHERE i = 1
+  UNION ALL SELECT b.session_id, b.i, CASE WHEN b.t_bad > g.t_good THEN b.t_bad ELSE g.t_good + median END FROM g JOIN b ON b.session_id = g.session_id AND b.i = g.i + 1 JOIN md ON md.session_id = g.session_id)
+SELECT b.session_id, b.seq, round(t_bad, 6) AS t_bad, round(t_good, 6) AS t_good FROM b JOIN g ON b.session_id = g.session_id AND b.i = g.i""")
 def c1_repair(spark, folder):
-    """Times of every seventh event moved back, then repaired; the recursion has no SQL."""
+    """Times of every seventh event moved back, then repaired."""
     df = event_samples(spark, folder)
     df = df.withColumn("t_bad", F.when(F.col("seq") % 7 == 0, F.col("t_h") - 40).otherwise(F.col("t_h")))
     return rounded(series.repair_time(df, "t_bad", "t_good", order=("t_us", "seq")).select(*KEY, "t_bad", "t_good"))

@@ -37,7 +37,7 @@ _QS = {"p10": 0.1, "p50": 0.5, "p90": 0.9, "p99": 0.99}
 @query("e3_wquantile_inv", f"WITH {_L}, {_CUM} SELECT l_returnflag, "
        + ", ".join(f"min(v) FILTER (cum >= {q} * total) AS {n}" for n, q in _QS.items()) + " FROM c GROUP BY l_returnflag")
 def e3(spark, folder):
-    return stats.weighted_quantiles_inv(_lines(spark, folder), "v", "w", _QS, ["l_returnflag"], ["l_orderkey", "l_linenumber"])
+    return stats.weighted_quantiles_inv(_lines(spark, folder), "v", "w", _QS, ["l_returnflag"], ["l_orderkey", "l_linenumber"], chunks=256)
 
 
 @query("e4_wquantile_interp", f"""WITH {_L}, {_CUM}, x AS (SELECT *, lag(cum) OVER o AS c0, lag(v) OVER o AS v0 FROM c
@@ -47,7 +47,7 @@ SELECT l_returnflag, """ + ", ".join(
     for n, q in _QS.items()) + " FROM x GROUP BY l_returnflag")
 def e4(spark, folder):
     df = _lines(spark, folder)
-    return rounded(stats.weighted_quantiles_interp(df, "v", "w", _QS, ["l_returnflag"], ["l_orderkey", "l_linenumber"]), 4)
+    return rounded(stats.weighted_quantiles_interp(df, "v", "w", _QS, ["l_returnflag"], ["l_orderkey", "l_linenumber"], chunks=256), 4)
 
 
 @query("e5_geometric_sd", f"""WITH {_L}, m AS (SELECT l_returnflag, sum(ln(v) * w) / sum(w) AS mu FROM l WHERE v > 0 GROUP BY l_returnflag)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from strokeflow.functions import config
+from strokeflow.operators import catalog
 from strokeflow.operators.series import default_zero, speed_sanity
 from strokeflow.plans.derive import KEY, derive_channels, to_long
 from strokeflow.sources import logs
@@ -36,6 +38,113 @@ COMMON = {
     "burst_host_time_s": "t_s", "estimated_host_timestamp_us": "estimated_t_us", "sample_timestamp_raw": "sample_tick",
 }
 
+#: The columns of an exported timeline: those of each table beside the record's, with the prefix of its kind.
+_LEFT_OUT = {"dt_us", "period_s", "burst_host_time_s", "estimated_host_timestamp_us", "estimated_host_time_s", "raw_hex"}
+_PREFIX = {"analog": "", "wheel": "", "status": "stat_", "imu_frames": "imu_", "config": "config_"}
+_RECORD = ["record_seq", "record_flags", "host_timestamp_us", "host_time_s"]
+#: The tags of the records by table.
+_TAGS = {"analog": "ANLG", "wheel": "WSPD", "status": "STAT", "imu_frames": "IMU ", "config": "CFG "}
+
+
+def columns_of(name: str) -> list[str]:
+    """The columns of an exported table, in their order."""
+    if name != "timeline":
+        return [c.split()[0] for c in TABLES[name].split(", ")]
+    own = [f"{prefix}{c}" for table, prefix in _PREFIX.items() for c in columns_of(table) if c not in _RECORD and c not in _LEFT_OUT]
+    return ["event_type", "record_seq", "record_tag", *_RECORD[1:], *own]
+
+
+def export_tables(
+    records: DataFrame, bits: int = 12, zero: dict[str, int] | None = None, invert: dict[str, bool] | None = None,
+    mm_per_count: dict[str, float] | None = None,
+) -> dict[str, DataFrame]:
+    """The exported tables of logs, with session_id before their columns.
+
+    ``zero``, ``invert`` and ``mm_per_count`` are by channel; mm columns are null without a scale.
+    """
+    good = logs.unwrapped(records)
+    order = W.partitionBy("session_id").orderBy("n")
+
+    def change(c: str) -> Column:
+        return F.coalesce(F.lead(c).over(order), F.col(c)) - F.coalesce(F.lag(c).over(order), F.col(c))
+
+    analog = logs.analog_table(good, bits).withColumn("dt_us", F.col("t_us") - F.lag("t_us").over(order))
+    for c in ("front", "rear"):
+        sign, scale = (-1 if (invert or {}).get(c) else 1), F.lit((mm_per_count or {}).get(c)).cast("double")
+        counts = f"{c}_position_counts"
+        analog = analog.withColumn(counts, (F.col(f"{c}_raw") - int((zero or {}).get(c, 0))) * sign)
+        speed = F.when(change("t_us") > 0, change(counts) * 1e6 / change("t_us"))
+        analog = analog.withColumns({
+            f"{c}_mm": F.col(counts) * scale, f"{c}_velocity_counts_per_s": speed, f"{c}_velocity_mm_per_s": speed * scale,
+        })
+    frames = logs.imu_frames(good).withColumns({
+        "sample_timestamp_us": F.col("sample_tick") * logs.TICK_US, "estimated_host_time_s": F.col("estimated_t_us") / 1e6,
+    })
+    typed = {
+        "analog": analog, "wheel": logs.wheel_table(good), "status": logs.status_table(good), "imu_bursts": logs.imu_bursts(good),
+        "imu_frames": frames, "config": logs.session_config(good),
+    }
+    out = {}
+    for name, df in typed.items():
+        given = {c: COMMON.get(c, c) for c in columns_of(name)} | ({"flags": "status_flags"} if name == "status" else {})
+        kinds = dict(c.split() for c in TABLES[name].split(", "))
+        out[name] = df.select("session_id", *[F.col(x).cast(kinds[c]).alias(c) for c, x in given.items()])
+    return out | {"timeline": _timeline(out)}
+
+
+def _timeline(tables: dict[str, DataFrame]) -> DataFrame:
+    """All tables in one, in the order of each session's time; frames at their own time where it is known."""
+    parts = []
+    for name, prefix in _PREFIX.items():
+        df, kind = tables[name], F.lit(name)
+        if name == "imu_frames":
+            at = F.coalesce("estimated_host_timestamp_us", "burst_host_timestamp_us")
+            df = df.withColumns({"host_timestamp_us": at, "host_time_s": at / 1e6})
+            kind = F.concat(F.lit("imu_"), F.lower("tag_name"))
+        own = [F.col(c).alias(f"{prefix}{c}") for c in columns_of(name) if c not in _RECORD and c not in _LEFT_OUT]
+        parts.append(df.select("session_id", kind.alias("event_type"), F.lit(_TAGS[name]).alias("record_tag"), *_RECORD, *own))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x, allowMissingColumns=True)
+    return out.select("session_id", *columns_of("timeline"))
+
+
+def summaries(records: DataFrame, tables: dict[str, DataFrame], mm_per_count: dict[str, float] | None = None) -> DataFrame:
+    """The summary of each session, with the fields that :func:`strokeflow.operators.catalog.scan_summaries` reads."""
+    good = logs.unwrapped(records)
+    spans = good.groupBy("session_id").agg(F.min("t_us").alias("a"), F.max("t_us").alias("b"))
+    tags = good.groupBy("session_id", "tag").count().groupBy("session_id").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("tag", "count")))).alias("record_counts")
+    )
+    rows = logs.sessions(records).join(spans, "session_id").join(tags, "session_id")
+    names = dict(zip(catalog.COUNTS, ("analog", "wheel", "status", "imu_bursts", "imu_frames"), strict=True))
+    for count, name in names.items():
+        rows = rows.join(tables[name].groupBy("session_id").agg(F.count("*").alias(count)), "session_id", "left")
+    extents = [f(f"{c}_raw").alias(f"{c}_raw_{n}") for c in ("front", "rear") for n, f in (("min", F.min), ("max", F.max))]
+    rows = rows.join(tables["analog"].groupBy("session_id").agg(F.struct(*extents).alias("analog_extents")), "session_id", "left")
+    scales = [F.lit((mm_per_count or {}).get(c)).cast("double").alias(f"{c}_mm_per_count") for c in ("front", "rear")]
+    return rows.select(
+        "session_id", F.col("path").alias("source_path"), F.col("file_size").alias("file_size_bytes"), logs.header_fields(F.col("head")).alias("header"),
+        "record_counts", F.struct(*scales).alias("derived_scales"),
+        F.struct(*[F.coalesce(c, F.lit(0)).alias(c) for c in catalog.COUNTS]).alias("counts"),
+        F.struct(F.col("a").alias("first_host_timestamp_us"), F.col("b").alias("last_host_timestamp_us"), (F.col("b") - F.col("a")).alias("duration_us")).alias("timing"),
+        "analog_extents",
+    )
+
+
+def write_exports(records: DataFrame, root: str, **options) -> None:
+    """Write the exported tables as CSV by session below ``root``, and the summaries as JSON.
+
+    Null is an empty field. :func:`read_table`, ``scan_summaries`` and :func:`open_sessions` read it back.
+    """
+    tables = export_tables(records, **options)
+    for name, df in tables.items():
+        rows = df.repartition("session_id").sortWithinPartitions("session_id", "host_timestamp_us" if "host_timestamp_us" in df.columns else "burst_host_timestamp_us", "record_seq")
+        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id")
+        writer.options(header="true", nullValue="", emptyValue="").csv(f"{root}/{name}")
+    summaries(records, tables, options.get("mm_per_count")).write.mode("overwrite").json(f"{root}/summary")
+
+
 CONFIG_FIELDS = {
     "source_path": "string", "zero": "double", "invert": "boolean", "mm_per_count": "double", "full_scale_mm": "double", "sensor_mm": "double",
     "manual_reference": "double",
@@ -55,15 +164,17 @@ def read_or_empty(spark: SparkSession, paths: str | list[str], schema: str, fmt:
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """One table of all exported sessions below ``root``; the folder's name is the session.
+    """One table of all exported sessions below ``root``: a folder for each session with a file for each
+    table, or the folders that :func:`write_exports` writes.
 
     Empty fields are null; a session without the file has no rows. Columns are named as in a log's
     typed tables where these have them.
     """
-    rows = read_or_empty(
-        spark, root, TABLES[name], "csv", header="true", nullValue="", recursiveFileLookup="true", pathGlobFilter=f"{name}.csv"
-    )
-    rows = rows.withColumn("session_id", F.element_at(F.split(F.input_file_name(), "/"), -2))
+    csv = {"header": "true", "nullValue": "", "recursiveFileLookup": "true"}
+    folders = read_or_empty(spark, root, TABLES[name], "csv", pathGlobFilter=f"{name}.csv", **csv)
+    written = read_or_empty(spark, f"{root}/{name}", TABLES[name], "csv", pathGlobFilter="part-*", **csv)
+    last = F.element_at(F.split(F.input_file_name(), "/"), -2)
+    rows = folders.withColumn("session_id", last).unionByName(written.withColumn("session_id", F.url_decode(F.regexp_replace(last, "^session_id=", ""))))
     # The flags of a status keep a name of their own.
     names = ({"flags": "status_flags"} if name == "status" else {}) | COMMON
     return rows.select("session_id", *[F.col(c).alias(names.get(c, c)) for c in rows.columns if c != "session_id"])
@@ -99,19 +210,21 @@ def save_by_session(df: DataFrame, folder: str) -> None:
 
 
 def open_sessions(
-    spark: SparkSession, paths: str | list[str], config_folder: str | None = None, configs: DataFrame | None = None, bits: int = 12, window: int = 3
+    spark: SparkSession, paths: str | list[str], config_folder: str | None = None, configs: DataFrame | None = None, bits: int = 12, window: int = 3,
+    files: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """All tables of the sessions at ``paths``: logs (``*.BIN``) or the root of export folders, told apart by the suffix.
 
     Gives the typed tables with implausible wheel speeds taken out, ``configs`` (those given, else stored
-    or new ones) and ``derived`` samples. Calling it with changed ``configs`` derives anew.
+    or new ones) and ``derived`` samples. Calling it with changed ``configs`` derives anew. ``files(path, content)``
+    holds the logs where they are not to be read from ``paths``.
     """
     every = [paths] if isinstance(paths, str) else list(paths)
     binary = {p.upper().endswith(".BIN") for p in every}
     if len(binary) != 1:
         raise ValueError("paths are either all logs or one root of export folders")
     if binary.pop():
-        out = logs.typed_tables(logs.read_records(spark, every), bits)
+        out = logs.typed_tables(logs.read_records(spark, every, files=files), bits)
     elif len(every) == 1:
         out = {name: read_table(spark, every[0], name) for name in TABLES}
     else:

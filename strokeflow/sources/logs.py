@@ -41,16 +41,18 @@ GYRO_MDPS_PER_COUNT = {125: 4.375, 250: 8.75, 500: 17.5, 1000: 35.0, 2000: 70.0,
 TICK_US = 25
 
 RECORDS = (
-    "path string, error string, file_version int, start_epoch long, build string, n long, tag string, version int, flags int, seq long, t_us long, payload binary"
+    "path string, error string, file_version int, start_epoch long, build string, n long, tag string, version int, flags int, seq long, t_us long, payload binary,"
+    " head binary, file_size long"
 )
+BATCH = 50_000  # records
 
 
 class LogError(ValueError):
     pass
 
 
-def frame_records(data: bytes):
-    """(header, records) of one file; LogError where the format is broken."""
+def read_header(data: bytes) -> tuple[int, int, str]:
+    """Version, start and build of a file; LogError where the format is broken."""
     if len(data) < FILE_HEADER.size:
         raise LogError("file is shorter than its header")
     head = FILE_HEADER.unpack_from(data)
@@ -61,8 +63,12 @@ def frame_records(data: bytes):
         raise LogError(f"header size {size} is not {FILE_HEADER.size}")
     if head[16] != RECORD_HEADER.size:
         raise LogError(f"record header size {head[16]} is not {RECORD_HEADER.size}")
-    header = (version, epoch, build.rstrip(b"\0").decode("ascii", "replace"))
-    out, at = [], size
+    return version, epoch, build.rstrip(b"\0").decode("ascii", "replace")
+
+
+def walk_records(data: bytes):
+    """(n, tag, flags, seq, t, payload's place and end) of each record; LogError where the format is broken."""
+    n, at = 0, FILE_HEADER.size
     while at < len(data):
         if at + RECORD_HEADER.size > len(data):
             raise LogError("trailing bytes after the last record")
@@ -70,33 +76,67 @@ def frame_records(data: bytes):
         at += RECORD_HEADER.size
         if at + length > len(data):
             raise LogError("payload of the last record is cut short")
-        out.append((len(out), tag.decode("ascii", "replace").rstrip("\0 "), flags, seq, t, data[at : at + length]))
-        at += length
-    return header, out
+        yield n, tag.decode("ascii", "replace").rstrip("\0 "), flags, seq, t, at, at + length
+        n, at = n + 1, at + length
+
+
+_KINDS = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+_FIELDS = [(name, _KINDS[kind]) for name, kind in (c.split() for c in RECORDS.split(", "))]
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _FIELDS, strict=True)], [n for n, _ in _FIELDS])
+
+
+def _framed(path: str, data: bytes, clash: bool):
+    """Batches of the records of one file; LogError, before any, where it is broken or its name is taken."""
+    if clash:
+        raise LogError("another file has this session's name")
+    header = read_header(data)
+    for _ in walk_records(data):
+        pass
+    rows = []
+    for n, tag, flags, seq, t, start, end in walk_records(data):
+        head = (data[: FILE_HEADER.size], len(data)) if n == 0 else (None, None)
+        rows.append((path, None, *header, n, tag, 1, flags, seq, t, data[start:end], *head))
+        if len(rows) == BATCH:
+            yield _batch(rows)
+            rows = []
+    if rows:
+        yield _batch(rows)
+
+
+def _broken(path: str, error: LogError) -> pa.RecordBatch:
+    return _batch([(path, str(error), *[None] * (len(_FIELDS) - 2))])
 
 
 def read_records(spark: SparkSession, paths: str | list[str], failfast: bool = False, files: DataFrame | None = None) -> DataFrame:
-    """One row for each record of each log, and one row with ``error`` for each broken file."""
+    """One row for each record of each log, and one row with ``error`` for each broken file.
 
+    A file's first record carries the bytes of its header (``head``) and its size. A session is named by
+    its file; files in several folders with one name are errors, as their records would mix.
+    """
     def run(parts):
         for part in parts:
-            for path, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            for path, content, clash in zip(*part.columns, strict=True):
                 try:
-                    header, records = frame_records(data)
-                    rows = [(path, None, *header, n, tag, 1, flags, seq, t, body) for n, tag, flags, seq, t, body in records]
+                    yield from _framed(path.as_py(), content.as_py(), clash.as_py())
                 except LogError as x:
                     if failfast:
                         raise
-                    rows = [(path, str(x), *[None] * 10)]
-                types = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-                names = [c.split()[0] for c in RECORDS.split(", ")]
-                for at in range(0, len(rows), 50_000):
-                    columns = zip(*rows[at : at + 50_000], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+                    yield _broken(path.as_py(), x)
 
     if files is None:
         files = spark.read.format("binaryFile").load(paths)
-    return files.select("path", "content").mapInArrow(run, RECORDS).withColumn("session_id", session_of(F.col("path")))
+    named = files.select("path", "content", session_of(F.col("path")).alias("session_id"))
+    clashes = named.select("path", "session_id").distinct().groupBy("session_id").count().where("count > 1")
+    if clashes.isEmpty():  # else the contents would be shuffled for nothing
+        named = named.withColumn("clash", F.lit(False))
+    else:
+        named = named.join(clashes.select("session_id", F.lit(True).alias("clash")), "session_id", "left")
+    marked = named.select("path", "content", F.coalesce("clash", F.lit(False)).alias("clash"))
+    return marked.mapInArrow(run, RECORDS).withColumn("session_id", session_of(F.col("path")))
 
 
 def session_of(path: Column) -> Column:
@@ -151,12 +191,31 @@ def sessions(records: DataFrame) -> DataFrame:
     """One row for each good session: header fields and record counts."""
     return records.where("error is null").groupBy("session_id").agg(
         F.first("path").alias("path"), F.first("file_version").alias("file_version"), F.first("start_epoch").alias("start_epoch"),
-        F.first("build").alias("build"), F.count("*").alias("records"),
+        F.first("build").alias("build"), F.count("*").alias("records"), F.max("file_size").alias("file_size"), F.max("head").alias("head"),
     )
 
 
+#: The numbers of the file header after its magic and their place and size in bytes.
+HEADER_FIELDS = {
+    "format_version": (8, 2), "header_size": (10, 2), "firmware_version": (12, 4), "build_epoch": (16, 4), "start_epoch": (44, 4), "start_micros": (48, 4),
+    "session_index": (52, 4), "rtc_valid": (56, 1), "enabled_mask": (57, 1), "analog_resolution_bits": (58, 1), "analog_averaging": (59, 1),
+    "analog_rate_hz": (60, 2), "imu_rate_hz": (62, 2), "imu_watermark_frames": (64, 2), "record_header_size": (66, 2), "button_pin": (68, 1),
+    "led_pin": (69, 1), "reed_pin": (70, 1), "imu_int1_pin": (71, 1), "front_pot_pin": (72, 1), "rear_pot_pin": (73, 1), "imu_cs_pin": (74, 1),
+}
+
+
+def header_fields(head: Column) -> Column:
+    """The file header as a struct."""
+
+    def text(at, size):
+        return F.rtrim(F.decode(F.substring(head, at + 1, size), "US-ASCII"), F.lit("\0"))
+
+    numbers = [unsigned(head, at, size).alias(name) for name, (at, size) in HEADER_FIELDS.items()]
+    return F.struct(text(0, 8).alias("magic"), text(20, 24).alias("build_id"), *numbers)
+
+
 def quarantine(records: DataFrame) -> DataFrame:
-    return records.where("error is not null").select("path", "error")
+    return records.where("error is not null").select("session_id", "path", "error")
 
 
 def config_table(records: DataFrame) -> DataFrame:
@@ -230,8 +289,8 @@ def imu_bursts(records: DataFrame) -> DataFrame:
     counts = ("frame_count", "accel_frames", "gyro_frames", "timestamp_frames", "fifo_level_before", "fifo_level_after", "burst_flags")
     return _of(records, IMU_TAG).where(F.length("payload") >= IMU_HEADER).select(
         *_BASE, unsigned(p, 0, 4).alias("burst_index"), *[unsigned(p, 4 + 2 * i, 2).cast("int").alias(c) for i, c in enumerate(counts)],
-        unsigned(p, 18, 4).alias("first_timestamp_raw"), (unsigned(p, 18, 4) * TICK_US).alias("first_timestamp_us"),
-        unsigned(p, 22, 4).alias("last_timestamp_raw"), (unsigned(p, 22, 4) * TICK_US).alias("last_timestamp_us"),
+        unsigned(p, 18, 4).alias("first_timestamp_raw"), (F.nullif(unsigned(p, 18, 4), F.lit(0)) * TICK_US).alias("first_timestamp_us"),
+        unsigned(p, 22, 4).alias("last_timestamp_raw"), (F.nullif(unsigned(p, 22, 4), F.lit(0)) * TICK_US).alias("last_timestamp_us"),
     )
 
 
@@ -247,9 +306,9 @@ def imu_frames(records: DataFrame) -> DataFrame:
     f = F.col("f")
     tag = unsigned(f, 0, 1)
     rows = rows.withColumns({
-        "tag_sensor": F.shiftright(tag, 3).cast("int"), "tag_counter": F.shiftright(tag, 1).bitwiseAND(F.lit(3)).cast("int"),
-        "tag_parity": tag.bitwiseAND(F.lit(1)).cast("int"), **{f"{a}_raw": signed(f, 1 + 2 * i, 2) for i, a in enumerate("xyz")},
-        "tick": unsigned(f, 1, 4),
+        "tag_raw": tag.cast("int"), "tag_sensor": F.shiftright(tag, 3).cast("int"), "tag_counter": F.shiftright(tag, 1).bitwiseAND(F.lit(3)).cast("int"),
+        "tag_parity": tag.bitwiseAND(F.lit(1)).cast("int"), "tick": unsigned(f, 1, 4), "raw_hex": F.lower(F.hex(F.substring("f", 2, FRAME - 1))),
+        **{f"{a}_raw": F.when(F.shiftright(tag, 3).isin(1, 2), signed(f, 1 + 2 * i, 2)) for i, a in enumerate("xyz")},
     })
     name = F.coalesce(_lookup(FRAME_TAGS, F.col("tag_sensor")), F.concat(F.lit("UNKNOWN_"), F.col("tag_sensor").cast("string")))
     w = W.partitionBy("session_id", "n").orderBy("frame_index").rowsBetween(W.unboundedPreceding, 0)
@@ -308,7 +367,8 @@ def export(records: DataFrame, folder: str, bits: int = 12, mm_per_count: float
     for name, df in typed_tables(records, bits, mm_per_count).items():
         options = {"header": "true", "nullValue": "", "emptyValue": ""} if fmt == "csv" else {}
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").options(**options).partitionBy("session_id").format(fmt).save(f"{folder}/{name}")
-    quarantine(records).write.mode("append").parquet(f"{folder}/quarantine")
+    broken = quarantine(records).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    broken.partitionBy("session_id").parquet(f"{folder}/quarantine")
 
 
 def new_files(spark: SparkSession, paths: str | list[str], manifest: DataFrame) -> DataFrame:

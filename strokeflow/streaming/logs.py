@@ -44,16 +44,22 @@ def debounce(pulses: DataFrame, least_us: int = 3000) -> DataFrame:
     """Drop pulses less than ``least_us`` after the last accepted one of their session.
 
     What is accepted depends on what was accepted before, so each session's times go through one
-    ordered pass.
+    ordered pass, of which a task holds a batch and the last accepted time.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, _, _ = _accept(sorted(pdf["t_us"]), None, 0, least_us)
-        out = pd.DataFrame(rows, columns=["t_us", "interval_us", "pulse_count"])
-        out.insert(0, "session_id", pdf["session_id"].iloc[0])
-        return out
-
-    return pulses.select(F.col("session_id").cast("string").alias("session_id"), "t_us").groupBy("session_id").applyInPandas(run, _PULSES)
+    def run(parts):
+        session, last, count = None, None, 0
+        for pdf in parts:
+            out = []
+            for name, times in pdf.groupby("session_id", sort=False)["t_us"]:
+                if name != session:
+                    session, last, count = name, None, 0
+                rows, last, count = _accept(times.tolist(), last, count, least_us)
+                out += [(name, *r) for r in rows]
+            yield pd.DataFrame(out, columns=["session_id", "t_us", "interval_us", "pulse_count"])
+
+    rows = pulses.select(F.col("session_id").cast("string").alias("session_id"), "t_us").where("session_id is not null and t_us is not null")
+    return rows.repartition("session_id").sortWithinPartitions("session_id", "t_us").mapInPandas(run, _PULSES)
 
 
 def debounce_stream(pulses: DataFrame, least_us: int = 3000) -> DataFrame:

@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from strokeflow.sources import exports
+from strokeflow.operators import catalog
+from strokeflow.sources import exports, logs
 from tests.test_logs import folder  # noqa: F401
 
 NAMES = [c.split()[0] for c in exports.TABLES["analog"].split(", ")]
@@ -51,6 +52,37 @@ def test_open_configure_and_derive_again(spark, root, tmp_path):
     assert spark.read.parquet(str(tmp_path / "derived")).count() == len(d)
 
 
+def test_written_exports_are_read_back(spark, folder, tmp_path):  # noqa: F811
+    root = str(tmp_path / "out")
+    records = logs.read_records(spark, f"{folder}/*.BIN")
+    for _ in range(2):
+        exports.write_exports(records, root, zero={"front": 100}, invert={"rear": True}, mm_per_count={"front": 0.5})
+    written = exports.export_tables(records, zero={"front": 100}, invert={"rear": True}, mm_per_count={"front": 0.5})
+    for name in exports.TABLES:
+        back = exports.read_table(spark, root, name)
+        names = ({"flags": "status_flags"} if name == "status" else {}) | exports.COMMON
+        want = written[name].select("session_id", *[F.col(c).alias(names.get(c, c)) for c in exports.columns_of(name)])
+        assert sorted(map(str, back.collect())) == sorted(map(str, want.collect())), name
+    a = exports.read_table(spark, root, "analog").orderBy("seq").collect()
+    assert [x.front_position_counts for x in a] == [0, 10, 20] and a[1].rear_position_counts == 0 and a[1].front_mm == 5.0 and a[1].rear_mm is None
+    assert a[1].front_velocity_counts_per_s == pytest.approx(20 * 1e6 / 4000) and a[0].front_velocity_counts_per_s == pytest.approx(10 * 1e6 / 2000)
+    lines = spark.read.text(f"{root}/timeline/session_id=LOG1").collect()
+    assert lines[0].value.split(",") == exports.columns_of("timeline") and len(exports.columns_of("timeline")) == 61
+    found = {x.session_id: x for x in catalog.scan_summaries(spark, f"{root}/summary").collect()}
+    assert set(found) == {"LOG1", "LOG2"} and found["LOG1"].counts.imu_frame_rows == 5 and found["LOG1"].record_counts["ANLG"] == 3
+    assert found["LOG1"].duration_us == 6100 and found["LOG1"].analog_extents.rear_raw_max == 4095 and found["LOG2"].analog_extents is None
+    opened, direct = exports.open_sessions(spark, root), exports.open_sessions(spark, f"{folder}/LOG1.BIN")
+    columns = ["session_id", "channel", "seq", "travel", "mm"]
+    assert sorted(map(str, opened["derived"].select(columns).collect())) == sorted(map(str, direct["derived"].select(columns).collect()))
+
+
+def test_summaries_in_folders(spark, tmp_path):
+    for name, text in (("S1", '{\n "header": {"start_epoch": 7},\n "timing": {"duration_us": 5}\n}'), ("S2", "{broken")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "summary.json").write_text(text)
+    assert [(r.session_id, r.start_epoch, r.duration_us) for r in catalog.scan_summaries(spark, str(tmp_path)).collect()] == [("S1", 7, 5)]
+
+
 def test_open_logs(spark, folder):  # noqa: F811
     got = exports.open_sessions(spark, f"{folder}/LOG1.BIN")
     assert got["derived"].count() == 6 and got["imu_bursts"].first().timestamp_frames == 2 and got["imu_bursts"].first().last_timestamp_us == 1008 * 25

@@ -97,6 +97,33 @@ def test_export_twice_gives_the_same_tables(spark, folder, tmp_path):
     assert spark.read.csv(f"{tmp_path}/csv/wheel", header=True).count() == 2
 
 
+def test_files_with_one_name_do_not_mix(spark, folder, tmp_path):
+    for d in ("a", "b"):
+        (tmp_path / d).mkdir()
+        (tmp_path / d / "LOG1.BIN").write_bytes(header() + record(b"STAT", 1, 5, struct.pack("<HHii", 8, 0, 0, 0)))
+    (tmp_path / "b" / "LOG2.BIN").write_bytes(header() + record(b"STAT", 1, 5, struct.pack("<HHii", 8, 0, 0, 0)))
+    r = logs.read_records(spark, f"{tmp_path}/*/*.BIN")
+    assert [x.session_id for x in logs.sessions(r).collect()] == ["LOG2"]
+    assert [(x.session_id, x.error) for x in logs.quarantine(r).collect()] == [("LOG1", "another file has this session's name")] * 2
+    for _ in range(2):
+        logs.export(r, str(tmp_path / "out"))
+    assert spark.read.parquet(f"{tmp_path}/out/quarantine").count() == 2
+
+
+def test_long_logs_come_in_batches(spark, tmp_path, monkeypatch):
+    body = b"".join(record(b"ANLG", i, i * 2000, struct.pack("<IHH", i, i % 4096, 7)) for i in range(1, 25))
+    monkeypatch.setattr(logs, "BATCH", 10)
+    batches = list(logs._framed("LOG1.BIN", header() + body, False))
+    assert [b.num_rows for b in batches] == [10, 10, 4] and batches[0].column("file_size")[0].as_py() == 100 + len(body)
+    with pytest.raises(logs.LogError, match="cut short"):
+        next(logs._framed("LOG1.BIN", header() + body[:-1], False))
+
+
+def test_header_fields(spark, folder):
+    h = logs.sessions(logs.read_records(spark, f"{folder}/LOG1.BIN")).select(logs.header_fields(F.col("head")).alias("h")).first().h
+    assert (h.magic, h.build_id, h.format_version, h.start_epoch, h.analog_rate_hz, h.imu_rate_hz, h.record_header_size) == ("STLOG1", "build", 1, 1776470400, 500, 416, 16)
+
+
 def test_new_files(spark, folder):
     files = spark.read.format("binaryFile").load(folder).select("path", "length", "modificationTime")
     manifest = files.where("path not like '%LOG2%'")
