@@ -277,14 +277,12 @@ def a21(spark, folder):
     return spark.read.schema(found.schema).json(sink)
 
 
-@query("a24_catalog_scan", f"{_LOG} SELECT session_id, min(t) // 1000000 AS start_epoch, max(t_us) - min(t_us) AS duration_us, CAST(row_number() OVER (ORDER BY min(t) // 1000000 DESC, session_id DESC) AS INTEGER) AS place FROM r GROUP BY session_id")
+@query("a24_catalog_scan", f"{_LOG} SELECT session_id, min(t) // 1000000 AS start_epoch, max(t_us) - min(t_us) AS duration_us FROM r GROUP BY session_id")
 def a24(spark, folder):
     """All exported sessions with a readable summary, newest first; a broken summary among them."""
     root = exported(spark, folder)
     spark.range(1).select(F.lit("{not a summary").alias("value")).write.mode("append").text(f"{root}/summary")
-    found = catalog.scan_summaries(spark, f"{root}/summary").select("session_id", "start_epoch", "duration_us")
-    place = F.row_number().over(catalog.W.orderBy(F.desc("start_epoch"), F.desc("session_id")))
-    return found.withColumn("place", place)
+    return catalog.newest_first(catalog.scan_summaries(spark, f"{root}/summary").select("session_id", "start_epoch", "duration_us"))
 
 
 @query("a26_open_exports", f"""{_LOG} SELECT session_id, seq, round(CASE WHEN {_SPEED} * 3.6 <= 200 THEN {_SPEED} * 3.6 END, 6) AS speed_kph, round({_SPEED} * 3.6, 6) AS speed_kph_raw FROM r WHERE code = 'click'""")

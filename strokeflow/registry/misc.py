@@ -70,11 +70,11 @@ def d3(spark, folder):
     return asof.interpolate_join(df.select(*KEY, "t_h"), one, "t_h", "rear", "v", match_single=True).select(*KEY, "v")
 
 
-@query("d5_session_config", """SELECT o_orderkey, c_custkey, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_totalprice > 300000""")
+@query("d5_session_config", """SELECT o_orderkey, c_custkey, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""")
 def d5(spark, folder):
     """Rows with the attributes of their session; small dimensions are left to Spark to broadcast by size."""
     orders, customer, nation = (table(spark, folder, t) for t in ("orders", "customer", "nation"))
-    rows = orders.where("o_totalprice > 300000").join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    rows = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
     return rows.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("o_orderkey", "c_custkey", "n_name")
 
 
@@ -85,13 +85,18 @@ def d7(spark, folder):
     return df.groupBy("session_id").pivot("channel", ["front", "rear"]).agg(F.max("raw"))
 
 
-@query("d8_compare_sessions", f"""WITH {WEIGHTED_SQL}, u AS (SELECT session_id, 'front' AS channel, front AS v, dt FROM d UNION ALL SELECT session_id, 'rear', rear, dt FROM d),
-m AS (SELECT session_id, channel, 'Maximum travel' AS metric, max(v) AS value FROM u GROUP BY ALL UNION ALL SELECT session_id, channel, 'Minimum travel', min(v) FROM u GROUP BY ALL)
-SELECT channel, metric, 'counts' AS units, max(value) FILTER (session_id = 1) AS s1, max(value) FILTER (session_id = 2) AS s2, max(value) FILTER (session_id = 3) AS s3 FROM m GROUP BY ALL""")
+_TEN = ", ".join(f"max(value) FILTER (turn = {i}) AS s{i:02d}" for i in range(1, 11))
+
+
+@query("d8_compare_sessions", f"""WITH val AS ({SQL['e15_channel_metrics']}), pk AS (SELECT session_id, row_number() OVER (ORDER BY session_id) AS turn FROM (SELECT DISTINCT user_id AS session_id FROM events))
+SELECT channel, metric, units, {_TEN} FROM val JOIN pk USING (session_id) WHERE turn <= 10 AND visible GROUP BY ALL""")
 def d8(spark, folder):
-    found = metrics.channel_metrics(_channels(spark, folder).where("session_id in (1, 2, 3)")).where("metric in ('Maximum travel', 'Minimum travel')")
-    labels = found.select("session_id", F.concat(F.lit("s"), F.col("session_id").cast("string")).alias("label")).distinct()
-    return catalog.compare(found, labels)
+    """The visible metrics of ten sessions, which is as many as a comparison takes."""
+    df = _channels(spark, folder)
+    ten = event_samples(spark, folder).select("session_id").distinct().orderBy("session_id").limit(10)
+    labels = ten.select("session_id", F.format_string("s%02d", F.row_number().over(W.orderBy("session_id"))).alias("label"))
+    found = metrics.channel_metrics(df.join(ten, "session_id", "left_semi")).where("visible")
+    return rounded(catalog.compare(found, labels), 4)
 
 
 @query("e30_session_summary", f"""WITH {SAMPLES_SQL} SELECT session_id, count(*) AS rows, count(*) FILTER (code = 'click') AS pulses, min(t_us) AS first_us, max(t_us) AS last_us,
@@ -152,10 +157,9 @@ def f8(spark, folder):
     return catalog.auto_labels(_catalog(spark, folder)).select("session_id", "date", "set_label", "set_label_auto")
 
 
-@query("g2_newest_first", f"WITH {_CAT} SELECT session_id, start_epoch, row_number() OVER (ORDER BY start_epoch DESC, session_id DESC)::INTEGER AS place FROM cat QUALIFY place <= 20")
+@query("g2_newest_first", f"WITH {_CAT} SELECT session_id, start_epoch FROM cat ORDER BY start_epoch DESC, session_id DESC")
 def g2(spark, folder):
-    top = catalog.newest_first(_catalog(spark, folder).select("session_id", "start_epoch")).limit(20)
-    return top.withColumn("place", F.row_number().over(W.orderBy(F.desc("start_epoch"), F.desc("session_id"))))
+    return catalog.newest_first(_catalog(spark, folder).select("session_id", "start_epoch"))
 
 
 @query("s12_display_label", f"WITH {_CAT} SELECT session_id, concat_ws(' | ', session_id::VARCHAR, date, track, nullif(set_label, '')) AS label FROM cat")
@@ -217,14 +221,20 @@ def g7(spark, folder):
     return event_samples(spark, folder).groupBy("session_id").agg(F.max_by("seq", F.struct("front", "seq")).alias("seq"), F.max("front").alias("front"))
 
 
-@query("h1_outer_union", f"""WITH {SAMPLES_SQL} SELECT 'pulse' AS event_type, session_id, seq, t_us, front AS pulse_speed, NULL::DOUBLE AS imu_x FROM s WHERE code = 'click'
-UNION ALL SELECT 'imu', session_id, seq, t_us, NULL, rear FROM s WHERE code = 'view'""")
+#: The five kinds of records of a timeline: event, kind, and the column of its own.
+_RECORDS = [("click", "wheel", "speed_kph", "front"), ("view", "imu", "x_raw", "rear"), ("signup", "status", "code", "rear"), ("purchase", "analog", "front_raw", "front"),
+            ("error", "config", "analog_rate_hz", "front")]
+
+
+@query("h1_outer_union", f"WITH {SAMPLES_SQL} " + " UNION ALL ".join(
+    f"SELECT '{kind}' AS event_type, session_id, seq, t_us, " + ", ".join(f"{v if k == kind else 'NULL'}::DOUBLE AS {k}_{c}" for _, k, c, v in _RECORDS)
+    + f" FROM s WHERE code = '{event}'" for event, kind, _, _ in _RECORDS))
 def h1(spark, folder):
-    df = event_samples(spark, folder)
-    base = ["session_id", "seq", "t_us"]
-    pulse = df.where("code = 'click'").select(F.lit("pulse").alias("event_type"), *base, F.col("front").alias("pulse_speed"))
-    imu = df.where("code = 'view'").select(F.lit("imu").alias("event_type"), *base, F.col("rear").alias("imu_x"))
-    return pulse.unionByName(imu, allowMissingColumns=True)
+    df, out = event_samples(spark, folder), None
+    for event, kind, column, value in _RECORDS:
+        own = df.where(F.col("code") == event).select(F.lit(kind).alias("event_type"), "session_id", "seq", "t_us", F.col(value).alias(f"{kind}_{column}"))
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    return out
 
 
 @query("h2_bag_union", f"""WITH {SAMPLES_SQL}, u AS (SELECT session_id, front AS v FROM s WHERE front > 50 UNION ALL SELECT session_id, rear FROM s WHERE rear > 50)
@@ -299,11 +309,13 @@ def d11(spark, folder):
     return hit.groupBy("session_id", "no").agg(F.count("*").alias("n"), F.max("front").alias("peak"))
 
 
-@query("d12_calibration_template", """SELECT c_custkey, c_name, n_nationkey, r_name FROM customer, (SELECT 7 AS n_nationkey, 'template' AS r_name)""")
+@query("d12_calibration_template", """SELECT c_custkey, c_name, t.c_nationkey, t.c_mktsegment, c_acctbal
+FROM customer, (SELECT c_nationkey, c_mktsegment FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 1) t""")
 def d12(spark, folder):
-    configs = table(spark, folder, "customer").select("c_custkey", "c_name", F.col("c_nationkey").alias("n_nationkey"), F.lit("own").alias("r_name"))
-    template = table(spark, folder, "region").limit(1).select(F.lit(7).alias("n_nationkey"), F.lit("template").alias("r_name"))
-    return catalog.apply_template(configs, template, ["n_nationkey", "r_name"])
+    """Two fields of one configuration for all; the others stay."""
+    configs = table(spark, folder, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment", "c_acctbal")
+    template = configs.orderBy(F.desc("c_acctbal"), "c_custkey").limit(1)
+    return catalog.apply_template(configs, template, ["c_nationkey", "c_mktsegment"])
 
 
 @query("c15_derived_series", f"""WITH {WEIGHTED_SQL}, u AS (SELECT session_id, t_us, seq, t_h, 'front' AS channel, front AS v FROM d UNION ALL SELECT session_id, t_us, seq, t_h, 'rear', rear FROM d),

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from strokeflow.functions import config
 from strokeflow.operators import braking, breakdown, catalog, metrics, series, stats
 from strokeflow.plans import quicklook
-from strokeflow.registry.base import F, SAMPLES_SQL, WEIGHTED_SQL, event_samples, query, rounded, table, weighted_samples
+from strokeflow.registry.base import F, SAMPLES_SQL, SQL, WEIGHTED_SQL, event_samples, query, rounded, table, weighted_samples
 from strokeflow.registry.braking import BINS, CFG as BRAKE, EVENTS as BRAKE_EVENTS, ROWS, SELECTED, _events, _inputs
 from strokeflow.registry.breakdown import CFG, CLASS, EVENTS, STATES, classified
 from strokeflow.registry.misc import _CAT, _catalog
@@ -51,12 +51,11 @@ def b11(spark, folder):
     return classified(spark, folder).where("band = 1 and motion = 'braking' and activity = 'active'").select(*KEY)
 
 
-@query("b13_visible_metrics", "SELECT * FROM (VALUES " + ", ".join(f"('{m}', '{u}')" for m, u, c, v in metrics.metric_catalog() if v and c == "riding")
-       + ") t(metric, units), (SELECT DISTINCT user_id AS session_id FROM events)")
+@query("b13_visible_metrics", f"SELECT session_id, channel, metric, units, value FROM ({SQL['e15_channel_metrics']}) WHERE visible AND category = 'riding'")
 def b13(spark, folder):
-    """The 47 riding metrics that a comparison shows, for each session."""
-    found = metrics.channel_metrics(_channels(spark, folder))
-    return found.where("visible and category = 'riding' and channel = 'front'").select("metric", "units", "session_id")
+    """The riding metrics that a comparison shows, of each channel."""
+    found = metrics.channel_metrics(_channels(spark, folder)).where("visible and category = 'riding'")
+    return rounded(found.select("session_id", "channel", "metric", "units", "value"), 4)
 
 
 @query("b15_channel_view", f"""WITH {WEIGHTED_SQL}, {_CH} SELECT session_id, channel, seq, CASE WHEN channel = 'front' THEN round(travel * 0.1, 6) ELSE travel END AS travel,

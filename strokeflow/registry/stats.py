@@ -315,12 +315,12 @@ def crossing_summary(df, value, threshold, by=("session_id",)):
     )
 
 
-@query("e24_threshold_crossings", f"""WITH {WEIGHTED_SQL}, o AS (SELECT *, rear >= 85 AS act FROM d WHERE code <> 'error'),
+@query("e24_threshold_crossings", f"""WITH {WEIGHTED_SQL}, o AS (SELECT *, rear >= 85 AS act FROM d),
 e AS (SELECT *, act AND NOT coalesce(lag(act) {_W}, false) AS rise FROM o)
 SELECT session_id, count(*) FILTER (rise) AS events, round(coalesce(sum(dt) FILTER (act), 0), 6) AS time, round(100.0 * coalesce(sum(dt) FILTER (act), 0) / sum(dt), 6) AS time_pct
 FROM e GROUP BY session_id""")
 def e24(spark, folder):
-    return rounded(crossing_summary(weighted_samples(spark, folder).where("code <> 'error'"), F.col("rear"), 85))
+    return rounded(crossing_summary(weighted_samples(spark, folder), F.col("rear"), 85))
 
 
 @query("e25_longest_run", f"""WITH {WEIGHTED_SQL}, k AS (SELECT *, front > 60 AS m FROM d), e AS (SELECT *, CASE WHEN m <> lag(m) {_W} THEN 1 ELSE 0 END AS x FROM k),

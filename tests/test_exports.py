@@ -67,7 +67,7 @@ def test_written_exports_are_read_back(spark, folder, tmp_path):  # noqa: F811
     assert [x.front_position_counts for x in a] == [0, 10, 20] and a[1].rear_position_counts == 0 and a[1].front_mm == 5.0 and a[1].rear_mm is None
     assert a[1].front_velocity_counts_per_s == pytest.approx(20 * 1e6 / 4000) and a[0].front_velocity_counts_per_s == pytest.approx(10 * 1e6 / 2000)
     lines = spark.read.text(f"{root}/timeline/session_id=LOG1").collect()
-    assert lines[0].value.split(",") == exports.columns_of("timeline") and len(exports.columns_of("timeline")) == 61
+    assert lines[0].value.split(",") == exports.columns_of("timeline") and len(exports.columns_of("timeline")) == 62
     found = {x.session_id: x for x in catalog.scan_summaries(spark, f"{root}/summary").collect()}
     assert set(found) == {"LOG1", "LOG2"} and found["LOG1"].counts.imu_frame_rows == 5 and found["LOG1"].record_counts["ANLG"] == 3
     assert found["LOG1"].duration_us == 6100 and found["LOG1"].analog_extents.rear_raw_max == 4095 and found["LOG2"].analog_extents is None
