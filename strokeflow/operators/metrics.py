@@ -70,17 +70,45 @@ def signed_velocity(df: DataFrame, by: list[str]) -> DataFrame:
     return wide.join(median, key).join(stats.smoothed_mode(rows, "velocity", "dt", key), key)
 
 
-def velocity_bands(df: DataFrame, by: list[str]) -> DataFrame:
-    """(by, sign, band, share): velocities of each sign on their own range in tenths, % of all time."""
-    rows = df.where("velocity is not null and dt > 0").withColumn("sign", F.when(F.col("velocity") >= 0, 1).otherwise(-1))
-    key = [*by, "sign"]
-    total = df.where("dt > 0").groupBy(*by).agg(F.sum("dt").alias("__all"))
-    ends = rows.groupBy(*key).agg(F.min("velocity").alias("__lo"), F.max("velocity").alias("__hi")).join(total, by)
-    pct = percent_scale(F.col("velocity"), F.col("__lo"), F.col("__hi"))
-    band = F.least(F.floor(pct / 10), F.lit(9)).cast("int")
-    times = rows.join(ends, key).withColumn("band", band).groupBy(*key, "band").agg(F.sum("dt").alias("__t"))
-    out = hist.dense_bins(ends, 10, "band").join(times, [*key, "band"], "left")
-    return out.select(*key, "band", (100.0 * F.coalesce("__t", F.lit(0.0)) / F.col("__all")).alias("share"))
+POSITION, COMPRESSION, REBOUND = "Position", "Compression", "Rebound"
+
+
+def _by_kind(names: dict[str, str]) -> Column:
+    out = F.lit(None).cast("string")
+    for kind, name in names.items():
+        out = F.when(F.col("kind") == kind, name).otherwise(out)
+    return out
+
+
+def distributions(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of ``rows(session_id, channel, seq, dt, position, velocity)``, for positions and for the velocities of each
+    sign: (kind, mean, median, mode, geometric_sd) and (kind, band, share).
+
+    Shares are percents of time in tenths: of 0 to 100 for positions, of the kind's own range, and of all time,
+    for velocities. The kinds are rows of one table, so each measure takes one grouping.
+    """
+    position, velocity = F.col("position"), F.col("velocity")
+    one = lambda cond, kind, v: F.when(cond, F.struct(F.lit(kind).alias("kind"), v.cast("double").alias("v")))
+    kinds = F.array_compact(F.array(
+        one(position.isNotNull(), POSITION, position), one(velocity >= 0, COMPRESSION, velocity), one(velocity < 0, REBOUND, velocity)
+    ))
+    timed = rows.where("dt > 0")
+    long = timed.select(*KEY, "seq", "dt", F.explode(kinds).alias("x")).select(*KEY, "seq", "dt", "x.*")
+    key, v, dt, is_position = [*KEY, "kind"], F.col("v"), F.col("dt"), F.col("kind") == POSITION
+    stat = long.groupBy(*key).agg(
+        stats.weighted_mean(v, dt).alias("mean"), stats.weighted_geometric_std(F.abs(v), dt).alias("geometric_sd"),
+        F.min("v").alias("__lo"), F.max("v").alias("__hi"), F.sum("dt").alias("__own"),
+    )
+    stat = stat.join(timed.groupBy(*KEY).agg(F.sum("dt").alias("__every")), KEY)
+    median = stats.weighted_quantiles_inv(long, "v", "dt", {"median": 0.5}, key, ["seq"])
+    mode = stats.smoothed_mode(long, "v", "dt", key, span=(0.0, 100.0), spanned=is_position)
+    percent = F.when(is_position, v).otherwise(percent_scale(v, F.col("__lo"), F.col("__hi")))
+    band = F.least(F.floor(F.greatest(F.lit(0.0), F.least(F.lit(100.0), percent)) / 10), F.lit(9)).cast("int")
+    times = long.join(stat.select(*key, "__lo", "__hi"), key).withColumn("band", band).groupBy(*key, "band").agg(F.sum("dt").alias("__t"))
+    whole = F.nullif(F.when(is_position, F.col("__own")).otherwise(F.col("__every")), F.lit(0.0))
+    tenths = hist.dense_bins(stat, 10, "band").join(times, [*key, "band"], "left")
+    shares = tenths.select(*key, "band", F.try_divide(100.0 * F.coalesce("__t", F.lit(0.0)), whole).alias("share"))
+    return stat.join(median, key, "left").join(mode, key, "left").select(*key, "mean", "median", "mode", "geometric_sd"), shares
 
 
 def channel_metrics(df: DataFrame, bits: int = 12, travel_units: str = "counts", velocity_units: str = "counts/s") -> DataFrame:
@@ -93,16 +121,15 @@ def channel_metrics(df: DataFrame, bits: int = 12, travel_units: str = "counts",
     scaled = F.least(F.greatest(F.col("travel"), F.lit(0.0)), F.lit(100.0)) if travel_units == "%" else percent_scale(
         F.col("travel"), F.col("lo"), F.col("hi")
     )
-    # Eight parts read the rows, so they are written once.
+    # Several parts read the rows, so they are written once.
     rows = stored(df.join(ends, KEY).withColumn("position", scaled).select(*KEY, "seq", "dt", "raw", "travel", "velocity", "position", "lo", "hi"), "metrics")
-    dt, travel, velocity, position = (F.col(c) for c in ("dt", "travel", "velocity", "position"))
+    dt, travel, velocity = (F.col(c) for c in ("dt", "travel", "velocity"))
     good = F.when(dt > 0, dt)
     top, margin = (1 << bits) - 1, rail_margin(bits)
     tenth = 0.1 * (F.col("hi") - F.col("lo"))
     wide = rows.groupBy(*KEY).agg(
         F.coalesce(F.sum(good), F.lit(0.0)).alias("duration"), F.count(F.lit(1)).alias("n"),
         F.percentile(good, F.lit(0.5)).alias("median_dt"), F.min("travel").alias("lo"), F.max("travel").alias("hi"),
-        stats.weighted_mean(position, good).alias("mean"), stats.weighted_geometric_std(position, good).alias("gsd"),
         F.max(velocity).alias("peak_c"), F.min(velocity).alias("peak_r"), F.sqrt(F.avg(velocity * velocity)).alias("rms"),
         F.sum(F.when(travel <= F.col("lo") + tenth, dt).otherwise(0.0)).alias("bottom"),
         F.sum(F.when(travel >= F.col("hi") - tenth, dt).otherwise(0.0)).alias("top"),
@@ -116,28 +143,22 @@ def channel_metrics(df: DataFrame, bits: int = 12, travel_units: str = "counts",
     parts = [
         _long(wide, KEY, {
             "Session duration": c("duration"), "Analog sample count": c("n"), "Median analog dt": c("median_dt") * 1e6,
-            "Minimum travel": c("lo"), "Maximum travel": c("hi"), "Used stroke": used, "Mean position": c("mean"),
-            "Position geometric SD": c("gsd"), "Peak compression velocity": c("peak_c"), "Peak rebound velocity": c("peak_r"),
+            "Minimum travel": c("lo"), "Maximum travel": c("hi"), "Used stroke": used, "Peak compression velocity": c("peak_c"), "Peak rebound velocity": c("peak_r"),
             "RMS velocity": c("rms"), "Time in bottom 10%": F.try_divide(100.0 * c("bottom"), all_time),
             "Time in top 10%": F.try_divide(100.0 * c("top"), all_time), "Raw count span": c("span"),
             "ADC span used": 100.0 * c("span") / top, "Implied mm / count": implied, "ADC rail-near low": c("rail_low"),
             "ADC rail-near high": c("rail_high"),
         }),
-        _long(stats.weighted_quantiles_inv(rows, "position", "dt", {"m": 0.5}, KEY, ["seq"]), KEY, {"Median position": c("m")}),
-        _long(stats.smoothed_mode(rows.where("dt > 0"), "position", "dt", KEY, span=(0.0, 100.0)), KEY, {"Mode position": c("mode")}),
-        hist.bands(rows.where("dt > 0"), "position", "dt", KEY).select(
-            *KEY, F.format_string("Position P%d-%d", c("band") * 10, c("band") * 10 + 10).alias("metric"), c("share").alias("value")),
-    ]
-    signed, tenths = signed_velocity(rows, KEY), velocity_bands(rows, KEY)
-    for name, sign in SIGNS.items():
-        low = name.lower()
-        parts.append(_long(signed.where(c("sign") == sign), KEY, {
-            f"Mean {low} velocity": c("mean"), f"Median {low} velocity": c("median"), f"Mode {low} velocity": c("mode"),
-            f"{name} velocity geometric SD": c("geometric_sd"),
-        }))
-        parts.append(tenths.where(c("sign") == sign).select(
-            *KEY, F.format_string(f"{name} velocity P%d-%d", c("band") * 10, c("band") * 10 + 10).alias("metric"),
-            c("share").alias("value")))
+    ]
+    found, shares = distributions(rows)
+    low = {POSITION: "position", COMPRESSION: "compression velocity", REBOUND: "rebound velocity"}
+    high = {POSITION: "Position", COMPRESSION: "Compression velocity", REBOUND: "Rebound velocity"}
+    named = {x: _by_kind({k: f"{x.capitalize()} {name}" for k, name in low.items()}) for x in ("mean", "median", "mode")}
+    named["geometric_sd"] = _by_kind({k: f"{name} geometric SD" for k, name in high.items()})
+    pairs = F.array(*[F.struct(name.alias("metric"), c(x).alias("value")) for x, name in named.items()])
+    parts.append(found.select(*KEY, F.explode(pairs).alias("m")).select(*KEY, "m.*"))
+    tenth_of = F.concat(_by_kind(high), F.format_string(" P%d-%d", c("band") * 10, c("band") * 10 + 10))
+    parts.append(shares.select(*KEY, tenth_of.alias("metric"), c("share").alias("value")))
     values = parts[0]
     for x in parts[1:]:
         values = values.unionAll(x.select(*KEY, "metric", "value"))

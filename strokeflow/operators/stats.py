@@ -153,17 +153,20 @@ def padded_range(low: Column, high: Column, share: float = 0.05) -> tuple[Column
 
 def smoothed_mode(
     df: DataFrame, value: str, weight: str, by: list[str], bins: int = 100, sigma: float = 2.0, radius: int = 8,
-    span: tuple[float, float] | None = None,
+    span: tuple[float, float] | None = None, spanned: Column | None = None,
 ) -> DataFrame:
     """(by, mode): peak of a weighted histogram smoothed by a Gaussian, refined by a parabola.
 
-    The histogram covers ``span``, or the group's lowest to highest value, and is taken as zero beyond;
-    of equal peaks the lowest bin counts; edge bins are not refined.
+    The histogram covers ``span`` (of all groups, or those that are ``spanned``), or the group's lowest to
+    highest value, and is taken as zero beyond; of equal peaks the lowest bin counts; edge bins are not refined.
     """
     from strokeflow.operators.hist import bin_index, dense_bins
 
     stats = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
-    lo, hi = padded_range(F.col("__lo"), F.col("__hi")) if span is None else map(F.lit, span)
+    lo, hi = padded_range(F.col("__lo"), F.col("__hi"))
+    if span is not None:
+        spanned = F.lit(True) if spanned is None else spanned
+        lo, hi = F.when(spanned, span[0]).otherwise(lo), F.when(spanned, span[1]).otherwise(hi)
     stats = stats.select(*by, lo.alias("__lo"), hi.alias("__hi"))
     index = bin_index(F.col(value), F.col("__lo"), F.col("__hi"), bins)
     counts = df.join(stats, by).withColumn("bin", index).where("bin is not null").groupBy(*by, "bin").agg(F.sum(weight).alias("__n"))
