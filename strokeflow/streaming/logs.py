@@ -62,8 +62,15 @@ def debounce(pulses: DataFrame, least_us: int = 3000) -> DataFrame:
     return rows.repartition("session_id").sortWithinPartitions("session_id", "t_us").mapInPandas(run, _PULSES)
 
 
-def debounce_stream(pulses: DataFrame, least_us: int = 3000) -> DataFrame:
-    """:func:`debounce` on a stream; the state of a session is its last accepted time and count."""
+def debounce_stream(pulses: DataFrame, least_us: int = 3000, late: str | None = None, idle_ms: int = 3_600_000) -> DataFrame:
+    """:func:`debounce` on a stream; the state of a session is its last accepted time and count.
+
+    Without ``late`` a batch is taken as it comes, in the order of its times. With it, pulses wait in their
+    session's state until the watermark, ``late`` behind the latest pulse, has passed them: so they are taken in
+    order however batches cut them, and the state of a session goes ``idle_ms`` after its last pulse.
+    """
+    if late is not None:
+        return _debounce_in_order(pulses, least_us, late, idle_ms)
 
     def run(key, frames, state):
         last, count = state.get if state.exists else (None, 0)
@@ -79,6 +86,29 @@ def debounce_stream(pulses: DataFrame, least_us: int = 3000) -> DataFrame:
     return rows.groupBy("session_id").applyInPandasWithState(run, _PULSES, "last long, count long", "append", GroupStateTimeout.NoTimeout)
 
 
+def _debounce_in_order(pulses: DataFrame, least_us: int, late: str, idle_ms: int) -> DataFrame:
+    def run(key, frames, state):
+        last, count, waiting = state.get if state.exists else (None, 0, [])
+        times = sorted([*map(int, waiting), *(int(t) for pdf in frames for t in pdf["t_us"])])
+        mark = state.getCurrentWatermarkMs()
+        due = [t for t in times if t < mark * 1000]
+        rest = times[len(due) :]
+        rows, last, count = _accept(due, last, count, least_us)
+        if state.hasTimedOut and not times:
+            state.remove()
+        else:
+            state.update((last, count, rest))
+            state.setTimeoutTimestamp(max(rest[0] // 1000, mark) + 1 if rest else max(last // 1000, mark) + idle_ms)
+        out = pd.DataFrame(rows, columns=["t_us", "interval_us", "pulse_count"])
+        out.insert(0, "session_id", key[0])
+        yield out
+
+    rows = pulses.select(F.col("session_id").cast("string").alias("session_id"), "t_us", F.timestamp_micros("t_us").alias("event_time"))
+    return rows.withWatermark("event_time", late).groupBy("session_id").applyInPandasWithState(
+        run, _PULSES, "last long, count long, waiting array<long>", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
 def fault_counts(status: DataFrame, time: str = "event_time", window: str = "1 minute", late: str = "10 minutes") -> DataFrame:
     """Faults by session, name and time window; late rows of a stream count up to ``late``."""
     df = status.withWatermark(time, late) if status.isStreaming else status

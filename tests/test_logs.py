@@ -152,6 +152,21 @@ def test_debounce_batch_and_stream(spark, tmp_path):
     assert [(r.t_us, r.interval_us, r.pulse_count) for r in spark.table("pulses").orderBy("t_us").collect()] == want
 
 
+def test_debounced_stream_takes_pulses_in_order_across_batches(spark, tmp_path):
+    times = [0, 1000, 2999, 3000, 5000, 6001, 6002, 20_000, 21_000, 26_000, 29_500]
+    start = 10_000_000  # the first watermark is at 0
+    df = spark.createDataFrame([("s", start + t) for t in times] + [("r", start + t + 7) for t in times], "session_id string, t_us long")
+    want = sorted(map(str, streams.debounce(df).collect()))
+    later = spark.createDataFrame([("z", 5_000_000_000)], df.schema), spark.createDataFrame([("z", 9_000_000_000)], df.schema)
+    for part in (df.where("t_us % 2 = 0"), df.where("t_us % 2 = 1"), *later):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    src = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(tmp_path / "in"))
+    out = streams.debounce_stream(src, late="1 second", idle_ms=60_000)
+    q = out.writeStream.format("memory").queryName("ordered").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(240)
+    assert sorted(map(str, spark.table("ordered").where("session_id <> 'z'").collect())) == want
+
+
 def test_fault_counts(spark):
     df = spark.sql("select 's' session_id, 'X' name, 2 value0, timestamp'2026-01-01 00:00:10' event_time union all select 's', 'X', 3, timestamp'2026-01-01 00:00:50'")
     r = streams.fault_counts(df).first()

@@ -18,6 +18,7 @@ SF = "/root/testdata/sf0.001"
 SOME = [
     "c6_moving_average", "c9_gradient", "c11_gradient_bridged", "c15_derived_series", "d1_asof_hold", "d2_interp_join", "e4_wquantile_interp", "e7_travel_histogram",
     "e9_occupancy_grid", "e12_smoothed_mode", "e18_balance", "f4_absorb_short", "f5_segment_ids", "f6_braking_events", "f8_auto_labels", "g9_keep_extrema", "j7_breakdown_samples",
+    "a2_session_header", "a8_imu_frames", "a14_export_analog", "c1_repair_time", "e15_channel_metrics", "j1_context_dataset", "k2_debounce",
 ]
 
 
