@@ -18,11 +18,14 @@ NO_ID = -(2**63)
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder name below ``spark.checkpoint.dir``, which all executors share.
 
-    Only where that setting is absent (a single-machine session, as in tests) a
-    temporary folder takes its place.
+    Only where that setting is absent in a session on one machine, as in tests, a temporary folder
+    takes its place; a cluster's executors would not see each other's files there.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/strokeflow/{name}-{uuid.uuid4().hex[:12]}"

@@ -14,15 +14,19 @@ every text is ``und``. Columns other than doc_id, text and lang are ignored.
 from __future__ import annotations
 
 import functools
+import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strokeflow.llm.common import stored
+
 DIM = 1024
-#: More distinct values of ``lang`` than this are taken for a mistake.
-MAX_LANGUAGES = 2_000
+#: Prototypes of this many languages are compared with a text at once.
+BLOCK_LANGUAGES = 2_000
 _SPACE = 32
 _CODE_BITS = 21
 
@@ -87,11 +91,10 @@ def bundle(texts: list[str | None], dim: int, groups: np.ndarray | None = None,
     return total
 
 
-def learn_prototypes(rows: DataFrame, dim: int = DIM) -> dict[str, np.ndarray]:
-    """Language to prototype, from all of ``rows(text, lang)``.
+def learn_prototypes(rows: DataFrame, dim: int = DIM) -> DataFrame:
+    """(lang, v): a table of the languages' prototypes, from all of ``rows(text, lang)``.
 
     Each task adds up its texts by language and passes one vector for each on; Spark adds these.
-    The driver receives a vector for each language.
     """
 
     def run(parts):
@@ -106,18 +109,25 @@ def learn_prototypes(rows: DataFrame, dim: int = DIM) -> dict[str, np.ndarray]:
             yield pd.DataFrame({"lang": name, "place": np.arange(dim), "value": v})
 
     known = rows.where("lang is not null and text is not null").select("text", F.col("lang").cast("string").alias("lang"))
-    if known.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
-        raise ValueError(f"lang has over {MAX_LANGUAGES} distinct values")
-    got = (
+    return stored(
         known.mapInPandas(run, "lang string, place int, value double")
         .groupBy("lang", "place").agg(F.sum("value").alias("value"))
-        .groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("v")).collect()
+        .groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("v"))
+        .select("lang", F.col("v.value").alias("v")),
+        "prototypes",
     )
-    return {r["lang"]: np.array([x["value"] for x in r["v"]]) for r in sorted(got, key=lambda r: r["lang"])}
+
+
+def blocks_of(prototypes: DataFrame, block: int = BLOCK_LANGUAGES) -> Iterator[dict[str, np.ndarray]]:
+    """The prototypes in groups of about ``block`` languages; the driver holds one group at a time."""
+    n = max(1, math.ceil(prototypes.count() / block))
+    for i in range(n):
+        some = prototypes.where(F.pmod(F.xxhash64("lang"), F.lit(n)) == i).collect()
+        yield {r["lang"]: np.array(r["v"]) for r in sorted(some, key=lambda r: r["lang"])}
 
 
 def predict(text: Column, prototypes: dict[str, np.ndarray]) -> Column:
-    """struct(lang_pred, score) of a text column."""
+    """struct(lang_pred, score) of a text column: the best of some languages and its cosine."""
     names = list(prototypes)
     dim = len(next(iter(prototypes.values()))) if names else DIM
     unit = np.stack([v / (np.linalg.norm(v) or 1) for v in prototypes.values()]) if names else np.zeros((0, dim))
@@ -132,7 +142,7 @@ def predict(text: Column, prototypes: dict[str, np.ndarray]) -> Column:
             cosine = np.round((v[some] @ unit.T) / norm[some, None], 9)
             best = cosine.argmax(axis=1)
             pred[at + some] = np.array(names, dtype=object)[best]
-            score[at + some] = np.clip(cosine[np.arange(len(some)), best], 0, 1)
+            score[at + some] = cosine[np.arange(len(some)), best]
         return pd.DataFrame({"lang_pred": pred, "score": score})
 
     return judge(text)
@@ -143,10 +153,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def identify(docs: DataFrame, dim: int = DIM) -> DataFrame:
+def identify(docs: DataFrame, dim: int = DIM, block: int = BLOCK_LANGUAGES) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document."""
     prototypes = learn_prototypes(docs.where(~held_out(F.col("doc_id"))).select("text", "lang"), dim)
-    return (
-        docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), predict(F.col("text"), prototypes).alias("p"))
-        .select("doc_id", "held_out", "p.lang_pred", "p.score")
-    )
+    each = [predict(F.col("text"), some).alias(f"p{i}") for i, some in enumerate(blocks_of(prototypes, block))]
+    judged = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), *each)
+    lang, score = F.col("p0.lang_pred"), F.col("p0.score")
+    for i in range(1, len(each)):
+        other, value = F.col(f"p{i}.lang_pred"), F.col(f"p{i}.score")
+        better = (value > score) | ((value == score) & (other < lang))
+        lang, score = F.when(better, other).otherwise(lang), F.when(better, value).otherwise(score)
+    return judged.select("doc_id", "held_out", lang.alias("lang_pred"), F.greatest(F.least(score, F.lit(1.0)), F.lit(0.0)).alias("score"))
