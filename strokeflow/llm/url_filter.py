@@ -11,6 +11,7 @@ are judged alike; an empty table gives an empty result; extra columns pass throu
 
 from __future__ import annotations
 
+import functools
 import math
 from dataclasses import dataclass
 
@@ -132,29 +133,28 @@ def keys_broadcast(cascade: BloomCascade):
     return SparkContext.getOrCreate().broadcast(cascade)
 
 
-def build_cascade(
-    universe: DataFrame, listed: DataFrame, bits_per_key: int = 10, max_bytes: int = 256 << 20
-) -> BloomCascade:
-    """Build the cascade over ``universe(key)``, all keys that will ever be asked for.
-
-    The filters are the only thing that reaches the driver and the executors whole. Their size
-    is known before they are gathered, ``bits_per_key`` bits for each listed key that occurs in
-    the corpus; ValueError if all levels together would pass ``max_bytes``.
-    """
-    k = max(1, round(bits_per_key * math.log(2)))
+def marked_keys(universe: DataFrame, listed: DataFrame) -> DataFrame:
+    """(key, h1, h2, listed) of the distinct keys of ``universe(key)``, all that will ever be asked for."""
     marked = listed.select("key").where("key is not null").distinct().withColumn("listed", F.lit(True))
-    keys = stored(
+    return stored(
         universe.select("key").where("key is not null").distinct().join(marked, "key", "left")
-        .select(*_hashed(F.col("key")), F.coalesce("listed", F.lit(False)).alias("listed")),
+        .select("key", *_hashed(F.col("key")), F.coalesce("listed", F.lit(False)).alias("listed")),
         "cascade-keys",
     )
-    cascade, used = BloomCascade([], k), 0
+
+
+def build_cascade(keys: DataFrame, bits_per_key: int = 10) -> BloomCascade:
+    """The cascade over ``keys(h1, h2, listed)``.
+
+    The filters are the only thing that reaches the driver and the executors whole, ``bits_per_key``
+    bits for each listed key and about a tenth more for the further levels.
+    """
+    k = max(1, round(bits_per_key * math.log(2)))
+    keys = keys.select("h1", "h2", "listed")
+    cascade = BloomCascade([], k)
     encoded, others = keys.where("listed"), keys.where("not listed")
     while n := encoded.count():
         m = 64 * math.ceil(max(64, n * bits_per_key) / 64)
-        used += m // 8
-        if used > max_bytes:
-            raise ValueError(f"the filters would take over {max_bytes} bytes; pass a larger max_bytes")
         level = len(cascade.levels)
 
         def bits(batches, level=level, m=m):
@@ -183,21 +183,43 @@ def build_cascade(
     return cascade
 
 
+def listed_hosts(hosts: DataFrame, keys: DataFrame, blocks: int, bits_per_key: int) -> DataFrame:
+    """The ``hosts(host)`` of which a domain is listed, by one cascade for each block of the keys.
+
+    One cascade at a time is in memory, so any number of listed keys can be asked for.
+    """
+    found = []
+    for i in range(blocks):
+        some = keys.where(F.pmod(F.xxhash64("h2"), F.lit(blocks)) == i)
+        hit = build_cascade(some, bits_per_key).any_listed(F.array("key"))
+        found.append(stored(some.where(hit).select("key"), "cascade-hits"))
+    hits = functools.reduce(DataFrame.unionAll, found)
+    return hosts.select("host", F.explode(domains(F.col("host"))).alias("key")).join(hits, "key").select("host").distinct()
+
+
 def filter_urls(
-    pages: DataFrame, rules: list[Rule], listed: DataFrame, url: str = "url", bits_per_key: int = 10
+    pages: DataFrame, rules: list[Rule], listed: DataFrame, url: str = "url", bits_per_key: int = 10, max_bytes: int = 32 << 20
 ) -> DataFrame:
-    """Add host, path, rule and verdict to ``pages``.
+    """Add host, path, rule and verdict to ``pages``; columns of these names are replaced.
 
     The longest fitting rule decides. Where no rule fits, a page is blocked if its host or a
-    parent domain is in ``listed(key)``, by a cascade over all domains of the table.
+    parent domain is in ``listed(key)``, by a cascade over all domains of the table. If that would take
+    over ``max_bytes``, hosts are judged first, by a cascade for each block of the keys.
     """
     host, path = url_host(F.col(url)), url_path(F.col(url))
     hosts = pages.select(host.alias("host")).distinct()
-    cascade = build_cascade(hosts.select(F.explode(domains(F.col("host"))).alias("key")), listed, bits_per_key)
+    keys = marked_keys(hosts.select(F.explode(domains(F.col("host"))).alias("key")), listed)
+    blocks = math.ceil(keys.where("listed").count() * bits_per_key * 1.25 / 8 / max_bytes)
     text, verdict = match_rules(F.col("host"), F.col("path"), rules)
+    judged = pages.withColumns({"host": host, "path": path}).withColumns({"rule": text, "verdict": verdict})
+    if blocks <= 1:
+        listed_column = build_cascade(keys, bits_per_key).any_listed(domains(F.col("host")))
+    else:
+        hit = listed_hosts(hosts, keys, blocks, bits_per_key).select(F.col("host").alias("__host"))
+        judged = judged.join(hit, F.col("host") == F.col("__host"), "left")
+        listed_column = F.col("__host").isNotNull()
     return (
-        pages.withColumns({"host": host, "path": path})
-        .withColumns({"rule": text, "verdict": verdict, "_listed": cascade.any_listed(domains(F.col("host")))})
-        .withColumn("verdict", F.coalesce("verdict", F.when(F.col("_listed"), "block").otherwise("allow")))
-        .drop("_listed")
+        judged.withColumn("__listed", listed_column)
+        .withColumn("verdict", F.coalesce("verdict", F.when(F.col("__listed"), "block").otherwise("allow")))
+        .drop("__listed", "__host")
     )
