@@ -1,6 +1,7 @@
 """Quality classifier by co-training of a text view and a metadata view.
 
-The text view sees what the words look like; the metadata view sees the record's fields and the
+The text view sees which words and pairs of words a text has, hashed to a few slots, and what they
+look like; the metadata view sees the record's fields and the
 page's layout (language, source, length, lines). Each view has a logistic regression. In a round,
 each view gives the documents that it is sure about, among those without a label, to the other as
 pseudo-labels, and both are fitted again. Platt scaling on the labelled documents then calibrates
@@ -29,13 +30,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strokeflow.llm.common import stored
+from strokeflow.llm.shingles import mix, slices, word_hashes
 
 SLOTS = 16
 _WORD = re.compile(r"\S+")
-_TEXT_NAMES = 17
+GRAMS = 32  # slots of the hashed words and pairs of words
+_SURFACE = 17
+_TEXT_NAMES = _SURFACE + GRAMS
 _META_NAMES = 6 + 2 * SLOTS
 
 
+def gram_features(texts: list[str | None]) -> np.ndarray:
+    """Root of the share of words and pairs of words in each slot, by text."""
+    out = np.zeros((len(texts), GRAMS))
+    for lo, hi, data, bounds in slices(pa.array(texts, pa.string())):
+        h, n = word_hashes(data, bounds)
+        row = np.repeat(np.arange(hi - lo), n)
+        pairs = mix(h[:-1] * np.uint64(3) + h[1:])[row[:-1] == row[1:]]
+        row = np.concatenate([row, row[:-1][row[:-1] == row[1:]]])
+        slot = (np.concatenate([h, pairs]) % np.uint64(GRAMS)).astype(np.int64)
+        counts = np.bincount(row * GRAMS + slot, minlength=(hi - lo) * GRAMS).reshape(-1, GRAMS)
+        out[lo:hi] = np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1))
+    return out
+
+
+def text_view(texts: list[str | None]) -> np.ndarray:
+    """The features of the text view, one row for each text."""
+    return np.hstack([np.array([text_features(t) for t in texts]).reshape(-1, _SURFACE), gram_features(texts)])
+
+
 def text_features(text: str | None) -> np.ndarray:
     """What the words look like; shares lie between 0 and 1."""
     text = text or ""
@@ -85,7 +108,7 @@ def features(docs: DataFrame) -> DataFrame:
     def run(parts):
         for part in parts:
             ids, lang, source, size, texts = (c.to_pylist() for c in part.columns)
-            a = np.array([text_features(t) for t in texts]).reshape(-1, _TEXT_NAMES)
+            a = text_view(texts)
             b = np.array([meta_features(*x) for x in zip(lang, source, size, texts, strict=True)]).reshape(-1, _META_NAMES)
             views = [
                 pa.ListArray.from_arrays(np.arange(0, v.size + 1, v.shape[1], dtype=np.int32), v.astype(np.float32).ravel())
@@ -275,7 +298,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", rounds
     def judge(lang: pd.Series, source: pd.Series, size: pd.Series, text: pd.Series) -> pd.Series:
         size = [None if pd.isna(x) else int(x) for x in size]
         lang, source = ([None if pd.isna(x) else x for x in c] for c in (lang, source))
-        a = np.array([text_features(t) for t in text]).reshape(-1, _TEXT_NAMES)
+        text = [None if pd.isna(x) else x for x in text]
+        a = text_view(text)
         b = np.array([meta_features(*x) for x in zip(lang, source, size, text, strict=True)]).reshape(-1, _META_NAMES)
         # As float32, like the table that the model was fitted on.
         return _scores(model, a.astype(np.float32).astype(float), b.astype(np.float32).astype(float))["score"]
