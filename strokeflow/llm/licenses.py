@@ -5,8 +5,7 @@
    is sure to keep a shared run of K + WINDOW - 1 words. For templates whose matches may share less
    (short ones, or those that changed words cut into short runs) every k-gram of the document is
    looked up, and k is as small as the longest run that a match with changed words must share.
-2. Spark joins the fingerprints with the index; regions and templates that share enough of them
-   are candidates.
+2. Spark joins the fingerprints with the index; regions and templates that share one are candidates.
 3. The template's words are aligned with the region's in a band around the diagonals of the shared
    fingerprints. Matched share of the template (coverage) and spans in words and characters come
    from the alignment.
@@ -19,10 +18,12 @@ doc_id and text; an empty table gives an empty result; columns other than doc_id
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +33,8 @@ from strokeflow.llm.common import bounded_broadcast, stored
 K, WINDOW = 3, 2
 #: Diagonals further apart than this belong to different occurrences; nearer ones may as well.
 BAND = 16
-#: The index must have at most this many fingerprints; it is sent to every executor.
-MAX_INDEX = 1_000_000
+#: Templates of about this many words are looked for at once; their index is sent to every executor.
+BLOCK_WORDS = 500_000
 
 #: Notices by which works commonly name their licence.
 TEMPLATES = {
@@ -109,17 +110,15 @@ def lookup(size: int, least: float) -> tuple[int, int]:
 
 
 def template_index(spark: SparkSession, templates: dict[str, str], least: float = 0.8) -> DataFrame:
-    """Inverted index (hash, template, tpos, k, window) of all k-grams of the templates."""
+    """Inverted index (hash, template, tpos, k, window) of the templates' winnowed fingerprints."""
     rows = []
     for name, text in templates.items():
         words = [w.lower() for w in _WORD.findall(text)]
         if not words:
             continue
         k, window = lookup(len(words), least)
-        hashes, places = winnow(words, k, 1)
+        hashes, places = winnow(words, k, window)
         rows += [(int(h), name, int(at), k, window) for h, at in zip(hashes, places, strict=True)]
-    if len(rows) > MAX_INDEX:
-        raise ValueError(f"the templates have over {MAX_INDEX} fingerprints")
     return spark.createDataFrame(rows, "hash long, template string, tpos int, k int, window int")
 
 
@@ -143,7 +142,7 @@ def regions(docs: DataFrame, index: DataFrame, reach: int) -> DataFrame:
     def run(parts):
         for part in parts:
             out = []
-            for doc, text in zip(part["doc_id"], part["text"], strict=True):
+            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 found = list(_WORD.finditer(text)) if text else []
                 words = [m.group().lower() for m in found]
                 h, at = hits(words)
@@ -154,13 +153,16 @@ def regions(docs: DataFrame, index: DataFrame, reach: int) -> DataFrame:
                         doc, xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1, lo, words[lo:hi],
                         [m.start() for m in found[lo:hi]], [m.end() for m in found[lo:hi]], h[group].tolist(), at[group].tolist(),
                     ))
-            yield pd.DataFrame(out, columns=["doc_id", "th", "lo", "words", "starts", "ends", "hashes", "places"])
+            columns = zip(*out, strict=True) if out else [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values(), strict=True)], list(types))
 
+    ints, types = pa.list_(pa.int32()), {"doc_id": pa.int64(), "th": pa.int64(), "lo": pa.int32(), "words": pa.list_(pa.string())}
+    types |= {"starts": ints, "ends": ints, "hashes": pa.list_(pa.int64()), "places": ints}
     schema = (
         "doc_id long, th long, lo int, words array<string>, starts array<int>, ends array<int>, hashes array<long>, places array<int>"
     )
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.where("text is not null").mapInPandas(run, schema).dropDuplicates(["doc_id", "th", "lo"])
+    return rows.where("text is not null").mapInArrow(run, schema).dropDuplicates(["doc_id", "th", "lo"])
 
 
 def align(template: list[str], words: list[str], low: int, high: int) -> tuple[int, int, int]:
@@ -219,9 +221,25 @@ def occurrences(template: list[str], words: list[str], low: int, high: int, need
     return sorted(out, key=lambda m: m[1])
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8) -> DataFrame:
-    """doc_id, license, coverage, matched, and the span in words and characters, of each match."""
+def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8, block: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, license, coverage, matched, and the span in words and characters, of each match.
+
+    Templates are looked for in blocks of bounded size, so there can be any number of them.
+    """
     templates = TEMPLATES if templates is None else templates
+    some: list[dict[str, str]] = [{}]
+    size = 0
+    for name, text in templates.items():
+        n = len(_WORD.findall(text))
+        if size and size + n > block:
+            some.append({})
+            size = 0
+        some[-1][name] = text
+        size += n
+    return functools.reduce(DataFrame.unionAll, [_scan(docs, x, least) for x in some])
+
+
+def _scan(docs: DataFrame, templates: dict[str, str], least: float) -> DataFrame:
     spark = docs.sparkSession
     split = {name: [w.lower() for w in _WORD.findall(text)] for name, text in templates.items()}
     index = template_index(spark, templates, least)
@@ -230,7 +248,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
     key = ["doc_id", "th", "lo"]
     hits = found.select(*key, F.explode(F.arrays_zip("hashes", "places")).alias("x"))
     candidates = (
-        hits.join(bounded_broadcast(index, MAX_INDEX), hits["x.hashes"] == index["hash"])
+        hits.join(bounded_broadcast(index, 2 * BLOCK_WORDS), hits["x.hashes"] == index["hash"])
         .groupBy(*key, "template").agg(F.array_sort(F.collect_set(F.col("x.places") - F.col("tpos"))).alias("diagonals"))
     )
 
