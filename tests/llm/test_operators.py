@@ -1,18 +1,21 @@
 """The training-data operators against brute force, and on awkward input."""
 
 import hashlib
+import os
 import random
 import re
+import time
 import zlib
 
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from strokeflow.llm import html_text, language, licenses, line_dedup, media, mixing, near_dedup, quality, queries, url_filter
+from strokeflow.llm import common, html_text, language, licenses, line_dedup, media, mixing, near_dedup, quality, queries, url_filter
 from strokeflow.llm.components import connected_components
 from strokeflow.llm.decontaminate import PositionalIndex, decontaminate
 
+DOCUMENTS = "/root/testdata/sf0.01/documents.parquet"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -94,6 +97,34 @@ def test_near_duplicates_on_awkward_rows(spark, awkward):
     assert sorted((x.doc_id is None, x.doc_id or 0) for x in kept.collect()) == [*[(False, i) for i in (0, 1, 2, 3, 4, 5, 7, 8)], (True, 0)]
 
 
+def test_near_duplicates_at_another_threshold(spark):
+    r = random.Random(6)
+    base, texts = prose(8, 100).split(), []
+    for _ in range(80):
+        copy = list(base)
+        for _ in range(r.randint(1, 12)):
+            copy[r.randrange(len(copy))] = prose(r.random(), 1)
+        texts.append(" ".join(copy))
+    for percent in (60, 95):
+        got = {x.doc_id: x.component_id for x in near_dedup.near_duplicates(make(spark, texts), percent=percent).collect()}
+        assert [got[i] for i in range(len(texts))] == components_by_force(texts, percent)
+    with pytest.raises(ValueError, match="percent"):
+        near_dedup.near_duplicates(make(spark, texts), percent=20)
+
+
+@pytest.mark.skipif(not os.path.exists(DOCUMENTS), reason="needs the test data")
+def test_near_duplicates_recall_over_a_table(spark):
+    """Every document whose id is divisible by 50, compared with all rows by force."""
+    docs = spark.read.parquet(DOCUMENTS)
+    got = {x.doc_id: x.component_id for x in near_dedup.near_duplicates(docs).collect()}
+    sets = {x.doc_id: shingles(x.text) for x in docs.collect()}
+    links = [
+        (i, j) for i in sets if i % 50 == 0 for j in sets
+        if i != j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])
+    ]
+    assert sum(got[i] == got[j] for i, j in links) == len(links)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(5, 5)]
     got = {x.vertex: x.component for x in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
@@ -324,6 +355,35 @@ def test_html_text_keeps_the_whole_article(spark):
     assert html_text.main_text(small, None) == f"{long}\n{lead}\n{more}"
 
 
+def test_html_text_of_odd_rows(spark):
+    big, body = 2**60 + 1, prose(5, 60)
+    page = f"<body><article><header><h3>Head</h3></header><p>{body} <math><mi>x</mi></math></p></article></body>"
+    rows = [(big, "http://a.example/", page), (big, "http://a.example/", page), (None, "http://a.example/", page), (big + 1, None, None)]
+    got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id or 0, r.text) for r in got) == [(0, f"Head\n{body} x"), *[(big, f"Head\n{body} x")] * 2, (big + 1, "")]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body>" + "text <hr>" * 50_000, "<body>" + "<div>a" * 40_000, "<b>" * 20_000 + "<p>x</p>" * 20_000, "<div " + "a" * 300_000 + ">x",
+        "<div>" * 20_000 + "</span>" * 20_000 + "x", "<article>" + "<header>" * 20_000 + "<h3>t</h3>", "<body>" + "<a>link</a> t <hr>" * 20_000,
+    ],
+)
+def test_long_pages_take_time_in_proportion(page):
+    began = time.process_time()
+    path, path_id, _ = html_text.vote(page)
+    assert html_text.main_text(page, path_id) == html_text.main_text(page, None)
+    assert time.process_time() - began < 20
+
+
+def test_languages_in_blocks_give_the_same_answer(spark, awkward):
+    rows = [(i, prose(i % 7, 30 + i), f"l{i % 7}") for i in range(60)] + [(60, "same words", "b"), (61, "same words", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").unionByName(awkward.select("doc_id", "text", "lang"))
+    one, many = (language.identify(docs, block=n).collect() for n in (2000, 2))
+    assert sorted(map(str, one)) == sorted(map(str, many))
+
+
 def test_language_of_held_out_documents(spark, awkward):
     words = {"en": "the and with that house water under little", "de": "und der nicht schön wasser über kleine häuser", "fr": "le la avec maison été sous petite eau"}
     r = random.Random(2)
@@ -364,12 +424,20 @@ def test_url_rules_and_list(spark):
 
 def test_bloom_cascade_is_exact_over_its_universe(spark):
     universe = spark.range(20_000).select(F.col("id").cast("string").alias("key"))
-    cascade = url_filter.build_cascade(universe, universe.where("key % 7 = 0"), bits_per_key=3)
+    keys = url_filter.marked_keys(universe, universe.where("key % 7 = 0"))
+    cascade = url_filter.build_cascade(keys, bits_per_key=3)
     assert len(cascade.levels) > 2
     wrong = universe.select("key", cascade.any_listed(F.array("key")).alias("in")).where("in <> (key % 7 = 0)")
     assert wrong.count() == 0
-    with pytest.raises(ValueError, match="max_bytes"):
-        url_filter.build_cascade(universe, universe, max_bytes=100)
+
+
+def test_url_filter_by_blocks_gives_the_same_verdicts(spark):
+    pages = spark.createDataFrame([(i, f"http://a{i % 40}.b{i % 90}.net/{'x' * (i % 5)}") for i in range(400)] + [(400, None), (7, "http://b7.net/" + "y" * 200_000)] * 2, "page_id long, url string")
+    listed = spark.createDataFrame([(f"b{i}.net",) for i in range(0, 90, 4)], "key string")
+    whole = url_filter.filter_urls(pages, [], listed)
+    blocks = url_filter.filter_urls(pages, [], listed, max_bytes=4)
+    assert blocks.columns == whole.columns and sorted(map(str, blocks.collect())) == sorted(map(str, whole.collect()))
+    assert {(r.page_id % 90 % 4 == 0, r.verdict) for r in whole.where("page_id < 400 and length(url) < 100").collect()} == {(True, "block"), (False, "allow")}
 
 
 def test_license_scan(spark, awkward):
@@ -387,6 +455,15 @@ def test_license_scan(spark, awkward):
     assert licenses.scan_licenses(docs, {}).count() == 0
 
 
+def test_license_scan_in_blocks_and_with_large_ids(spark):
+    notices = [f"{prose(i, 30)}\n{t}" for i, t in enumerate(licenses.TEMPLATES.values())]
+    docs = spark.createDataFrame([(2**60 + 1 + i, t) for i, t in enumerate(notices)] + [(None, notices[0])], "doc_id long, text string")
+    whole, blocks = (sorted(map(str, licenses.scan_licenses(docs, block=n).collect())) for n in (licenses.BLOCK_WORDS, 30))
+    assert whole == blocks
+    ids = {r.doc_id for r in licenses.scan_licenses(docs).collect()}
+    assert ids == {2**60 + 1 + i for i in range(len(notices))} | {None}
+
+
 def test_license_scan_finds_short_notices_wherever_they_stand(spark):
     texts = [f"{prose(i, 20 + i)}\nAll rights reserved." for i in range(30)]
     texts += [f"{prose(50 + i, 30)} released under {w} MIT license {prose(90 + i, i)}" for i, w in enumerate(("a", "this", "our"))]
@@ -429,3 +506,23 @@ def test_quality_by_co_training(spark, awkward):
     none = labels.where("false")
     assert {x.score for x in quality.score_documents(docs, none).collect()} == {0.5}
     assert quality.keep_good(empty(spark), labels).count() == 0
+
+
+@pytest.mark.skipif(not os.path.exists(DOCUMENTS), reason="needs the test data")
+def test_quality_of_held_out_labels(spark):
+    docs, labels = spark.read.parquet(DOCUMENTS), spark.read.parquet(DOCUMENTS.replace("documents", "labels"))
+    known = {r.doc_id: r.quality for r in labels.where("quality is not null").collect()}
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    got = quality.score_documents(docs, labels.where(~held)).where(held).collect()
+    judged = [r.kept == bool(known[r.doc_id]) for r in got if r.doc_id in known]
+    assert len(judged) >= 20 and sum(judged) >= 0.95 * len(judged)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "spark://host:7077"}.get(key, default)
+
+    session = type("Session", (), {"conf": Conf()})()
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(session, "x")
