@@ -62,16 +62,19 @@ class PositionalIndex:
         text = F.col("text")
         self.docs = docs.select("doc_id", text, F.xxhash64(text).alias("th"))
         every = stored(windows(items, width), "bench-windows")
-        self.items = every.groupBy("window").agg(F.collect_set("item_id").alias("items"))
+        # Windows go by a number, so that shuffles carry no words; it holds once it is written.
+        numbered = every.select("window").distinct().withColumn("no", F.monotonically_increasing_id())
+        self.windows = stored(numbered, "bench-numbers")
+        self.items = every.join(self.windows, "window").groupBy("no").agg(F.collect_set("item_id").alias("items"))
         terms = every.select(F.explode(F.concat("window", F.array(F.lit("")))).alias("term")).distinct()
         # Without items there are no terms, but each document still has its number of words.
         terms = terms.unionAll(docs.sparkSession.createDataFrame([("",)], "term string")).distinct()
         self.postings = stored(self._tokens().join(bounded_broadcast(terms, BROADCAST_ROWS), "term"), "postings")
         counts = self.postings.groupBy("term").agg(F.count("*").alias("df"))
-        order = W.partitionBy("window").orderBy(F.coalesce("df", F.lit(0)), "term", "offset")
+        order = W.partitionBy("no").orderBy(F.coalesce("df", F.lit(0)), "term", "offset")
         places = (
-            every.select("window").distinct().select("window", F.posexplode("window").alias("offset", "term"))
-            .join(counts, "term", "left").withColumns({"rank": F.row_number().over(order), "n": F.size("window")})
+            self.windows.select("no", F.size("window").alias("n"), F.posexplode("window").alias("offset", "term"))
+            .join(counts, "term", "left").withColumn("rank", F.row_number().over(order))
         )
         self.places = stored(places, "bench-places")
 
@@ -80,37 +83,37 @@ class PositionalIndex:
         return w.select("doc_id", "th", F.posexplode("w").alias("pos", "term"))
 
     def _starts(self, rank: int) -> DataFrame:
-        """(doc_id, th, start, window, n): where windows would start by the postings of one rank."""
-        places = self.places.where(F.col("rank") == rank).select("term", "offset", "window", "n")
+        """(doc_id, th, start, no, n): where windows would start by the postings of one rank."""
+        places = self.places.where(F.col("rank") == rank).select("term", "offset", "no", "n")
         return (
             self.postings.join(bounded_broadcast(places, BROADCAST_ROWS), "term")
-            .select("doc_id", "th", (F.col("pos") - F.col("offset")).alias("start"), "window", "n").where("start >= 0")
+            .select("doc_id", "th", (F.col("pos") - F.col("offset")).alias("start"), "no", "n").where("start >= 0")
         )
 
     def phrases(self) -> DataFrame:
-        """(doc_id, th, start, n, window) of each exact occurrence of a window."""
-        key = ["doc_id", "th", "start", "window"]
+        """(doc_id, th, start, n, no) of each exact occurrence of a window."""
+        key = ["doc_id", "th", "start", "no"]
         first, second = self._starts(1).distinct(), self._starts(2).select(*key)
         two = stored(
             first.where("n = 1").unionByName(first.where("n > 1").alias("a").join(second.alias("b"), _same(key, "a", "b"), "left_semi")),
             "phrase-starts",
         )
-        further = bounded_broadcast(self.places.where("rank > 2").select("window", "offset", "term"), BROADCAST_ROWS * self.width)
-        awaited = two.where("n > 2").join(further, "window").select(*key, "n", "term", (F.col("start") + F.col("offset")).alias("pos"))
+        further = bounded_broadcast(self.places.where("rank > 2").select("no", "offset", "term"), BROADCAST_ROWS * self.width)
+        awaited = two.where("n > 2").join(further, "no").select(*key, "n", "term", (F.col("start") + F.col("offset")).alias("pos"))
         held = bounded_broadcast(two.where("n > 2").select("doc_id", "th").distinct(), BROADCAST_ROWS)
         there = self.postings.alias("a").join(held.alias("b"), _same(["doc_id", "th"], "a", "b"), "left_semi")
         met = awaited.alias("a").join(there.alias("b"), _same(["doc_id", "th", "pos", "term"], "a", "b"), "left_semi")
         whole = met.groupBy(*key, "n").agg(F.count("*").alias("met")).where("met = n - 2")
-        return two.where("n <= 2").unionByName(whole.drop("met")).select("doc_id", "th", "start", "n", "window")
+        return two.where("n <= 2").unionByName(whole.drop("met")).select("doc_id", "th", "start", "n", "no")
 
     def _near_candidates(self, absent: Column) -> DataFrame:
         """Anchor postings of each window, with the words around them."""
-        order = W.partitionBy("window").orderBy(F.coalesce("df", F.lit(0)), "term")
+        order = W.partitionBy("no").orderBy(F.coalesce("df", F.lit(0)), "term")
         ranked = (
-            self.places.groupBy("window", "term", "df").agg(F.min("offset").alias("offset"))
+            self.places.join(self.windows, "no").groupBy("no", "window", "term", "df").agg(F.min("offset").alias("offset"))
             .withColumn("rank", F.row_number().over(order))
         )
-        anchors = ranked.where((F.col("rank") <= absent + 1) & (F.col("df") > 0)).select("term", "offset", "window")
+        anchors = ranked.where((F.col("rank") <= absent + 1) & (F.col("df") > 0)).select("term", "offset", "no", "window")
         anchors = stored(anchors, "bench-anchors")
         reach = self.width - 1
         first = F.greatest(F.col("pos") - reach, F.lit(0))
@@ -143,9 +146,9 @@ class PositionalIndex:
     def near_report(self, near: float = 0.8) -> DataFrame:
         """One row for each document row: n_words, n_near (windows), n_near_items, near_items and best_share."""
         key = ["doc_id", "th"]
-        found = self._near(near).groupBy(*key, "window").agg(F.max("share").alias("share"))
+        found = self._near(near).groupBy(*key, "no").agg(F.max("share").alias("share"))
         found_in = (
-            found.join(bounded_broadcast(self.items, BROADCAST_ROWS), "window")
+            found.join(bounded_broadcast(self.items, BROADCAST_ROWS), "no")
             .groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
             .agg(F.count("*").alias("n_near"), F.max("share").alias("share"),
                  F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
@@ -169,7 +172,7 @@ class PositionalIndex:
             .distinct().groupBy(*key).agg(F.count("*").alias("n_hit"))
         )
         which = (
-            found.select(*key, "window").distinct().join(bounded_broadcast(self.items, BROADCAST_ROWS), "window")
+            found.select(*key, "no").distinct().join(bounded_broadcast(self.items, BROADCAST_ROWS), "no")
             .select(*key, F.explode("items").alias("item_id"))
             .groupBy(*key).agg(F.array_sort(F.collect_set("item_id")).alias("items"))
         )
