@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strokeflow.llm.common import bounded_broadcast, stored
+from strokeflow.llm.shingles import slices, word_hashes
 
 K, WINDOW = 3, 2
 #: Diagonals further apart than this belong to different occurrences; nearer ones may as well.
@@ -72,23 +73,29 @@ TEMPLATES = {
 _WORD = re.compile(r"[A-Za-z0-9]+")
 
 
-def winnow(words: list[str], k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, positions): the smallest k-gram hash of every window; the rightmost of equal ones."""
-    n = len(words) - k + 1
-    if n < 1:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), dtype=np.uint64, count=len(words))
-    return _winnowed(h, k, window)
+_OTHER = np.array([not (c < 128 and chr(c).isalnum()) for c in range(256)])  # bytes that are in no word
+
+
+def words_of(text: str) -> np.ndarray:
+    """Hashes of a text's words."""
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    return word_hashes(data, np.array([0, len(data)]), _OTHER)[0]
 
 
-def _winnowed(h: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+def _grams(h: np.ndarray, k: int) -> np.ndarray:
+    n = len(h) - k + 1
+    grams = np.zeros(max(n, 0), dtype=np.uint64)
+    for i in range(k if n > 0 else 0):
+        grams = (grams ^ (grams >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n]
+    return grams
+
+
+def winnow(h: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, positions) for the words' hashes: the smallest k-gram hash of every window, the rightmost of equal ones."""
     n = len(h) - k + 1
     if n < 1:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    grams = np.zeros(n, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(k):
-            grams = (grams ^ (grams >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n]
+    grams = _grams(h, k)
     if window == 1:
         return grams.view(np.int64), np.arange(n)
     width = min(window, n)
@@ -113,11 +120,11 @@ def template_index(spark: SparkSession, templates: dict[str, str], least: float
     """Inverted index (hash, template, tpos, k, window) of the templates' winnowed fingerprints."""
     rows = []
     for name, text in templates.items():
-        words = [w.lower() for w in _WORD.findall(text)]
-        if not words:
+        h = words_of(text)
+        if not len(h):
             continue
-        k, window = lookup(len(words), least)
-        hashes, places = winnow(words, k, window)
+        k, window = lookup(len(h), least)
+        hashes, places = winnow(h, k, window)
         rows += [(int(h), name, int(at), k, window) for h, at in zip(hashes, places, strict=True)]
     return spark.createDataFrame(rows, "hash long, template string, tpos int, k int, window int")
 
@@ -129,11 +136,20 @@ def regions(docs: DataFrame, index: DataFrame, reach: int) -> DataFrame:
         kinds.setdefault((r["k"], r["window"]), set()).add(r["hash"])
     known = docs.sparkSession.sparkContext.broadcast({kind: np.array(sorted(h), dtype=np.int64) for kind, h in kinds.items()})
 
-    def hits(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), dtype=np.uint64, count=len(words))
+    def maybe(h: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Numbers of the rows that may have hits: all with a k-gram of the index, and some in which two rows meet."""
+        row = np.repeat(np.arange(len(words)), words)
+        found = [np.empty(0, np.int64)]
+        for (k, _), wanted in known.value.items():
+            grams = _grams(h, k).view(np.int64)
+            at = np.minimum(np.searchsorted(wanted, grams), len(wanted) - 1)
+            found.append(row[: len(grams)][wanted[at] == grams])
+        return np.unique(np.concatenate(found))
+
+    def hits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         some = []
         for (k, window), wanted in known.value.items():
-            grams, at = _winnowed(h, k, window)
+            grams, at = winnow(h, k, window)
             there = np.isin(grams, wanted)
             some.append(np.stack([at[there], grams[there]]))
         both = np.unique(np.concatenate(some, axis=1), axis=1) if some else np.empty((2, 0), np.int64)
@@ -141,20 +157,30 @@ def regions(docs: DataFrame, index: DataFrame, reach: int) -> DataFrame:
 
     def run(parts):
         for part in parts:
-            out = []
-            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                found = list(_WORD.finditer(text)) if text else []
+            yield batch(list(regions_of(part)))
+
+    def regions_of(part):
+        for first, _, data, bounds in slices(part.column(1)):
+            codes, counts = word_hashes(data, bounds, _OTHER)
+            ends = np.cumsum(counts)
+            for i in maybe(codes, counts).tolist():
+                h, at = hits(codes[ends[i] - counts[i] : ends[i]])
+                if not len(at):
+                    continue
+                doc, text = part.column(0)[first + i].as_py(), part.column(1)[first + i].as_py()
+                found = list(_WORD.finditer(text))
                 words = [m.group().lower() for m in found]
-                h, at = hits(words)
-                for group in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > reach) + 1) if len(at) else []:
+                for group in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > reach) + 1):
                     lo = max(0, int(at[group[0]]) - reach)
                     hi = min(len(words), int(at[group[-1]]) + K + reach)
-                    out.append((
+                    yield (
                         doc, xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1, lo, words[lo:hi],
                         [m.start() for m in found[lo:hi]], [m.end() for m in found[lo:hi]], h[group].tolist(), at[group].tolist(),
-                    ))
-            columns = zip(*out, strict=True) if out else [[]] * len(types)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values(), strict=True)], list(types))
+                    )
+
+    def batch(out):
+        columns = zip(*out, strict=True) if out else [[]] * len(types)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values(), strict=True)], list(types))
 
     ints, types = pa.list_(pa.int32()), {"doc_id": pa.int64(), "th": pa.int64(), "lo": pa.int32(), "words": pa.list_(pa.string())}
     types |= {"starts": ints, "ends": ints, "hashes": pa.list_(pa.int64()), "places": ints}

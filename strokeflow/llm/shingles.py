@@ -40,13 +40,15 @@ def _powers_of(base: int, n: int) -> np.ndarray:
     return _powers[base][:n]
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, bounds: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of ``data`` in order, and the number of words of each row.
 
-    Row i is ``data[bounds[i]:bounds[i + 1]]`` (UTF-8 bytes). A word's hash is the sum of its bytes'
+    Row i is ``data[bounds[i]:bounds[i + 1]]`` (UTF-8 bytes); ``space`` says of each byte whether it
+    separates words. A word's hash is the sum of its bytes'
     values times powers of a base, so all words are hashed by a few passes over the bytes.
     """
-    space = _SPACE[data]
+    value = np.where(space, np.uint64(0), _VALUE)
+    space = space[data]
     after = np.empty_like(space)
     after[:1], after[1:] = True, space[:-1]
     after[bounds[:-1][bounds[:-1] < len(data)]] = True
@@ -57,7 +59,7 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
         begin = at[lo]
         hi = max(int(np.searchsorted(at, begin + SLICE_BYTES)), lo + 1)
         end = at[hi] if hi < len(at) else len(data)
-        values = _VALUE[data[begin:end]]
+        values = value[data[begin:end]]
         values *= _powers_of(_BASE, end - begin)
         places = at[lo:hi] - begin
         out[lo:hi] = np.add.reduceat(values, places) * _powers_of(pow(_BASE, -1, 2**64), end - begin)[places]
