@@ -20,6 +20,7 @@ columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import struct
 import tarfile
@@ -87,6 +88,25 @@ def _member_offsets(files: fs.FileSystem, archive: str, size: int) -> np.ndarray
     return np.array(out, dtype="<i8").reshape(-1, 2)
 
 
+class _Archive:
+    """An archive that is opened when it is first read, and anew after an error."""
+
+    def __init__(self, files: fs.FileSystem, path: str):
+        self.files, self.path, self.file = files, path, None
+
+    def read(self, offset: int, size: int) -> bytes:
+        if self.file is None:
+            self.file = self.files.open_input_file(self.path)
+        self.file.seek(offset)
+        return self.file.read(size)
+
+    def close(self) -> None:
+        if self.file is not None:
+            with contextlib.suppress(OSError):
+                self.file.close()
+        self.file = None
+
+
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
@@ -105,23 +125,22 @@ class ArchiveReader(DataSourceReader):
             for start in range(0, f.size, self.range_bytes)
         ] or [ByteRange("", 0, 0)]
 
-    def _member(self, files: fs.FileSystem, archive: str, offset: int, length: int):
-        """(name, media, error) of one member; every try opens the archive anew."""
+    def _member(self, archive: _Archive, offset: int, length: int):
+        """(name, media, error) of one member; a further try opens the archive anew."""
         for attempt in range(self.retries):
             try:
-                with files.open_input_file(archive) as f:
-                    f.seek(offset)
-                    data = f.read(_BLOCK + length)
+                data = archive.read(offset, _BLOCK + length)
                 head = tarfile.TarInfo.frombuf(data[:_BLOCK], "utf-8", "surrogateescape")
                 if head.size != length or len(data) != _BLOCK + length:
-                    raise OSError(f"member at {offset} of {archive} is cut short")
+                    raise OSError(f"member at {offset} of {archive.path} is cut short")
                 return head.name, data[_BLOCK:], None
             except (OSError, tarfile.HeaderError) as x:
                 error = f"{type(x).__name__}: {x}"
+                archive.close()
                 if attempt + 1 < self.retries:
                     time.sleep(0.05 * 2**attempt)
         if self.failfast:
-            raise OSError(f"{archive} at {offset}, after {self.retries} tries: {error}")
+            raise OSError(f"{archive.path} at {offset}, after {self.retries} tries: {error}")
         return None, None, error
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
@@ -130,13 +149,14 @@ class ArchiveReader(DataSourceReader):
         files, _ = _open(self.path)
         size = files.get_file_info(partition.archive).size
         members = _member_offsets(files, partition.archive, size)
-        rows, held = [], 0
+        rows, held, archive = [], 0, _Archive(files, partition.archive)
         for offset, length in members[(members[:, 0] >= partition.start) & (members[:, 0] < partition.end)].tolist():
-            rows.append((partition.archive, offset, *self._member(files, partition.archive, offset, length)))
+            rows.append((partition.archive, offset, *self._member(archive, offset, length)))
             held += length
             if held >= self.batch_bytes:
                 yield _batch(rows)
                 rows, held = [], 0
+        archive.close()
         if rows:
             yield _batch(rows)
 
