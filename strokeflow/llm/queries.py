@@ -13,6 +13,7 @@ from strokeflow.llm.line_dedup import dedup_lines
 from strokeflow.llm.media import media_features
 from strokeflow.llm.mixing import mix_sources
 from strokeflow.llm.near_dedup import near_duplicates
+from strokeflow.llm.pieces import encode_texts
 from strokeflow.llm.quality import score_documents
 from strokeflow.llm.url_filter import Rule, filter_urls
 
@@ -94,11 +95,27 @@ def op10_near_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the installed package of public tokenizers keeps a file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = encode_texts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return encoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "span_bytes",
+    )
+
+
 def queries() -> dict:
     each = (
         op1_media_columns, op2_html_text, op3_language_id, op4_mix_sources, op5_line_dedup, op6_near_dedup,
         op7_url_filter, op8_license_scan, op9_quality, op10_decontaminate,
-        op10_near_passages,
+        op10_near_passages, op13_pieces,
     )
     return {f.__name__: f for f in each}
 
