@@ -15,6 +15,7 @@ from strokeflow.llm.mixing import mix_sources
 from strokeflow.llm.near_dedup import near_duplicates
 from strokeflow.llm.pieces import encode_texts
 from strokeflow.llm.quality import score_documents
+from strokeflow.llm.ranked_search import search
 from strokeflow.llm.url_filter import Rule, filter_urls
 
 RULES = [
@@ -95,6 +96,10 @@ def op10_near_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def tokenizer_path(name: str) -> str:
     """Where the installed package of public tokenizers keeps a file."""
     import public_tokenizers
@@ -115,7 +120,7 @@ def queries() -> dict:
     each = (
         op1_media_columns, op2_html_text, op3_language_id, op4_mix_sources, op5_line_dedup, op6_near_dedup,
         op7_url_filter, op8_license_scan, op9_quality, op10_decontaminate,
-        op10_near_passages, op13_pieces,
+        op10_near_passages, op11_ranked_search, op13_pieces,
     )
     return {f.__name__: f for f in each}
 
@@ -208,6 +213,34 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_it
 FROM docs d LEFT JOIN hit USING (doc_id) LEFT JOIN which USING (doc_id)
 """
 
+_OP11 = r"""
+WITH terms AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {az}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+docs AS (SELECT doc_id, row_number() OVER () AS row, w, CAST(len(w) AS BIGINT) AS n FROM terms WHERE len(w) > 0),
+totals AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM docs),
+wanted AS (
+  SELECT item_id, term, count(*) AS times
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, {az}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM benchmark WHERE text IS NOT NULL) GROUP BY item_id, term),
+tfs AS (
+  SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(w) AS term FROM docs)
+  WHERE term IN (SELECT term FROM wanted) GROUP BY row, term),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS weight
+  FROM (SELECT term, count(*) AS df FROM tfs GROUP BY term), totals),
+lengths AS (SELECT row, doc_id, 100 - 25 + ((25 * n * n_docs) // n_terms) AS m FROM docs, totals),
+added AS (
+  SELECT t.row, t.term, w.weight * ((1000000000 * t.tf) // (1000 * t.tf + 12 * l.m)) AS score
+  FROM tfs t JOIN weights w USING (term) JOIN lengths l USING (row)),
+scores AS (
+  SELECT i.item_id, a.row, CAST(sum(a.score * i.times) AS BIGINT) AS score
+  FROM wanted i JOIN added a USING (term) GROUP BY i.item_id, a.row),
+ranked AS (
+  SELECT s.item_id, l.doc_id, s.score, row_number() OVER (PARTITION BY s.item_id ORDER BY s.score DESC, l.doc_id) AS rank
+  FROM scores s JOIN lengths l USING (row) WHERE s.score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
 
 def _op7_sql() -> str:
     rules = " ".join(
@@ -226,4 +259,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_line_dedup": _OP5,
         "op7_url_filter": _op7_sql(),
         "op10_decontaminate": _OP10.replace("{az}", _AZ),
+        "op11_ranked_search": _OP11.replace("{az}", _AZ),
     }
