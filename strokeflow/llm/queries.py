@@ -17,6 +17,7 @@ from strokeflow.llm.pieces import encode_texts
 from strokeflow.llm.quality import score_documents
 from strokeflow.llm.ranked_search import search
 from strokeflow.llm.url_filter import Rule, filter_urls
+from strokeflow.llm.variants import corpus_words, group_variants
 
 RULES = [
     Rule("allow", "org", "/"),
@@ -100,6 +101,10 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_variants(corpus_words(table(spark, sf_dir, "documents"), slip_in=31))
+
+
 def tokenizer_path(name: str) -> str:
     """Where the installed package of public tokenizers keeps a file."""
     import public_tokenizers
@@ -120,7 +125,7 @@ def queries() -> dict:
     each = (
         op1_media_columns, op2_html_text, op3_language_id, op4_mix_sources, op5_line_dedup, op6_near_dedup,
         op7_url_filter, op8_license_scan, op9_quality, op10_decontaminate,
-        op10_near_passages, op11_ranked_search, op13_pieces,
+        op10_near_passages, op11_ranked_search, op12_spelling_variants, op13_pieces,
     )
     return {f.__name__: f for f in each}
 
@@ -241,6 +246,45 @@ ranked AS (
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 20
 """
 
+_OP12 = f"""
+WITH RECURSIVE bits(i, j, c) AS (
+  SELECT i, 0, CAST(i AS BIGINT) FROM (SELECT unnest(generate_series(0, 255)) AS i)
+  UNION ALL
+  SELECT i, j + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END FROM bits WHERE j < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE j = 8),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents),
+each AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY doc_id, run),
+coded AS (SELECT run, n, hex(encode(doc_id::VARCHAR || ':' || run)) AS x FROM each),
+hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT), list_transform(generate_series(0, length(x) // 2 - 1),
+      lambda i: CAST(strpos('0123456789ABCDEF', substr(x, 2 * i + 1, 1)) * 16 + strpos('0123456789ABCDEF', substr(x, 2 * i + 2, 1)) - 17 AS BIGINT))),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) AS h FROM coded, crc),
+slipped AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM slipped WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+places AS (SELECT word, n, unnest(generate_series(1, length(word))) AS i FROM words),
+shorter AS (SELECT DISTINCT word AS a, n AS a_n, substr(word, 1, i - 1) || substr(word, i + 1) AS b FROM places),
+blanked AS (SELECT word, n, i, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS blank FROM places),
+deleted AS (SELECT s.a, s.a_n, s.b, w.n AS b_n FROM shorter s JOIN words w ON s.b = w.word),
+near AS (
+  SELECT a AS word, b AS other, b_n AS other_n FROM deleted
+  UNION ALL SELECT b, a, a_n FROM deleted
+  UNION ALL SELECT x.word, y.word, y.n FROM blanked x JOIN blanked y ON x.blank = y.blank AND x.i = y.i AND x.word <> y.word),
+tops AS (
+  SELECT word, other, other_n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS place FROM near),
+formed AS (
+  SELECT w.word, w.n, coalesce(t.n_near, 0) AS n_near, CASE WHEN t.other_n >= 10 * w.n THEN t.other END AS form,
+         CASE WHEN t.other_n >= 10 * w.n THEN t.other_n END AS form_n
+  FROM words w LEFT JOIN tops t ON w.word = t.word AND t.place = 1),
+paths(word, root) AS (
+  SELECT word, form FROM formed WHERE form IS NOT NULL
+  UNION ALL SELECT p.word, f.form FROM paths p JOIN formed f ON p.root = f.word WHERE f.form IS NOT NULL),
+last AS (SELECT p.word, p.root FROM paths p JOIN formed f ON p.root = f.word WHERE f.form IS NULL)
+SELECT f.word, f.form, coalesce(l.root, f.word) AS root, f.n, f.n_near, f.form_n FROM formed f LEFT JOIN last l ON f.word = l.word
+"""
+
 
 def _op7_sql() -> str:
     rules = " ".join(
@@ -260,4 +304,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_url_filter": _op7_sql(),
         "op10_decontaminate": _OP10.replace("{az}", _AZ),
         "op11_ranked_search": _OP11.replace("{az}", _AZ),
+        "op12_spelling_variants": _OP12,
     }
