@@ -3,8 +3,10 @@ and read back through the library."""
 
 from __future__ import annotations
 
+import contextlib
 import functools
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame
 
 from strokeflow.operators import catalog
@@ -96,6 +98,24 @@ def a1(spark, folder):
     return _doubles(_records(spark, folder).select("session_id", "n", "tag", "error"), "n")
 
 
+def log_files(spark, folder) -> str:
+    """The logs as files of a folder in the store that all executors share."""
+    place = scratch_folder(spark, "logs")
+    logs.write_files(session_logs(spark, folder), place)
+    return place
+
+
+@query("a1_split_logs", f"""{_LOG} SELECT session_id, n::DOUBLE AS n, tag, t_us::DOUBLE AS t_us, CAST(file_size AS DOUBLE) AS file_size, NULL::VARCHAR AS error
+FROM (SELECT r.*, CASE WHEN n = 0 THEN sum(16 + len) OVER (PARTITION BY session_id) + 100 END AS file_size FROM (SELECT * FROM r) r)
+UNION ALL SELECT DISTINCT session_id, NULL, NULL, NULL, NULL, error FROM named WHERE error IS NOT NULL""")
+def a1_split(spark, folder):
+    """Ranges of a few records each: most begin in the middle of one."""
+    records = logs.read_records(spark, log_files(spark, folder), range_bytes=200)
+    good = logs.unwrapped(records).select("session_id", "n", "tag", "t_us", "file_size", "error")
+    bad = logs.quarantine(records).select("session_id", *[F.lit(None).cast(k).alias(c) for c, k in (("n", "long"), ("tag", "string"), ("t_us", "long"), ("file_size", "long"))], "error")
+    return _doubles(good.unionByName(bad), "n", "t_us", "file_size")
+
+
 @query("a2_session_header", f"""{_LOG} SELECT session_id, 1 AS format_version, min(t) // 1000000 AS start_epoch, 'build' AS build_id, 12 AS analog_resolution_bits, 416 AS imu_rate_hz,
 count(*) AS records, CAST(100 + sum(16 + len) AS BIGINT) AS file_size FROM r GROUP BY session_id""")
 def a2(spark, folder):
@@ -329,3 +349,37 @@ SELECT session_id::VARCHAR AS session_id, t_us, interval_us, pulse_count FROM ta
 def k2(spark, folder):
     """Events at least six hours after the last one that was taken."""
     return streams.debounce(event_samples(spark, folder).select("session_id", "t_us"), _LEAST)
+
+
+#: Users by the remainder of their number by three arrive in three runs. The second breaks off before its commit
+#: and is started again; with the third come other files with the names of the first, which are refused.
+@query("k1_arrivals", f"""{_LOG}, sums AS (SELECT u, session_id, count(*) AS records, max(error) AS error FROM named GROUP BY u, session_id)
+SELECT session_id, u % 3 AS run, 0 AS copy, CASE WHEN error IS NULL THEN records ELSE 0 END AS records, error FROM sums
+UNION ALL SELECT session_id, 2, 1, 0, 'another file has this session''s name' FROM sums WHERE u % 3 = 0""")
+def k1(spark, folder):
+    files = session_logs(spark, folder).withColumn("run", F.regexp_extract("path", r"LOG(\d+)", 1).cast("long") % 3)
+    place = scratch_folder(spark, "arrivals")
+    store = streams.LogStore(spark, f"{place}/store")
+
+    def run():
+        store.start(f"{place}/in", f"{place}/checkpoint").awaitTermination()
+
+    class BreaksOff(streams.LogStore):
+        def _put(self, df, name, stream, batch):
+            if name == "commits":
+                raise InterruptedError("no commit")
+            super()._put(df, name, stream, batch)
+
+    for i in range(3):
+        logs.write_files(files.where(F.col("run") == i), f"{place}/in/{i}")
+        if i == 1:
+            with contextlib.suppress(StreamingQueryException):
+                BreaksOff(spark, f"{place}/store").start(f"{place}/in", f"{place}/checkpoint").awaitTermination()
+        if i == 2:
+            logs.write_files(files.where("run = 0"), f"{place}/in/again")
+        run()
+    found = store.records().groupBy("session_id").agg(F.count("*").alias("n"))
+    rows = store.commits().join(found, "session_id", "left")
+    copy = F.col("path").contains("/again/").cast("int")
+    records = F.when(F.col("error").isNull(), F.col("n")).otherwise(F.lit(0)).cast("long")
+    return rows.select("session_id", F.col("batch").cast("int").alias("run"), copy.alias("copy"), records.alias("records"), "error")

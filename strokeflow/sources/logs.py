@@ -84,15 +84,19 @@ _KINDS = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary"
 _FIELDS = [(name, _KINDS[kind]) for name, kind in (c.split() for c in RECORDS.split(", "))]
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
+#: With the number of times that the clock had started anew before a record, which only ranges know.
+_WITH_WRAPS = [*_FIELDS, ("wraps", pa.int64())]
+
+
+def _batch(rows: list[tuple], fields: list = _FIELDS) -> pa.RecordBatch:
     columns = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _FIELDS, strict=True)], [n for n, _ in _FIELDS])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
 
 def _framed(path: str, data: bytes, clash: bool):
     """Batches of the records of one file; LogError, before any, where it is broken or its name is taken."""
     if clash:
-        raise LogError("another file has this session's name")
+        raise LogError(CLASH)
     header = read_header(data)
     for _ in walk_records(data):
         pass
@@ -107,16 +111,33 @@ def _framed(path: str, data: bytes, clash: bool):
         yield _batch(rows)
 
 
-def _broken(path: str, error: LogError) -> pa.RecordBatch:
-    return _batch([(path, str(error), *[None] * (len(_FIELDS) - 2))])
+def _broken(path: str, error: LogError | str, fields: list = _FIELDS) -> pa.RecordBatch:
+    return _batch([(path, str(error), *[None] * (len(fields) - 2))], fields)
+
 
+#: What the names of two files in different folders make of their sessions.
+CLASH = "another file has this session's name"
+#: Files beyond this size are read by ranges: one value of a table ends at 2 GB.
+WHOLE_BYTES = 1 << 30
 
-def read_records(spark: SparkSession, paths: str | list[str], failfast: bool = False, files: DataFrame | None = None) -> DataFrame:
+
+def read_records(
+    spark: SparkSession, paths: str | list[str], failfast: bool = False, files: DataFrame | None = None, range_bytes: int | None = None
+) -> DataFrame:
     """One row for each record of each log, and one row with ``error`` for each broken file.
 
     A file's first record carries the bytes of its header (``head``) and its size. A session is named by
     its file; files in several folders with one name are errors, as their records would mix.
+
+    ``files(path, content)`` are taken as they are. Files of ``paths`` are read by ranges of ``range_bytes``,
+    each in a task of its own, if that is given or one of them is larger than ``WHOLE_BYTES``; the rows are the same, and
+    know the wraps of the clock before them.
     """
+    if files is None:
+        files = spark.read.format("binaryFile").load(paths)
+        if range_bytes or not files.where(F.col("length") > WHOLE_BYTES).isEmpty():
+            return _by_ranges(files.select("path", "length"), range_bytes, failfast)
+
     def run(parts):
         for part in parts:
             for path, content, clash in zip(*part.columns, strict=True):
@@ -127,10 +148,8 @@ def read_records(spark: SparkSession, paths: str | list[str], failfast: bool = F
                         raise
                     yield _broken(path.as_py(), x)
 
-    if files is None:
-        files = spark.read.format("binaryFile").load(paths)
     named = files.select("path", "content", session_of(F.col("path")).alias("session_id"))
-    clashes = named.select("path", "session_id").distinct().groupBy("session_id").count().where("count > 1")
+    clashes = clashing(files)
     if clashes.isEmpty():  # else the contents would be shuffled for nothing
         named = named.withColumn("clash", F.lit(False))
     else:
@@ -139,6 +158,45 @@ def read_records(spark: SparkSession, paths: str | list[str], failfast: bool = F
     return marked.mapInArrow(run, RECORDS).withColumn("session_id", session_of(F.col("path")))
 
 
+def clashing(files: DataFrame) -> DataFrame:
+    """(session_id, count): names that several of ``files(path)`` share."""
+    named = files.select("path", session_of(F.col("path")).alias("session_id")).distinct()
+    return named.groupBy("session_id").count().where("count > 1")
+
+
+def _by_ranges(files: DataFrame, range_bytes: int | None, failfast: bool) -> DataFrame:
+    from strokeflow.sources.ranges import RANGE_BYTES, read_ranges
+
+    named = files.withColumn("session_id", session_of(F.col("path")))
+    clashes = clashing(files).select("session_id")
+    own = named.join(clashes, "session_id", "left_anti").select("path", "length")
+    out = read_ranges(own, range_bytes or RANGE_BYTES, failfast)
+    if not clashes.isEmpty():
+        if failfast:
+            raise LogError(CLASH)
+        lost = named.join(clashes, "session_id", "left_semi").select("path", F.lit(CLASH).alias("error"))
+        out = out.unionByName(lost, allowMissingColumns=True)
+    return out.withColumn("session_id", session_of(F.col("path")))
+
+
+def write_files(files: DataFrame, folder: str) -> int:
+    """Write the bytes of each of ``files(path, content)`` below ``folder`` under the name that its path ends in."""
+    from pyarrow import fs
+
+    def run(parts):
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        for part in parts:
+            for path, content in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                name = f"{root}/{path.rsplit('/', 1)[-1]}"
+                with store.open_output_stream(f"{name}.part") as f:
+                    f.write(content.as_buffer())
+                store.move(f"{name}.part", name)
+            yield pa.RecordBatch.from_arrays([pa.array([part.num_rows])], ["n"])
+
+    return files.select("path", "content").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def session_of(path: Column) -> Column:
     """File name without folder and suffix."""
     return F.regexp_extract(path, r"([^/\\]+?)(\.[^./\\]*)?$", 1)
@@ -181,7 +239,12 @@ def unwrapped(records: DataFrame) -> DataFrame:
     """Records with t_us unwrapped in file order, and t_s."""
     from strokeflow.operators.series import unwrap_clock
 
-    return unwrap_clock(records.where("error is null"), "t_us", "t_us", ("session_id",), ("n",)).withColumn("t_s", F.col("t_us") / 1e6)
+    good = records.where("error is null")
+    if "wraps" in records.columns:
+        whole = good.withColumn("t_us", F.col("t_us") + F.shiftleft("wraps", 32)).drop("wraps")
+    else:
+        whole = unwrap_clock(good, "t_us", "t_us", ("session_id",), ("n",))
+    return whole.withColumn("t_s", F.col("t_us") / 1e6)
 
 
 _BASE = ["session_id", "n", "seq", "flags", "t_us", "t_s"]

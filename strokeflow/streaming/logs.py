@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import pandas as pd
@@ -9,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from strokeflow.sources.logs import read_records
+from strokeflow.sources import logs
+from strokeflow.sources.logs import RECORDS, read_records
+from strokeflow.sources.ranges import RANGE_BYTES, read_ranges
+from strokeflow.sources.scratch import stored
 
 
 def stream_logs(spark: SparkSession, folder: str, checkpoint: str, sink: Callable[[DataFrame, int], None]):
@@ -27,6 +31,80 @@ def stream_logs(spark: SparkSession, folder: str, checkpoint: str, sink: Callabl
     )
 
 
+_COMMITTED = "session_id string, path string, length long, modificationTime timestamp, records long, error string"
+
+
+class LogStore:
+    """Session logs taken in as they arrive: records, and a log of the batches that are complete.
+
+    A batch first overwrites its own partition of ``records``, then its own partition of ``commits``, one
+    row for each file. Readers see the sessions of committed batches only, so a batch that breaks off
+    half-way shows nothing, and its repeat replaces what it had written. The commits also are the state of the
+    stream: a name that an earlier batch took belongs to that file for good. The same file again (by path, size and
+    time, as after the loss of a checkpoint) is passed over; another file of that name goes to the commits with an error.
+
+    A batch is known by the id of its stream, which its checkpoint holds, and its number.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _table(self, name: str, schema: str) -> DataFrame:
+        empty = self.spark.createDataFrame([], f"{schema}, stream string, batch long")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return empty
+        return self.spark.read.schema(empty.schema).parquet(f"{self.root}/{name}")
+
+    def commits(self) -> DataFrame:
+        """One row for each file of each committed batch."""
+        return self._table("commits", _COMMITTED)
+
+    def records(self) -> DataFrame:
+        """The records of all committed sessions, as :func:`read_records` gives them."""
+        good = self.commits().where("error is null").select("session_id", "stream", "batch")
+        return self._table("records", f"{RECORDS}, session_id string, wraps long").join(good, ["session_id", "stream", "batch"], "left_semi")
+
+    def _put(self, df: DataFrame, name: str, stream: str, batch: int) -> None:
+        rows = df.withColumns({"stream": F.lit(stream), "batch": F.lit(batch).cast("long")})
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("stream", "batch").parquet(f"{self.root}/{name}")
+
+    def take(self, files: DataFrame, stream: str, batch: int, range_bytes: int | None = None) -> None:
+        """Take in ``files(path, length, modificationTime)`` as one batch; a repeat of a batch has the same result."""
+        earlier = self.commits().where(~((F.col("stream") == stream) & (F.col("batch") == batch)))
+        held = earlier.where(F.coalesce(F.col("error") != logs.CLASH, F.lit(True)))
+        named = files.select("path", "length", "modificationTime", logs.session_of(F.col("path")).alias("session_id"))
+        seen = earlier.select("path", "length", "modificationTime").distinct()
+        fresh = stored(named.join(seen, ["path", "length", "modificationTime"], "left_anti"), "arrivals")
+        taken = held.select("session_id").distinct().withColumn("taken", F.lit(True))
+        doubled = logs.clashing(fresh).select("session_id", F.lit(True).alias("doubled"))
+        marked = fresh.join(taken, "session_id", "left").join(doubled, "session_id", "left").select(
+            *fresh.columns, (F.col("taken").isNotNull() | F.col("doubled").isNotNull()).alias("clash")
+        )
+        own = stored(marked, "arrivals-marked")
+        found = read_ranges(own.where("not clash").select("path", "length"), range_bytes or RANGE_BYTES)
+        self._put(found.withColumn("session_id", logs.session_of(F.col("path"))), "records", stream, batch)
+        written = self._table("records", f"{RECORDS}, session_id string, wraps long").where((F.col("stream") == stream) & (F.col("batch") == batch))
+        sums = written.groupBy("session_id").agg(F.sum(F.when(F.col("error").isNull(), 1).otherwise(0)).alias("records"), F.max("error").alias("broken"))
+        error = F.when(F.col("clash"), logs.CLASH).otherwise(F.col("broken"))
+        rows = own.join(sums, "session_id", "left").select(
+            "session_id", "path", "length", "modificationTime", F.when(F.col("clash"), F.lit(0)).otherwise(F.coalesce("records", F.lit(0))).cast("long").alias("records"), error.alias("error")
+        )
+        self._put(rows, "commits", stream, batch)
+
+    def start(self, folder: str, checkpoint: str, range_bytes: int | None = None):
+        """Take in what has arrived in ``folder`` and below since the last start, in one batch or more; start of a query."""
+        schema = "path string, modificationTime timestamp, length long, content binary"
+        files = self.spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.BIN").option("recursiveFileLookup", "true").load(folder)
+
+        def sink(df: DataFrame, batch: int) -> None:
+            # The stream writes its id there before its first batch.
+            stream = json.loads(self.spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0])["id"]
+            self.take(df.select("path", "length", "modificationTime"), stream, batch, range_bytes)
+
+        return files.select("path", "length", "modificationTime").writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink).trigger(availableNow=True).start()
+
+
 _PULSES = "session_id string, t_us long, interval_us long, pulse_count long"
 
 

@@ -5,7 +5,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from strokeflow.sources import logs
+from strokeflow.sources import logs, ranges
 from strokeflow.streaming import logs as streams
 
 
@@ -171,3 +171,78 @@ def test_fault_counts(spark):
     df = spark.sql("select 's' session_id, 'X' name, 2 value0, timestamp'2026-01-01 00:00:10' event_time union all select 's', 'X', 3, timestamp'2026-01-01 00:00:50'")
     r = streams.fault_counts(df).first()
     assert (r.faults, r.reports) == (5, 2)
+
+
+def _rows(df):
+    return sorted(map(str, df.select("session_id", "error", "n", "tag", "flags", "seq", "t_us", F.hex("payload"), F.hex("head"), "file_size").collect()))
+
+
+@pytest.fixture(scope="module")
+def tricky(tmp_path_factory):
+    """Payloads that look like records, a long one, a clock that wraps, and files that break off in many ways."""
+    path, top = tmp_path_factory.mktemp("tricky"), 2**32
+    fake = b"".join(record(b"ANLG", 900 + i, 5, struct.pack("<IHH", i, 1, 2)) for i in range(40))
+    body = b"".join(
+        record(*x) for i in range(60)
+        for x in ((b"ANLG", 3 * i, top - 30_000 + 1000 * i, struct.pack("<IHH", i, 1, 2)), (b"XYZ1", 3 * i + 1, 1000 * i, fake if i % 9 == 4 else b""), (b"\x01\x02 !", 3 * i + 2, 1000 * i, b"ANLG" * (i % 3)))
+    )
+    files = {
+        "A.BIN": header() + body, "B.BIN": header() + record(b"CFG ", 1, 5, config()) + record(b"RAW ", 2, 6, fake * 20) + body, "C.BIN": header(), "D.BIN": b"", "E.BIN": header()[:50],
+        "F.BIN": header() + body + b"ANLG", "G.BIN": header() + body[:-1] + record(b"ANLG", 1, 2, b"12345678")[:-3], "H.BIN": b"X" + header()[1:] + body, "sub/A.BIN": header(),
+    }
+    (path / "sub").mkdir()
+    for name, data in files.items():
+        (path / name).write_bytes(data)
+    return path
+
+
+@pytest.mark.parametrize("size", [50, 97, 1000, 20_000, 1 << 20])
+def test_ranges_of_any_size_give_the_rows_of_whole_files(spark, tricky, size):
+    paths = [f"{tricky}/*.BIN", f"{tricky}/sub/*.BIN"]
+    whole, parts = logs.read_records(spark, paths), logs.read_records(spark, paths, range_bytes=size)
+    assert _rows(whole) == _rows(parts)
+    key = ["session_id", "n", "t_us"]
+    assert sorted(logs.unwrapped(whole).select(key).collect()) == sorted(logs.unwrapped(parts).select(key).collect())
+
+
+def test_a_wrong_guess_is_walked_again_from_the_true_record(tricky):
+    data = (tricky / "B.BIN").read_bytes()
+    inside = data.index(b"RAW ") + 500
+    window = ranges._Window(str(tricky / "B.BIN"), len(data), inside, 2000)
+    guess = window.guess(inside, inside + 400)
+    true = [at for at, _ in ranges._Window(str(tricky / "B.BIN"), len(data), 0, len(data)).walk(len(header()), len(data))]
+    assert guess is not None and guess not in true
+
+
+def test_large_files_are_read_by_ranges(spark, tricky, monkeypatch):
+    monkeypatch.setattr(logs, "WHOLE_BYTES", 1000)
+    assert "wraps" in logs.read_records(spark, f"{tricky}/B.BIN").columns
+    with pytest.raises(logs.LogError):
+        logs.read_records(spark, f"{tricky}/F.BIN", failfast=True)
+
+
+def test_store_of_arriving_logs(spark, tmp_path):
+    def put(name, n):
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(header() + b"".join(record(b"ANLG", i, i, struct.pack("<IHH", i, 1, 2)) for i in range(n)))
+
+    def seen():
+        return {(r.session_id, r.path.split("/in/")[1], r.records, r.error) for r in store.commits().collect()}, dict(store.records().groupBy("session_id").count().collect())
+
+    store = streams.LogStore(spark, f"file://{tmp_path}/store")
+    put("a/L1.BIN", 3)
+    (tmp_path / "in/a/L2.BIN").write_bytes(header()[:9])
+    store.start(f"file://{tmp_path}/in", f"file://{tmp_path}/checkpoint", 64).awaitTermination()
+    first = {("L1", "a/L1.BIN", 3, None), ("L2", "a/L2.BIN", 0, "file is shorter than its header")}
+    assert seen() == (first, {"L1": 3})
+    put("b/L1.BIN", 5)
+    put("b/L3.BIN", 2)
+    # A checkpoint is lost: the first files come again, and stay as they were.
+    store.start(f"file://{tmp_path}/in", f"file://{tmp_path}/other", 64).awaitTermination()
+    both = first | {("L1", "b/L1.BIN", 0, logs.CLASH), ("L3", "b/L3.BIN", 2, None)}
+    assert seen() == (both, {"L1": 3, "L3": 2})
+    # A batch that is taken in again replaces what it had written.
+    files = spark.read.format("binaryFile").load(f"file://{tmp_path}/in/b/*.BIN").select("path", "length", "modificationTime")
+    stream = store.commits().where("session_id = 'L3'").first()
+    store.take(files, stream.stream, stream.batch, 64)
+    assert seen() == (both, {"L1": 3, "L3": 2})
