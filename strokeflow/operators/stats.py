@@ -39,51 +39,101 @@ def _cumulated(df: DataFrame, value: str, weight: str, by: list[str], tie: list[
     })
 
 
-def _cumulated_near(df: DataFrame, value: str, weight: str, quantiles: dict[str, float], by: list[str], tie: list[str], chunks: int) -> DataFrame:
-    """As :func:`_cumulated` and :func:`_with_previous`, of the rows around the quantiles only.
+#: Parts of an octave of the first histogram, parts of a bucket of each further one, and rows that may be sorted at once.
+OCTAVE, FURTHER, SORTED = 256, 4096, 500_000
 
-    A group is cut into chunks of values. Their weights, added up with partial aggregation, tell in which
-    chunks a quantile lies; only those are sorted, each in a task of its own.
+
+def _bucket(v: Column) -> Column:
+    """A number that never falls as v rises: 256 for each doubling of the distance from zero."""
+    return F.when(F.isnan(v), F.lit(2**62)).otherwise(F.floor(F.signum(v) * F.log2(1 + F.abs(v)) * OCTAVE)).cast("long")
+
+
+def _narrowed(df: DataFrame, value: str, weight: str | Column, goals: list, by: list[str], tie: list[str]) -> DataFrame:
+    """The distinct values around the places ``goals`` (functions of the total) of the cumulated weight, with it.
+
+    A histogram of the leading part of each value, added up in each task first, tells in which buckets a goal
+    lies. Buckets of over ``SORTED`` rows are divided further; of the others the rows alone are
+    read, equal values merged, and sorted, each bucket in a task of its own. So no group is sorted as a whole.
+    Rows: by, __v, __cum, __total, __first (weight of the value's first row by ``tie``), __c0 and __v0
+    (weight and value before it; null for the group's lowest) and __top (the group's highest value).
     """
-    rows = df.where(F.col(value).isNotNull() & (F.col(weight) > 0))
-    cuts = F.percentile_approx(value, F.array(*[F.lit(i / chunks) for i in range(1, chunks)]), 100 * chunks)
-    names = [F.col(c).alias(f"__{c}") for c in by]
-    # Written, as the cuts of a computation anew could differ.
-    edges = stored(rows.groupBy(*by).agg(F.array_distinct(cuts).alias("__cuts")).select(*names, "__cuts"), "quantile-cuts")
-    same = functools.reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by])
-    rows = rows.join(edges, same).drop(*[f"__{c}" for c in by])
-    rows = rows.withColumn("__chunk", F.size(F.filter("__cuts", lambda e: e < F.col(value)))).drop("__cuts")
-    sums = rows.groupBy(*by, "__chunk").agg(F.sum(weight).alias("__own"), F.max(value).alias("__top"))
-    w = W.partitionBy(*by).orderBy("__chunk")
-    sums = sums.withColumns({
-        "__before": F.coalesce(F.sum("__own").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "__below": F.lag("__top").over(w),
-        "__total": F.sum("__own").over(W.partitionBy(*by)), "__highest": F.max("__top").over(W.partitionBy(*by)),
-    })
-    goals = [F.lit(q) * F.col("__total") for q in quantiles.values()]
-    inside = [(g <= F.col("__before") + F.col("__own")) & ((g > F.col("__before")) | F.col("__below").isNull()) for g in goals]
-    last = F.col("__top") == F.col("__highest")
-    wanted = sums.where(functools.reduce(Column.__or__, inside, last)).select(
-        *names, F.col("__chunk").alias("__k"), "__before", "__below", "__total"
+    weight = F.col(weight) if isinstance(weight, str) else weight
+    v = F.col(value).cast("double")
+    rows = df.select(*by, *tie, v.alias("__v"), weight.alias("__w")).where(F.col("__v").isNotNull() & (F.col("__w") > 0))
+    names = [f"__{c}" for c in by]
+    same = functools.reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(by, names, strict=True)])
+    keyed, wanted = rows.withColumn("__b", _bucket(F.col("__v"))), None
+    while True:
+        sums = keyed.groupBy(*by, "__b").agg(
+            F.sum("__w").alias("__own"), F.count("*").alias("__rows"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"),
+            *([] if wanted is None else [F.first(c).alias(c) for c in ("__from", "__under", "__total", "__top")]),
+        )
+        if wanted is None:
+            group, w = W.partitionBy(*by), W.partitionBy(*by).orderBy("__b")
+            sums = sums.withColumns({"__total": F.sum("__own").over(group), "__top": F.max("__hi").over(group), "__from": F.lit(0), "__under": F.lit(None).cast("double")})
+        else:
+            w = W.partitionBy(*by, "__from").orderBy("__b")
+        before = F.col("__from") + F.coalesce(F.sum("__own").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        sums = sums.withColumns({"__before": before, "__below": F.coalesce(F.lag("__hi").over(w), F.col("__under"))})
+        places = [g(F.col("__total")) for g in goals]
+        end = F.col("__before") + F.col("__own")
+        inside = [(g <= end) & ((g > F.col("__before")) | F.col("__below").isNull()) for g in places]
+        here = functools.reduce(Column.__or__, inside, F.col("__hi") == F.col("__top"))
+        open_ = (F.col("__rows") > SORTED) & (F.col("__lo") < F.col("__hi")) & ~F.col("__hi").isin(float("inf"), float("nan")) & (F.col("__lo") != float("-inf"))
+        wanted = stored(
+            sums.where(here).select(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)], F.col("__b").alias("__in"), "__before", "__below", "__total", "__top", "__lo", "__hi", open_.alias("__open")),
+            "quantile-buckets",
+        )
+        keyed = keyed.drop("__from", "__under", "__total", "__top").join(wanted, same & (F.col("__b") == F.col("__in"))).drop(*names)
+        if wanted.where("__open").isEmpty():
+            break
+        part = F.floor((F.col("__v") - F.col("__lo")) * FURTHER / (F.col("__hi") - F.col("__lo")))
+        keyed = keyed.withColumn("__b", F.when(F.col("__open"), part).otherwise(F.lit(0)).cast("long")).withColumnsRenamed({"__before": "__from", "__below": "__under"}).drop("__in", "__lo", "__hi", "__open")
+    bucket = [*by, "__before"]
+    merged = keyed.groupBy(*bucket, "__v").agg(
+        F.sum("__w").alias("__w"), F.min_by("__w", F.struct(*tie)).alias("__first") if tie else F.first("__w").alias("__first"), *[F.first(c).alias(c) for c in ("__below", "__total", "__top")]
     )
-    rows = rows.join(wanted, same & (F.col("__chunk") == F.col("__k"))).drop("__k", *[f"__{c}" for c in by])
-    w = W.partitionBy(*by, "__chunk").orderBy(value, *tie)
-    rows = rows.withColumn("__cum", F.col("__before") + F.sum(weight).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    w = W.partitionBy(*bucket).orderBy("__v")
+    merged = merged.withColumn("__cum", F.col("__before") + F.sum("__w").over(w.rowsBetween(W.unboundedPreceding, 0)))
     start = F.when(F.col("__below").isNotNull(), F.col("__before"))
-    return rows.withColumns({"__cum0": F.coalesce(F.lag("__cum").over(w), start), "__v0": F.coalesce(F.lag(value).over(w), F.col("__below"))})
+    return merged.withColumns({"__c0": F.coalesce(F.lag("__cum").over(w), start), "__v0": F.coalesce(F.lag("__v").over(w), F.col("__below"))})
+
+
+def _at(q: float):
+    return lambda total: F.lit(q) * total
 
 
 def weighted_quantiles_inv(
-    df: DataFrame, value: str, weight: str, quantiles: dict[str, float], by: list[str], tie: list[str], chunks: int = 0
+    df: DataFrame, value: str, weight: str, quantiles: dict[str, float], by: list[str], tie: list[str], refine: bool = False
 ) -> DataFrame:
     """Inverse-CDF quantiles: the smallest value whose cumulated weight reaches q of the total.
 
-    ``tie`` makes the order total, so that sums are taken in one order. With ``chunks``, groups may have
-    any size: a group is sorted in as many parts, and only where a quantile lies.
+    ``tie`` makes the order total, so that sums are taken in one order. With ``refine``, groups may have
+    any size: only the values around a quantile are sorted.
     """
-    rows = _cumulated_near(df, value, weight, quantiles, by, tie, chunks) if chunks else _cumulated(df, value, weight, by, tie)
+    if refine:
+        rows = _narrowed(df, value, weight, [_at(q) for q in quantiles.values()], by, tie)
+        return rows.groupBy(*by).agg(*[_reached("__v", q, F.lit(True)).alias(name) for name, q in quantiles.items()])
+    rows = _cumulated(df, value, weight, by, tie)
     return rows.groupBy(*by).agg(*[_reached(value, q, F.lit(True)).alias(name) for name, q in quantiles.items()])
 
 
+def linear_percentiles(df: DataFrame, value: str, shares: dict[str, float], by: list[str]) -> DataFrame:
+    """Exact percentiles, on the line between the two samples beside the place q * (n - 1), for groups of any size."""
+
+    def rank(q: float, up: int):
+        return lambda n: F.least(F.floor(F.lit(q) * (n - 1)) + 1 + up, n)
+
+    rows = _narrowed(df, value, F.lit(1).cast("long"), [rank(q, up) for q in shares.values() for up in (0, 1)], by, [])
+    n = F.max("__total")
+    aggs = []
+    for name, q in shares.items():
+        low, high = (F.min(F.when(F.col("__cum") >= rank(q, up)(F.col("__total")), F.col("__v"))) for up in (0, 1))
+        part = F.lit(q) * (n - 1) - F.floor(F.lit(q) * (n - 1))
+        aggs.append((low + (high - low) * part).alias(name))
+    return rows.groupBy(*by).agg(*aggs)
+
+
 def weighted_quantiles_of(
     df: DataFrame, wanted: dict[str, tuple[Column, Column, dict[str, float]]], weight: str, by: list[str], tie: list[str], interp: bool = False
 ) -> DataFrame:
@@ -119,14 +169,22 @@ def _on_line(value: str, q: float, on: Column) -> Column:
 
 
 def weighted_quantiles_interp(
-    df: DataFrame, value: str, weight: str, quantiles: dict[str, float], by: list[str], tie: list[str], chunks: int = 0
+    df: DataFrame, value: str, weight: str, quantiles: dict[str, float], by: list[str], tie: list[str], refine: bool = False
 ) -> DataFrame:
-    """Quantiles on the line through (cumulated weight, value), held at both ends; ``chunks`` as above."""
-    if chunks:
-        rows = _cumulated_near(df, value, weight, quantiles, by, tie, chunks)
-    else:
+    """Quantiles on the line through (cumulated weight, value), held at both ends; ``refine`` as above."""
+    if not refine:
         rows = _with_previous(_cumulated(df, value, weight, by, tie), value, by, tie)
-    return rows.groupBy(*by).agg(*[_on_line(value, q, F.lit(True)).alias(name) for name, q in quantiles.items()])
+        return rows.groupBy(*by).agg(*[_on_line(value, q, F.lit(True)).alias(name) for name, q in quantiles.items()])
+    rows = _narrowed(df, value, weight, [_at(q) for q in quantiles.values()], by, tie)
+    aggs = []
+    for name, q in quantiles.items():
+        goal = q * F.col("__total")
+        # Of equal values the first in order ends the line; the others are level with it.
+        line = F.col("__v0") + (F.col("__v") - F.col("__v0")) * (goal - F.col("__c0")) / F.col("__first")
+        on = F.when(goal <= F.col("__c0") + F.col("__first"), line)
+        at = F.when(F.col("__cum") >= goal, F.struct(F.col("__cum").alias("c"), F.coalesce(on, F.col("__v")).alias("v")))
+        aggs.append(F.coalesce(F.min(at)["v"], F.max("__v")).alias(name))
+    return rows.groupBy(*by).agg(*aggs)
 
 
 def time_where(mask: Column, dt: Column) -> Column:

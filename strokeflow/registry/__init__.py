@@ -1,6 +1,6 @@
 """All queries of the session operators, with SQL that gives the same rows."""
 
-from strokeflow.registry import braking, breakdown, ingest, misc, more, series, stats  # noqa: F401
+from strokeflow.registry import braking, breakdown, ingest, long, misc, more, series, stats  # noqa: F401
 from strokeflow.registry.base import QUERIES, SQL
 
 

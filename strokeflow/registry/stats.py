@@ -37,7 +37,7 @@ _QS = {"p10": 0.1, "p50": 0.5, "p90": 0.9, "p99": 0.99}
 @query("e3_wquantile_inv", f"WITH {_L}, {_CUM} SELECT l_returnflag, "
        + ", ".join(f"min(v) FILTER (cum >= {q} * total) AS {n}" for n, q in _QS.items()) + " FROM c GROUP BY l_returnflag")
 def e3(spark, folder):
-    return stats.weighted_quantiles_inv(_lines(spark, folder), "v", "w", _QS, ["l_returnflag"], ["l_orderkey", "l_linenumber"], chunks=256)
+    return stats.weighted_quantiles_inv(_lines(spark, folder), "v", "w", _QS, ["l_returnflag"], ["l_orderkey", "l_linenumber"], refine=True)
 
 
 @query("e4_wquantile_interp", f"""WITH {_L}, {_CUM}, x AS (SELECT *, lag(cum) OVER o AS c0, lag(v) OVER o AS v0 FROM c
@@ -47,7 +47,7 @@ SELECT l_returnflag, """ + ", ".join(
     for n, q in _QS.items()) + " FROM x GROUP BY l_returnflag")
 def e4(spark, folder):
     df = _lines(spark, folder)
-    return rounded(stats.weighted_quantiles_interp(df, "v", "w", _QS, ["l_returnflag"], ["l_orderkey", "l_linenumber"], chunks=256), 4)
+    return rounded(stats.weighted_quantiles_interp(df, "v", "w", _QS, ["l_returnflag"], ["l_orderkey", "l_linenumber"], refine=True), 4)
 
 
 @query("e5_geometric_sd", f"""WITH {_L}, m AS (SELECT l_returnflag, sum(ln(v) * w) / sum(w) AS mu FROM l WHERE v > 0 GROUP BY l_returnflag)
@@ -60,8 +60,8 @@ def e5(spark, folder):
 SELECT session_id, round(CASE WHEN hi > lo THEN lo ELSE lo - CASE WHEN lo = 0 THEN 1 ELSE abs(lo) * 0.05 END END, 6) AS low,
   round(CASE WHEN hi > lo THEN hi ELSE hi + CASE WHEN lo = 0 THEN 1 ELSE abs(lo) * 0.05 END END, 6) AS high FROM q""")
 def e6(spark, folder):
-    q = event_samples(spark, folder).groupBy("session_id").agg(F.percentile("front", F.array(F.lit(0.01), F.lit(0.99))).alias("q"))
-    low, high = stats.padded_range(F.col("q")[0], F.col("q")[1])
+    q = stats.linear_percentiles(event_samples(spark, folder), "front", {"p01": 0.01, "p99": 0.99}, ["session_id"])
+    low, high = stats.padded_range(F.col("p01"), F.col("p99"))
     return rounded(q.select("session_id", low.alias("low"), high.alias("high")))
 
 
