@@ -44,8 +44,9 @@ OCTAVE, FURTHER, SORTED = 256, 4096, 500_000
 
 
 def _bucket(v: Column) -> Column:
-    """A number that never falls as v rises: 256 for each doubling of the distance from zero."""
-    return F.when(F.isnan(v), F.lit(2**62)).otherwise(F.floor(F.signum(v) * F.log2(1 + F.abs(v)) * OCTAVE)).cast("long")
+    """A number that never falls as v rises: ``OCTAVE`` for each doubling, on both sides of zero."""
+    octave = F.log2(F.abs(v)) + 1100  # above 0 for the smallest double
+    return F.when(F.isnan(v), F.lit(2**62)).when(v == 0, F.lit(0)).otherwise(F.floor(F.signum(v) * octave * OCTAVE)).cast("long")
 
 
 def _narrowed(df: DataFrame, value: str, weight: str | Column, goals: list, by: list[str], tie: list[str]) -> DataFrame:
