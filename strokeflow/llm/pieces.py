@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import functools
 import re
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +28,8 @@ from pyspark.sql import functions as F
 from strokeflow.llm.shingles import slices
 
 MAX_MODEL_BYTES = 64 << 20
-#: Characters of distinct words that a task remembers.
-REMEMBERED = 16 << 20
+#: Characters of distinct words that a task remembers, and new words that are segmented at once.
+REMEMBERED, TOGETHER = 4 << 20, 500
 
 SCHEMA = "ids array<int>, begins array<int>, ends array<int>, span_bytes long, decoded string"
 
@@ -245,41 +244,59 @@ class PieceEncoder:
         self.by_word = trainer.get(MODEL_TYPE) == BPE and not joins
         # Bytes of normalised text that a piece stands for; an unknown one has no length of its own.
         self.size = np.array([-1 if kind == UNKNOWN else 1 if kind == BYTE else len(p[1]) for p, kind in zip(pieces, kinds, strict=True)], dtype=np.int64)
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}
         self.held = 0
 
-    def _ids(self, text: str) -> list[int]:
+    def _remember(self, words: list[str]) -> None:
+        """The ids of new words. Words that begin with a mark and end without are segmented many at a time: none merges with the next."""
+        joined = [w for w in words if w[0] == MARK and w[-1] != MARK]
+        single = [w for w in words if w[0] != MARK or w[-1] == MARK]
+        for at in range(0, len(joined), TOGETHER):
+            some = joined[at : at + TOGETHER]
+            ids = np.array(self.segmenter.encode("".join(some)), dtype=np.int32)
+            size = self.size[ids]
+            if (size < 0).any():
+                single += some
+                continue
+            cuts = np.searchsorted(np.cumsum(size), np.cumsum([len(w.encode()) for w in some])) + 1
+            flat, cuts = ids.tobytes(), [0, *(4 * cuts).tolist()]
+            self.words.update(zip(some, (flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)), strict=True))
+        self.words.update((w, np.array(x, dtype=np.int32).tobytes()) for w, x in zip(single, self.segmenter.encode(single, num_threads=1), strict=True))
+        self.held += sum(map(len, words))
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_word:
-            return self.segmenter.encode(text)
-        words = _WORD.findall(text)
-        new = list(set(words).difference(self.words))
-        if new:
-            self.words.update(zip(new, self.segmenter.encode(new, num_threads=1), strict=True))
-            self.held += sum(map(len, new))
-        out = list(chain.from_iterable(map(self.words.__getitem__, words)))
+            return [np.array(x, dtype=np.int32) for x in self.segmenter.encode(texts, num_threads=1)]
+        words = [_WORD.findall(x) for x in texts]
+        self._remember(list(set().union(*words).difference(self.words)))
+        out = [np.frombuffer(b"".join(map(self.words.__getitem__, x)), dtype=np.int32) for x in words]
         if self.held > REMEMBERED:
             self.words, self.held = {}, 0
         return out
 
-    def _places(self, text: str, ids: list[int]) -> tuple[list[int], np.ndarray]:
+    def _places(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids, and the begin of each and the end of the last in the normalised bytes."""
-        size = self.size[np.array(ids, dtype=np.int64)]
+        at = np.zeros(len(ids) + 1, dtype=np.int64)
+        size = self.size[ids]
+        np.cumsum(size, out=at[1:])
         if (size >= 0).all():
-            return ids, np.concatenate([[0], np.cumsum(size)])
+            return ids, at
         # The library alone knows how much an unknown piece covers; its offsets count code points.
         found = self.segmenter.encode(text, out_type="offset_mapping")
         at = np.concatenate([[0], np.cumsum([len(c.encode()) for c in text])])
-        return found["ids"], at[np.array([0, *(end for _, end in found["offsets"])], dtype=np.int64)]
+        return np.array(found["ids"], dtype=np.int32), at[np.array([0, *(end for _, end in found["offsets"])], dtype=np.int64)]
 
     def encode(self, data: np.ndarray, bounds: np.ndarray):
         """(ids, begin and end of each in the bytes of its text) of each text of a slice."""
-        for raw, source in self.normaliser.run(data, bounds):
-            text = raw.decode()
-            ids, at = self._places(text, self._ids(text))
-            yield ids, source[at[:-1]], source[at[1:]]
-
-    def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.decoder.decode(ids, num_threads=1)
+        normal = self.normaliser.run(data, bounds)
+        texts = [raw.decode() for raw, _ in normal]
+        for text, (_, source), found in zip(texts, normal, self._ids(texts), strict=True):
+            ids, at = self._places(text, found)
+            place = source[at]
+            yield ids, place[:-1], place[1:]
+
+    def decode(self, ids: list[np.ndarray]) -> list[str]:
+        return self.decoder.decode([x.tolist() for x in ids], num_threads=1)
 
 
 @functools.lru_cache(maxsize=1)
