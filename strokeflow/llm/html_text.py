@@ -42,7 +42,13 @@ _PARTS = re.compile(r"[a-z]+")
 _STYLE_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: What stands in these is no part of the page's text; those of NESTED may hold others of their own tag.
 RAW = frozenset("script style noscript template iframe textarea title svg object select".split())
+NESTED = frozenset("template svg object select".split())
+_RAW_TAG = {t: re.compile(rf"<(/?){t}(?=[\s/>])([^>]*)>", re.I) for t in RAW}
+#: A slash in front of ">" that is no part of a value without quotes.
+_SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/$|(?:^|\s)[^\s=]+/$")
+CONTROLS = frozenset("form input button select textarea".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
@@ -73,20 +79,27 @@ PARAGRAPHS = frozenset("p pre blockquote".split())
 #: Share of the page's kept text that counts as nearly all.
 NEARLY = 0.95
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: An id is an anchor first: alone, these words name parts of articles as well.
+ANCHORS = frozenset("discussion search login menu nav notice notices form share sharing related reply navigation subscription promotion copyright widget widgets".split())
 LISTS = frozenset(("ul", "ol", "dl", "table"))
-NOT_P = BLOCKS - {"p"}
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "attrs", "step", "path_id", "score", "kept", "share", "links", "heading", "article", "out")
+    __slots__ = (
+        "tag", "parent", "children", "attrs", "step", "path_id", "score", "kept", "share", "links", "size", "controls", "heading", "article", "out", "block", "item"
+    )
 
     def __init__(self, tag: str, parent: Node | None, attrs: dict[str, str]):
         self.tag, self.parent, self.attrs = tag, parent, attrs
         self.children: list[Node | str] = []
         self.score = self.kept = 0.0
         self.share = 0.0  # of the page's paragraph text
-        self.links = 0  # characters of link text below
+        self.links = self.size = 0  # characters of link text and of all text below
+        self.controls = tag in CONTROLS  # or one below
+        # The nearest of the elements around it, itself included, that end an open paragraph or item.
+        self.block = self if tag in BLOCKS or not parent else parent.block
+        self.item = self if tag in CLOSES or tag in LISTS or not parent else parent.item
         self.heading = tag in HEADINGS  # or one below
         self.article = bool(parent) and (parent.article or parent.tag in ("article", "main"))
         self.out: bool | None = None  # whether it or an element around it is dropped, once that is known
@@ -108,7 +121,7 @@ def parse(html: str) -> Node:
     """A tree of the elements; open paragraphs, items and cells are closed as browsers do."""
     root = node = Node("", None, {})
     opened: Counter[str] = Counter()
-    at, size = 0, len(html)
+    at, size, last = 0, len(html), html.rfind(">") + 1
 
     def up_to(target: Node) -> Node:
         """Closes the elements inside ``target``."""
@@ -139,14 +152,14 @@ def parse(html: str) -> Node:
             continue
         rest = m.group(3) or m.group(6) or ""
         if tag in RAW:
-            if not rest.endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(html, at)
-                at = end.end() if end else size
+            node.controls = node.controls or tag in CONTROLS
+            if not (tag == "svg" and _SELF_CLOSED.search(rest)):
+                at = _raw_end(html, tag, at, last)
             continue
         if (tag in BLOCKS or tag in CLOSES) and opened["p"] > 0:
-            node = up_to(_close(node, ("p",), NOT_P))
+            node = up_to(node.block.parent if node.block.tag == "p" else node)
         if tag in CLOSES and any(opened[x] > 0 for x in CLOSES[tag]):
-            node = up_to(_close(node, CLOSES[tag], LISTS))
+            node = up_to(_close(node, CLOSES[tag]))
         if tag in ("html", "body", "head") and not rest.strip() and opened[tag] > 0:
             continue
         if tag == "body":
@@ -158,15 +171,28 @@ def parse(html: str) -> Node:
         if "hidden" in rest and re.search(r"(?:^|\s)hidden(?:\s|$|=)", rest):
             child.attrs.setdefault("hidden", "hidden")
         node.children.append(child)
-        if tag not in VOID and not rest.endswith("/"):
+        if tag not in VOID and not (rest.endswith("/") and _SELF_CLOSED.search(rest)):
             node = child
             opened[tag] += 1
     _weigh(root)
     return root
 
 
+def _raw_end(html: str, tag: str, at: int, last: int) -> int:
+    """Where an element of ``RAW`` that opened before ``at`` ends; ``last`` is behind the last ">"."""
+    depth = 1
+    for m in _RAW_TAG[tag].finditer(html, at, max(at, last)):
+        if m.group(1):
+            depth -= 1
+        elif tag in NESTED and not (tag == "svg" and _SELF_CLOSED.search(m.group(2))):
+            depth += 1
+        if not depth:
+            return m.end()
+    return len(html)
+
+
 def _weigh(root: Node):
-    """Sets each element's share of the page's paragraph text, links left out, its link text and whether it has a heading."""
+    """Sets each element's share of the page's paragraph text, links left out, its text and link text and whether it has a heading or a control."""
     nodes = list(_elements(root))
     inside = {id(root): False}
     for x in nodes:
@@ -174,11 +200,14 @@ def _weigh(root: Node):
         inside[id(x)] = x.tag != "a" and (x.tag in PARAGRAPHS or inside[id(x.parent)])
         if inside[id(x)]:
             x.share = float(own)
+        x.size = own
         if x.tag == "a":
             x.links = own
     for x in reversed(nodes):
         x.parent.share += x.share
         x.parent.links += x.links
+        x.parent.size += x.size
+        x.parent.controls = x.parent.controls or x.controls
         x.parent.heading = x.parent.heading or x.heading
     total = root.share
     if total:
@@ -187,15 +216,13 @@ def _weigh(root: Node):
             x.share /= total
 
 
-def _close(node: Node, tags: tuple, until: frozenset) -> Node:
-    """The parent of the nearest open element among ``tags``, looking no further than ``until``."""
-    up = node
-    while up.parent:
+def _close(node: Node, tags: tuple) -> Node:
+    """The parent of the nearest open element among ``tags``, looking no further than its list or table."""
+    up = node.item
+    while up.parent and up.tag not in LISTS:
         if up.tag in tags:
             return up.parent
-        if up.tag in until:
-            break
-        up = up.parent
+        up = up.parent.item
     return node
 
 
@@ -208,11 +235,27 @@ def _elements(node: Node):
         stack.extend(c for c in reversed(x.children) if not isinstance(c, str))
 
 
+def _marked(name: str, marks: frozenset, prefixes: frozenset) -> list[str]:
+    words = _PARTS.findall(name)
+    known = words and (words[0] in prefixes or (any(w in marks for w in words) and all(w in marks or w in MARKS or w in NEUTRAL for w in words)))
+    return words if known else []
+
+
 def _named(node: Node, marks: frozenset, prefixes: frozenset = frozenset()) -> bool:
-    """Whether a class, id or role as a whole is one of the marks, alone or with neutral words."""
-    for name in f"{node.attrs.get('class', '')} {node.attrs.get('id', '')} {node.attrs.get('role', '')}".lower().split():
-        words = _PARTS.findall(name)
-        if words and (words[0] in prefixes or (any(w in marks for w in words) and all(w in marks or w in MARKS or w in NEUTRAL for w in words))):
+    """Whether a class, id or role as a whole is one of the marks, alone or with neutral words.
+
+    Headings and paragraphs carry ids as anchors only, and so may a section or what stands in an article: there an id that
+    is an ordinary word counts if controls or mostly links are below.
+    """
+    a = node.attrs
+    if any(_marked(x, marks, prefixes) for x in f"{a.get('class', '')} {a.get('role', '')}".lower().split()):
+        return True
+    if node.tag in HEADINGS or node.tag == "p":
+        return False
+    anchor = node.tag == "section" or node.article
+    for x in a.get("id", "").lower().split():
+        words = _marked(x, marks, prefixes)
+        if words and (not anchor or not ANCHORS.issuperset(w for w in words if w in MARKS) or node.controls or 2 * node.links > node.size):
             return True
     return False
 

@@ -526,3 +526,41 @@ def test_a_cluster_needs_a_shared_folder():
     session = type("Session", (), {"conf": Conf()})()
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         common.shared_dir(session, "x")
+
+
+_LONG = " ".join(f"Sentence number {i} of the article goes on." for i in range(30))
+
+
+@pytest.mark.parametrize(
+    "inside, kept",
+    [
+        ("<script src=//cdn.example/x/>var leak=1;</script>", []), ("<script src='a'/>leak</script>", []), ("<svg><svg></svg><text>leak</text></svg>", []),
+        ("<svg width=5/><text>leak</text></svg>", []), ("<svg/><p>kept</p>", ["kept"]), ("<template><template></template>leak</template>", []),
+        ("<textarea><textarea></textarea><p>kept</p>", ["kept"]), ("<a href=/x/>link</a>", ["link"]),
+        ("<h2 id=search>Search</h2>", ["Search"]), ("<h2 id=login>Login</h2>", ["Login"]), ("<p id=menu>para</p>", ["para"]),
+        ("<section id=discussion><h2>Discussion</h2><p>We find it.</p></section>", ["Discussion", "We find it."]),
+        ("<section id=search><form><input></form>Find</section>", []), ("<section id=menu><a href=a>One</a> <a href=b>Two</a></section>", []),
+        ("<section id=comments><p>Nice one.</p></section>", []), ("<div class=share-buttons>x</div>", []), ("<p class=notice>n</p>", []),
+    ],
+)
+def test_html_text_of_scripts_anchors_and_sections(inside, kept):
+    page = f"<html><body><article><h1>Head</h1><p>{_LONG}</p>{inside}<p>tail of it</p></article></body></html>"
+    assert html_text.main_text(page, None).split("\n") == ["Head", _LONG, *kept, "tail of it"]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<svg>" + "</svg" * 48_000, "<svg>" + '<svg "' * 40_000 + ">", "<script>" + "</script " * 27_000, "<li><ul>" + "<b>" * 20_000 + "<li>x</li>" * 17_000,
+        "<li><ul>" + "<div>" * 20_000 + "<li>x</li>" * 9_000, "<p>" + "<b>" * 20_000 + "<div>x</div>" * 9_000, "<li><dt>" * 30_000,
+    ],
+)
+def test_pages_of_repeated_tags_take_time_in_proportion(page):
+    began = time.process_time()
+    html_text.vote(page)
+    assert time.process_time() - began < 4
+
+
+def test_html_text_with_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "http://a.org/x", f"<article><p>{_LONG}</p></article>", "p", "h", "t", 3)], "page_id long, url string, html string, path string, host string, text string, path_id int")
+    assert [r.text for r in html_text.extract_text(rows).collect()] == [_LONG]
