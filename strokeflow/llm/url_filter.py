@@ -134,8 +134,11 @@ def keys_broadcast(cascade: BloomCascade):
 
 
 def marked_keys(universe: DataFrame, listed: DataFrame) -> DataFrame:
-    """(key, h1, h2, listed) of the distinct keys of ``universe(key)``, all that will ever be asked for."""
-    marked = listed.select("key").where("key is not null").distinct().withColumn("listed", F.lit(True))
+    """(key, h1, h2, listed) of the distinct keys of ``universe(key)``, all that will ever be asked for.
+
+    Listed keys are hosts, so their A-Z are lower-cased as those of a URL's host are.
+    """
+    marked = listed.select(ascii_lower(F.col("key")).alias("key")).where("key is not null").distinct().withColumn("listed", F.lit(True))
     return stored(
         universe.select("key").where("key is not null").distinct().join(marked, "key", "left")
         .select("key", *_hashed(F.col("key")), F.coalesce("listed", F.lit(False)).alias("listed")),

@@ -564,3 +564,10 @@ def test_pages_of_repeated_tags_take_time_in_proportion(page):
 def test_html_text_with_clashing_columns(spark):
     rows = spark.createDataFrame([(1, "http://a.org/x", f"<article><p>{_LONG}</p></article>", "p", "h", "t", 3)], "page_id long, url string, html string, path string, host string, text string, path_id int")
     assert [r.text for r in html_text.extract_text(rows).collect()] == [_LONG]
+
+
+def test_listed_hosts_in_upper_case(spark):
+    pages = spark.createDataFrame([(1, "http://Ads-track.example.com/x"), (2, "http://b.example.com/")], "page_id long, url string")
+    listed = spark.createDataFrame([("Ads-Track.example.com",)], "key string")
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(pages, [], listed).collect()}
+    assert got == {1: "block", 2: "allow"}
