@@ -256,7 +256,7 @@ def select_rows(rows: DataFrame, cfg: BrakingConfig) -> DataFrame:
 
 
 def bin_flag(cfg: BrakingConfig) -> Column:
-    """What is worth a look in a metric row, else "baseline"."""
+    """What is worth a look in a metric row, else "baseline"; the texts are fixed values."""
     c, lim = F.col, cfg.limits
     topout, rough = lim["topout"], lim["rough"]
     return _texts(", ", [
@@ -297,7 +297,7 @@ def event_summary(found: DataFrame) -> DataFrame:
 
 
 def flag_rows(summary: DataFrame, cfg: BrakingConfig) -> DataFrame:
-    """(session_id, level, topic) of the warnings of each session; INFO Baseline where there are none.
+    """(session_id, level, topic) of the warnings of each session; INFO Baseline where there are none. Levels and topics are fixed values.
 
     ``summary`` joins :func:`roll_up` and ``pack_down_p75`` of :func:`event_summary`.
     """
@@ -322,6 +322,32 @@ def flag_rows(summary: DataFrame, cfg: BrakingConfig) -> DataFrame:
     return rows.select("session_id", F.explode("f").alias("f")).select("session_id", "f.*")
 
 
+def main_read(cfg: BrakingConfig) -> Column:
+    """What a session's braking comes to, in words, from the columns of the report's ``summary``.
+
+    The texts are fixed values.
+    """
+    c, lim = F.col, cfg.limits
+
+    def told(known: Column, cases: list[tuple[Column, str]], rest: str | None) -> Column:
+        text = F.lit(rest)
+        for cond, words in reversed(cases):
+            text = F.when(cond, words).otherwise(text)
+        return F.when(known, text)
+
+    deep, margin, dive, topout, rough, pack = (c(x) for x in ("deep90_mean", "margin_min", "dive_mean", "topout_max", "rough_max", "pack_down_p75"))
+    parts = [
+        told(deep.isNotNull() & margin.isNotNull(), [((deep < lim["deep90"][0]) & (margin > lim["margin"][0]), "good stroke reserve"), (margin <= lim["margin"][1], "small bottom margin")],
+             "some deep stroke use"),
+        told(dive.isNotNull(), [(dive < lim["dive"][0], "low brake dive"), (dive > lim["dive"][1], "high brake dive")], "moderate brake dive"),
+        told(topout.isNotNull(), [(topout >= lim["topout"][1], "topout contamination high"), (topout >= lim["topout"][0], "some topout contamination")], "topout clean"),
+        told(rough.isNotNull(), [(rough >= lim["rough"][1], "rough braking high"), (rough >= lim["rough"][0], "rough braking elevated")], "roughness controlled"),
+        told(pack.isNotNull(), [(pack >= lim["packdown"][1], "some events pack down")], None),
+    ]
+    joined = F.concat_ws("; ", *parts)
+    return F.when(joined == "", "not enough braking evidence").otherwise(joined)
+
+
 def missing_reason(df: DataFrame, cfg: BrakingConfig) -> DataFrame:
     """(session_id, has_data, reason): why a session has no braking analysis."""
     speed, valid = F.count("speed"), F.count_if("valid")
@@ -343,7 +369,7 @@ def braking_report(samples: DataFrame, pulses: DataFrame, cfg: BrakingConfig) ->
     rows = stored(metric_rows(expanded, found, cfg), "braking-rows")
     selected = select_rows(rows, cfg).withColumn("flag", bin_flag(cfg))
     chosen = found.join(selected.select("session_id", "threshold_no").distinct(), ["session_id", "threshold_no"])
-    summary = roll_up(selected).join(event_summary(chosen).select("session_id", "pack_down_p75"), "session_id", "left")
+    summary = roll_up(selected).join(event_summary(chosen).select("session_id", "pack_down_p75"), "session_id", "left").withColumn("main_read", main_read(cfg))
     return {
         "metric_rows": rows, "event_rows": found, "speed_bin_rows": selected, "summary": summary, "event_summary": event_summary(chosen),
         "flag_rows": flag_rows(summary, cfg), "status": missing_reason(df, cfg),

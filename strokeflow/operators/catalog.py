@@ -105,9 +105,13 @@ def scan_summaries(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     A summary is a line of an export's summary table (``part-*``), or a file of its own
     (``summary.json``) in a session's folder, which then names the session.
     """
-    reader = spark.read.schema(SUMMARY).options(mode="PERMISSIVE", recursiveFileLookup="true")
+    schema = SUMMARY.replace(", _corrupt_record string", "")
+    files = spark.read.options(recursiveFileLookup="true")
     folder = F.element_at(F.split(F.input_file_name(), "/"), -2)
-    own = reader.option("pathGlobFilter", "summary.json").json(paths, multiLine=True).withColumn("session_id", folder)
-    lines = reader.option("pathGlobFilter", "part-*").json(paths, multiLine=False)
-    rows = own.unionByName(lines).where("_corrupt_record is null and session_id is not null").drop("_corrupt_record")
+    own = files.option("pathGlobFilter", "summary.json").text(paths, wholetext=True).select("value", F.url_decode(folder).alias("__folder"))
+    lines = files.option("pathGlobFilter", "part-*").text(paths).select("value", F.lit(None).cast("string").alias("__folder"))
+    # Parsed as text: the reader of JSON refuses queries that ask for nothing but the mark of broken lines.
+    parsed = F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    rows = own.unionByName(lines).select("__folder", parsed.alias("x")).where("x is not null and x._corrupt_record is null").select("__folder", "x.*").drop("_corrupt_record")
+    rows = rows.withColumn("session_id", F.coalesce("__folder", "session_id")).drop("__folder").where("session_id is not null")
     return rows.withColumns({"start_epoch": F.col("header.start_epoch"), "duration_us": F.col("timing.duration_us")})

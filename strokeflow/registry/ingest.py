@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame
 
 from strokeflow.operators import catalog
 from strokeflow.plans import quicklook
+from strokeflow.plans.derive import derive_channels
 from strokeflow.registry.base import F, SAMPLES_SQL, SQL, event_samples, query, rounded
 from strokeflow.registry.more import e31
 from strokeflow.sources import exports, logs
-from strokeflow.sources.scratch import scratch_folder
+from strokeflow.sources.scratch import scratch_folder, stored
 from strokeflow.streaming import logs as streams
 
 #: A user's events as log records, after one configuration record. Every kind of record comes from one kind of
@@ -300,9 +301,53 @@ def a21(spark, folder):
 @query("a24_catalog_scan", f"{_LOG} SELECT session_id, min(t) // 1000000 AS start_epoch, max(t_us) - min(t_us) AS duration_us FROM r GROUP BY session_id")
 def a24(spark, folder):
     """All exported sessions with a readable summary, newest first; a broken summary among them."""
-    root = exported(spark, folder)
-    spark.range(1).select(F.lit("{not a summary").alias("value")).write.mode("append").text(f"{root}/summary")
-    return catalog.newest_first(catalog.scan_summaries(spark, f"{root}/summary").select("session_id", "start_epoch", "duration_us"))
+    broken = scratch_folder(spark, "broken-summaries")
+    spark.range(1).select(F.lit("{not a summary").alias("value")).write.text(broken)
+    paths = [f"{exported(spark, folder)}/summary", broken]
+    return catalog.newest_first(catalog.scan_summaries(spark, paths).select("session_id", "start_epoch", "duration_us"))
+
+
+@query("a18_exports_in_turn", f"{_LOG} SELECT session_id, 4 * count(*) FILTER (code = 'purchase') AS imu_frame_rows, count(*) FILTER (code = 'view') AS samples FROM r GROUP BY session_id")
+def a18_in_turn(spark, folder):
+    """The sessions exported a third at a time, and one third once more: tables and catalogue hold them all."""
+    root, records = scratch_folder(spark, "exports-in-turn"), stored(_records(spark, folder), "records")
+    for i in (0, 1, 2, 1):
+        exports.write_exports(records.where(F.pmod(F.crc32("session_id"), F.lit(3)) == i), root, **_OPTIONS)
+    samples = exports.read_table(spark, root, "analog").groupBy("session_id").agg(F.count("*").alias("samples"))
+    found = catalog.scan_summaries(spark, f"{root}/summary").select("session_id", "counts.imu_frame_rows")
+    return found.join(samples, "session_id", "left").fillna(0, ["samples"])
+
+
+@query("a23_published_exports", f"""{_LOG} SELECT session_id, CASE WHEN u % 3 = 0 THEN 2 ELSE 1 END AS run, count(*) FILTER (code = 'view') AS samples,
+coalesce(CAST(sum(v % 4096 - CASE WHEN u % 3 = 0 THEN 150 ELSE 100 END) FILTER (code = 'view') AS BIGINT), 0) AS counts, count(*) FILTER (code = 'view') AS summary_samples FROM r GROUP BY session_id, u""")
+def a23_published(spark, folder):
+    """All sessions are exported; then the configuration of a third changes, and only these are exported again."""
+    root, records = scratch_folder(spark, "published"), stored(_records(spark, folder), "records")
+    front = logs.sessions(records).select("session_id", F.lit("front").alias("channel"), F.lit(100.0).alias("zero"), F.lit(False).alias("invert"), F.lit(0.25).alias("mm_per_count"))
+    exports.published_exports(records, root, front)
+    changed = F.when(F.regexp_extract("session_id", r"(\d+)", 1).cast("long") % 3 == 0, 150.0).otherwise(F.col("zero"))
+    store = exports.published_exports(records, root, front.withColumn("zero", changed))
+    sums = store.read("analog").groupBy("session_id").agg(F.count("*").alias("samples"), F.sum("front_position_counts").alias("counts"))
+    summaries = store.read("summary").select("session_id", F.col("counts.analog_rows").alias("summary_samples"))
+    rows = store.manifest().select("session_id", F.col("run").cast("int").alias("run")).join(sums, "session_id", "left").join(summaries, "session_id", "left")
+    return rows.fillna(0, ["samples", "counts"])
+
+
+@query("a19_derived_reused", f"""{_ZERO} SELECT d.session_id, channel, CASE WHEN CAST(substr(d.session_id, 4) AS BIGINT) % 3 = 0 THEN 2 ELSE 1 END AS run, count(*) AS n,
+CAST(sum(travel + CASE WHEN CAST(substr(d.session_id, 4) AS BIGINT) % 3 = 0 AND channel = 'front' THEN z.front - 7 ELSE 0 END) AS DOUBLE) AS travel FROM d JOIN z USING (session_id) GROUP BY ALL""")
+def a19_reused(spark, folder):
+    """Derived series of all sessions, then with other zeros for a third of them: the rest is read as it was."""
+    cache, opened = scratch_folder(spark, "derived-reused"), exports.open_sessions(spark, exported(spark, folder))
+    samples = opened["analog"].select("session_id", "t_us", "t_s", "seq", F.col("front_raw").alias("front"), F.col("rear_raw").alias("rear"))
+
+    def derive(some, configs):
+        return derive_channels(some, "t_s", window=3, configs=configs.drop("source_path"))
+
+    other = F.when((F.regexp_extract("session_id", r"(\d+)", 1).cast("long") % 3 == 0) & (F.col("channel") == "front"), 7.0).otherwise(F.col("zero"))
+    for configs in (opened["configs"], opened["configs"].withColumn("zero", other)):
+        store = exports.published_derived(samples, configs, cache, derive)
+    found = store.read("derived").groupBy("session_id", "channel").agg(F.count("*").alias("n"), F.sum("travel").alias("travel"))
+    return found.join(store.manifest().select("session_id", F.col("run").cast("int").alias("run")), "session_id")
 
 
 @query("a26_open_exports", f"""{_LOG} SELECT session_id, seq, round(CASE WHEN {_SPEED} * 3.6 <= 200 THEN {_SPEED} * 3.6 END, 6) AS speed_kph, round({_SPEED} * 3.6, 6) AS speed_kph_raw FROM r WHERE code = 'click'""")

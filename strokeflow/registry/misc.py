@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 
 from strokeflow.functions import config
-from strokeflow.operators import asof, catalog, hist, metrics, sample, series, stats
+from strokeflow.operators import asof, catalog, hist, intervals, metrics, sample, series, stats
 from strokeflow.operators.series import speed_sanity
 from strokeflow.plans import context
 from strokeflow.registry import breakdown
@@ -301,14 +301,29 @@ def e37(spark, folder):
 @query("d11_interval_samples", f"""WITH {SAMPLES_SQL}, v AS (SELECT session_id, seq AS no, t_us AS a, t_us + 86400000000 AS b FROM s WHERE code = 'signup')
 SELECT v.session_id, v.no, count(*) AS n, max(front) AS peak FROM v JOIN s ON v.session_id = s.session_id AND s.t_us >= a AND s.t_us < b GROUP BY ALL""")
 def d11(spark, folder):
-    """Samples of externally given intervals: both are cut into days, so the join is on (session, day)."""
-    df, day = event_samples(spark, folder), 86_400_000_000
-    marks = df.where("code = 'signup'").select("session_id", F.col("seq").alias("no"), F.col("t_us").alias("a"), (F.col("t_us") + day).alias("b"))
-    marks = marks.withColumn("day", F.explode(F.sequence(F.expr(f"a div {day}"), F.expr(f"b div {day}"))))
-    hit = df.withColumn("day", F.expr(f"t_us div {day}")).join(marks, ["session_id", "day"]).where("t_us >= a and t_us < b")
+    """Samples of externally given intervals."""
+    df = event_samples(spark, folder)
+    marks = df.where("code = 'signup'").select("session_id", F.col("seq").alias("no"), F.col("t_us").alias("a"), (F.col("t_us") + 86_400_000_000).alias("b"))
+    hit = intervals.samples_within(df, marks, "t_us", "a", "b")
     return hit.groupBy("session_id", "no").agg(F.count("*").alias("n"), F.max("front").alias("peak"))
 
 
+_SPANS = """v AS (SELECT session_id, seq AS no, code, t_us AS a, t_us + CASE seq % 5 WHEN 0 THEN 0 WHEN 1 THEN 1000000 WHEN 2 THEN 3600000000 WHEN 3 THEN 259200000000 ELSE 3000000000000 END AS b
+  FROM s WHERE code IN ('signup', 'click'))"""
+
+
+@query("d11_overlaps", f"""WITH {SAMPLES_SQL}, {_SPANS}
+SELECT x.session_id, x.no, y.no AS other_no, least(x.b, y.b) - greatest(x.a, y.a) AS shared FROM v x JOIN v y ON x.session_id = y.session_id AND x.a < y.b AND y.a < x.b
+WHERE x.code = 'signup' AND y.code = 'click' AND x.a < x.b AND y.a < y.b""")
+def d11_overlaps(spark, folder):
+    """Intervals from nothing to a month that overlap others: pairs and the time that they share."""
+    seq, df = F.col("seq"), event_samples(spark, folder)
+    length = F.when(seq % 5 == 0, 0).when(seq % 5 == 1, 1_000_000).when(seq % 5 == 2, 3_600_000_000).when(seq % 5 == 3, 259_200_000_000).otherwise(3_000_000_000_000)
+    spans = df.select("session_id", seq.alias("no"), "code", F.col("t_us").alias("a"), (F.col("t_us") + length).alias("b"))
+    pairs = intervals.overlapping(spans.where("code = 'signup'"), spans.where("code = 'click'"), "a", "b")
+    return pairs.select("session_id", "no", "other_no", (F.least("b", "other_b") - F.greatest("a", "other_a")).alias("shared"))
+
+
 @query("d12_calibration_template", """SELECT c_custkey, c_name, t.c_nationkey, t.c_mktsegment, c_acctbal
 FROM customer, (SELECT c_nationkey, c_mktsegment FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 1) t""")
 def d12(spark, folder):

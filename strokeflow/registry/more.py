@@ -207,11 +207,16 @@ def s3(spark, folder):
     return df.join(braking.speed_edges(df, BRAKE), "session_id").select(*KEY, braking.bin_of(F.col("speed"), F.col("edges")).cast("double").alias("bin"))
 
 
-@query("s7_text_flags", f"WITH {SELECTED} SELECT session_id, speed_bin, warning, CASE WHEN fl = '' THEN 'baseline' ELSE fl END AS flag FROM sel")
+@query("s7_text_flags", f"""WITH {SELECTED}, mr AS (SELECT session_id, concat_ws('; ',
+  CASE WHEN deep90_mean IS NOT NULL AND margin_min IS NOT NULL THEN CASE WHEN deep90_mean < 0.5 AND margin_min > 15 THEN 'good stroke reserve' WHEN margin_min <= 5 THEN 'small bottom margin' ELSE 'some deep stroke use' END END,
+  CASE WHEN dive_mean < 5 THEN 'low brake dive' WHEN dive_mean > 15 THEN 'high brake dive' WHEN dive_mean IS NOT NULL THEN 'moderate brake dive' END,
+  CASE WHEN topout_max >= 25 THEN 'topout contamination high' WHEN topout_max >= 10 THEN 'some topout contamination' WHEN topout_max IS NOT NULL THEN 'topout clean' END,
+  CASE WHEN rough_max >= 2 THEN 'rough braking high' WHEN rough_max >= 1.5 THEN 'rough braking elevated' WHEN rough_max IS NOT NULL THEN 'roughness controlled' END,
+  CASE WHEN es.pack_down_p75 >= 5 THEN 'some events pack down' END) AS t FROM ru LEFT JOIN es USING (session_id))
+SELECT session_id, speed_bin, warning, CASE WHEN fl = '' THEN 'baseline' ELSE fl END AS flag, CASE WHEN t = '' THEN 'not enough braking evidence' ELSE t END AS main_read FROM sel JOIN mr USING (session_id)""")
 def s7(spark, folder):
-    x, found = _events(spark, folder)
-    rows = braking.select_rows(braking.metric_rows(x, found, BRAKE), BRAKE)
-    return rows.select("session_id", "speed_bin", "warning", braking.bin_flag(BRAKE).alias("flag"))
+    report = braking.braking_report(*_inputs(spark, folder), BRAKE)
+    return report["speed_bin_rows"].select("session_id", "speed_bin", "warning", "flag").join(report["summary"].select("session_id", "main_read"), "session_id")
 
 
 @query("s8_state_flags", f"WITH {STATES}, f AS (SELECT session_id, unnest(flags) AS flag FROM stt) SELECT session_id, flag, count(*) AS n FROM f GROUP BY ALL")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from strokeflow.operators import catalog
 from strokeflow.operators.series import default_zero, speed_sanity
 from strokeflow.plans.derive import KEY, derive_channels, to_long
 from strokeflow.sources import logs
+from strokeflow.sources.published import Published
+from strokeflow.sources.scratch import stored as stored_table
 
 #: The columns of the exported tables, in their order.
 _HEAD = "record_seq long, record_flags int, host_timestamp_us long, host_time_s double"
@@ -56,23 +60,34 @@ def columns_of(name: str) -> list[str]:
 
 def export_tables(
     records: DataFrame, bits: int = 12, zero: dict[str, int] | None = None, invert: dict[str, bool] | None = None,
-    mm_per_count: dict[str, float] | None = None,
+    mm_per_count: dict[str, float] | None = None, configs: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """The exported tables of logs, with session_id before their columns.
 
-    ``zero``, ``invert`` and ``mm_per_count`` are by channel; mm columns are null without a scale.
+    ``zero``, ``invert`` and ``mm_per_count`` are by channel; mm columns are null without a scale. Where a session
+    has a row in ``configs(session_id, channel, zero, invert, mm_per_count)`` that row's fields take their place.
     """
     good = logs.unwrapped(records)
+    own = None
+    if configs is not None:
+        fields = F.first(F.struct("zero", "invert", "mm_per_count"))
+        own = configs.groupBy(F.col("session_id").alias("__id")).pivot("channel", ["front", "rear"]).agg(fields).withColumnsRenamed({"front": "__front", "rear": "__rear"})
     order = W.partitionBy("session_id").orderBy("n")
 
     def change(c: str) -> Column:
         return F.coalesce(F.lead(c).over(order), F.col(c)) - F.coalesce(F.lag(c).over(order), F.col(c))
 
     analog = logs.analog_table(good, bits).withColumn("dt_us", F.col("t_us") - F.lag("t_us").over(order))
+    if own is not None:
+        analog = analog.join(own, F.col("session_id") == F.col("__id"), "left").drop("__id")
     for c in ("front", "rear"):
-        sign, scale = (-1 if (invert or {}).get(c) else 1), F.lit((mm_per_count or {}).get(c)).cast("double")
+        at, turned, scale = F.lit(int((zero or {}).get(c, 0))), F.lit(bool((invert or {}).get(c))), F.lit((mm_per_count or {}).get(c)).cast("double")
+        if own is not None:
+            one = F.col(f"__{c}")
+            at, turned = F.coalesce(one["zero"].cast("int"), at), F.coalesce(one["invert"], turned)
+            scale = F.when(one.isNotNull(), one["mm_per_count"]).otherwise(scale)
         counts = f"{c}_position_counts"
-        analog = analog.withColumn(counts, (F.col(f"{c}_raw") - int((zero or {}).get(c, 0))) * sign)
+        analog = analog.withColumn(counts, (F.col(f"{c}_raw") - at) * F.when(turned, -1).otherwise(1))
         speed = F.when(change("t_us") > 0, change(counts) * 1e6 / change("t_us"))
         analog = analog.withColumns({
             f"{c}_mm": F.col(counts) * scale, f"{c}_velocity_counts_per_s": speed, f"{c}_velocity_mm_per_s": speed * scale,
@@ -136,13 +151,62 @@ def write_exports(records: DataFrame, root: str, **options) -> None:
     """Write the exported tables as CSV by session below ``root``, and the summaries as JSON.
 
     Null is an empty field. :func:`read_table`, ``scan_summaries`` and :func:`open_sessions` read it back.
+    What is there of other sessions stays, their summaries too.
     """
+    records = stored_table(records, "export-records")
     tables = export_tables(records, **options)
     for name, df in tables.items():
         rows = df.repartition("session_id").sortWithinPartitions("session_id", "host_timestamp_us" if "host_timestamp_us" in df.columns else "burst_host_timestamp_us", "record_seq")
         writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id")
         writer.options(header="true", nullValue="", emptyValue="").csv(f"{root}/{name}")
-    summaries(records, tables, options.get("mm_per_count")).write.mode("overwrite").json(f"{root}/summary")
+    found = summaries(records, tables, options.get("mm_per_count")).withColumn("session", F.col("session_id")).repartition("session_id")
+    found.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session").json(f"{root}/summary")
+
+
+#: Changes when the tables come to be made in another way.
+EXPORT_VERSION = 1
+
+
+def published_exports(records: DataFrame, root: str, configs: DataFrame | None = None, **options) -> Published:
+    """Export the sessions whose log, configuration or options have changed since their last export; Parquet tables by run.
+
+    All exported tables and the summary of a session become visible together.
+    """
+    store = Published(records.sparkSession, root)
+    sessions = logs.sessions(records).select("session_id", "path", "file_size", "records", F.hex("head").alias("head"))
+    if configs is not None:
+        fields = F.array_sort(F.collect_list(F.struct("channel", "zero", "invert", "mm_per_count")))
+        sessions = sessions.join(configs.groupBy("session_id").agg(fields.alias("configs")), "session_id", "left")
+    sessions = sessions.withColumns({"options": F.lit(repr(sorted(options.items()))), "version": F.lit(EXPORT_VERSION)})
+    current = sessions.select("session_id", catalog.signature(*sessions.columns).alias("signature"))
+
+    def build(stale: DataFrame) -> dict[str, DataFrame]:
+        some = stored_table(records.join(stale, "session_id", "left_semi"), "export-records")
+        tables = export_tables(some, configs=configs, **options)
+        return tables | {"summary": summaries(some, tables, options.get("mm_per_count"))}
+
+    store.publish(current, build)
+    return store
+
+
+def published_derived(samples: DataFrame, configs: DataFrame, root: str, derive: Callable[[DataFrame, DataFrame], DataFrame]) -> Published:
+    """Derived series of the sessions whose samples or configuration have changed; the others are read as they were.
+
+    ``derive(samples, configs)`` is asked for the stale sessions alone. A session's samples are known by their number,
+    extent and a sum of hashes.
+    """
+    store = Published(samples.sparkSession, root)
+    rows = samples.groupBy("session_id").agg(F.count("*").alias("n"), F.sum(F.xxhash64(*[c for c in samples.columns if c != "session_id"]).cast("decimal(38,0)")).alias("hashes"))
+    own = configs.groupBy("session_id").agg(F.array_sort(F.collect_list(F.to_json(F.struct(*sorted(c for c in configs.columns if c != "session_id"))))).alias("configs"))
+    sessions = rows.join(own, "session_id", "left").withColumn("version", F.lit(EXPORT_VERSION))
+    current = sessions.select(F.col("session_id").cast("string").alias("session_id"), catalog.signature(*sessions.columns).alias("signature"))
+
+    def build(stale: DataFrame) -> dict[str, DataFrame]:
+        keep = [x.join(stale.select(F.col("session_id").alias("__id")), x["session_id"].cast("string") == F.col("__id"), "left_semi") for x in (samples, configs)]
+        return {"derived": derive(*keep).withColumn("session_id", F.col("session_id").cast("string"))}
+
+    store.publish(current, build)
+    return store
 
 
 CONFIG_FIELDS = {

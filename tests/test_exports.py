@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strokeflow.operators import catalog
-from strokeflow.sources import exports, logs
+from strokeflow.sources import exports, logs, published
 from tests.test_logs import folder  # noqa: F401
 
 NAMES = [c.split()[0] for c in exports.TABLES["analog"].split(", ")]
@@ -89,3 +89,37 @@ def test_open_logs(spark, folder):  # noqa: F811
     assert got["wheel"].where("speed_kph > 0").count() == 1
     with pytest.raises(ValueError, match="either all logs"):
         exports.open_sessions(spark, [f"{folder}/LOG1.BIN", folder])
+
+
+def test_summaries_of_earlier_exports_stay(spark, folder, tmp_path):
+    records = logs.read_records(spark, f"{folder}/*.BIN")
+    ids = [r.session_id for r in logs.sessions(records).orderBy("session_id").collect()]
+    for one in [*ids, ids[0]]:
+        exports.write_exports(records.where(F.col("session_id") == one), str(tmp_path))
+    found = catalog.scan_summaries(spark, f"{tmp_path}/summary")
+    assert found.count() == len(ids) and sorted(r.session_id for r in found.select("session_id").collect()) == ids
+
+
+def test_only_changed_sessions_are_published_and_a_broken_run_shows_nothing(spark, tmp_path):
+    store, asked = published.Published(spark, str(tmp_path)), []
+
+    def run(signatures, broken=False):
+        def build(stale):
+            asked.append(sorted(r.session_id for r in stale.collect()))
+            rows = stale.withColumn("v", F.lit(len(asked)))
+            return {"a": rows, "b": rows.where(F.raise_error(F.lit("broken")).isNull()) if broken else rows}
+
+        current = spark.createDataFrame(list(signatures.items()), "session_id string, signature string")
+        store.publish(current, build)
+
+    def seen():
+        return [{r.session_id: r.v for r in store.read(name).collect()} for name in ("a", "b")]
+
+    run({"x": "1", "y": "1"})
+    run({"x": "1", "y": "1"})
+    assert asked == [["x", "y"]] and seen() == [{"x": 1, "y": 1}] * 2
+    with pytest.raises(Exception, match="broken"):
+        run({"x": "2", "y": "1", "z": "1"}, broken=True)
+    assert seen() == [{"x": 1, "y": 1}] * 2
+    run({"x": "2", "y": "1", "z": "1"})
+    assert asked[1:] == [["x", "z"]] * 2 and seen() == [{"x": 3, "y": 1, "z": 3}] * 2

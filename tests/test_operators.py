@@ -1,11 +1,13 @@
 """Session operators on small inputs with known results."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from strokeflow.functions import config
-from strokeflow.operators import asof, braking, breakdown, catalog, hist, islands, metrics, sample, series, stats
+from strokeflow.operators import asof, braking, breakdown, catalog, hist, intervals, islands, metrics, sample, series, stats
 
 
 def frame(spark, columns, rows):
@@ -298,3 +300,15 @@ def test_speed_sanity_is_idempotent(spark):
     for x in (once, speed_sanity(once, "speed")):
         assert values(x, "speed") == [10.0, None, None, None] and values(x, "rejected") == [False, True, True, False]
         assert values(x, "speed_raw") == [10.0, 1200.0, -1.0, None]
+
+
+def test_intervals_of_any_length(spark):
+    r = random.Random(4)
+    times = [(s, i, r.randint(-(10**6), 10**6)) for s in ("a", "b") for i in range(150)] + [("c", 0, 2**53 + 1)]
+    spans = [(s, 1000 + i, a, a + r.choice([0, 1, 7, 1000, 2**17 + 1, 10**6, -5])) for s in ("a", "b") for i, a in enumerate(r.randint(-(10**6), 10**6) for _ in range(80))]
+    spans += [("a", 1, -(10**6), 10**6), ("c", 1, 0, 2**53 + 2), ("d", 1, 0, 5)]
+    samples, marks = spark.createDataFrame(times, "session_id string, i int, t long"), spark.createDataFrame(spans, "session_id string, no int, a long, b long")
+    got = sorted((x.session_id, x.no, x.i) for x in intervals.samples_within(samples, marks, "t", "a", "b").collect())
+    assert got == sorted((s, no, i) for s, no, a, b in spans for z, i, t in times if s == z and a <= t < b)
+    pairs = sorted((x.session_id, x.no, x.other_no) for x in intervals.overlapping(marks, marks, "a", "b").collect())
+    assert pairs == sorted((s, n, m) for s, n, a, b in spans for z, m, c, d in spans if s == z and a < b and c < d and a < d and c < b)
