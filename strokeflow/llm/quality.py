@@ -1,7 +1,9 @@
 """Quality classifier by co-training of a text view and a metadata view.
 
-The text view sees which words and pairs of words a text has, hashed to a few slots, and what they
-look like; the metadata view sees the record's fields and the
+The text view sees which words a text has, hashed to ``GRAMS`` slots, and what they look like. The slots are sparse: how much
+each speaks for a good text is the log-ratio of its smoothed shares among good and bad labelled documents (a diagonal fit,
+one sum over all rows), and a text's total of these is a feature of the regression; a labelled document
+is left out of its own ratios while the regression is fitted. The metadata view sees the record's fields and the
 page's layout (language, source, length, lines). Each view has a logistic regression. In a round,
 each view gives the documents that it is sure about, among those without a label, to the other as
 pseudo-labels, and both are fitted again. Platt scaling on the labelled documents then calibrates
@@ -30,33 +32,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strokeflow.llm.common import stored
-from strokeflow.llm.shingles import mix, slices, word_hashes
+from strokeflow.llm.shingles import slices, word_hashes
 
 SLOTS = 16
 _WORD = re.compile(r"\S+")
-GRAMS = 32  # slots of the hashed words and pairs of words
+GRAMS = 1 << 15  # slots of the hashed words
+SMOOTH = 4.0  # documents' worth of the classes' own shares in each slot
 _SURFACE = 17
-_TEXT_NAMES = _SURFACE + GRAMS
+_CONTENT = 1
+_TEXT_NAMES = _SURFACE + _CONTENT
 _META_NAMES = 6 + 2 * SLOTS
 
 
-def gram_features(texts: list[str | None]) -> np.ndarray:
-    """Root of the share of words and pairs of words in each slot, by text."""
-    out = np.zeros((len(texts), GRAMS))
+def word_slots(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(slots, offsets): text i has the distinct ``slots[offsets[i]:offsets[i + 1]]``."""
+    found, sizes = [], []
     for lo, hi, data, bounds in slices(pa.array(texts, pa.string())):
         h, n = word_hashes(data, bounds)
-        row = np.repeat(np.arange(hi - lo), n)
-        pairs = mix(h[:-1] * np.uint64(3) + h[1:])[row[:-1] == row[1:]]
-        row = np.concatenate([row, row[:-1][row[:-1] == row[1:]]])
-        slot = (np.concatenate([h, pairs]) % np.uint64(GRAMS)).astype(np.int64)
-        counts = np.bincount(row * GRAMS + slot, minlength=(hi - lo) * GRAMS).reshape(-1, GRAMS)
-        out[lo:hi] = np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1))
-    return out
+        key = np.unique(np.repeat(np.arange(hi - lo), n) * GRAMS + (h % np.uint64(GRAMS)).astype(np.int64))
+        found.append((key % GRAMS).astype(np.uint16))
+        sizes.append(np.bincount(key // GRAMS, minlength=hi - lo))
+    offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if sizes else np.zeros(1)
+    return (np.concatenate(found) if found else np.empty(0, np.uint16)), offsets.astype(np.int64)
+
+
+def content(slots: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Total weight of each text's slots over the root of their number; 0 without words."""
+    n = np.diff(offsets)
+    total = np.zeros(len(n))
+    if len(slots):
+        total[n > 0] = np.add.reduceat(weights[slots], offsets[:-1][n > 0])
+    return np.clip(total / np.sqrt(np.maximum(n, 1)) / 4, -3, 3)[:, None]
+
+
+def slot_weights(good: np.ndarray, bad: np.ndarray, n_good: float, n_bad: float) -> np.ndarray:
+    """How much each slot speaks for a good text, from the numbers of labelled documents that have it; 0 where none has."""
+    total = max(n_good + n_bad, 1.0)
+    share = [(np.maximum(x, 0) + SMOOTH * max(n, 0.5) / total) / (max(n, 0.0) + SMOOTH) for x, n in ((good, n_good), (bad, n_bad))]
+    none = SMOOTH * np.array([max(n, 0.5) / (max(n, 0.0) + SMOOTH) for n in (n_good, n_bad)]) / total
+    return np.log(share[0] / share[1]) - np.log(none[0] / none[1])
 
 
-def text_view(texts: list[str | None]) -> np.ndarray:
+def text_view(texts: list[str | None], weights: np.ndarray) -> np.ndarray:
     """The features of the text view, one row for each text."""
-    return np.hstack([np.array([text_features(t) for t in texts]).reshape(-1, _SURFACE), gram_features(texts)])
+    surface = np.array([text_features(t) for t in texts]).reshape(-1, _SURFACE)
+    return np.hstack([surface, content(*word_slots(texts), weights)])
 
 
 def text_features(text: str | None) -> np.ndarray:
@@ -103,24 +123,73 @@ def meta_features(lang: str | None, source: str | None, n_chars: int | None, tex
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_view, meta_view) of each row."""
+    """(doc_id, text_view, meta_view, slots) of each row; the text view's content is still missing."""
 
     def run(parts):
         for part in parts:
             ids, lang, source, size, texts = (c.to_pylist() for c in part.columns)
-            a = text_view(texts)
+            a = np.array([text_features(t) for t in texts]).reshape(-1, _SURFACE)
+            slots, at = word_slots(texts)
             b = np.array([meta_features(*x) for x in zip(lang, source, size, texts, strict=True)]).reshape(-1, _META_NAMES)
             views = [
                 pa.ListArray.from_arrays(np.arange(0, v.size + 1, v.shape[1], dtype=np.int32), v.astype(np.float32).ravel())
                 for v in (a, b)
             ]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *views], ["doc_id", "text_view", "meta_view"])
+            words = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(at * 2), pa.py_buffer(slots)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *views, words], ["doc_id", "text_view", "meta_view", "slots"])
 
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
         F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"), "text",
     )
-    return rows.mapInArrow(run, "doc_id long, text_view array<float>, meta_view array<float>")
+    return rows.mapInArrow(run, "doc_id long, text_view array<float>, meta_view array<float>, slots binary")
+
+
+def _unpacked(slots: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    raw = slots.to_pylist()
+    offsets = np.concatenate([[0], np.cumsum([len(x) // 2 for x in raw])]).astype(np.int64)
+    return np.frombuffer(b"".join(raw), dtype=np.uint16), offsets
+
+
+def count_slots(rows: DataFrame) -> np.ndarray:
+    """(2, GRAMS + 1): bad and good labelled documents of each slot, and of all; summed in each task first."""
+    width = GRAMS + 1
+
+    def run(parts):
+        sums = np.zeros(2 * width, dtype=np.int64)
+        for part in parts:
+            slots, offsets = _unpacked(part.column(0))
+            good = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            sums += np.bincount(slots.astype(np.int64) + width * np.repeat(good, np.diff(offsets)), minlength=2 * width)
+            sums[[GRAMS, width + GRAMS]] += np.bincount(good, minlength=2)
+        some = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], ["place", "n"])
+
+    known = rows.where("label is not null").select("slots", "label").mapInArrow(run, "place long, n long")
+    got = known.groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(2 * width)
+    out[got["place"].to_numpy(dtype=np.int64)] = got["n"].to_numpy(dtype=float)
+    return out.reshape(2, width)
+
+
+def with_content(rows: DataFrame, counts: np.ndarray) -> DataFrame:
+    """The rows with the content in the text view, a labelled row's own words left out, and as it is (``content``)."""
+    (bad, n_bad), (good, n_good) = ((x[:-1], x[-1]) for x in counts)
+    tables = [slot_weights(good, bad, n_good, n_bad), slot_weights(good, bad - 1, n_good, n_bad - 1), slot_weights(good - 1, bad, n_good - 1, n_bad)]
+    shared = rows.sparkSession.sparkContext.broadcast(tables)
+
+    def run(parts):
+        for part in parts:
+            ids, views, meta, slots, label = part.columns
+            found = [content(*_unpacked(slots), t) for t in shared.value]
+            y = label.to_numpy(zero_copy_only=False).astype(float)
+            own = np.where(np.isnan(y)[:, None], found[0], np.where((y == 0)[:, None], found[1], found[2]))
+            a = np.hstack([np.array(views.to_pylist(), dtype=np.float32).reshape(-1, _SURFACE), own.astype(np.float32)])
+            lists = [pa.ListArray.from_arrays(np.arange(0, v.size + 1, v.shape[1], dtype=np.int32), v.astype(np.float32).ravel()) for v in (a, found[0])]
+            yield pa.RecordBatch.from_arrays([ids, *lists, meta, label], ["doc_id", "text_view", "content", "meta_view", "label"])
+
+    chosen = rows.select("doc_id", "text_view", "meta_view", "slots", "label")
+    return chosen.mapInArrow(run, "doc_id long, text_view array<float>, content array<float>, meta_view array<float>, label double")
 
 
 def _sigmoid(x):
@@ -139,6 +208,7 @@ class Model:
     meta: np.ndarray
     platt: np.ndarray  # (2, 2): offset and slope of each view
     final: np.ndarray  # offset, text, meta
+    words: np.ndarray  # weight of each slot
 
     def views(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Calibrated log-odds of both views."""
@@ -157,7 +227,7 @@ def _matrix(column: pd.Series, width: int) -> np.ndarray:
 class CoTrainer:
     """Fits a :class:`Model` on ``rows(text_view, meta_view, label)``; label is 1, 0 or null."""
 
-    def __init__(self, rows: DataFrame, rounds: int = 2, sure: float = 0.95, steps: int = 6, ridge: float = 1e-5):
+    def __init__(self, rows: DataFrame, rounds: int = 2, sure: float = 0.95, steps: int = 6, ridge: float = 1e-3):
         self.rows, self.rounds, self.sure, self.steps, self.ridge = rows, rounds, sure, steps, ridge
 
     def _sums(self, design, sizes: list[int], weights: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
@@ -210,9 +280,9 @@ class CoTrainer:
                 break
         return weights
 
-    def fit(self, prior: float) -> Model:
-        """``prior``: share of good ones among the labelled."""
-        m = Model(np.zeros(_TEXT_NAMES), np.zeros(_META_NAMES), np.array([[0.0, 1.0], [0.0, 1.0]]), np.array([0.0, 1.0, 1.0]))
+    def fit(self, prior: float, words: np.ndarray) -> Model:
+        """``prior``: share of good ones among the labelled; ``words``: the weights that the text view's content was made with."""
+        m = Model(np.zeros(_TEXT_NAMES), np.zeros(_META_NAMES), np.array([[0.0, 1.0], [0.0, 1.0]]), np.array([0.0, 1.0, 1.0]), words)
         sure = self.sure
         # A view must be this sure, in each class, beyond what the class's share alone gives.
         high, low = _logit(max(sure, prior + (1 - prior) * 0.8)), _logit(min(1 - sure, prior * 0.2))
@@ -257,16 +327,24 @@ class CoTrainer:
         return m
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", rounds: int = 2) -> tuple[Model | None, DataFrame]:
-    """The model (None without labels of both classes) and the features of each row, as a table."""
+def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", rounds: int = 2, words: bool = True) -> tuple[Model | None, DataFrame]:
+    """The model (None without labels of both classes) and the features of each row, as a table.
+
+    Without ``words`` the text view sees only what words look like.
+    """
     known = (
         labels.where(f"{label} in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg(F.min(label).cast("double").alias("label"))
     )
-    rows = stored(features(docs).join(known, "doc_id", "left"), "quality-features")
-    count = rows.agg(F.count("label").alias("n"), F.sum("label").alias("good")).first()
-    n, good = count["n"], count["good"] or 0
-    return (CoTrainer(rows, rounds).fit(good / n) if 0 < good < n else None), rows
+    seen = stored(features(docs).join(known, "doc_id", "left"), "quality-words")
+    counts = count_slots(seen)
+    (n_bad, n_good) = counts[:, -1]
+    if not words:
+        counts[:, :-1] = 0
+    rows = stored(with_content(seen, counts), "quality-features")
+    if not (n_bad and n_good):
+        return None, rows
+    return CoTrainer(rows, rounds).fit(n_good / (n_good + n_bad), slot_weights(counts[1, :-1], counts[0, :-1], n_good, n_bad)), rows
 
 
 def _scores(model: Model | None, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
@@ -276,16 +354,18 @@ def _scores(model: Model | None, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"score": np.round(model.score(a, b), 9), "text_score": views[0], "meta_score": views[1]})
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, label: str = "quality", rounds: int = 2) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, label: str = "quality", rounds: int = 2, words: bool = True) -> DataFrame:
     """doc_id, score (probability of being good), text_score, meta_score and kept of each row."""
-    model, rows = fit_quality(docs, labels, label, rounds)
+    model, rows = fit_quality(docs, labels, label, rounds, words)
 
     @F.pandas_udf("score double, text_score double, meta_score double")
-    def judge(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        return _scores(model, _matrix(a, _TEXT_NAMES), _matrix(b, _META_NAMES))
+    def judge(a: pd.Series, c: pd.Series, b: pd.Series) -> pd.DataFrame:
+        x = _matrix(a, _TEXT_NAMES)
+        x[:, _SURFACE:] = _matrix(c, _CONTENT)
+        return _scores(model, x, _matrix(b, _META_NAMES))
 
     return (
-        rows.select("doc_id", judge("text_view", "meta_view").alias("s")).select("doc_id", "s.*")
+        rows.select("doc_id", judge("text_view", "content", "meta_view").alias("s")).select("doc_id", "s.*")
         .withColumn("kept", F.col("score") >= 0.5)
     )
 
@@ -299,7 +379,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", rounds
         size = [None if pd.isna(x) else int(x) for x in size]
         lang, source = ([None if pd.isna(x) else x for x in c] for c in (lang, source))
         text = [None if pd.isna(x) else x for x in text]
-        a = text_view(text)
+        a = text_view(text, np.zeros(GRAMS) if model is None else model.words)
         b = np.array([meta_features(*x) for x in zip(lang, source, size, text, strict=True)]).reshape(-1, _META_NAMES)
         # As float32, like the table that the model was fitted on.
         return _scores(model, a.astype(np.float32).astype(float), b.astype(np.float32).astype(float))["score"]

@@ -571,3 +571,28 @@ def test_listed_hosts_in_upper_case(spark):
     listed = spark.createDataFrame([("Ads-Track.example.com",)], "key string")
     got = {r.page_id: r.verdict for r in url_filter.filter_urls(pages, [], listed).collect()}
     assert got == {1: "block", 2: "allow"}
+
+
+def test_quality_tells_vocabularies_apart_by_their_words(spark):
+    r = random.Random(9)
+    vocabulary = [["".join(r.choice("aeinrst") for _ in range(6)) for _ in range(150)] for _ in range(2)]
+    texts = [" ".join(r.choice(vocabulary[i % 2]) for _ in range(40)) for i in range(400)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    right = []
+    for words in (True, False):
+        got = quality.score_documents(docs, labels, words=words).where("doc_id >= 200").collect()
+        right.append(sum(x.kept == bool(x.doc_id % 2) for x in got))
+    assert right[0] >= 190 and right[1] <= 140
+
+
+def test_quality_of_odd_rows(spark, awkward):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, quality int")
+    got = quality.score_documents(awkward, labels).collect()
+    assert len(got) == awkward.count() and all(0 <= x.score <= 1 for x in got)
+    by = {}
+    for x in got:
+        by.setdefault(x.doc_id, set()).add(x.score)
+    assert all(len(v) == 1 for v in by.values())
+    kept = sorted(str(x.doc_id) for x in quality.keep_good(awkward, labels).collect())
+    assert kept == sorted(str(x.doc_id) for x in got if x.kept)
