@@ -56,6 +56,28 @@ def word_slots(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(found) if found else np.empty(0, np.uint16)), offsets.astype(np.int64)
 
 
+def packed(slots: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """The ascending slots of each text as the gaps between them, a byte each; 255 goes on in the next byte."""
+    gaps = np.diff(slots.astype(np.int64), prepend=0)
+    first = offsets[:-1][np.diff(offsets) > 0]
+    gaps[first] = slots[first]
+    ends = np.cumsum(gaps // 255 + 1)
+    out = np.full(ends[-1] if len(ends) else 0, 255, dtype=np.uint8)
+    out[ends - 1] = gaps % 255
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.concatenate([[0], ends])[offsets]), pa.py_buffer(out)]).cast(pa.binary())
+
+
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(slots, offsets) of what :func:`packed` made."""
+    raw = column.to_pylist()
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+    gaps = np.frombuffer(b"".join(raw), dtype=np.uint8)
+    sums = np.concatenate([[0], np.cumsum(gaps, dtype=np.int64)])
+    ends = np.flatnonzero(gaps < 255)
+    offsets = np.searchsorted(ends, bounds)
+    return sums[ends + 1] - np.repeat(sums[bounds[:-1]], np.diff(offsets)), offsets
+
+
 def content(slots: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Total weight of each text's slots over the root of their number; 0 without words."""
     n = np.diff(offsets)
@@ -135,8 +157,7 @@ def features(docs: DataFrame) -> DataFrame:
                 pa.ListArray.from_arrays(np.arange(0, v.size + 1, v.shape[1], dtype=np.int32), v.astype(np.float32).ravel())
                 for v in (a, b)
             ]
-            words = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(at * 2), pa.py_buffer(slots)]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *views, words], ["doc_id", "text_view", "meta_view", "slots"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *views, packed(slots, at)], ["doc_id", "text_view", "meta_view", "slots"])
 
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
@@ -145,12 +166,6 @@ def features(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text_view array<float>, meta_view array<float>, slots binary")
 
 
-def _unpacked(slots: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    raw = slots.to_pylist()
-    offsets = np.concatenate([[0], np.cumsum([len(x) // 2 for x in raw])]).astype(np.int64)
-    return np.frombuffer(b"".join(raw), dtype=np.uint16), offsets
-
-
 def count_slots(rows: DataFrame) -> np.ndarray:
     """(2, GRAMS + 1): bad and good labelled documents of each slot, and of all; summed in each task first."""
     width = GRAMS + 1
@@ -158,9 +173,9 @@ def count_slots(rows: DataFrame) -> np.ndarray:
     def run(parts):
         sums = np.zeros(2 * width, dtype=np.int64)
         for part in parts:
-            slots, offsets = _unpacked(part.column(0))
+            slots, offsets = unpacked(part.column(0))
             good = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            sums += np.bincount(slots.astype(np.int64) + width * np.repeat(good, np.diff(offsets)), minlength=2 * width)
+            sums += np.bincount(slots + width * np.repeat(good, np.diff(offsets)), minlength=2 * width)
             sums[[GRAMS, width + GRAMS]] += np.bincount(good, minlength=2)
         some = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], ["place", "n"])
@@ -181,7 +196,7 @@ def with_content(rows: DataFrame, counts: np.ndarray) -> DataFrame:
     def run(parts):
         for part in parts:
             ids, views, meta, slots, label = part.columns
-            found = [content(*_unpacked(slots), t) for t in shared.value]
+            found = [content(*unpacked(slots), t) for t in shared.value]
             y = label.to_numpy(zero_copy_only=False).astype(float)
             own = np.where(np.isnan(y)[:, None], found[0], np.where((y == 0)[:, None], found[1], found[2]))
             a = np.hstack([np.array(views.to_pylist(), dtype=np.float32).reshape(-1, _SURFACE), own.astype(np.float32)])
