@@ -19,6 +19,8 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -249,3 +251,71 @@ def interpolate_gaps(df: DataFrame, value: str, t: str, out: str, by=BY, order=O
     point = F.when(F.col(value).isNotNull(), F.struct(F.col(t).alias("t"), F.col(value).alias("v")))
     both = neighbours(df.withColumn("__point", point), "__point", "__a", "__b", by, order, rows)
     return _unplaced(both.withColumn(out, _on_line(F.col("__a"), F.col("__b"), F.col(t))).drop("__point", "__a", "__b"))
+
+
+_NODES = "session_id string, chunk long, start long, last long, taken long"
+_ACCEPTED = "session_id string, t_us long, interval_us long, pulse_count long"
+
+
+def _ordered(pdf: pd.DataFrame, least_us: int) -> tuple[np.ndarray, np.ndarray]:
+    """The times of a chunk, and for each the place of the first pulse that may be accepted after it."""
+    t = np.sort(pdf["t_us"].to_numpy(dtype=np.int64))
+    return t, np.append(np.searchsorted(t, t + least_us), len(t))
+
+
+def _chains(least_us: int):
+    def run(key, pdf):
+        t, jump = _ordered(pdf, least_us)
+        n = len(t)
+        last, taken = np.arange(n + 1), np.append(np.ones(n, dtype=np.int64), 0)
+        while (jump < n).any():  # each round doubles how far a pointer jumps
+            last, taken, jump = np.where(jump < n, last[jump], last), taken + taken[jump], jump[jump]
+        entries = min(n, int(np.searchsorted(t, t[0] + least_us)) + 1)  # the chain cannot enter a chunk behind these
+        return pd.DataFrame({"session_id": key[0], "chunk": key[1], "start": t[:entries], "last": t[last[:entries]], "taken": taken[:entries]})
+
+    return run
+
+
+def _accepted(least_us: int):
+    def run(key, pdf):
+        t, jump = _ordered(pdf, least_us)
+        start, before, last = (pdf[c].iloc[0] for c in ("start", "before", "previous"))
+        at, places = int(np.searchsorted(t, start)), []
+        while at < len(t):
+            places.append(at)
+            at = jump[at]
+        times = t[places]
+        first = start - last if not pd.isna(last) else 0
+        return pd.DataFrame({"session_id": key[0], "t_us": times, "interval_us": np.append(int(first), np.diff(times)), "pulse_count": int(before) + 1 + np.arange(len(times))})
+
+    return run
+
+
+def debounce(pulses: DataFrame, least_us: int = 3000, rows: int = ROWS) -> DataFrame:
+    """As :func:`strokeflow.streaming.logs.debounce`, with the recursion taken by jump pointers.
+
+    What a chunk accepts depends only on the pulse at which the chain of accepted ones enters it, and that is one of the few
+    within ``least_us`` of its first, or the next. For each of them the chunk finds the last that would be accepted and how many. These
+    entries point to the next chunk's; the entries that the chain really takes are found by pointers that
+    double their reach, from each session's first pulse, in rounds as the logarithm of the chunks.
+    """
+    p = pulses.select(F.col("session_id").cast("string").alias("session_id"), "t_us").where("session_id is not null and t_us is not null").distinct()
+    p = stored(placed(p, BY, ("t_us",), rows), "long-pulses")
+    nodes = stored(p.groupBy("session_id", CHUNK).applyInPandas(_chains(least_us), _NODES), "long-entries")
+    points = nodes.select("session_id", F.col("start").alias("t"), F.lit(1).alias("kind"), F.col("start").alias("point"), F.lit(None).cast("long").alias("from"))
+    needs = nodes.select("session_id", (F.col("last") + least_us).alias("t"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("point"), F.col("start").alias("from"))
+    met = neighbours(points.unionByName(needs), "point", "__before", "next", BY, ("t", "kind"), rows)
+    jump = stored(met.where("kind = 0 and next is not null").select("session_id", F.col("from").alias("start"), "next"), "long-jumps")
+    reached = stored(nodes.groupBy("session_id").agg(F.min("start").alias("start")), "long-reached")
+    while True:
+        more = stored(reached.join(jump, ["session_id", "start"]).select("session_id", F.col("next").alias("start")), "long-reached")
+        if more.isEmpty():
+            break
+        reached = reached.unionByName(more)
+        beyond = jump.select("session_id", F.col("start").alias("next"), F.col("next").alias("beyond"))
+        jump = stored(jump.join(beyond, ["session_id", "next"]).select("session_id", "start", F.col("beyond").alias("next")), "long-jumps")
+    w = W.partitionBy("session_id").orderBy("start")  # one row for each chunk
+    chain = nodes.join(reached, ["session_id", "start"]).withColumns({
+        "before": F.coalesce(F.sum("taken").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "previous": F.lag("last").over(w),
+    }).select("session_id", F.col("chunk").alias(CHUNK), "start", "before", "previous")
+    return p.join(chain, ["session_id", CHUNK]).groupBy("session_id", CHUNK).applyInPandas(_accepted(least_us), _ACCEPTED)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from strokeflow.operators import long, series
 from strokeflow.registry.base import F, SQL, event_samples, query, rounded
+from strokeflow.registry.ingest import _LEAST
 from strokeflow.registry.series import KEY
 
 #: Chunks of so few samples that even the small tables have many.
@@ -73,3 +74,4 @@ _register("d1_asof_hold", lambda df: rounded(long.hold_with_timeout(df.select("s
 _register("d2_interp_join", lambda df: rounded(
     long.interpolate_join(df.select("session_id", "seq", "t_h"), df.where("code = 'view'").select("session_id", "t_h", "rear"), "t_h", "rear", "rear_at", rows=ROWS).select(*KEY, "rear_at")))
 _register("d4_interp_gaps", lambda df: rounded(long.interpolate_gaps(_level(df), "v", "t_h", "filled", rows=ROWS).select(*KEY, "filled")))
+_register("k2_debounce", lambda df: long.debounce(df, _LEAST, rows=ROWS))

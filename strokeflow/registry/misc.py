@@ -12,6 +12,8 @@ from strokeflow.registry import breakdown
 from strokeflow.registry.base import F, SAMPLES_SQL, SQL, WEIGHTED_SQL, event_samples, query, rounded, table, weighted_samples
 from strokeflow.registry.breakdown import CLASS_BASE
 from strokeflow.registry.stats import _channels
+from strokeflow.sources.scratch import scratch_folder
+from strokeflow.streaming import logs as streams
 
 _W = "OVER (PARTITION BY session_id ORDER BY t_us, seq)"
 KEY = ["session_id", "seq"]
@@ -50,15 +52,54 @@ def a13(spark, folder):
 
 @query("k4_lost_records", f"WITH {SAMPLES_SQL}, g AS (SELECT *, seq - lag(seq) {_W} - 1 AS gap FROM s) SELECT session_id, coalesce(sum(greatest(gap, 0)), 0)::BIGINT AS lost FROM g GROUP BY session_id")
 def k4(spark, folder):
-    gap = F.col("seq") - F.lag("seq").over(series.in_order()) - 1
-    df = event_samples(spark, folder).withColumn("gap", gap)
-    return df.groupBy("session_id").agg(F.coalesce(F.sum(F.greatest("gap", F.lit(0))), F.lit(0)).alias("lost"))
+    df = event_samples(spark, folder)
+    lost = streams.record_gaps(df).groupBy("session_id").agg(F.sum("lost").alias("lost"))
+    return df.select("session_id").distinct().join(lost, "session_id", "left").fillna(0, ["lost"])
+
+
+_DAY = 86_400_000_000
+_FAULTS = f"WITH {SAMPLES_SQL} SELECT session_id{{text}} AS session_id, code, t_us // 86400000000 AS day, count(*) AS n, sum(rear) AS total FROM s WHERE code = 'error' GROUP BY ALL"
+
+
+def _faults(status):
+    df = status.where("code = 'error'").withColumn("event_time", F.timestamp_micros("t_us"))
+    found = streams.fault_counts(df, window="1 day", late="5 hours", name="code", value="rear")
+    day = F.expr(f"unix_micros(window.start) div {_DAY}")
+    return found.select("session_id", "code", day.alias("day"), F.col("reports").alias("n"), F.col("faults").alias("total"))
 
 
-@query("k3_fault_windows", f"WITH {SAMPLES_SQL} SELECT session_id, code, t_us // 86400000000 AS day, count(*) AS n, sum(rear) AS total FROM s WHERE code = 'error' GROUP BY ALL")
+@query("k3_fault_windows", _FAULTS.replace("{text}", ""))
 def k3(spark, folder):
-    df = event_samples(spark, folder).where("code = 'error'").withColumn("day", F.expr("t_us div 86400000000"))
-    return df.groupBy("session_id", "code", "day").agg(F.count("*").alias("n"), F.sum("rear").alias("total"))
+    return _faults(event_samples(spark, folder))
+
+
+def _replayed(spark, folder, apply):
+    """The events as a stream of four files, each event up to four hours late, through ``apply``; then rows that close it."""
+    place = scratch_folder(spark, "replay")
+    late = F.col("t_us") + F.col("seq") % 5 * 3_600_000_000
+    rows = event_samples(spark, folder).select(F.col("session_id").cast("string").alias("session_id"), "t_us", "seq", "code", "rear").withColumn("at", late)
+    low, high = rows.agg(F.min("at"), F.max("at")).first()
+    for i in range(4):
+        part = F.least(F.floor((F.col("at") - low) * 4 / max(high - low, 1)), F.lit(3)) == i
+        rows.where(part).drop("at").coalesce(1).write.mode("append").parquet(f"{place}/in")
+    for i in (1, 2):
+        end = [("", high + 10 * i * _DAY, 0, "error", 0.0)]
+        spark.createDataFrame(end, rows.drop("at").schema).coalesce(1).write.mode("append").parquet(f"{place}/in")
+    source = spark.readStream.schema(rows.drop("at").schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+    out = apply(source)
+    sink = out.writeStream.format("parquet").option("checkpointLocation", f"{place}/checkpoint").outputMode("append")
+    sink.trigger(availableNow=True).start(f"{place}/out").awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{place}/out").where("session_id <> ''")
+
+
+@query("k3_fault_stream", _FAULTS.replace("{text}", "::VARCHAR"))
+def k3_stream(spark, folder):
+    return _replayed(spark, folder, _faults)
+
+
+@query("k4_gap_stream", f"WITH {SAMPLES_SQL}, g AS (SELECT session_id::VARCHAR AS session_id, lag(seq) {_W} AS after_seq, seq AS next_seq FROM s) SELECT *, next_seq - after_seq - 1 AS lost FROM g WHERE next_seq - after_seq > 1")
+def k4_stream(spark, folder):
+    return _replayed(spark, folder, lambda source: streams.gap_stream(source, "5 hours"))
 
 
 @query("d3_single_source_interp", f"""WITH {SAMPLES_SQL}, q AS (SELECT session_id, min(t_h) AS t1, arg_min(rear, t_us) AS v FROM s WHERE code = 'signup' GROUP BY session_id)

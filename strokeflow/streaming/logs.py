@@ -8,6 +8,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from strokeflow.sources import logs
@@ -187,7 +188,51 @@ def _debounce_in_order(pulses: DataFrame, least_us: int, late: str, idle_ms: int
     )
 
 
-def fault_counts(status: DataFrame, time: str = "event_time", window: str = "1 minute", late: str = "10 minutes") -> DataFrame:
-    """Faults by session, name and time window; late rows of a stream count up to ``late``."""
+def fault_counts(
+    status: DataFrame, time: str = "event_time", window: str = "1 minute", late: str = "10 minutes", name: str = "name", value: str = "value0"
+) -> DataFrame:
+    """Faults by session, name and time window; late rows of a stream count up to ``late``, and a window
+    comes out once the watermark has passed its end."""
     df = status.withWatermark(time, late) if status.isStreaming else status
-    return df.groupBy("session_id", F.window(time, window), "name").agg(F.sum("value0").alias("faults"), F.count("*").alias("reports"))
+    return df.groupBy("session_id", F.window(time, window), name).agg(F.sum(value).alias("faults"), F.count("*").alias("reports"))
+
+
+_GAPS = "session_id string, after_seq long, next_seq long, lost long"
+
+
+def record_gaps(records: DataFrame, order=("t_us", "seq")) -> DataFrame:
+    """(session_id, after_seq, next_seq, lost): where sequence numbers are missing between neighbouring records of a session."""
+    last = F.lag("seq").over(W.partitionBy("session_id").orderBy(*order))
+    gaps = records.select("session_id", last.alias("after_seq"), F.col("seq").alias("next_seq")).withColumn("lost", F.col("next_seq") - F.col("after_seq") - 1)
+    return gaps.where("lost > 0")
+
+
+def gap_stream(records: DataFrame, late: str, idle_ms: int = 3_600_000) -> DataFrame:
+    """:func:`record_gaps` of a stream of ``records(session_id, t_us, seq)``, whatever its cut into batches.
+
+    Records wait in their session's state until the watermark, ``late`` behind the latest one, has passed
+    them, and are taken in order; the state then keeps the last number. It goes ``idle_ms`` after a session's last record.
+    """
+
+    def run(key, frames, state):
+        last, last_ms, waiting_t, waiting_seq = state.get if state.exists else (None, 0, [], [])
+        waiting = [*zip(map(int, waiting_t), map(int, waiting_seq), strict=True), *((int(t), int(n)) for pdf in frames for t, n in zip(pdf["t_us"], pdf["seq"], strict=True))]
+        mark, out = state.getCurrentWatermarkMs(), []
+        waiting.sort()
+        due = [x for x in waiting if x[0] < mark * 1000]
+        rest = waiting[len(due) :]
+        for t, n in due:
+            if last is not None and n - last > 1:
+                out.append((key[0], last, n, n - last - 1))
+            last, last_ms = n, t // 1000
+        if state.hasTimedOut and not rest:
+            state.remove()
+        else:
+            state.update((last, last_ms, [t for t, _ in rest], [n for _, n in rest]))
+            state.setTimeoutTimestamp(max(rest[0][0] // 1000, mark) + 1 if rest else max(last_ms, mark) + idle_ms)
+        yield pd.DataFrame(out, columns=["session_id", "after_seq", "next_seq", "lost"])
+
+    rows = records.select(F.col("session_id").cast("string").alias("session_id"), "t_us", "seq", F.timestamp_micros("t_us").alias("event_time"))
+    return rows.withWatermark("event_time", late).groupBy("session_id").applyInPandasWithState(
+        run, _GAPS, "last long, last_ms long, t array<long>, seq array<long>", "append", GroupStateTimeout.EventTimeTimeout
+    )

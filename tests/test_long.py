@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strokeflow.operators import asof, islands, long, series, stats
+from strokeflow.streaming import logs as streams
 
 ROWS = 7
 
@@ -100,3 +101,31 @@ def test_quantiles_by_narrowing(spark, monkeypatch, most):
     got = {x.g: x for x in stats.linear_percentiles(df, "v", qs, ["g"]).collect()}
     for x in df.where("v is not null").groupBy("g").agg(F.percentile("v", F.array(*map(F.lit, qs.values()))).alias("q")).collect():
         assert list(got[x.g])[1:] == pytest.approx(x.q, rel=1e-9)
+
+
+@pytest.mark.parametrize("rows", [1, 3, 40, 1000])
+def test_debouncing_by_jump_pointers(spark, rows):
+    r = random.Random(rows)
+    times = [("a", t) for t in sorted(r.sample(range(3000), 300))] + [("a", 100_000 + 10 * i) for i in range(60)] + [("b", 5), ("b", 5), ("c", None), (None, 1)]
+    df = spark.createDataFrame(times, "session_id string, t_us long")
+    want = sorted(map(str, streams.debounce(df, 25).collect()))
+    assert want == sorted(map(str, long.debounce(df, 25, rows).collect())) and len(want) > 90
+
+
+@pytest.mark.parametrize("cuts", [2, 5])
+def test_gaps_of_a_stream_however_it_is_cut(spark, tmp_path, cuts):
+    r, rows, seq = random.Random(cuts), [], {"a": 0, "b": 7}
+    for i in range(120):
+        s = r.choice("ab")
+        seq[s] += r.choice([1, 1, 1, 2, 5])
+        rows.append((s, 10_000_000 + 1000 * i, seq[s], i // 12 % cuts))
+    df = spark.createDataFrame(rows, "session_id string, t_us long, seq long, cut int")
+    want = sorted(map(str, streams.record_gaps(df).collect()))
+    for i in range(cuts):
+        df.where(F.col("cut") == i).drop("cut").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    for t in (5_000_000_000, 9_000_000_000):
+        spark.createDataFrame([("z", t, 0)], "session_id string, t_us long, seq long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema("session_id string, t_us long, seq long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    q = streams.gap_stream(source, "1 second", 60_000).writeStream.format("memory").queryName(f"gaps{cuts}").outputMode("append")
+    q.option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination(200)
+    assert want == sorted(map(str, spark.table(f"gaps{cuts}").where("session_id <> 'z'").collect())) and want
