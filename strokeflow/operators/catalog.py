@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -99,19 +101,22 @@ SUMMARY = (
 )
 
 
-def scan_summaries(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def scan_summaries(spark: SparkSession, paths: str | list[str], current: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Sessions with a readable summary; broken ones are left out.
 
     A summary is a line of an export's summary table (``part-*``), or a file of its own
-    (``summary.json``) in a session's folder, which then names the session.
+    (``summary.json``) in a session's folder, which then names the session. Where summaries were written in runs
+    (``run=``), ``current`` picks from rows with session_id and run those that hold.
     """
     schema = SUMMARY.replace(", _corrupt_record string", "")
     files = spark.read.options(recursiveFileLookup="true")
     folder = F.element_at(F.split(F.input_file_name(), "/"), -2)
-    own = files.option("pathGlobFilter", "summary.json").text(paths, wholetext=True).select("value", F.url_decode(folder).alias("__folder"))
-    lines = files.option("pathGlobFilter", "part-*").text(paths).select("value", F.lit(None).cast("string").alias("__folder"))
+    own = files.option("pathGlobFilter", "summary.json").text(paths, wholetext=True).select("value", F.url_decode(folder).alias("__folder"), F.lit(None).cast("long").alias("run"))
+    run = F.nullif(F.regexp_extract(folder, r"^run=(\d+)$", 1), F.lit("")).cast("long")
+    lines = files.option("pathGlobFilter", "part-*").text(paths).select("value", F.lit(None).cast("string").alias("__folder"), run.alias("run"))
     # Parsed as text: the reader of JSON refuses queries that ask for nothing but the mark of broken lines.
     parsed = F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    rows = own.unionByName(lines).select("__folder", parsed.alias("x")).where("x is not null and x._corrupt_record is null").select("__folder", "x.*").drop("_corrupt_record")
+    rows = own.unionByName(lines).select("__folder", "run", parsed.alias("x")).where("x is not null and x._corrupt_record is null").select("__folder", "run", "x.*").drop("_corrupt_record")
     rows = rows.withColumn("session_id", F.coalesce("__folder", "session_id")).drop("__folder").where("session_id is not null")
+    rows = rows.drop("run") if current is None else rows.where("run is null").drop("run").unionByName(current(rows.where("run is not null")))
     return rows.withColumns({"start_epoch": F.col("header.start_epoch"), "duration_us": F.col("timing.duration_us")})

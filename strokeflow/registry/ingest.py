@@ -210,7 +210,7 @@ def exported(spark, folder) -> str:
     key = (spark.conf.get("spark.app.id"), folder)
     if key not in _WRITTEN:
         root = scratch_folder(spark, "exports")
-        exports.write_exports(_records(spark, folder), root, **_OPTIONS)
+        exports.write_exports(_records(spark, folder), root, by="run", **_OPTIONS)
         _WRITTEN[key] = root
     return _WRITTEN[key]
 
@@ -246,7 +246,7 @@ _SUMMARY = ", ".join(f"count(*) FILTER (code = '{code}') AS {c}" for c, code in
 min(t_us) AS first_host_timestamp_us, max(t_us) AS last_host_timestamp_us, max(t_us) - min(t_us) AS duration_us, min(v % 4096) FILTER (code = 'view') AS front_raw_min, max(k * 40) FILTER (code = 'view') AS rear_raw_max,
 count(*) FILTER (tag = 'ANLG') AS analog_records FROM r GROUP BY session_id""")
 def a16(spark, folder):
-    df = catalog.scan_summaries(spark, f"{exported(spark, folder)}/summary")
+    df = exports.read_summaries(spark, exported(spark, folder))
     timing = [f"timing.{c}" for c in ("first_host_timestamp_us", "last_host_timestamp_us", "duration_us")]
     return df.select("session_id", "source_path", "file_size_bytes", *[f"counts.{c}" for c in catalog.COUNTS], *timing,
                      "analog_extents.front_raw_min", "analog_extents.rear_raw_max", F.coalesce(F.col("record_counts")["ANLG"], F.lit(0)).alias("analog_records"))
@@ -259,7 +259,7 @@ SELECT session_id, event_type, seq::VARCHAR AS record_seq, t_us::VARCHAR AS host
 CASE WHEN code = 'signup' THEN {_NAMES} ELSE '' END AS stat_name, coalesce(frame_index::VARCHAR, '') AS imu_frame_index, CASE WHEN code = 'config' THEN '416' ELSE '' END AS config_imu_odr_hz FROM t""")
 def a17(spark, folder):
     """The timeline's fields as they stand in the files."""
-    rows = spark.read.csv(f"{exported(spark, folder)}/timeline", header=True, nullValue="\u0000", emptyValue="")
+    rows = exports.read_timeline(spark, exported(spark, folder))
     fields = ["event_type", "record_seq", "host_timestamp_us", "front_raw", "stat_name", "imu_frame_index", "config_imu_odr_hz"]
     return rows.select("session_id", *[F.coalesce(c, F.lit("")).alias(c) for c in fields])
 
@@ -270,8 +270,9 @@ unnest([analog_rows, wheel_rows, stat_rows, imu_burst_rows, 4 * imu_burst_rows,
 def a18(spark, folder):
     """Rows of each session in each exported table, zeros too."""
     root = exported(spark, folder)
-    names = [*exports.TABLES, "timeline"]
-    parts = [spark.read.csv(f"{root}/{n}", header=True).select(F.col("session_id").cast("string").alias("session_id"), F.lit(n).alias("name")) for n in names]
+    tables = {n: exports.read_table(spark, root, n) for n in exports.TABLES} | {"timeline": exports.read_timeline(spark, root)}
+    names = list(tables)
+    parts = [df.select("session_id", F.lit(n).alias("name")) for n, df in tables.items()]
     found = functools.reduce(DataFrame.unionAll, parts).groupBy("session_id").pivot("name", names).count()
     return found.select("session_id", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.coalesce(n, F.lit(0)).alias("n")) for n in names])).alias("x")).select("session_id", "x.*")
 
@@ -285,9 +286,9 @@ def a19(spark, folder):
     """The derived samples, written by session, with those of a third of the sessions written again."""
     cache = scratch_folder(spark, "derived")
     derived = exports.open_sessions(spark, exported(spark, folder))["derived"]
-    exports.save_by_session(derived, cache)
-    exports.save_by_session(derived.where("pmod(crc32(session_id), 3) = 0"), cache)
-    return spark.read.parquet(cache).select(F.col("session_id").cast("string").alias("session_id"), "channel", "seq", "travel")
+    exports.save_by_run(derived, cache)
+    store = exports.save_by_run(derived.where("pmod(crc32(session_id), 3) = 0"), cache)
+    return store.read(exports.SAVED).select("session_id", "channel", "seq", "travel")
 
 
 @query("a21_quicklook_sink", SQL["e31_quicklook"])
@@ -303,8 +304,7 @@ def a24(spark, folder):
     """All exported sessions with a readable summary, newest first; a broken summary among them."""
     broken = scratch_folder(spark, "broken-summaries")
     spark.range(1).select(F.lit("{not a summary").alias("value")).write.text(broken)
-    paths = [f"{exported(spark, folder)}/summary", broken]
-    return catalog.newest_first(catalog.scan_summaries(spark, paths).select("session_id", "start_epoch", "duration_us"))
+    return catalog.newest_first(exports.read_summaries(spark, exported(spark, folder), broken).select("session_id", "start_epoch", "duration_us"))
 
 
 @query("a18_exports_in_turn", f"{_LOG} SELECT session_id, 4 * count(*) FILTER (code = 'purchase') AS imu_frame_rows, count(*) FILTER (code = 'view') AS samples FROM r GROUP BY session_id")
@@ -312,9 +312,9 @@ def a18_in_turn(spark, folder):
     """The sessions exported a half at a time, and one half once more: tables and catalogue hold them all."""
     root, records = scratch_folder(spark, "exports-in-turn"), stored(_records(spark, folder), "records")
     for i in (0, 1, 0):
-        exports.write_exports(records.where(F.pmod(F.crc32("session_id"), F.lit(2)) == i), root, **_OPTIONS)
+        exports.write_exports(records.where(F.pmod(F.crc32("session_id"), F.lit(2)) == i), root, by="run", **_OPTIONS)
     samples = exports.read_table(spark, root, "analog").groupBy("session_id").agg(F.count("*").alias("samples"))
-    found = catalog.scan_summaries(spark, f"{root}/summary").select("session_id", "counts.imu_frame_rows")
+    found = exports.read_summaries(spark, root).select("session_id", "counts.imu_frame_rows")
     return found.join(samples, "session_id", "left").fillna(0, ["samples"])
 
 
@@ -364,7 +364,7 @@ def a27(spark, folder):
     changed = first.where("session_id like '%1'").withColumns({
         "zero": F.when(F.col("channel") == "front", 7.0).otherwise(F.col("zero")), "invert": F.col("channel") == "front",
     })
-    exports.save_by_session(changed, store)
+    exports.save_by_run(changed, store)
     return exports.open_sessions(spark, root, store)["configs"].select("session_id", "channel", "zero", "invert")
 
 

@@ -147,18 +147,38 @@ def summaries(records: DataFrame, tables: dict[str, DataFrame], mm_per_count: di
     )
 
 
-def write_exports(records: DataFrame, root: str, **options) -> None:
-    """Write the exported tables as CSV by session below ``root``, and the summaries as JSON.
+_CSV = {"header": "true", "nullValue": "", "emptyValue": ""}
 
-    Null is an empty field. :func:`read_table`, ``scan_summaries`` and :func:`open_sessions` read it back.
+
+def write_exports(records: DataFrame, root: str, by: str = "session", **options) -> None:
+    """Write the exported tables as CSV below ``root``, and the summaries as JSON.
+
+    Null is an empty field. :func:`read_table`, :func:`read_summaries` and :func:`open_sessions` read it back.
     What is there of other sessions stays, their summaries too.
+
+    By ``session``, each table has a folder for each session, so there are as many files as sessions times tables.
+    By ``run``, for many sessions, the files of a table hold many sessions, whose id is their first column; the sessions
+    written become visible together, as of their last run. A root keeps the form that it was begun in.
     """
+    if by not in ("session", "run"):
+        raise ValueError("exports are written by session or by run")
+    store = Published(records.sparkSession, root)
+    if (by == "session" and store.exists()) or (by == "run" and not store.exists() and store.has("analog")):
+        raise ValueError("these exports were begun in the other form")
     records = stored_table(records, "export-records")
     tables = export_tables(records, **options)
+    sorted_tables = {}
     for name, df in tables.items():
-        rows = df.repartition("session_id").sortWithinPartitions("session_id", "host_timestamp_us" if "host_timestamp_us" in df.columns else "burst_host_timestamp_us", "record_seq")
+        time = "host_timestamp_us" if "host_timestamp_us" in df.columns else "burst_host_timestamp_us"
+        sorted_tables[name] = df.repartition("session_id").sortWithinPartitions("session_id", time, "record_seq")
+    if by == "run":
+        found = summaries(records, tables, options.get("mm_per_count")).repartition("session_id")
+        formats = dict.fromkeys(tables, ("csv", _CSV)) | {"summary": ("json", {})}
+        store.replace(logs.sessions(records), sorted_tables | {"summary": found}, formats)
+        return
+    for name, rows in sorted_tables.items():
         writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id")
-        writer.options(header="true", nullValue="", emptyValue="").csv(f"{root}/{name}")
+        writer.options(**_CSV).csv(f"{root}/{name}")
     found = summaries(records, tables, options.get("mm_per_count")).withColumn("session", F.col("session_id")).repartition("session_id")
     found.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session").json(f"{root}/summary")
 
@@ -236,19 +256,43 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """
     csv = {"header": "true", "nullValue": "", "recursiveFileLookup": "true"}
     folders = read_or_empty(spark, root, TABLES[name], "csv", pathGlobFilter=f"{name}.csv", **csv)
-    written = read_or_empty(spark, f"{root}/{name}", TABLES[name], "csv", pathGlobFilter="part-*", **csv)
     last = F.element_at(F.split(F.input_file_name(), "/"), -2)
-    rows = folders.withColumn("session_id", last).unionByName(written.withColumn("session_id", F.url_decode(F.regexp_replace(last, "^session_id=", ""))))
+    store = Published(spark, root)
+    if store.exists():
+        written = store.read(name, f"session_id string, {TABLES[name]}", "csv", header="true", nullValue="")
+    else:
+        written = read_or_empty(spark, f"{root}/{name}", TABLES[name], "csv", pathGlobFilter="part-*", **csv)
+        written = written.withColumn("session_id", F.url_decode(F.regexp_replace(last, "^session_id=", "")))
+    rows = folders.withColumn("session_id", last).unionByName(written)
     # The flags of a status keep a name of their own.
     names = ({"flags": "status_flags"} if name == "status" else {}) | COMMON
     return rows.select("session_id", *[F.col(c).alias(names.get(c, c)) for c in rows.columns if c != "session_id"])
 
 
+def read_timeline(spark: SparkSession, root: str) -> DataFrame:
+    """The exported timelines below ``root``, with their fields as text, as they stand in the files."""
+    options = {"header": "true", "nullValue": "\0", "emptyValue": ""}
+    store = Published(spark, root)
+    if store.exists():
+        schema = ", ".join(f"{c} string" for c in ["session_id", *columns_of("timeline")])
+        return store.read("timeline", schema, "csv", **options)
+    return spark.read.options(**options).csv(f"{root}/timeline")
+
+
+def read_summaries(spark: SparkSession, root: str, *others: str) -> DataFrame:
+    """The summaries of the exports below ``root``, of each session as of its last run, and those of other folders."""
+    store = Published(spark, root)
+    return catalog.scan_summaries(spark, [f"{root}/summary", *others], store.current if store.exists() else None)
+
+
 def load_configs(spark: SparkSession, folder: str | None, zeros: DataFrame) -> DataFrame:
     """A configuration for each of ``zeros(session_id, channel, zero, source_path)``: the one stored in
     ``folder``, its gaps filled, or a new one."""
     schema = ", ".join(f"{n} {t}" for n, t in {"session_id": "string", "channel": "string", **CONFIG_FIELDS}.items())
-    stored = read_or_empty(spark, folder, schema) if folder else spark.createDataFrame([], schema)
+    if folder and (store := Published(spark, folder)).exists():
+        stored = store.read(SAVED, schema)
+    else:
+        stored = read_or_empty(spark, folder, schema) if folder else spark.createDataFrame([], schema)
     stored = stored.select(*[F.col(c).alias(f"__{c}") for c in ("session_id", "channel", *CONFIG_FIELDS)])
     rows = zeros.join(stored, (F.col("session_id") == F.col("__session_id")) & (F.col("channel") == F.col("__channel")), "left")
 
@@ -267,8 +311,19 @@ def load_configs(spark: SparkSession, folder: str | None, zeros: DataFrame) -> D
     )
 
 
+#: The table of a folder that :func:`save_by_run` writes.
+SAVED = "saved"
+
+
+def save_by_run(df: DataFrame, folder: str) -> Published:
+    """:func:`save_by_session` for many sessions, which share files; read by ``Published.read(SAVED)`` and :func:`load_configs`."""
+    store, rows = Published(df.sparkSession, folder), stored_table(df, "saved")
+    store.replace(rows.select("session_id"), {SAVED: rows.repartition("session_id").sortWithinPartitions("session_id")})
+    return store
+
+
 def save_by_session(df: DataFrame, folder: str) -> None:
-    """Write a table by session; only the sessions written are replaced."""
+    """Write a table by session, a folder for each; only the sessions written are replaced."""
     rows = df.repartition("session_id")
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(folder)
 
