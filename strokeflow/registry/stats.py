@@ -115,8 +115,18 @@ def e8_log(spark, folder):
     return rounded(hist.velocity_histogram(_velocity(spark, folder), "vel", "dt", 16, ["session_id"], log=True))
 
 
-_RANGES = """r AS (SELECT session_id, quantile_cont(front, 0.005) AS x0, quantile_cont(front, 0.995) AS x1,
-  quantile_cont(abs(vel), 0.995) AS y1 FROM v GROUP BY session_id)"""
+def _percentile_sql(ordered: str, q: float) -> str:
+    """Linear percentile of a sorted list: between equal neighbours it is their value, to the last bit."""
+    at = f"((len({ordered}) - 1) * {q}::DOUBLE)"
+    low, high = (f"{ordered}[{f}({at})::BIGINT + 1]" for f in ("floor", "ceil"))
+    return f"CASE WHEN {low} = {high} THEN {low} ELSE (ceil({at}) - {at}) * {low} + ({at} - floor({at})) * {high} END"
+
+
+#: The rule of :func:`strokeflow.operators.hist.auto_ranges`, with its ranges for flat sessions.
+_RANGES = f"""q AS (SELECT session_id, {_percentile_sql('fronts', 0.005)} AS a0, {_percentile_sql('fronts', 0.995)} AS a1, {_percentile_sql('speeds', 0.995)} AS b
+  FROM (SELECT session_id, list_sort(list(front) FILTER (front IS NOT NULL)) AS fronts, list_sort(list(abs(vel)) FILTER (vel IS NOT NULL)) AS speeds FROM v GROUP BY session_id)),
+r AS (SELECT session_id, CASE WHEN a1 > a0 THEN a0 ELSE a0 - greatest(abs(a0) * 0.05, 1.0) END AS x0, CASE WHEN a1 > a0 THEN a1 ELSE a1 + greatest(abs(a0) * 0.05, 1.0) END AS x1,
+  CASE WHEN b > 0 THEN b ELSE 1.0 END AS y1 FROM q)"""
 
 
 @query("e9_occupancy_grid", f"""WITH {WEIGHTED_SQL}, {_VEL}, {_RANGES},
