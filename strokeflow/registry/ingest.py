@@ -111,7 +111,7 @@ FROM (SELECT r.*, CASE WHEN n = 0 THEN sum(16 + len) OVER (PARTITION BY session_
 UNION ALL SELECT DISTINCT session_id, NULL, NULL, NULL, NULL, error FROM named WHERE error IS NOT NULL""")
 def a1_split(spark, folder):
     """Ranges of a few records each: most begin in the middle of one."""
-    records = logs.read_records(spark, log_files(spark, folder), range_bytes=200)
+    records = stored(logs.read_records(spark, log_files(spark, folder), range_bytes=200), "split-records")
     good = logs.unwrapped(records).select("session_id", "n", "tag", "t_us", "file_size", "error")
     bad = logs.quarantine(records).select("session_id", *[F.lit(None).cast(k).alias(c) for c, k in (("n", "long"), ("tag", "string"), ("t_us", "long"), ("file_size", "long"))], "error")
     return _doubles(good.unionByName(bad), "n", "t_us", "file_size")

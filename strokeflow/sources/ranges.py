@@ -8,14 +8,14 @@
 3. Each range that the chain enters yields its records, numbered and with the wraps of the clock before them.
 
 The rows are those of reading files whole, whatever the size of a range; a file that is broken anywhere
-has one row with its error and none else.
+has one row with its error and none else. A file no longer than a range is read once, whole.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
@@ -28,6 +28,7 @@ RANGE_BYTES = 32 << 20
 #: Headers in a row that make a guess.
 CHAIN = 6
 _HEAD, _RECORD = logs.FILE_HEADER.size, logs.RECORD_HEADER
+_PAYLOAD = [name for name, _ in logs._WITH_WRAPS].index("payload")
 _LONGEST = _RECORD.size + 0xFFFF
 _KNOWN = frozenset((*(t.encode() for t in logs.SIZES), b"IMU "))
 _PRINTABLE = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_ \0")
@@ -146,43 +147,53 @@ def _table(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
 
-def _rewalked(path: str, length: int, r, entry: int) -> tuple:
+def _rewalked(path: str, length: int, end: int, entry: int) -> tuple:
     """The summary of a range that was guessed wrong, from its true entry."""
-    window = _Window(path, length, entry, r.end - entry + _RECORD.size)
+    window = _Window(path, length, entry, end - entry + _RECORD.size)
     try:
-        return _summary(window, entry, r.end)
+        return _summary(window, entry, end)
     finally:
         window.close()
 
 
-def _entered(guesses: pd.DataFrame) -> pd.DataFrame:
+def _entered(path: str, guesses: Iterator[dict]) -> list[tuple]:
     """The ranges of one file that its chain of records enters, or its error.
 
-    A file's ranges are few, one for each ``RANGE_BYTES``; only ranges guessed wrong are read here.
+    A file's ranges are few, one for each ``RANGE_BYTES``, and come in order; only ranges guessed wrong are read here.
     """
-    guesses = guesses.sort_values("no")
-    path, length = guesses["path"].iloc[0], int(guesses["length"].iloc[0])
-    error = None
-    try:
-        with opened(path) as f:
-            logs.read_header(f.read(_HEAD))
-    except logs.LogError as x:
-        error = str(x)
+    error = length = None
     out, at, n, wraps, last = [], _HEAD, 0, 0, None
-    for r in guesses.itertuples():
-        if error or at >= r.end:
+    for r in guesses:
+        if length is None:
+            length = r["length"]
+            try:
+                with opened(path) as f:
+                    logs.read_header(f.read(_HEAD))
+            except logs.LogError as x:
+                error = str(x)
+        if error or at >= r["end"]:
             continue
-        found = (r.exit, r.records, r.first_t, r.last_t, r.wraps) if r.entry == at else _rewalked(path, length, r, at)
+        found = tuple(r[c] for c in ("exit", "records", "first_t", "last_t", "wraps")) if r["entry"] == at else _rewalked(path, length, r["end"], at)
         exit_, records, first, last_t, inside = found
-        out.append((path, length, None, at, int(exit_), n, wraps, last))
+        out.append((path, length, None, at, exit_, n, wraps, last))
         if records:
-            wraps += int(inside) + _wraps(int(first), last)
-            n, at, last = n + int(records), int(exit_), int(last_t)
-        if at < r.end and at < length:
+            wraps += inside + _wraps(first, last)
+            n, at, last = n + records, exit_, last_t
+        if at < r["end"] and at < length:
             error = "trailing bytes after the last record" if at + _RECORD.size > length else "payload of the last record is cut short"
-    if error or not out:
-        out = [(path, length, error, None, None, None, None, None)]
-    return _table(out, _ENTERED).to_pandas()
+    return [(path, length, error, None, None, None, None, None)] if error or not out else out
+
+
+def _chains(parts):
+    """The ranges entered in the files of a partition that is sorted by path and number; many files' rows make a batch."""
+    rows = []
+    for path, guesses in itertools.groupby((r for part in parts for r in part.to_pylist()), key=lambda r: r["path"]):
+        rows += _entered(path, guesses)
+        if len(rows) >= logs.BATCH:
+            yield _table(rows, _ENTERED)
+            rows = []
+    if rows:
+        yield _table(rows, _ENTERED)
 
 
 def entered_ranges(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -192,39 +203,75 @@ def entered_ranges(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFram
     begin = F.col("no").cast("long") * range_bytes
     ranges = ranges.withColumns({"begin": begin, "end": F.least(begin + range_bytes, F.col("length"))})
     spread = ranges.repartition("path", "no")
-    return stored(spread.mapInArrow(_guesses, _GUESS).groupBy("path").applyInPandas(_entered, _ENTERED), "log-ranges")
-
-
-def _records(parts):
-    for part in parts:
-        for r in part.to_pylist():
-            if r["error"] is not None:
-                yield logs._broken(r["path"], r["error"], logs._WITH_WRAPS)
-                continue
-            with opened(r["path"]) as f:
-                first = f.read(_HEAD)
-            header = logs.read_header(first)
-            window = _Window(r["path"], r["length"], r["entry"], r["exit"] - r["entry"])
-            rows, n, wraps, last = [], r["before"], r["wraps_before"], r["t_before"]
-            for at, (tag, size, flags, seq, t) in window.walk(r["entry"], r["exit"]):
-                wraps, last = wraps + _wraps(t, last), t
-                name = tag.decode("ascii", "replace").rstrip("\0 ")
-                head = (first, r["length"]) if n == 0 else (None, None)
-                rows.append((r["path"], None, *header, n, name, 1, flags, seq, t, window.payload(at + _RECORD.size, size), *head, wraps))
-                n += 1
-                if len(rows) == logs.BATCH:
-                    yield logs._batch(rows, logs._WITH_WRAPS)
-                    rows = []
-            window.close()
-            if rows:
+    found = spread.mapInArrow(_guesses, _GUESS).repartition("path").sortWithinPartitions("path", "no")
+    return stored(found.mapInArrow(_chains, _ENTERED), "log-ranges")
+
+
+def _framed(r: dict) -> Iterator[tuple]:
+    """The records of a file, or of a range that the chain enters; one row with the error of a broken file."""
+    if r["error"] is not None:
+        yield (r["path"], r["error"], *[None] * (len(logs._WITH_WRAPS) - 2))
+        return
+    with opened(r["path"]) as f:
+        first = f.read(_HEAD)
+    header = logs.read_header(first)
+    window = _Window(r["path"], r["length"], r["entry"], r["exit"] - r["entry"])
+    n, wraps, last = r["before"], r["wraps_before"], r["t_before"]
+    for at, (tag, size, flags, seq, t) in window.walk(r["entry"], r["exit"]):
+        wraps, last = wraps + _wraps(t, last), t
+        name = tag.decode("ascii", "replace").rstrip("\0 ")
+        head = (first, r["length"]) if n == 0 else (None, None)
+        yield (r["path"], None, *header, n, name, 1, flags, seq, t, window.payload(at + _RECORD.size, size), *head, wraps)
+        n += 1
+    window.close()
+
+
+def _whole(r: dict) -> Iterator[tuple]:
+    """:func:`_framed` of a file that is no longer than a range, and read once."""
+    path, length = r["path"], r["length"]
+    with opened(path) as f:
+        data = f.read(length)
+    try:
+        header, found = logs.read_header(data), list(logs.walk_records(data))
+    except logs.LogError as x:
+        yield (path, str(x), *[None] * (len(logs._WITH_WRAPS) - 2))
+        return
+    wraps, last = 0, None
+    for n, tag, flags, seq, t, start, end in found:
+        wraps, last = wraps + _wraps(t, last), t
+        head = (data[:_HEAD], length) if n == 0 else (None, None)
+        yield (path, None, *header, n, tag, 1, flags, seq, t, data[start:end], *head, wraps)
+
+
+def _records(framed):
+    """Batches of records, which short files and ranges share."""
+
+    def run(parts):
+        rows, held = [], 0
+        for row in (row for part in parts for r in part.to_pylist() for row in framed(r)):
+            rows.append(row)
+            held += len(row[_PAYLOAD] or b"")
+            if len(rows) == logs.BATCH or held > RANGE_BYTES:
                 yield logs._batch(rows, logs._WITH_WRAPS)
+                rows, held = [], 0
+        if rows:
+            yield logs._batch(rows, logs._WITH_WRAPS)
+
+    return run
 
 
 def read_ranges(files: DataFrame, range_bytes: int = RANGE_BYTES, failfast: bool = False) -> DataFrame:
     """The records of ``files(path, length)``, with ``wraps``: how often the clock had started anew before."""
-    entered = entered_ranges(files, range_bytes)
+    schema = f"{logs.RECORDS}, wraps long"
+    # A broken file must be known before the first record comes out.
+    longer = files if failfast else files.where(F.col("length") > range_bytes)
+    entered = entered_ranges(longer, range_bytes)
     if failfast and (bad := entered.where("error is not null").select("path", "error").first()):
         raise logs.LogError(f"{bad.path}: {bad.error}")
     # A file without records has a header all the same, and no rows.
     some = entered.where("error is not null or entry < exit").repartition("path", "entry")
-    return some.mapInArrow(_records, f"{logs.RECORDS}, wraps long")
+    out = some.mapInArrow(_records(_framed), schema)
+    if failfast:
+        return out
+    short = files.where(F.col("length") <= range_bytes).select("path", "length").repartition("path")
+    return out.unionByName(short.mapInArrow(_records(_whole), schema))
