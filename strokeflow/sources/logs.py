@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from strokeflow.sources.scratch import spread
+
 #: The layout of the log format.
 FILE_HEADER = struct.Struct("<8sHHII24sIII4B4H8B6I")
 RECORD_HEADER = struct.Struct("<4sHHII")
@@ -194,7 +196,7 @@ def write_files(files: DataFrame, folder: str) -> int:
                 store.move(f"{name}.part", name)
             yield pa.RecordBatch.from_arrays([pa.array([part.num_rows])], ["n"])
 
-    return files.select("path", "content").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+    return spread(files.select("path", "content"), "path").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def session_of(path: Column) -> Column:

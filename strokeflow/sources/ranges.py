@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strokeflow.sources import logs
-from strokeflow.sources.scratch import stored
+from strokeflow.sources.scratch import spread, stored
 
 RANGE_BYTES = 32 << 20
 #: Headers in a row that make a guess.
@@ -202,8 +202,8 @@ def entered_ranges(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFram
     ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0), last)).alias("no"))
     begin = F.col("no").cast("long") * range_bytes
     ranges = ranges.withColumns({"begin": begin, "end": F.least(begin + range_bytes, F.col("length"))})
-    spread = ranges.repartition("path", "no")
-    found = spread.mapInArrow(_guesses, _GUESS).repartition("path").sortWithinPartitions("path", "no")
+    guesses = spread(ranges, "path", "no").mapInArrow(_guesses, _GUESS)
+    found = spread(guesses, "path").sortWithinPartitions("path", "no")
     return stored(found.mapInArrow(_chains, _ENTERED), "log-ranges")
 
 
@@ -269,9 +269,9 @@ def read_ranges(files: DataFrame, range_bytes: int = RANGE_BYTES, failfast: bool
     if failfast and (bad := entered.where("error is not null").select("path", "error").first()):
         raise logs.LogError(f"{bad.path}: {bad.error}")
     # A file without records has a header all the same, and no rows.
-    some = entered.where("error is not null or entry < exit").repartition("path", "entry")
+    some = spread(entered.where("error is not null or entry < exit"), "path", "entry")
     out = some.mapInArrow(_records(_framed), schema)
     if failfast:
         return out
-    short = files.where(F.col("length") <= range_bytes).select("path", "length").repartition("path")
+    short = spread(files.where(F.col("length") <= range_bytes).select("path", "length"), "path")
     return out.unionByName(short.mapInArrow(_records(_whole), schema))

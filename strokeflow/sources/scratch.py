@@ -31,3 +31,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` shared out by columns over as many tasks as shuffles have.
+
+    Rows that name files are few bytes but much work; without a number, adaptive execution would join them in one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)

@@ -32,6 +32,7 @@ def stream_logs(spark: SparkSession, folder: str, checkpoint: str, sink: Callabl
     )
 
 
+_LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
 _COMMITTED = "session_id string, path string, length long, modificationTime timestamp, records long, error string"
 
 
@@ -103,6 +104,10 @@ class LogStore:
             stream = json.loads(self.spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0])["id"]
             self.take(df.select("path", "length", "modificationTime"), stream, batch, range_bytes)
 
+        # Each batch's files are looked up by jobs of a task for each file up to this setting. The source reads it from this session while it runs.
+        most = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        if int(self.spark.conf.get(_LISTING)) > most:
+            self.spark.conf.set(_LISTING, str(most))
         return files.select("path", "length", "modificationTime").writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink).trigger(availableNow=True).start()
 
 
