@@ -7,7 +7,7 @@ reaches to the end of a session would be evaluated anew for every row.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -43,6 +43,30 @@ def hold_with_timeout(
     )
 
 
+def hold_own(df: DataFrame, pulse: Column, t: str, value: str, out: str, factor: float = 1.5, by=BY, order=("t_us", "seq")) -> DataFrame:
+    """:func:`hold_with_timeout` where the pulses are rows of the samples themselves, those under ``pulse``.
+
+    A pulse's period is the step since the pulse before it (``<out>_period``). The first column of ``order`` rises with ``t``. One
+    order serves all, and the rows are not brought together again.
+    """
+    w = W.partitionBy(*by).orderBy(*order)
+    on = F.coalesce(pulse, F.lit(False))
+    before = F.last(F.when(on, F.col(t)), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
+    df = df.withColumn(f"{out}_period", F.when(on, F.col(t) - before))
+    point = F.when(on, F.struct(F.col(t).alias("t"), F.col(value).cast("double").alias("v"), F.col(f"{out}_period").cast("double").alias("p")))
+    df = df.withColumn("__point", point)
+    upto = W.partitionBy(*by).orderBy(order[0]).rangeBetween(W.unboundedPreceding, W.currentRow)
+    df = df.withColumns({
+        "__held": F.last("__point", ignorenulls=True).over(upto), "__first": F.min("__point.t").over(W.partitionBy(*by)),
+    })
+    h = F.col("__held")
+    fresh = h["v"].isNotNull() & h["p"].isNotNull() & (F.col(t) < h["t"] + factor * h["p"])
+    lead_in = (F.col(t) < F.col("__first")) & (F.col("__first") > 0)
+    return df.withColumns({
+        out: F.when(fresh, h["v"]).when(lead_in, 0.0), f"{out}_held": F.coalesce(fresh, F.lit(False)),
+    }).drop("__point", "__held", "__first")
+
+
 def interpolate_join(
     samples: DataFrame, source: DataFrame, t: str, value: str, out: str, by=BY, least: int = 2, match_single: bool = False
 ) -> DataFrame:

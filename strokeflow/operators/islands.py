@@ -50,19 +50,22 @@ def absorb_short(
     Stretches of invalid samples separate neighbours and keep their codes. The left neighbour of a
     run is the last long run of the stretch, because what lies between them was absorbed into it.
     """
-    df = with_runs(df, valid, "__stretch", by, order)
-    parts = (*by, "__stretch")
-    df = with_runs(df, F.col(code), "__run", parts, order)
-    size = F.count(F.lit(1)).over(W.partitionBy(*parts, "__run"))
-    df = df.withColumn("__long", F.when(size >= least, F.col(code)))
-    w = in_order(parts, order)
-    left = F.last("__long", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
+    df = with_runs(df.withColumn("__ok", valid), F.col("__ok"), "__stretch", by, order)
+    df = with_runs(df, F.struct("__ok", code), "__run", by, order)
+    w, run = in_order(by, order), W.partitionBy(*by, "__run")
+    upto = w.rowsBetween(W.unboundedPreceding, 0)
+    # A run's last sample sees what follows; the run's size and this are told to all of it.
+    df = df.withColumn("__next", F.lead(F.struct("__stretch", "__run", F.col(code).alias("code"))).over(w))
+    df = df.withColumn("__next", F.when(F.col("__next.__run") != F.col("__run"), F.col("__next")))
+    df = df.withColumns({"__size": F.count(F.lit(1)).over(run), "__next": F.max("__next").over(run)})
+    long = F.when((F.col("__size") >= least) & F.col(code).isNotNull(), F.struct("__stretch", F.col(code).alias("code")))
+    opens = ~F.col("__stretch").eqNullSafe(F.lag("__stretch").over(w))
+    df = df.withColumns({"__long": long, "__first": F.when(opens, F.struct("__next"))})
+    df = df.withColumns({"__left": F.last("__long", ignorenulls=True).over(upto), "__first": F.last("__first", ignorenulls=True).over(upto)})
+    left, second = (F.when(F.col(f"{c}.__stretch") == F.col("__stretch"), F.col(f"{c}.code")) for c in ("__left", "__first.__next"))
     # Only the first run of a stretch that starts short looks at the run that follows it.
-    second = F.first(F.when(F.col("__run") == 1, F.col(code)), ignorenulls=True).over(whole(parts, order))
-    lead = F.coalesce(second, F.lit(fallback))
-    df = df.withColumn("__left", left)
-    return df.withColumn(out, F.when(valid, F.coalesce("__left", lead)).otherwise(F.col(code))).drop(
-        "__stretch", "__run", "__long", "__left"
+    return df.withColumn(out, F.when(F.col("__ok"), F.coalesce(left, second, F.lit(fallback))).otherwise(F.col(code))).drop(
+        "__ok", "__stretch", "__run", "__next", "__size", "__long", "__first", "__left"
     )
 
 
@@ -70,8 +73,11 @@ def segment_ids(df: DataFrame, states: list[str], valid: Column, out: str, by=BY
     """Number the runs of equal ``states`` among valid samples from 0; -1 elsewhere."""
     df = df.withColumn("__valid", valid)
     df = with_runs(df, F.when(F.col("__valid"), F.struct(*states)), "__run", by, order)
-    rank = F.dense_rank().over(W.partitionBy(*by, "__valid").orderBy("__run")) - 1
-    return df.withColumn(out, F.when(F.col("__valid"), rank).otherwise(-1)).drop("__valid", "__run")
+    w = in_order(by, order)
+    starts = F.col("__valid") & ~F.col("__run").eqNullSafe(F.lag("__run").over(w))
+    df = df.withColumn("__starts", F.coalesce(starts, F.lit(False)).cast("int"))
+    number = (F.sum("__starts").over(w.rowsBetween(W.unboundedPreceding, 0)) - 1).cast("int")
+    return df.withColumn(out, F.when(F.col("__valid"), number).otherwise(-1)).drop("__valid", "__run", "__starts")
 
 
 def middle_value(value: Column, by, order=ORDER) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strokeflow.operators import hist, stats
-from strokeflow.operators.series import percent_scale
+from strokeflow.operators.series import over_session, percent_scale
 from strokeflow.sources.scratch import stored
 
 KEY = ["session_id", "channel"]
@@ -176,9 +176,7 @@ def balance_rows(df: DataFrame) -> DataFrame:
     Each channel is scaled to its own used stroke; the front share counts where both together
     reach 10 %.
     """
-    from strokeflow.operators.series import per_session
-
-    df = per_session(df, [f(c).alias(f"__{n}_{c}") for c in ("front", "rear") for n, f in (("lo", F.min), ("hi", F.max))])
+    df = over_session(df, {f"__{n}_{c}": f(c) for c in ("front", "rear") for n, f in (("lo", F.min), ("hi", F.max))})
     front, rear = (percent_scale(F.col(x), F.col(f"__lo_{x}"), F.col(f"__hi_{x}")) for x in ("front", "rear"))
     df = df.withColumns({"front_pct": front, "rear_pct": rear})
     both = F.col("front_pct") + F.col("rear_pct")

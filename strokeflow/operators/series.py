@@ -39,6 +39,13 @@ def per_session(df: DataFrame, aggs: list[Column], by=BY) -> DataFrame:
     return df.join(small, cond, "left").drop(*names)
 
 
+def over_session(df: DataFrame, aggs: dict[str, Column], by=BY) -> DataFrame:
+    """As :func:`per_session` for rows that windows over the same key have brought together already: neither the
+    rows' plan nor their exchange is made a second time, and their order stays."""
+    w = W.partitionBy(*by)
+    return df.withColumns({name: agg.over(w) for name, agg in aggs.items()})
+
+
 def unwrap_clock(df: DataFrame, t: str, out: str, by=BY, order=("seq",), bits: int = 32) -> DataFrame:
     """Undo the wrapping of a counter: a fall of more than half its range adds a full range.
 
@@ -58,7 +65,7 @@ def step(t: str, by=BY, order=ORDER) -> Column:
 def sample_weights(df: DataFrame, t: str, out: str = "dt", by=BY, order=ORDER) -> DataFrame:
     """Time that each sample stands for: the step, or the median positive step where that is not positive."""
     df = df.withColumn("__step", step(t, by, order))
-    df = per_session(df, [F.percentile(F.when(F.col("__step") > 0, F.col("__step")), F.lit(0.5)).alias("__median")], by)
+    df = over_session(df, {"__median": F.percentile(F.when(F.col("__step") > 0, F.col("__step")), F.lit(0.5))}, by)
     return df.withColumn(out, F.when(F.col("__step") > 0, F.col("__step")).otherwise(F.col("__median"))).drop("__step", "__median")
 
 

@@ -9,7 +9,7 @@ from strokeflow.operators import braking, breakdown, catalog, metrics, series, s
 from strokeflow.plans import quicklook
 from strokeflow.registry.base import F, SAMPLES_SQL, SQL, WEIGHTED_SQL, event_samples, query, rounded, table, weighted_samples
 from strokeflow.registry.braking import BINS, CFG as BRAKE, EVENTS as BRAKE_EVENTS, ROWS, SELECTED, _events, _inputs
-from strokeflow.registry.breakdown import CFG, CLASS, EVENTS, STATES, classified
+from strokeflow.registry.breakdown import CFG, CLASS, EVENTS, STATES, classified, kept
 from strokeflow.registry.misc import _CAT, _catalog
 from strokeflow.registry.stats import _CH, _channels, bin_sql, heatmaps
 from strokeflow.sources import logs
@@ -106,7 +106,7 @@ SELECT session_id, metric, round(max(v) FILTER (braking), 4) AS selected, round(
   (SELECT session_id, braking, 'duration' AS metric, duration AS v FROM z UNION ALL SELECT session_id, braking, 'front_max_stroke', deepest FROM z) GROUP BY ALL""")
 def d13(spark, folder):
     """Two selections of a session side by side, a row for each measure."""
-    rows = classified(spark, folder).withColumn("side", F.when(F.col("motion") == "braking", "selected").otherwise("others"))
+    rows = kept(spark, folder).withColumn("side", F.when(F.col("motion") == "braking", "selected").otherwise("others"))
     both = breakdown.selection_summary(rows, ["session_id", "side"], CFG).select("session_id", "side", "duration", "front_max_stroke")
     long = both.unpivot(["session_id", "side"], ["duration", "front_max_stroke"], "metric", "v")
     return rounded(long.groupBy("session_id", "metric").pivot("side", ["selected", "others"]).agg(F.first("v")), 4)
@@ -158,12 +158,12 @@ def g1(spark, folder):
 
 @query("g4_event_order", f"WITH {EVENTS} SELECT session_id, event_type, event_id, round(start_t, 4) AS start_t FROM ev")
 def g4(spark, folder):
-    return rounded(breakdown.detect_events(classified(spark, folder), CFG).select("session_id", "event_type", "event_id", "start_t"), 4)
+    return rounded(breakdown.detect_events(kept(spark, folder), CFG).select("session_id", "event_type", "event_id", "start_t"), 4)
 
 
 @query("g5_state_order", f"WITH {STATES} SELECT session_id, state_id, band, motion, activity FROM stt")
 def g5(spark, folder):
-    return breakdown.state_table(classified(spark, folder), CFG).select("session_id", "state_id", "band", "motion", "activity")
+    return breakdown.state_table(kept(spark, folder), CFG).select("session_id", "state_id", "band", "motion", "activity")
 
 
 @query("g6_first_ten_sessions", f"WITH {SAMPLES_SQL}, i AS (SELECT session_id, row_number() OVER (ORDER BY session_id) AS k FROM (SELECT DISTINCT session_id FROM s)) SELECT session_id, count(*) AS rows FROM s JOIN i USING (session_id) WHERE k <= 10 GROUP BY session_id")
@@ -196,7 +196,7 @@ def j6(spark, folder):
 
 @query("j9_pack_down_mask", f"WITH {EVENTS} SELECT session_id, seq, coalesce(pack_front, false) AS pack_front, coalesce(pack_rear, false) AS pack_rear FROM ki")
 def j9(spark, folder):
-    df = classified(spark, folder)
+    df = kept(spark, folder)
     df = breakdown.pack_down(df, {c: f"pack_{c}" for c in breakdown.CHANNELS}, CFG)
     return df.select(*KEY, *[F.coalesce(f"pack_{c}", F.lit(False)).alias(f"pack_{c}") for c in ("front", "rear")])
 
@@ -221,7 +221,7 @@ def s7(spark, folder):
 
 @query("s8_state_flags", f"WITH {STATES}, f AS (SELECT session_id, unnest(flags) AS flag FROM stt) SELECT session_id, flag, count(*) AS n FROM f GROUP BY ALL")
 def s8(spark, folder):
-    rows = breakdown.state_table(classified(spark, folder), CFG).select("session_id", F.explode("flags").alias("flag"))
+    rows = breakdown.state_table(kept(spark, folder), CFG).select("session_id", F.explode("flags").alias("flag"))
     return rows.groupBy("session_id", "flag").agg(F.count("*").alias("n"))
 
 
