@@ -12,7 +12,7 @@ from strokeflow.registry import breakdown
 from strokeflow.registry.base import F, SAMPLES_SQL, SQL, WEIGHTED_SQL, event_samples, query, rounded, table, weighted_samples
 from strokeflow.registry.breakdown import CLASS_BASE
 from strokeflow.registry.stats import _channels
-from strokeflow.sources.scratch import scratch_folder
+from strokeflow.sources.scratch import scratch_folder, stored
 from strokeflow.streaming import logs as streams
 
 _W = "OVER (PARTITION BY session_id ORDER BY t_us, seq)"
@@ -78,10 +78,11 @@ def _replayed(spark, folder, apply):
     place = scratch_folder(spark, "replay")
     late = F.col("t_us") + F.col("seq") % 5 * 3_600_000_000
     rows = event_samples(spark, folder).select(F.col("session_id").cast("string").alias("session_id"), "t_us", "seq", "code", "rear").withColumn("at", late)
+    rows = stored(rows, "replayed")  # read five times
     low, high = rows.agg(F.min("at"), F.max("at")).first()
     for i in range(4):
         part = F.least(F.floor((F.col("at") - low) * 4 / max(high - low, 1)), F.lit(3)) == i
-        rows.where(part).drop("at").coalesce(1).write.mode("append").parquet(f"{place}/in")
+        rows.where(part).drop("at").repartition(1).write.mode("append").parquet(f"{place}/in")
     for i in (1, 2):
         end = [("", high + 10 * i * _DAY, 0, "error", 0.0)]
         spark.createDataFrame(end, rows.drop("at").schema).coalesce(1).write.mode("append").parquet(f"{place}/in")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -212,32 +213,63 @@ def record_gaps(records: DataFrame, order=("t_us", "seq")) -> DataFrame:
     return gaps.where("lost > 0")
 
 
-def gap_stream(records: DataFrame, late: str, idle_ms: int = 3_600_000) -> DataFrame:
+#: Groups into which :func:`gap_stream` deals sessions.
+BUCKETS = 128
+_GAP_STATE = "names array<string>, known binary, last binary, until binary, at binary, t binary, seq binary"
+
+
+def gap_stream(records: DataFrame, late: str, idle_ms: int = 3_600_000, buckets: int = BUCKETS) -> DataFrame:
     """:func:`record_gaps` of a stream of ``records(session_id, t_us, seq)``, whatever its cut into batches.
 
-    Records wait in their session's state until the watermark, ``late`` behind the latest one, has passed
-    them, and are taken in order; the state then keeps the last number. It goes ``idle_ms`` after a session's last record.
+    Records wait in the state until the watermark, ``late`` behind the latest one, has passed them, and are taken in
+    order; the state then keeps a session's last number. It goes ``idle_ms`` after a session's last record.
+
+    A call for each session and batch would cost more than its few records do, so sessions share ``buckets``
+    groups, each of which takes its sessions' records as columns. More buckets make groups smaller.
     """
 
     def run(key, frames, state):
-        last, last_ms, waiting_t, waiting_seq = state.get if state.exists else (None, 0, [], [])
-        waiting = [*zip(map(int, waiting_t), map(int, waiting_seq), strict=True), *((int(t), int(n)) for pdf in frames for t, n in zip(pdf["t_us"], pdf["seq"], strict=True))]
-        mark, out = state.getCurrentWatermarkMs(), []
-        waiting.sort()
-        due = [x for x in waiting if x[0] < mark * 1000]
-        rest = waiting[len(due) :]
-        for t, n in due:
-            if last is not None and n - last > 1:
-                out.append((key[0], last, n, n - last - 1))
-            last, last_ms = n, t // 1000
-        if state.hasTimedOut and not rest:
-            state.remove()
+        mark = state.getCurrentWatermarkMs()
+        names, *packed = state.get if state.exists else ([], *[b""] * 6)
+        known, last, until, at, t, seq = (np.frombuffer(x, dtype=np.int64) for x in packed)
+        fresh = [pdf[["session_id", "t_us", "seq"]] for pdf in frames]
+        came = pd.concat(fresh) if fresh else pd.DataFrame({"session_id": [], "t_us": [], "seq": []})
+        code, every = pd.factorize(np.array([*names, *came["session_id"]], dtype=object), use_na_sentinel=False)
+        known, last, until = (np.append(x, np.zeros(len(every) - len(names), dtype=np.int64)) for x in (known, last, until))
+        touched = np.zeros(len(every), dtype=bool)
+        touched[code[len(names) :]] = True
+        at = np.append(at, code[len(names) :]).astype(np.int64)
+        t, seq = (np.append(x, came[c].to_numpy(dtype=np.int64)) for x, c in ((t, "t_us"), (seq, "seq")))
+        order = np.lexsort((seq, t, at))
+        at, t, seq = at[order], t[order], seq[order]
+        due = t < mark * 1000
+        who, now, number = at[due], t[due], seq[due]
+        head = np.append(True, who[1:] != who[:-1])[: len(who)]
+        before = np.where(head, last[who], np.append(0, number[:-1])[: len(who)])
+        gap = (~head | (known[who] == 1)) & (number - before > 1)
+        found = [np.array([*every], dtype=object)[who[gap]], before[gap], number[gap], (number - before - 1)[gap]]
+        tail = np.append(who[1:] != who[:-1], True)[: len(who)]
+        known[who[tail]], last[who[tail]], touched[who] = 1, number[tail], True
+        ended = np.zeros(len(every), dtype=np.int64)
+        ended[who[tail]] = now[tail] // 1000
+        until = np.where(touched, np.maximum(ended, mark) + idle_ms, until)
+        at, t, seq = at[~due], t[~due], seq[~due]
+        waits = np.zeros(len(every), dtype=bool)
+        waits[at] = True
+        keep = waits | touched | (until > mark)
+        if not keep.any():
+            if state.exists:
+                state.remove()
         else:
-            state.update((last, last_ms, [t for t, _ in rest], [n for _, n in rest]))
-            state.setTimeoutTimestamp(max(rest[0][0] // 1000, mark) + 1 if rest else max(last_ms, mark) + idle_ms)
-        yield pd.DataFrame(out, columns=["session_id", "after_seq", "next_seq", "lost"])
-
+            place = np.cumsum(keep) - 1
+            kept = [x for x, k in zip(every, keep, strict=True) if k]
+            state.update((kept, *[x.astype(np.int64).tobytes() for x in (known[keep], last[keep], until[keep], place[at], t, seq)]))
+            ends = [*([t.min() // 1000 + 1] if len(t) else []), *until[keep & ~waits]]
+            state.setTimeoutTimestamp(int(max(min(ends), mark + 1)))
+        yield pd.DataFrame(dict(zip(("session_id", "after_seq", "next_seq", "lost"), found, strict=True)))
+
+    bucket = F.pmod(F.xxhash64("session_id"), F.lit(buckets)).alias("bucket")
     rows = records.select(F.col("session_id").cast("string").alias("session_id"), "t_us", "seq", F.timestamp_micros("t_us").alias("event_time"))
-    return rows.withWatermark("event_time", late).groupBy("session_id").applyInPandasWithState(
-        run, _GAPS, "last long, last_ms long, t array<long>, seq array<long>", "append", GroupStateTimeout.EventTimeTimeout
+    return rows.withWatermark("event_time", late).select(bucket, "*").groupBy("bucket").applyInPandasWithState(
+        run, _GAPS, _GAP_STATE, "append", GroupStateTimeout.EventTimeTimeout
     )

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from strokeflow.operators import asof, series
 from strokeflow.registry import base, breakdown, more
+from strokeflow.streaming import logs as streams
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -33,3 +34,19 @@ def test_pulses_among_the_samples_hold_as_pulses_beside_them(spark):
     got = asof.hold_own(rows, F.col("code") == "click", "t_h", "front", "speed").select("session_id", "seq", "speed", "speed_held")
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert got.where("speed_held").count() > 0
+
+
+def test_gap_stream_calls_python_by_bucket_not_by_session(spark, tmp_path):
+    rows = spark.range(4000).selectExpr("concat('s', id % 400) AS session_id", "(id + 1) * 1000000 AS t_us", "id * 2 AS seq").coalesce(1)
+    rows.write.parquet(f"{tmp_path}/in")
+    schema = "session_id string, t_us long, seq long"
+    spark.createDataFrame([("", 10_000_000_000, 0)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    spark.createDataFrame([("", 20_000_000_000, 1)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    out = streams.gap_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"), "1 second", buckets=8)
+    q = out.writeStream.format("memory").queryName("bucketed").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    # A record of state for each bucket that has rows, whatever the number of sessions.
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]) <= 8
+    got = {tuple(r) for r in spark.table("bucketed").collect()}
+    want = {tuple(r) for r in streams.record_gaps(rows).collect()}
+    assert got == want
