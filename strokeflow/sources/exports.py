@@ -14,7 +14,7 @@ from strokeflow.operators import catalog
 from strokeflow.operators.series import default_zero, speed_sanity
 from strokeflow.plans.derive import KEY, derive_channels, to_long
 from strokeflow.sources import logs
-from strokeflow.sources.published import Published
+from strokeflow.sources.published import Published, dealt
 from strokeflow.sources.scratch import stored as stored_table
 
 #: The columns of the exported tables, in their order.
@@ -165,14 +165,14 @@ def write_exports(records: DataFrame, root: str, by: str = "session", **options)
     store = Published(records.sparkSession, root)
     if (by == "session" and store.exists()) or (by == "run" and not store.exists() and store.has("analog")):
         raise ValueError("these exports were begun in the other form")
-    records = stored_table(records, "export-records")
-    tables = export_tables(records, **options)
+    records = stored_table(logs.with_wraps(records), "export-records")
+    tables, n = export_tables(records, **options), records.count()
     sorted_tables = {}
     for name, df in tables.items():
         time = "host_timestamp_us" if "host_timestamp_us" in df.columns else "burst_host_timestamp_us"
-        sorted_tables[name] = df.repartition("session_id").sortWithinPartitions("session_id", time, "record_seq")
+        sorted_tables[name] = dealt(df, n, time, "record_seq")
     if by == "run":
-        found = summaries(records, tables, options.get("mm_per_count")).repartition("session_id")
+        found = dealt(summaries(records, tables, options.get("mm_per_count")), n)
         formats = dict.fromkeys(tables, ("csv", _CSV)) | {"summary": ("json", {})}
         store.replace(logs.sessions(records), sorted_tables | {"summary": found}, formats)
         return
@@ -201,9 +201,10 @@ def published_exports(records: DataFrame, root: str, configs: DataFrame | None =
     current = sessions.select("session_id", catalog.signature(*sessions.columns).alias("signature"))
 
     def build(stale: DataFrame) -> dict[str, DataFrame]:
-        some = stored_table(records.join(stale, "session_id", "left_semi"), "export-records")
-        tables = export_tables(some, configs=configs, **options)
-        return tables | {"summary": summaries(some, tables, options.get("mm_per_count"))}
+        some = stored_table(logs.with_wraps(records.join(stale, "session_id", "left_semi")), "export-records")
+        tables, n = export_tables(some, configs=configs, **options), some.count()
+        every = tables | {"summary": summaries(some, tables, options.get("mm_per_count"))}
+        return {name: dealt(df, n) for name, df in every.items()}
 
     store.publish(current, build)
     return store
@@ -223,7 +224,7 @@ def published_derived(samples: DataFrame, configs: DataFrame, root: str, derive:
 
     def build(stale: DataFrame) -> dict[str, DataFrame]:
         keep = [x.join(stale.select(F.col("session_id").alias("__id")), x["session_id"].cast("string") == F.col("__id"), "left_semi") for x in (samples, configs)]
-        return {"derived": derive(*keep).withColumn("session_id", F.col("session_id").cast("string"))}
+        return {"derived": dealt(derive(*keep).withColumn("session_id", F.col("session_id").cast("string")))}
 
     store.publish(current, build)
     return store

@@ -239,14 +239,18 @@ def _of(records: DataFrame, tag: str, length: int | None = None) -> DataFrame:
 
 def unwrapped(records: DataFrame) -> DataFrame:
     """Records with t_us unwrapped in file order, and t_s."""
+    good = with_wraps(records.where("error is null"))
+    whole = good.withColumn("t_us", F.col("t_us") + F.shiftleft("wraps", 32)).drop("wraps")
+    return whole.withColumn("t_s", F.col("t_us") / 1e6)
+
+
+def with_wraps(records: DataFrame) -> DataFrame:
+    """Records that know how often the clock had started anew before each, in file order: stored like this, no table made of them sorts them again."""
     from strokeflow.operators.series import unwrap_clock
 
-    good = records.where("error is null")
     if "wraps" in records.columns:
-        whole = good.withColumn("t_us", F.col("t_us") + F.shiftleft("wraps", 32)).drop("wraps")
-    else:
-        whole = unwrap_clock(good, "t_us", "t_us", ("session_id",), ("n",))
-    return whole.withColumn("t_s", F.col("t_us") / 1e6)
+        return records
+    return unwrap_clock(records, "t_us", "wraps", ("session_id",), ("n",)).withColumn("wraps", F.shiftright(F.col("wraps") - F.col("t_us"), 32))
 
 
 _BASE = ["session_id", "n", "seq", "flags", "t_us", "t_s"]

@@ -6,7 +6,7 @@ into the run's own partitions, and the manifest's rows last. Readers take each s
 run in the manifest, so they see all new tables or all old ones, and a run that broke off not at all; its
 repeat takes the same number and replaces what was there. One writer at a time.
 
-A run writes a few files for each table, whatever the number of its sessions.
+A run writes a few files for each table, whatever the number of its sessions; of many rows, as many as the caller deals them to.
 """
 
 from __future__ import annotations
@@ -19,6 +19,15 @@ from pyspark.sql import functions as F
 from strokeflow.sources.scratch import stored
 
 _MANIFEST = "session_id string, signature string, run long"
+#: Rows that a task sorts and writes. The tables of exports have up to 63 columns and few of them filled, so that a task of so
+#: many bytes in a shuffle as adaptive execution takes would sort gigabytes.
+ROWS = 100_000
+
+
+def dealt(df: DataFrame, rows: int | None = None, *order: str) -> DataFrame:
+    """``df`` by session, to tasks of about ``ROWS`` of the ``rows`` that it is made of, and sorted there; without a number, as adaptive execution deals it."""
+    parts = [] if rows is None else [max(1, -(-rows // ROWS))]
+    return df.repartition(*parts, "session_id").sortWithinPartitions("session_id", *order)
 
 
 class Published:
@@ -57,14 +66,15 @@ class Published:
     def publish(self, current: DataFrame, build: Callable[[DataFrame], dict[str, DataFrame]]) -> DataFrame:
         """Derive the stale ones of ``current(session_id, signature)``; these come back.
 
-        ``build(stale)`` gives the tables, each with session_id, of the sessions in ``stale(session_id)``.
+        ``build(stale)`` gives the tables, each with session_id, of the sessions in ``stale(session_id)``, dealt out and
+        sorted as they should stand in their files (:func:`dealt`).
         """
         todo = stored(self.stale(current), "stale")
         if todo.isEmpty():
             return todo
         run = self._next()
         for name, df in build(todo.select("session_id")).items():
-            self._put(df.repartition("session_id").sortWithinPartitions("session_id"), name, run)
+            self._put(df, name, run)
         self._put(todo, "manifest", run)
         return todo
 

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from strokeflow.operators import asof, series
-from strokeflow.registry import base, breakdown, more
+from strokeflow.registry import base, breakdown, ingest, more
+from strokeflow.sources import exports, logs, published
 from strokeflow.streaming import logs as streams
 
 FOLDER = "/root/testdata/sf0.001"
@@ -50,3 +51,16 @@ def test_gap_stream_calls_python_by_bucket_not_by_session(spark, tmp_path):
     got = {tuple(r) for r in spark.table("bucketed").collect()}
     want = {tuple(r) for r in streams.record_gaps(rows).collect()}
     assert got == want
+
+
+def test_published_exports_sort_few_rows_in_a_task(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(published, "ROWS", 200)
+    records = ingest._records(spark, FOLDER)
+    exports.published_exports(records, f"file://{tmp_path}/published")
+    rows = spark.read.parquet(f"file://{tmp_path}/published/timeline").groupBy(F.input_file_name()).count().collect()
+    assert len(rows) >= 4 and max(r["count"] for r in rows) < sum(r["count"] for r in rows) / 2
+    # Records that know the wraps of their clock are not sorted again for any table.
+    stored = records.sparkSession.createDataFrame([], logs.with_wraps(records).schema)
+    assert _counts(logs.wheel_table(logs.unwrapped(stored)).select("seq", "t_us"))[1] == 0
+    want = {tuple(r) for r in logs.unwrapped(records).select("session_id", "n", "t_us").collect()}
+    assert {tuple(r) for r in logs.unwrapped(logs.with_wraps(records)).select("session_id", "n", "t_us").collect()} == want
