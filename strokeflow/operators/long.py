@@ -253,42 +253,66 @@ def interpolate_gaps(df: DataFrame, value: str, t: str, out: str, by=BY, order=O
     return _unplaced(both.withColumn(out, _on_line(F.col("__a"), F.col("__b"), F.col(t))).drop("__point", "__a", "__b"))
 
 
-_NODES = "session_id string, chunk long, start long, last long, taken long"
+_NODES = f"session_id string, {CHUNK} long, start long, last long, taken long"
 _ACCEPTED = "session_id string, t_us long, interval_us long, pulse_count long"
 
 
-def _ordered(pdf: pd.DataFrame, least_us: int) -> tuple[np.ndarray, np.ndarray]:
-    """The times of a chunk, and for each the place of the first pulse that may be accepted after it."""
-    t = np.sort(pdf["t_us"].to_numpy(dtype=np.int64))
-    return t, np.append(np.searchsorted(t, t + least_us), len(t))
+#: Rows of many chunks that one call of Python takes.
+CALL = 100_000
+
+
+def _by_chunk(df: DataFrame, calls: int, make: Callable[[np.ndarray, tuple], tuple], given: list[str], schema: str) -> DataFrame:
+    """``make(times, given)`` of each chunk's sorted times and its values of ``given``, whose arrays become rows beside the
+    session's and the chunk's names. The chunks share so many ``calls`` of Python, as one for each costs more than a small chunk's work."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    keys = [c for c in ("session_id", CHUNK) if c in names]
+
+    def run(pdf):
+        s = pd.factorize(pdf["session_id"])[0]
+        order = np.lexsort((pdf["t_us"], pdf[CHUNK], s))
+        pdf, s = pdf.iloc[order], s[order]
+        t, c = (pdf[x].to_numpy(dtype=np.int64) for x in ("t_us", CHUNK))
+        starts = np.append(0, np.flatnonzero((s[1:] != s[:-1]) | (c[1:] != c[:-1])) + 1)
+        first = pdf.iloc[starts]
+        facts = first[given].itertuples(index=False, name=None) if given else [()] * len(starts)
+        made = [make(x, f) for x, f in zip(np.split(t, starts[1:]), facts, strict=True)]
+        sizes = [len(m[0]) for m in made]
+        columns = [np.repeat(first[k].to_numpy(), sizes) for k in keys] + [np.concatenate(m) for m in zip(*made, strict=True)]
+        return pd.DataFrame(dict(zip(names, columns, strict=True)))
+
+    # A grouping, not a repartition: adaptive execution may undo the latter behind a join.
+    call = F.pmod(F.xxhash64("session_id", CHUNK), F.lit(calls)).alias("__call")
+    return df.select("session_id", CHUNK, "t_us", *given, call).groupBy("__call").applyInPandas(run, schema)
+
+
+def _jumps(t: np.ndarray, least_us: int) -> np.ndarray:
+    """For each of a chunk's times the place of the first pulse that may be accepted after it."""
+    return np.append(np.searchsorted(t, t + least_us), len(t))
 
 
 def _chains(least_us: int):
-    def run(key, pdf):
-        t, jump = _ordered(pdf, least_us)
-        n = len(t)
+    def make(t, _):
+        jump, n = _jumps(t, least_us), len(t)
         last, taken = np.arange(n + 1), np.append(np.ones(n, dtype=np.int64), 0)
         while (jump < n).any():  # each round doubles how far a pointer jumps
             last, taken, jump = np.where(jump < n, last[jump], last), taken + taken[jump], jump[jump]
         entries = min(n, int(np.searchsorted(t, t[0] + least_us)) + 1)  # the chain cannot enter a chunk behind these
-        return pd.DataFrame({"session_id": key[0], "chunk": key[1], "start": t[:entries], "last": t[last[:entries]], "taken": taken[:entries]})
+        return t[:entries], t[last[:entries]], taken[:entries]
 
-    return run
+    return make
 
 
 def _accepted(least_us: int):
-    def run(key, pdf):
-        t, jump = _ordered(pdf, least_us)
-        start, before, last = (pdf[c].iloc[0] for c in ("start", "before", "previous"))
-        at, places = int(np.searchsorted(t, start)), []
+    def make(t, given):
+        start, before, first = given
+        jump, at, places = _jumps(t, least_us).tolist(), int(np.searchsorted(t, start)), []
         while at < len(t):
             places.append(at)
             at = jump[at]
         times = t[places]
-        first = start - last if not pd.isna(last) else 0
-        return pd.DataFrame({"session_id": key[0], "t_us": times, "interval_us": np.append(int(first), np.diff(times)), "pulse_count": int(before) + 1 + np.arange(len(times))})
+        return times, np.append(int(first), np.diff(times)), int(before) + 1 + np.arange(len(times))
 
-    return run
+    return make
 
 
 def debounce(pulses: DataFrame, least_us: int = 3000, rows: int = ROWS) -> DataFrame:
@@ -301,7 +325,8 @@ def debounce(pulses: DataFrame, least_us: int = 3000, rows: int = ROWS) -> DataF
     """
     p = pulses.select(F.col("session_id").cast("string").alias("session_id"), "t_us").where("session_id is not null and t_us is not null").distinct()
     p = stored(placed(p, BY, ("t_us",), rows), "long-pulses")
-    nodes = stored(p.groupBy("session_id", CHUNK).applyInPandas(_chains(least_us), _NODES), "long-entries")
+    calls = max(1, -(-p.count() // CALL))
+    nodes = stored(_by_chunk(p, calls, _chains(least_us), [], _NODES), "long-entries")
     points = nodes.select("session_id", F.col("start").alias("t"), F.lit(1).alias("kind"), F.col("start").alias("point"), F.lit(None).cast("long").alias("from"))
     needs = nodes.select("session_id", (F.col("last") + least_us).alias("t"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("point"), F.col("start").alias("from"))
     met = neighbours(points.unionByName(needs), "point", "__before", "next", BY, ("t", "kind"), rows)
@@ -316,6 +341,7 @@ def debounce(pulses: DataFrame, least_us: int = 3000, rows: int = ROWS) -> DataF
         jump = stored(jump.join(beyond, ["session_id", "next"]).select("session_id", "start", F.col("beyond").alias("next")), "long-jumps")
     w = W.partitionBy("session_id").orderBy("start")  # one row for each chunk
     chain = nodes.join(reached, ["session_id", "start"]).withColumns({
-        "before": F.coalesce(F.sum("taken").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "previous": F.lag("last").over(w),
-    }).select("session_id", F.col("chunk").alias(CHUNK), "start", "before", "previous")
-    return p.join(chain, ["session_id", CHUNK]).groupBy("session_id", CHUNK).applyInPandas(_accepted(least_us), _ACCEPTED)
+        "before": F.coalesce(F.sum("taken").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
+        "first": F.coalesce(F.col("start") - F.lag("last").over(w), F.lit(0)),
+    }).select("session_id", CHUNK, "start", "before", "first")
+    return _by_chunk(p.join(chain, ["session_id", CHUNK]), calls, _accepted(least_us), ["start", "before", "first"], _ACCEPTED)

@@ -112,6 +112,17 @@ def test_debouncing_by_jump_pointers(spark, rows):
     assert want == sorted(map(str, long.debounce(df, 25, rows).collect())) and len(want) > 90
 
 
+def test_debouncing_calls_python_for_many_chunks_at_once(spark, monkeypatch):
+    r = random.Random(7)
+    times = spark.createDataFrame([(f"s{i % 400}", r.randrange(10**6)) for i in range(3000)], "session_id string, t_us long")
+    want = sorted(map(str, streams.debounce(times, 2000).collect()))
+    for most in (100_000, 500):
+        monkeypatch.setattr(long, "CALL", most)
+        out = long.debounce(times, 2000, 20)
+        assert re.search(r"FlatMapGroupsInPandas \[__call", out._jdf.queryExecution().executedPlan().toString())
+        assert sorted(map(str, out.collect())) == want
+
+
 @pytest.mark.parametrize("cuts", [2, 5])
 def test_gaps_of_a_stream_however_it_is_cut(spark, tmp_path, cuts):
     r, rows, seq = random.Random(cuts), [], {"a": 0, "b": 7}
