@@ -1,8 +1,8 @@
 """Aligning series of different clocks: hold, interpolation, gap filling.
 
 Both series are put in one order by a union, so each alignment is one exchange and one sort, and
-never a range join. The neighbour after a sample is found in descending order, because a frame that
-reaches to the end of a session would be evaluated anew for every row.
+never a range join. The neighbour after a sample is found in descending order, or by an offset that
+skips nulls, because a frame that reaches to the end of a session would be evaluated anew for every row.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from strokeflow.operators.series import BY, collapse_times
+from strokeflow.operators.series import BY, collapse_times, next_known
 
 
 def hold_with_timeout(
@@ -102,13 +102,12 @@ def interpolate_join(
 
 def interpolate_gaps(df: DataFrame, value: str, t: str, out: str, by=BY, order=("t_us", "seq")) -> DataFrame:
     """Fill the gaps of a column between its first and last known value along straight lines."""
-    w, back = W.partitionBy(*by).orderBy(*order), W.partitionBy(*by).orderBy(*[F.desc(c) for c in order])
+    w = W.partitionBy(*by).orderBy(*order)
     point = F.when(F.col(value).isNotNull(), F.struct(F.col(t).alias("t"), F.col(value).alias("v")))
     df = df.withColumn("__point", point)
     df = df.withColumns({
-        "__a": F.last("__point", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)),
-        "__b": F.last("__point", ignorenulls=True).over(back.rowsBetween(W.unboundedPreceding, 0)),
+        "__a": F.last("__point", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)), "__b": next_known("__point", by, order),
     })
-    a, b = F.col("__a"), F.col("__b")
+    a, b = F.col("__a"), F.coalesce("__point", "__b")
     line = F.when(b["t"] > a["t"], a["v"] + (b["v"] - a["v"]) * (F.col(t) - a["t"]) / (b["t"] - a["t"])).otherwise(a["v"])
     return df.withColumn(out, F.when(a.isNotNull() & b.isNotNull(), line)).drop("__point", "__a", "__b")

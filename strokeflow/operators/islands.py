@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from strokeflow.operators.series import BY, ORDER, in_order, whole
+from strokeflow.operators.series import BY, ORDER, in_order, next_known, whole
 
 
 def with_runs(df: DataFrame, state: Column, out: str = "run", by=BY, order=ORDER) -> DataFrame:
@@ -35,11 +35,27 @@ def fill_gaps(df: DataFrame, mask: str, out: str, longest: int, by=BY, order=ORD
     return df.withColumn(out, filled).drop("__run")
 
 
+def _with_size(df: DataFrame, run: str, ahead: dict[str, Column], by, order) -> DataFrame:
+    """Add __size, the samples of a run, and __ahead, the ``ahead`` columns at the start of the next run (null for the last).
+
+    Runs follow each other in the samples' order, so a run ends where the next starts, and the samples need not be sorted by run.
+    """
+    w = in_order(by, order)
+    number = F.row_number().over(w)
+    start = F.when(~F.col(run).eqNullSafe(F.lag(run).over(w)) | (number == 1), F.struct(number.alias("i"), *[c.alias(k) for k, c in ahead.items()]))
+    df = df.withColumn("__start", start)
+    df = df.withColumns({
+        "__ahead": next_known("__start", by, order), "__start": F.last("__start", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)),
+        "__all": F.count(F.lit(1)).over(W.partitionBy(*by)),
+    })
+    return df.withColumn("__size", F.coalesce(F.col("__ahead.i"), F.col("__all") + 1) - F.col("__start.i")).drop("__start", "__all")
+
+
 def keep_long(df: DataFrame, mask: str, out: str, least: int, by=BY, order=ORDER) -> DataFrame:
     """Keep runs of true of at least ``least`` samples."""
     df = with_runs(df, F.coalesce(F.col(mask), F.lit(False)), "__run", by, order)
-    size = F.count(F.lit(1)).over(W.partitionBy(*by, "__run"))
-    return df.withColumn(out, F.coalesce(F.col(mask), F.lit(False)) & (size >= least)).drop("__run")
+    df = _with_size(df, "__run", {}, by, order)
+    return df.withColumn(out, F.coalesce(F.col(mask), F.lit(False)) & (F.col("__size") >= least)).drop("__run", "__size", "__ahead")
 
 
 def absorb_short(
@@ -52,20 +68,17 @@ def absorb_short(
     """
     df = with_runs(df.withColumn("__ok", valid), F.col("__ok"), "__stretch", by, order)
     df = with_runs(df, F.struct("__ok", code), "__run", by, order)
-    w, run = in_order(by, order), W.partitionBy(*by, "__run")
+    df = _with_size(df, "__run", {"__stretch": F.col("__stretch"), "code": F.col(code)}, by, order)
+    w = in_order(by, order)
     upto = w.rowsBetween(W.unboundedPreceding, 0)
-    # A run's last sample sees what follows; the run's size and this are told to all of it.
-    df = df.withColumn("__next", F.lead(F.struct("__stretch", "__run", F.col(code).alias("code"))).over(w))
-    df = df.withColumn("__next", F.when(F.col("__next.__run") != F.col("__run"), F.col("__next")))
-    df = df.withColumns({"__size": F.count(F.lit(1)).over(run), "__next": F.max("__next").over(run)})
     long = F.when((F.col("__size") >= least) & F.col(code).isNotNull(), F.struct("__stretch", F.col(code).alias("code")))
     opens = ~F.col("__stretch").eqNullSafe(F.lag("__stretch").over(w))
-    df = df.withColumns({"__long": long, "__first": F.when(opens, F.struct("__next"))})
+    df = df.withColumns({"__long": long, "__first": F.when(opens, F.struct("__ahead"))})
     df = df.withColumns({"__left": F.last("__long", ignorenulls=True).over(upto), "__first": F.last("__first", ignorenulls=True).over(upto)})
-    left, second = (F.when(F.col(f"{c}.__stretch") == F.col("__stretch"), F.col(f"{c}.code")) for c in ("__left", "__first.__next"))
+    left, second = (F.when(F.col(f"{c}.__stretch") == F.col("__stretch"), F.col(f"{c}.code")) for c in ("__left", "__first.__ahead"))
     # Only the first run of a stretch that starts short looks at the run that follows it.
     return df.withColumn(out, F.when(F.col("__ok"), F.coalesce(left, second, F.lit(fallback))).otherwise(F.col(code))).drop(
-        "__ok", "__stretch", "__run", "__next", "__size", "__long", "__first", "__left"
+        "__ok", "__stretch", "__run", "__ahead", "__size", "__long", "__first", "__left"
     )
 
 

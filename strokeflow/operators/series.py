@@ -46,6 +46,12 @@ def over_session(df: DataFrame, aggs: dict[str, Column], by=BY) -> DataFrame:
     return df.withColumns({name: agg.over(w) for name, agg in aggs.items()})
 
 
+def next_known(column: str, by=BY, order=ORDER) -> Column:
+    """The next value of a column after a sample that is not null, in the samples' own order: no sort in descending order."""
+    quoted = lambda names: ", ".join(f"`{c}`" for c in names)
+    return F.expr(f"lead(`{column}`) IGNORE NULLS OVER (PARTITION BY {quoted(by)} ORDER BY {quoted(order)})")
+
+
 def unwrap_clock(df: DataFrame, t: str, out: str, by=BY, order=("seq",), bits: int = 32) -> DataFrame:
     """Undo the wrapping of a counter: a fall of more than half its range adds a full range.
 

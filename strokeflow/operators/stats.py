@@ -153,6 +153,35 @@ def weighted_quantiles_of(
     return rows.groupBy(*by).agg(*aggs)
 
 
+def beside_quantiles(
+    df: DataFrame, wanted: dict[str, dict[str, float]], weight: str, by: list[str], tie: list[str], on_rows: bool = False
+) -> tuple[DataFrame, dict[str, Column]]:
+    """Interpolated quantiles of columns (``wanted``: column to {name: q}) for rows that a grouping by ``by`` reads anyway.
+
+    Gives the rows with their cumulated weights, and the quantiles as aggregates of a group (``on_rows``: as windows). Where the rows of a group are together already,
+    each column costs a sort and no shuffle; :func:`weighted_quantiles_of` reads and shuffles all values once more.
+    """
+    w, aggs = F.col(weight), {}
+    most = (lambda c: F.max(c).over(W.partitionBy(*by))) if on_rows else F.max
+    for v in wanted:
+        df = df.withColumn(f"__x_{v}", F.when(w > 0, F.col(v)))
+    df = df.withColumns({f"__total_{v}": F.sum(F.when(F.col(f"__x_{v}").isNotNull(), w)).over(W.partitionBy(*by)) for v in wanted})
+    for v, names in wanted.items():
+        # What does not count comes first, as null.
+        x, total, order = F.col(f"__x_{v}"), F.col(f"__total_{v}"), W.partitionBy(*by).orderBy(f"__x_{v}", *tie)
+        counted = F.when(x.isNotNull(), w)
+        df = df.withColumns({
+            f"__cum_{v}": F.when(x.isNotNull(), F.sum(counted).over(order.rowsBetween(W.unboundedPreceding, 0))),
+            f"__cum0_{v}": F.sum(counted).over(order.rowsBetween(W.unboundedPreceding, -1)), f"__v0_{v}": F.lag(x).over(order),
+        })
+        cum, cum0, v0 = F.col(f"__cum_{v}"), F.col(f"__cum0_{v}"), F.col(f"__v0_{v}")
+        for name, q in names.items():
+            goal = q * total
+            line = F.coalesce(v0 + (x - v0) * (goal - cum0) / (cum - cum0), x)
+            aggs[name] = F.coalesce(most(F.when((cum >= goal) & (cum0.isNull() | (cum0 < goal)), line)), most(x))
+    return df, aggs
+
+
 def _reached(value: str, q: float, on: Column) -> Column:
     return F.min(F.when(on & (F.col("__cum") >= q * F.col("__total")), F.col(value)))
 

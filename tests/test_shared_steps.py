@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from strokeflow.operators import asof, series
+from strokeflow.operators import asof, islands, series, stats
+from strokeflow.operators import breakdown as classes
 from strokeflow.registry import base, breakdown, ingest, more
 from strokeflow.sources import exports, logs, published
 from strokeflow.streaming import logs as streams
@@ -64,3 +65,45 @@ def test_published_exports_sort_few_rows_in_a_task(spark, tmp_path, monkeypatch)
     assert _counts(logs.wheel_table(logs.unwrapped(stored)).select("seq", "t_us"))[1] == 0
     want = {tuple(r) for r in logs.unwrapped(records).select("session_id", "n", "t_us").collect()}
     assert {tuple(r) for r in logs.unwrapped(logs.with_wraps(records)).select("session_id", "n", "t_us").collect()} == want
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_runs_and_gaps_keep_the_samples_in_one_order(spark):
+    rows = spark.range(60).selectExpr(
+        "id % 3 AS session_id", "id AS t_us", "id AS seq", "double(id) AS t", "CASE WHEN id % 7 < 3 THEN double(id * id) END AS v", "(id div 6) % 5 < 2 AS m", "CASE WHEN id % 11 <> 0 THEN int(id div 9 % 3) END AS code"
+    )
+    filled = asof.interpolate_gaps(rows, "v", "t", "v")
+    assert _plan(islands.keep_long(filled, "m", "long", 3)).count("Sort ") == 1
+    assert _plan(islands.absorb_short(filled, "code", F.col("v").isNotNull(), "state", 2, 1)).count("Sort ") == 1
+    got = islands.keep_long(rows, "m", "long", 3).orderBy("session_id", "seq").collect()
+    for s in range(3):
+        mine = [r for r in got if r["session_id"] == s]
+        for i, r in enumerate(mine):
+            a = b = i
+            while a > 0 and mine[a - 1]["m"] == r["m"]:
+                a -= 1
+            while b + 1 < len(mine) and mine[b + 1]["m"] == r["m"]:
+                b += 1
+            assert r["long"] == (r["m"] and b - a + 1 >= 3)
+
+
+def test_a_selection_is_read_and_brought_together_once(spark):
+    rows = breakdown.kept(spark, FOLDER)
+    assert _counts(classes.selection_summary(rows, ["session_id"], breakdown.CFG)) == (1, 1)
+    assert _counts(classes.pack_down(rows, {c: f"pack_{c}" for c in classes.CHANNELS}, breakdown.CFG)) == (1, 1)
+
+
+def test_quantiles_beside_a_grouping_equal_those_of_their_own_shuffle(spark):
+    rows = spark.range(400).selectExpr(
+        "id % 9 AS g", "id AS seq", "CASE WHEN id % 5 <> 0 AND id % 9 <> 4 THEN double(id * 37 % 50) END AS a", "double(id * 31 % 23) AS b", "CASE WHEN id % 13 <> 0 THEN double(id % 4) END AS w"
+    )
+    names = {c: {f"{c}_{100 * q:.0f}": q for q in (0.0, 0.3, 0.5, 0.95, 1.0)} for c in "ab"}
+    want = stats.weighted_quantiles_of(rows, {c: (F.lit(True), F.col(c), n) for c, n in names.items()}, "w", ["g"], ["seq"], interp=True)
+    beside, aggs = stats.beside_quantiles(rows, names, "w", ["g"], ["seq"])
+    got = beside.groupBy("g").agg(*[x.alias(n) for n, x in aggs.items()])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect()))
+    on_rows, windows = stats.beside_quantiles(rows, names, "w", ["g"], ["seq"], on_rows=True)
+    assert {tuple(r) for r in on_rows.withColumns(windows).select(got.columns).collect()} == {tuple(r) for r in got.collect()}
