@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from strokeflow.operators import hist, stats
 from strokeflow.operators.series import over_session, percent_scale
@@ -38,12 +39,6 @@ def metric_catalog(travel_units: str = "counts", velocity_units: str = "counts/s
     return rows
 
 
-def _long(df: DataFrame, by: list[str], values: dict[str, Column]) -> DataFrame:
-    """(by, metric, value) rows of several columns."""
-    pairs = [F.struct(F.lit(k).alias("metric"), v.cast("double").alias("value")) for k, v in values.items()]
-    return df.select(*by, F.explode(F.array(*pairs)).alias("m")).select(*by, "m.*")
-
-
 def rail_margin(bits: int) -> int:
     return max(1, round(((1 << bits) - 1) * 0.02))
 
@@ -73,42 +68,47 @@ def signed_velocity(df: DataFrame, by: list[str]) -> DataFrame:
 POSITION, COMPRESSION, REBOUND = "Position", "Compression", "Rebound"
 
 
-def _by_kind(names: dict[str, str]) -> Column:
-    out = F.lit(None).cast("string")
-    for kind, name in names.items():
-        out = F.when(F.col("kind") == kind, name).otherwise(out)
-    return out
-
-
-def distributions(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def distributions(rows: DataFrame) -> DataFrame:
     """Of ``rows(session_id, channel, seq, dt, position, velocity)``, for positions and for the velocities of each
-    sign: (kind, mean, median, mode, geometric_sd) and (kind, band, share).
+    sign: (kind, mean, median, mode, geometric_sd, shares), the last an array of ten bands.
 
     Shares are percents of time in tenths: of 0 to 100 for positions, of the kind's own range, and of all time,
-    for velocities. The kinds are rows of one table, so each measure takes one grouping.
+    for velocities. The kinds are rows of one table that is shuffled and sorted by value once: the order serves median and mode
+    (a bin's time is known at its last row), and one grouping takes all measures.
     """
-    position, velocity = F.col("position"), F.col("velocity")
+    position, velocity, bins = F.col("position"), F.col("velocity"), 100
     one = lambda cond, kind, v: F.when(cond, F.struct(F.lit(kind).alias("kind"), v.cast("double").alias("v")))
     kinds = F.array_compact(F.array(
         one(position.isNotNull(), POSITION, position), one(velocity >= 0, COMPRESSION, velocity), one(velocity < 0, REBOUND, velocity)
     ))
-    timed = rows.where("dt > 0")
-    long = timed.select(*KEY, "seq", "dt", F.explode(kinds).alias("x")).select(*KEY, "seq", "dt", "x.*")
+    timed = over_session(rows.where("dt > 0").select(*KEY, "seq", "dt", "position", "velocity"), {"__every": F.sum("dt")}, KEY)
+    long = timed.select(*KEY, "seq", "dt", "__every", F.explode(kinds).alias("x")).select(*KEY, "seq", "dt", "__every", "x.*")
     key, v, dt, is_position = [*KEY, "kind"], F.col("v"), F.col("dt"), F.col("kind") == POSITION
-    stat = long.groupBy(*key).agg(
+    long = over_session(long, {"__lo": F.min("v"), "__hi": F.max("v"), "__own": F.sum("dt")}, key)
+    low, high = stats.mode_range(F.col("__lo"), F.col("__hi"), (0.0, 100.0), is_position)
+    long = long.withColumn("bin", hist.bin_index(v, low, high, bins))
+    order = W.partitionBy(*key).orderBy("v", "seq")
+    upto, binned = order.rowsBetween(W.unboundedPreceding, 0), F.col("bin").isNotNull()
+    long = long.withColumns({
+        "__cum": F.sum("dt").over(upto), "__cum_bin": F.sum(F.when(binned, dt)).over(upto),
+        "__last": binned & ~F.col("bin").eqNullSafe(F.lead("bin").over(order)),
+    })
+    percent = F.when(is_position, v).otherwise(percent_scale(v, F.col("__lo"), F.col("__hi")))
+    long = long.withColumn("band", F.least(F.floor(F.greatest(F.lit(0.0), F.least(F.lit(100.0), percent)) / 10), F.lit(9)).cast("int"))
+    whole = F.nullif(F.when(is_position, F.max("__own")).otherwise(F.max("__every")), F.lit(0.0))
+    share = lambda i: F.try_divide(100.0 * F.sum(F.when(F.col("band") == i, dt).otherwise(0.0)), whole)
+    found = long.groupBy(*key).agg(
         stats.weighted_mean(v, dt).alias("mean"), stats.weighted_geometric_std(F.abs(v), dt).alias("geometric_sd"),
-        F.min("v").alias("__lo"), F.max("v").alias("__hi"), F.sum("dt").alias("__own"),
+        F.min(F.when(F.col("__cum") >= 0.5 * F.col("__own"), v)).alias("median"), F.array(*map(share, range(10))).alias("shares"),
+        F.max("__lo").alias("__lo"), F.max("__hi").alias("__hi"),
+        *[F.array_sort(F.collect_list(F.when(F.col("__last"), F.col(c)))).alias(c) for c in ("bin", "__cum_bin")],
     )
-    stat = stat.join(timed.groupBy(*KEY).agg(F.sum("dt").alias("__every")), KEY)
-    median = stats.weighted_quantiles_inv(long, "v", "dt", {"median": 0.5}, key, ["seq"])
-    mode = stats.smoothed_mode(long, "v", "dt", key, span=(0.0, 100.0), spanned=is_position)
-    percent = F.when(is_position, v).otherwise(percent_scale(v, F.col("__lo"), F.col("__hi")))
-    band = F.least(F.floor(F.greatest(F.lit(0.0), F.least(F.lit(100.0), percent)) / 10), F.lit(9)).cast("int")
-    times = long.join(stat.select(*key, "__lo", "__hi"), key).withColumn("band", band).groupBy(*key, "band").agg(F.sum("dt").alias("__t"))
-    whole = F.nullif(F.when(is_position, F.col("__own")).otherwise(F.col("__every")), F.lit(0.0))
-    tenths = hist.dense_bins(stat, 10, "band").join(times, [*key, "band"], "left")
-    shares = tenths.select(*key, "band", F.try_divide(100.0 * F.coalesce("__t", F.lit(0.0)), whole).alias("share"))
-    return stat.join(median, key, "left").join(mode, key, "left").select(*key, "mean", "median", "mode", "geometric_sd"), shares
+    low, high = stats.mode_range(F.col("__lo"), F.col("__hi"), (0.0, 100.0), is_position)
+    # Bins and cumulated times both rise, so sorted they belong together.
+    before = F.concat(F.array(F.lit(0.0)), F.slice("__cum_bin", 1, F.greatest(F.size("__cum_bin") - 1, F.lit(0))))
+    times = F.zip_with("__cum_bin", before, lambda x, y: x - y)
+    mode = stats.mode_of_bins(bins, 2.0, 8)(F.col("bin"), times, low, high)
+    return found.select(*key, "mean", "median", mode.alias("mode"), "geometric_sd", "shares")
 
 
 def channel_metrics(df: DataFrame, bits: int = 12, travel_units: str = "counts", velocity_units: str = "counts/s") -> DataFrame:
@@ -117,12 +117,13 @@ def channel_metrics(df: DataFrame, bits: int = 12, travel_units: str = "counts",
     ``df`` has session_id, channel, seq, dt (seconds), raw, travel and velocity. Positions are travel
     in percent where ``travel_units`` is "%" (clipped to 0-100), else on the channel's used range.
     """
-    ends = df.groupBy(*KEY).agg(F.min("travel").alias("lo"), F.max("travel").alias("hi"))
+    df = df.where(" and ".join(f"{c} is not null" for c in KEY))
+    df = over_session(df, {"lo": F.min("travel"), "hi": F.max("travel")}, KEY)
     scaled = F.least(F.greatest(F.col("travel"), F.lit(0.0)), F.lit(100.0)) if travel_units == "%" else percent_scale(
         F.col("travel"), F.col("lo"), F.col("hi")
     )
     # Several parts read the rows, so they are written once.
-    rows = stored(df.join(ends, KEY).withColumn("position", scaled).select(*KEY, "seq", "dt", "raw", "travel", "velocity", "position", "lo", "hi"), "metrics")
+    rows = stored(df.withColumn("position", scaled).select(*KEY, "seq", "dt", "raw", "travel", "velocity", "position", "lo", "hi"), "metrics")
     dt, travel, velocity = (F.col(c) for c in ("dt", "travel", "velocity"))
     good = F.when(dt > 0, dt)
     top, margin = (1 << bits) - 1, rail_margin(bits)
@@ -140,34 +141,28 @@ def channel_metrics(df: DataFrame, bits: int = 12, travel_units: str = "counts",
     used = c("hi") - c("lo")
     all_time = F.nullif(c("duration"), F.lit(0.0))
     implied = F.try_divide(used, F.nullif(c("span"), F.lit(0.0))) if travel_units == "mm" else F.lit(None)
-    parts = [
-        _long(wide, KEY, {
-            "Session duration": c("duration"), "Analog sample count": c("n"), "Median analog dt": c("median_dt") * 1e6,
-            "Minimum travel": c("lo"), "Maximum travel": c("hi"), "Used stroke": used, "Peak compression velocity": c("peak_c"), "Peak rebound velocity": c("peak_r"),
-            "RMS velocity": c("rms"), "Time in bottom 10%": F.try_divide(100.0 * c("bottom"), all_time),
-            "Time in top 10%": F.try_divide(100.0 * c("top"), all_time), "Raw count span": c("span"),
-            "ADC span used": 100.0 * c("span") / top, "Implied mm / count": implied, "ADC rail-near low": c("rail_low"),
-            "ADC rail-near high": c("rail_high"),
-        }),
-    ]
-    found, shares = distributions(rows)
+    values = {
+        "Session duration": c("duration"), "Analog sample count": c("n"), "Median analog dt": c("median_dt") * 1e6,
+        "Minimum travel": c("lo"), "Maximum travel": c("hi"), "Used stroke": used, "Peak compression velocity": c("peak_c"), "Peak rebound velocity": c("peak_r"),
+        "RMS velocity": c("rms"), "Time in bottom 10%": F.try_divide(100.0 * c("bottom"), all_time),
+        "Time in top 10%": F.try_divide(100.0 * c("top"), all_time), "Raw count span": c("span"),
+        "ADC span used": 100.0 * c("span") / top, "Implied mm / count": implied, "ADC rail-near low": c("rail_low"),
+        "ADC rail-near high": c("rail_high"),
+    }
     low = {POSITION: "position", COMPRESSION: "compression velocity", REBOUND: "rebound velocity"}
     high = {POSITION: "Position", COMPRESSION: "Compression velocity", REBOUND: "Rebound velocity"}
-    named = {x: _by_kind({k: f"{x.capitalize()} {name}" for k, name in low.items()}) for x in ("mean", "median", "mode")}
-    named["geometric_sd"] = _by_kind({k: f"{name} geometric SD" for k, name in high.items()})
-    pairs = F.array(*[F.struct(name.alias("metric"), c(x).alias("value")) for x, name in named.items()])
-    parts.append(found.select(*KEY, F.explode(pairs).alias("m")).select(*KEY, "m.*"))
-    tenth_of = F.concat(_by_kind(high), F.format_string(" P%d-%d", c("band") * 10, c("band") * 10 + 10))
-    parts.append(shares.select(*KEY, tenth_of.alias("metric"), c("share").alias("value")))
-    values = parts[0]
-    for x in parts[1:]:
-        values = values.unionAll(x.select(*KEY, "metric", "value"))
+    for kind in low:
+        values |= {f"{x.capitalize()} {low[kind]}": c(kind)[x] for x in ("mean", "median", "mode")}
+        values |= {f"{high[kind]} geometric SD": c(kind)["geometric_sd"]}
+        values |= {f"{high[kind]} P{10 * i}-{10 * i + 10}": F.get(c(kind)["shares"], i) for i in range(10)}
+    measures = F.struct("mean", "median", "mode", "geometric_sd", "shares")
+    found = distributions(rows).groupBy(*KEY).agg(*[F.max(F.when(c("kind") == kind, measures)).alias(kind) for kind in low])
+    # A channel's metrics are one row until the end, so they are not joined with the catalog.
     catalog = [
-        F.struct(F.lit(i).alias("place"), F.lit(m).alias("metric"), F.lit(u).alias("units"), F.lit(k).alias("category"), F.lit(v).alias("visible"))
+        F.struct(F.lit(i).alias("place"), F.lit(m).alias("metric"), F.lit(u).alias("units"), F.lit(k).alias("category"), F.lit(v).alias("visible"), values[m].cast("double").alias("value"))
         for i, (m, u, k, v) in enumerate(metric_catalog(travel_units, velocity_units))
     ]
-    every = wide.select(*KEY, F.explode(F.array(*catalog)).alias("m")).select(*KEY, "m.*")
-    return every.join(values, [*KEY, "metric"], "left")
+    return wide.join(found, KEY, "left").select(*KEY, F.inline(F.array(*catalog))).select(*KEY, "metric", "place", "units", "category", "visible", "value")
 
 
 def balance_rows(df: DataFrame) -> DataFrame:

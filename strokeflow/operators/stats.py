@@ -5,6 +5,8 @@ from __future__ import annotations
 import functools
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -248,32 +250,54 @@ def smoothed_mode(
     The histogram covers ``span`` (of all groups, or those that are ``spanned``), or the group's lowest to
     highest value, and is taken as zero beyond; of equal peaks the lowest bin counts; edge bins are not refined.
     """
-    from strokeflow.operators.hist import bin_index, dense_bins
+    from strokeflow.operators.hist import bin_index
 
     stats = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
-    lo, hi = padded_range(F.col("__lo"), F.col("__hi"))
-    if span is not None:
-        spanned = F.lit(True) if spanned is None else spanned
-        lo, hi = F.when(spanned, span[0]).otherwise(lo), F.when(spanned, span[1]).otherwise(hi)
+    lo, hi = mode_range(F.col("__lo"), F.col("__hi"), span, spanned)
     stats = stats.select(*by, lo.alias("__lo"), hi.alias("__hi"))
     index = bin_index(F.col(value), F.col("__lo"), F.col("__hi"), bins)
     counts = df.join(stats, by).withColumn("bin", index).where("bin is not null").groupBy(*by, "bin").agg(F.sum(weight).alias("__n"))
-    rows = dense_bins(stats, bins).join(counts, [*by, "bin"], "left").fillna(0.0, ["__n"])
+    full = counts.groupBy(*by).agg(F.collect_list("bin").alias("__bins"), F.collect_list(F.coalesce("__n", F.lit(0.0))).alias("__n"))
+    peak = mode_of_bins(bins, sigma, radius)
+    none = F.array().cast("array<int>"), F.array().cast("array<double>")
+    return stats.join(full, by, "left").select(*by, peak(F.coalesce("__bins", none[0]), F.coalesce("__n", none[1]), F.col("__lo"), F.col("__hi")).alias("mode"))
+
+
+def mode_range(low: Column, high: Column, span: tuple[float, float] | None, spanned: Column | None = None) -> tuple[Column, Column]:
+    """Range of a mode's histogram: ``span`` (of all groups, or those that are ``spanned``), else the values' own, padded."""
+    lo, hi = padded_range(low, high)
+    if span is None:
+        return lo, hi
+    spanned = F.lit(True) if spanned is None else spanned
+    return F.when(spanned, span[0]).otherwise(lo), F.when(spanned, span[1]).otherwise(hi)
+
+
+def mode_of_bins(bins: int, sigma: float, radius: int):
+    """Function of columns: the mode from a group's bins (in any order), their weights, and the histogram's range.
+
+    A group is a row of at most ``bins`` bins; a batch of groups is smoothed at once, not each bin as a row of its own.
+    """
     kernel = [math.exp(-0.5 * (i / sigma) ** 2) for i in range(-radius, radius + 1)]
     norm = sum(kernel)
-    w = W.partitionBy(*by).orderBy("bin")
-    smooth = F.lit(0.0)
-    for i, k in zip(range(-radius, radius + 1), kernel, strict=True):
-        near = (F.lead if i > 0 else F.lag)("__n", abs(i)).over(w)
-        smooth = smooth + F.coalesce(near, F.lit(0.0)) * (k / norm)
-    rows = rows.withColumn("__s", F.round(smooth, 9))
-    rows = rows.withColumns({"__l": F.lag("__s").over(w), "__r": F.lead("__s").over(w)})
-    # The sign of the bin makes the lowest bin win among equal peaks.
-    peak = rows.groupBy(*by).agg(F.max(F.struct("__s", -F.col("bin"), "bin", "__l", "__r", "__lo", "__hi")).alias("p"))
-    p = F.col("p")
-    bend = p["__l"] - 2 * p["__s"] + p["__r"]
-    shift = F.when(bend.isNull() | (F.abs(bend) < 1e-12), 0.0).otherwise(
-        F.greatest(F.lit(-0.5), F.least(F.lit(0.5), 0.5 * (p["__l"] - p["__r"]) / F.nullif(bend, F.lit(0.0))))
-    )
-    mode = p["__lo"] + (p["bin"] + 0.5 + shift) * (p["__hi"] - p["__lo"]) / bins
-    return peak.select(*by, mode.alias("mode"))
+
+    def peak(places: pd.Series, weights: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.Series:
+        n = len(places)
+        if not n:
+            return pd.Series([], dtype="float64")
+        padded = np.zeros((n, bins + 2 * radius))
+        group = np.repeat(np.arange(n), [len(x) for x in places])
+        padded[group, np.concatenate(list(places)).astype(int) + radius] = np.concatenate(list(weights)).astype(float)
+        smooth = np.zeros((n, bins))
+        for i, k in enumerate(kernel):
+            smooth += padded[:, i : i + bins] * (k / norm)
+        smooth = np.round(smooth, 9)
+        at, each = smooth.argmax(axis=1), np.arange(n)  # the first of equal peaks
+        inner = (at > 0) & (at < bins - 1)
+        left, top, right = smooth[each, np.maximum(at - 1, 0)], smooth[each, at], smooth[each, np.minimum(at + 1, bins - 1)]
+        bend = left - 2 * top + right
+        curved = inner & (np.abs(bend) >= 1e-12)
+        shift = np.where(curved, np.clip(0.5 * (left - right) / np.where(curved, bend, 1.0), -0.5, 0.5), 0.0)
+        low, high = lo.to_numpy(float), hi.to_numpy(float)
+        return pd.Series(low + (at + 0.5 + shift) * (high - low) / bins)
+
+    return F.pandas_udf(peak, "double")

@@ -107,3 +107,17 @@ def test_quantiles_beside_a_grouping_equal_those_of_their_own_shuffle(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect()))
     on_rows, windows = stats.beside_quantiles(rows, names, "w", ["g"], ["seq"], on_rows=True)
     assert {tuple(r) for r in on_rows.withColumns(windows).select(got.columns).collect()} == {tuple(r) for r in got.collect()}
+
+
+def test_channel_metrics_shuffle_samples_and_never_bins(spark):
+    found = more.b13(spark, FOLDER)
+    # Samples by channel for the values in order, and rows of channels; no bin of a histogram is a row.
+    assert _counts(found)[0] == 2 and _counts(found)[1] <= 4 and "sequence(0, 99" not in _plan(found)
+
+
+def test_modes_of_bins_are_those_of_a_dense_histogram(spark):
+    rows = [([0, 3, 5], [1.0, 2.0, 2.0]), ([99], [4.0]), ([5, 3], [2.0, 2.0]), ([], [])]
+    df = spark.createDataFrame([(i, b, w, 0.0, 100.0) for i, (b, w) in enumerate(rows)], "i int, b array<int>, w array<double>, lo double, hi double")
+    got = dict(df.select("i", stats.mode_of_bins(100, 2.0, 8)("b", "w", "lo", "hi")).collect())
+    # Equal neighbours peak between them, a peak at the edge is not refined, and no weight at all means the lowest bin.
+    assert got[1] == 99.5 and got[3] == 0.5 and abs(got[2] - 4.5) < 1e-6 and 3.5 < got[0] < 4.5
